@@ -149,3 +149,80 @@ def emotion_to_emoji(spark, sf):
     # upper-cased half of the labels exercises the case-insensitive lookup
     emo = F.when(F.col("doc_id") % 2 == 0, F.upper("emotion")).otherwise(F.col("emotion"))
     return e.select("doc_id", emo.alias("emotion"), T.emotion_to_emoji(emo).alias("emoji"))
+
+
+# ---------------------------------------------------------------- D balancing
+from moodframe.operators import balance as D  # noqa: E402
+
+
+def _enr(spark, sf):
+    return enriched(spark, sf).select("doc_id", "type", "lang", "emotion", "emoji")
+
+
+@register
+def class_counts(spark, sf):
+    return D.class_counts(_enr(spark, sf), "emotion")
+
+
+@register
+def max_class_count(spark, sf):
+    return D.max_class_count(_enr(spark, sf), ["emotion", "type"])
+
+
+@register
+def distinct_classes(spark, sf):
+    return D.distinct_classes(_enr(spark, sf), "emotion", "doc_id")
+
+
+@register
+def class_filter(spark, sf):
+    return D.class_filter(_enr(spark, sf), "emotion", "joy").select("doc_id", "type", "emotion")
+
+
+@register
+def union_classes(spark, sf):
+    e = _enr(spark, sf).select("doc_id", "emotion")
+    return D.union_classes([D.class_filter(e, "emotion", l) for l in sorted(S.DEFAULT_PRIORS)])
+
+
+@register
+def oversample_one_key(spark, sf):
+    out = D.oversample(_enr(spark, sf), "type", ["doc_id"])
+    return out.select("type", "draw", "doc_id", "emotion")
+
+
+def _two_pass(spark, sf):
+    return D.balance_two_pass(_enr(spark, sf), "emotion", "type", ["doc_id"])
+
+
+@register
+def balance_two_pass(spark, sf):
+    return _two_pass(spark, sf).select("type", "draw2", "emotion", "draw1", "doc_id")
+
+
+@register
+def shuffle_reindex(spark, sf):
+    out = D.shuffle_reindex(_two_pass(spark, sf), ["type", "draw2"])
+    return out.select("row_idx", "type", "emotion", "doc_id")
+
+
+@register
+def undersample(spark, sf):
+    return D.undersample(_enr(spark, sf), "type", ["doc_id"]).select("doc_id", "type", "emotion")
+
+
+@register
+def balance_before_after(spark, sf):
+    return D.balance_before_after(_enr(spark, sf), _two_pass(spark, sf), ["emotion", "type"])
+
+
+@register
+def class_weights(spark, sf):
+    w = D.class_weights(_enr(spark, sf), "emotion")
+    return w.select("emotion", "n", F.round("weight", 8).alias("weight"))
+
+
+@register
+def class_count_check(spark, sf):
+    e = _enr(spark, sf)
+    return D.class_count_check(e, "emotion", 7, D.class_weights(e, "emotion"))

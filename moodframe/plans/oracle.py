@@ -76,3 +76,75 @@ ORACLE["emotion_to_emoji"] = f"""{_E}
 SELECT doc_id, emo AS emotion, {P.emoji('emo')} AS emoji FROM (
   SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN upper(emotion) ELSE emotion END AS emo FROM enriched)
 """
+
+# ---------------------------------------------------------------- D balancing
+from moodframe.functions.hashing import md5int_sql as H  # noqa: E402
+
+_ENR = f"WITH {P.ENRICH_CTES}, enr AS (SELECT doc_id, type, lang, emotion, emoji FROM enriched)"
+ORACLE["class_counts"] = (f"{_ENR} SELECT emotion, COUNT(*) AS n FROM enr "
+                          f"WHERE emotion IS NOT NULL GROUP BY emotion")
+ORACLE["max_class_count"] = f"""{_ENR}
+SELECT 'emotion' AS column, MAX(n) AS max_n FROM (
+  SELECT COUNT(*) AS n FROM enr WHERE emotion IS NOT NULL GROUP BY emotion)
+UNION ALL
+SELECT 'type' AS column, MAX(n) AS max_n FROM (
+  SELECT COUNT(*) AS n FROM enr WHERE type IS NOT NULL GROUP BY type)
+"""
+ORACLE["distinct_classes"] = f"""{_ENR}
+SELECT emotion, first_seen, row_number() OVER (ORDER BY first_seen, emotion) - 1 AS ordinal
+FROM (SELECT emotion, MIN(doc_id) AS first_seen FROM enr WHERE emotion IS NOT NULL GROUP BY emotion)
+"""
+ORACLE["class_filter"] = f"{_ENR} SELECT doc_id, type, emotion FROM enr WHERE emotion = 'joy'"
+ORACLE["union_classes"] = f"{_ENR} " + " UNION ALL ".join(
+    f"SELECT doc_id, emotion FROM enr WHERE emotion = {P.q(l)}" for l in P.LABELS)
+
+
+def _oversample_sql(src: str, cls: str, keys: list[str], target_sql: str, draw: str) -> str:
+    """CTE body: bootstrap every class of ``src`` to ``target_sql`` rows."""
+    kh = H("'row'", *keys)
+    ks = ", ".join(keys)
+    return f"""(
+  WITH s AS (SELECT * FROM {src} WHERE {cls} IS NOT NULL),
+  ix AS (SELECT *, row_number() OVER (PARTITION BY {cls} ORDER BY {kh}, {ks}) - 1 AS _idx FROM s),
+  sz AS (SELECT {cls} AS _c, COUNT(*) AS n_c FROM s GROUP BY 1),
+  dr AS (SELECT _c, n_c, unnest(range(0, CAST(({target_sql}) AS BIGINT))) AS {draw} FROM sz),
+  dx AS (SELECT _c, {draw}, {H('_c', draw)} % n_c AS _idx FROM dr)
+  SELECT ix.* EXCLUDE (_idx), dx.{draw} FROM dx JOIN ix ON ix.{cls} = dx._c AND ix._idx = dx._idx)"""
+
+
+_MAX_OF = "SELECT MAX(n) FROM (SELECT COUNT(*) AS n FROM enr WHERE {c} IS NOT NULL GROUP BY {c})"
+ORACLE["oversample_one_key"] = f"""{_ENR},
+o AS {_oversample_sql('enr', 'type', ['doc_id'], _MAX_OF.format(c='type'), 'draw')}
+SELECT type, draw, doc_id, emotion FROM o
+"""
+_TWO_PASS = f"""{_ENR},
+p1 AS {_oversample_sql('enr', 'emotion', ['doc_id'], _MAX_OF.format(c='emotion'), 'draw1')},
+p2 AS {_oversample_sql('p1', 'type', ['emotion', 'draw1'], _MAX_OF.format(c='type'), 'draw2')}"""
+ORACLE["balance_two_pass"] = f"{_TWO_PASS} SELECT type, draw2, emotion, draw1, doc_id FROM p2"
+ORACLE["shuffle_reindex"] = f"""{_TWO_PASS}
+SELECT row_number() OVER (ORDER BY {H("'shuffle'", 'type', 'draw2')}, type, draw2) - 1 AS row_idx,
+       type, emotion, doc_id FROM p2
+"""
+ORACLE["undersample"] = f"""{_ENR},
+ix AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY {H("'under'", 'doc_id')}, doc_id) - 1 AS _i
+       FROM enr WHERE type IS NOT NULL),
+m AS (SELECT MIN(n) AS m FROM (SELECT COUNT(*) AS n FROM enr WHERE type IS NOT NULL GROUP BY type))
+SELECT doc_id, type, emotion FROM ix, m WHERE _i < m.m
+"""
+ORACLE["balance_before_after"] = f"""{_TWO_PASS},
+""" + ",\n".join(
+    f"""b_{c} AS (SELECT {c} AS class, COUNT(*) AS n FROM enr WHERE {c} IS NOT NULL GROUP BY 1),
+a_{c} AS (SELECT {c} AS class, COUNT(*) AS n FROM p2 WHERE {c} IS NOT NULL GROUP BY 1)"""
+    for c in ["emotion", "type"]) + "\n" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column, COALESCE(b.class, a.class) AS class,
+       CAST(COALESCE(b.n, 0) AS BIGINT) AS n_before, CAST(COALESCE(a.n, 0) AS BIGINT) AS n_after
+FROM b_{c} b FULL OUTER JOIN a_{c} a ON b.class = a.class""" for c in ["emotion", "type"])
+_WEIGHTS = """w AS (SELECT emotion, n, round(SUM(n) OVER () / (COUNT(*) OVER () * n), 8) AS weight
+       FROM (SELECT emotion, COUNT(*) AS n FROM enr WHERE emotion IS NOT NULL GROUP BY 1))"""
+ORACLE["class_weights"] = f"{_ENR}, {_WEIGHTS} SELECT * FROM w"
+ORACLE["class_count_check"] = f"""{_ENR}, {_WEIGHTS}
+SELECT 'n_classes(emotion)' AS "check", CAST(7 AS BIGINT) AS expected,
+       CAST(COUNT(DISTINCT emotion) AS BIGINT) AS actual, COUNT(DISTINCT emotion) = 7 AS ok FROM enr
+UNION ALL
+SELECT 'n_weights', CAST(7 AS BIGINT), CAST(COUNT(*) AS BIGINT), COUNT(*) = 7 FROM w
+"""
