@@ -37,3 +37,139 @@ def readme_clean(df: DataFrame, lemma_df: DataFrame, stop_words: list[str], key_
         T.tokenize_words(T.normalize_lower(text_col)), stop_words).alias("_t"))
     lem = lemmatize(toks, lemma_df, key_col, "_t", "_lem")
     return lem.select(key_col, T.rejoin_tokens("_lem").alias(out_col))
+
+
+# ------------------------------------------------------------------ E1 / E2
+def fit_codes(df: DataFrame, col: str) -> DataFrame:
+    """E1 (fit): ``(value, code)`` with 0-based codes of the sorted distinct
+    non-null values. The window runs over the distinct values only."""
+    vals = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
+    return vals.select("value", (F.row_number().over(Window.orderBy("value")) - 1)
+                       .cast("bigint").alias("code"))
+
+
+def encode_labels(df: DataFrame, codes: dict[str, DataFrame], prefix: str = "label_") -> DataFrame:
+    """E1 (apply): ``label_<col>`` code for each column, by a size-checked
+    broadcast join to the saved code table (unknown values -> null)."""
+    out = df
+    for col, table in codes.items():
+        t = broadcast_if_small(table.select(F.col("value").alias(col),
+                                            F.col("code").alias(f"{prefix}{col}")))
+        out = out.join(t, col, "left")
+    return out
+
+
+def decode_labels(df: DataFrame, code_col: str, codes: DataFrame, out_col: str) -> DataFrame:
+    """Code -> label through the saved code table."""
+    t = broadcast_if_small(codes.select(F.col("code").alias(code_col), F.col("value").alias(out_col)))
+    return df.join(t, code_col, "left")
+
+
+# ------------------------------------------------------------------ E3 / E4
+def train_val_split(df: DataFrame, key_cols: list[str], val_frac: float = 0.2,
+                    seed: int = 42, group_cols: list[str] | None = None,
+                    split_col: str = "split") -> DataFrame:
+    """Exact seeded split, ``ceil(val_frac * n)`` validation rows (or
+    groups): the rows with the smallest ``md5int(seed, key)``.
+
+    With ``group_cols`` all rows of a group land on one side (no copies of a
+    text on both sides). Reproducible from the key alone, unlike
+    ``randomSplit``. The rank is a keyed dense index (no global window).
+    """
+    from moodframe.operators.keyed import dense_index
+
+    unit = group_cols or key_cols
+    units = df.select(*unit).distinct() if group_cols else df.select(*unit)
+    n = units.count()
+    n_val = math.ceil(val_frac * n)
+    ranked = dense_index(units.withColumn("_h", md5int(F.lit("split"), *unit, seed=seed))
+                         .withColumn("_all", F.lit(0)), ["_all"], "_h", unit, "_r")
+    sides = ranked.select(*unit, F.when(F.col("_r") < n_val, F.lit("val"))
+                          .otherwise(F.lit("train")).alias(split_col))
+    return df.join(sides, unit)
+
+
+def split_leakage(split_df: DataFrame, text_col: str, split_col: str = "split") -> DataFrame:
+    """Validation rows whose text also occurs in training (left semi
+    join), and the clean remainder (left anti join)."""
+    train = (split_df.where(F.col(split_col) == "train").select(text_col).distinct()
+             .withColumn("_in_train", F.lit(1)))
+    val = split_df.where(F.col(split_col) == "val")
+    flagged = val.join(train, text_col, "left")
+    return flagged.agg(F.count(F.lit(1)).cast("bigint").alias("n_val"),
+                       F.count("_in_train").cast("bigint").alias("n_leaked"))
+
+
+def leaked_rows(split_df: DataFrame, text_col: str, split_col: str = "split") -> DataFrame:
+    """E4 rows: validation rows with a copy in training (LEFT SEMI)."""
+    train = split_df.where(F.col(split_col) == "train").select(text_col)
+    return split_df.where(F.col(split_col) == "val").join(train, text_col, "left_semi")
+
+
+def clean_validation(split_df: DataFrame, text_col: str, split_col: str = "split") -> DataFrame:
+    """E4 clean variant: validation rows without a copy in training (LEFT ANTI)."""
+    train = split_df.where(F.col(split_col) == "train").select(text_col)
+    return split_df.where(F.col(split_col) == "val").join(train, text_col, "left_anti")
+
+
+# ------------------------------------------------------------------ E5 - E7
+# Special tokens and their ids, vocabulary size, sequence length.
+SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
+PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
+VOCAB_SIZE = 30522
+MAX_LEN = 512
+
+
+def word_tokens(text_col: str):
+    """Feature tokens: lower-cased words of a cleaned text."""
+    return F.filter(F.split(F.lower(F.col(text_col)), " "), lambda x: x != "")
+
+
+def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 5,
+                     size: int = VOCAB_SIZE) -> DataFrame:
+    """E5: ``(token, token_id, n)``: specials first, then the most frequent
+    tokens with ``n >= min_count`` by (n desc, token), up to ``size`` ids.
+    The ordering is a top-k (TakeOrderedAndProject), bounded by ``size``."""
+    spark = df.sparkSession
+    counts = (df.select(F.explode(word_tokens(text_col)).alias("token"))
+              .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+              .where(F.col("n") >= min_count))
+    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size - len(SPECIALS))
+    ranked = top.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token")))
+                                  + len(SPECIALS) - 1).cast("bigint").alias("token_id"), "n")
+    specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)],
+                                     "token string, token_id bigint, n bigint")
+    return specials.unionByName(ranked)
+
+
+def encode_tokens(df: DataFrame, key_col: str, text_col: str, vocab: DataFrame,
+                  max_len: int = MAX_LEN) -> DataFrame:
+    """``input_ids`` (``[CLS]`` + first ``max_len-2`` ids + ``[SEP]``, padded
+    with ``[PAD]`` to ``max_len``) and ``attention_mask`` (1 real, 0 pad).
+
+    Truncation happens before the vocabulary join, so at most ``max_len-2``
+    tokens per row are joined and re-collected.
+    """
+    toks = (df.select(key_col, F.posexplode_outer(word_tokens(text_col)).alias("pos", "token"))
+            .where(F.col("pos").isNull() | (F.col("pos") < max_len - 2)))
+    v = broadcast_if_small(vocab.select("token", "token_id"))
+    item = F.when(F.col("pos").isNotNull(), F.struct(
+        "pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID).cast("bigint")).alias("id")))
+    ids = (toks.join(v, "token", "left").groupBy(key_col)
+           .agg(F.array_sort(F.collect_list(item)).alias("_l")))
+    real = F.concat(F.array(F.lit(CLS_ID).cast("bigint")), F.transform("_l", lambda x: x["id"]),
+                    F.array(F.lit(SEP_ID).cast("bigint")))
+    n_pad = F.lit(max_len) - F.size("_real")
+    return (ids.withColumn("_real", real)
+            .select(key_col,
+                    F.concat("_real", F.array_repeat(F.lit(PAD_ID).cast("bigint"), n_pad))
+                    .alias("input_ids"),
+                    F.concat(F.array_repeat(F.lit(1).cast("bigint"), F.size("_real")),
+                             F.array_repeat(F.lit(0).cast("bigint"), n_pad))
+                    .alias("attention_mask")))
+
+
+def training_rows(encoded: DataFrame, labelled: DataFrame, key_col: str,
+                  label_cols: list[str]) -> DataFrame:
+    """Feature + codes per row (both splits)."""
+    return encoded.join(labelled.select(key_col, "split", *label_cols), key_col)

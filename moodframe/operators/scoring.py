@@ -30,11 +30,15 @@ DEFAULT_PRIORS = {
 SCORE_TIE_DECIMALS = 9
 
 
-def explode_chunks(df: DataFrame, text_col: str = "cleaned_posts", key_col: str = "doc_id",
-                   max_chars: int = 512) -> DataFrame:
-    """B12 as a table function: one row ``(key, chunk_idx, chunk)`` per chunk."""
+def _keys(key_col: str | list[str]) -> list[str]:
+    return [key_col] if isinstance(key_col, str) else list(key_col)
+
+
+def explode_chunks(df: DataFrame, text_col: str = "cleaned_posts",
+                   key_col: str | list[str] = "doc_id", max_chars: int = 512) -> DataFrame:
+    """B12 as a table function: one row ``(key..., chunk_idx, chunk)`` per chunk."""
     return df.select(
-        F.col(key_col),
+        *_keys(key_col),
         F.posexplode(chunk_text(text_col, max_chars)).alias("chunk_idx", "chunk"),
     ).withColumn("chunk_idx", F.col("chunk_idx").cast("bigint"))
 
@@ -93,24 +97,26 @@ def top1_from_sums(per_chunk: DataFrame, key_cols: list[str], labels: list[str],
                     (-F.col("best.nv") / (F.col("h_total") + F.lit(total_prior))).alias("score")))
 
 
-def emotion_vote(scored: DataFrame, key_col: str = "doc_id") -> DataFrame:
+def emotion_vote(scored: DataFrame, key_col: str | list[str] = "doc_id") -> DataFrame:
     """Most frequent top-1 label of a post, ties -> first seen chunk."""
-    counts = scored.groupBy(key_col, "label").agg(
+    keys = _keys(key_col)
+    counts = scored.groupBy(*keys, "label").agg(
         F.count(F.lit(1)).alias("n"), F.min("chunk_idx").alias("first_idx"))
-    return counts.groupBy(key_col).agg(
+    return counts.groupBy(*keys).agg(
         F.min_by(F.col("label"), F.struct(-F.col("n"), F.col("first_idx"))).alias("vote_emotion"))
 
 
-def emotion_mean_scores(scored: DataFrame, key_col: str = "doc_id") -> DataFrame:
+def emotion_mean_scores(scored: DataFrame, key_col: str | list[str] = "doc_id") -> DataFrame:
     """Per post and label, mean top-1 score, chunk count, first chunk."""
-    return scored.groupBy(key_col, "label").agg(
+    return scored.groupBy(*_keys(key_col), "label").agg(
         F.avg("score").alias("mean_score"),
         F.count(F.lit(1)).alias("n_chunks"),
         F.min("chunk_idx").alias("first_idx"),
     )
 
 
-def assign_emotion(scored: DataFrame, labels: list[str], key_col: str = "doc_id") -> DataFrame:
+def assign_emotion(scored: DataFrame, labels: list[str],
+                   key_col: str | list[str] = "doc_id") -> DataFrame:
     """C4: label with the largest mean score, ties -> first seen chunk.
 
     One aggregate per post with a conditional sum/count/min per label (the
@@ -123,7 +129,8 @@ def assign_emotion(scored: DataFrame, labels: list[str], key_col: str = "doc_id"
         aggs += [F.sum(F.when(hit, F.col("score"))).alias(f"s{i}"),
                  F.count(F.when(hit, F.lit(1))).alias(f"n{i}"),
                  F.min(F.when(hit, F.col("chunk_idx"))).alias(f"f{i}")]
-    per_post = scored.groupBy(key_col).agg(*aggs)
+    keys = _keys(key_col)
+    per_post = scored.groupBy(*keys).agg(*aggs)
     cands = []
     for i, l in enumerate(labels):
         mean = F.col(f"s{i}") / F.col(f"n{i}")
@@ -131,11 +138,11 @@ def assign_emotion(scored: DataFrame, labels: list[str], key_col: str = "doc_id"
             (-F.round(mean, SCORE_TIE_DECIMALS)).alias("nm"), F.col(f"f{i}").alias("first"),
             F.lit(l).alias("label"))))
     best = F.least(*cands) if len(cands) > 1 else cands[0]
-    return per_post.select(key_col, best["label"].alias("emotion"))
+    return per_post.select(*keys, best["label"].alias("emotion"))
 
 
-def enrich_posts(posts: DataFrame, scorer, key_col: str = "doc_id", text_col: str = "posts",
-                 max_chars: int = 512) -> DataFrame:
+def enrich_posts(posts: DataFrame, scorer, key_col: str | list[str] = "doc_id",
+                 text_col: str = "posts", max_chars: int = 512) -> DataFrame:
     """Clean -> chunk -> score -> reduce -> emoji, one plan.
 
     The text crosses the network once (the final join back on the key); the
@@ -147,7 +154,8 @@ def enrich_posts(posts: DataFrame, scorer, key_col: str = "doc_id", text_col: st
     """
     cleaned = posts.withColumn("cleaned_posts", clean_text(text_col))
     chunks = explode_chunks(cleaned, "cleaned_posts", key_col, max_chars)
-    scored = scorer.score(chunks, [key_col, "chunk_idx"], "chunk")
-    emotions = assign_emotion(scored, scorer.labels, key_col)
-    return (cleaned.join(emotions, key_col, "left")
+    keys = _keys(key_col)
+    scored = scorer.score(chunks, keys + ["chunk_idx"], "chunk")
+    emotions = assign_emotion(scored, scorer.labels, keys)
+    return (cleaned.join(emotions, keys, "left")
             .withColumn("emoji", emotion_to_emoji("emotion")))

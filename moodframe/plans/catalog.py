@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from moodframe.functions import text as T
 from moodframe.operators import scoring as S
 from moodframe.sources import fixtures as fx
-from moodframe.session import table
+from moodframe.session import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -156,7 +156,9 @@ from moodframe.operators import balance as D  # noqa: E402
 
 
 def _enr(spark, sf):
-    return enriched(spark, sf).select("doc_id", "type", "lang", "emotion", "emoji")
+    # reused by several actions (size checks, targets) -> checkpointed once
+    return cut_lineage(enriched(spark, sf).select(
+        "doc_id", "type", "lang", "emotion", "emoji", F.md5("cleaned_posts").alias("text_key")))
 
 
 @register
@@ -226,3 +228,88 @@ def class_weights(spark, sf):
 def class_count_check(spark, sf):
     e = _enr(spark, sf)
     return D.class_count_check(e, "emotion", 7, D.class_weights(e, "emotion"))
+
+
+# ------------------------------------------------------------- E preparation
+from moodframe.operators import prep as E  # noqa: E402
+
+HEAD_COLS = ["type", "emotion", "emoji"]
+
+
+def _labelled(spark, sf):
+    return cut_lineage(enriched(spark, sf).select("doc_id", "cleaned_posts", *HEAD_COLS))
+
+
+def _codes(df):
+    return {c: E.fit_codes(df, c) for c in HEAD_COLS}
+
+
+def _encoded(spark, sf):
+    lab = _labelled(spark, sf)
+    return E.encode_labels(lab, _codes(lab))
+
+
+@register
+def encode_labels(spark, sf):
+    return _encoded(spark, sf).select("doc_id", *[f"label_{c}" for c in HEAD_COLS])
+
+
+@register
+def decode_labels(spark, sf):
+    lab = _labelled(spark, sf)
+    codes = _codes(lab)
+    out = E.encode_labels(lab, codes).select("doc_id", *[f"label_{c}" for c in HEAD_COLS])
+    for c in HEAD_COLS:
+        out = E.decode_labels(out, f"label_{c}", codes[c], c)
+    return out.select("doc_id", *HEAD_COLS)
+
+
+def _split(spark, sf):
+    return E.train_val_split(_encoded(spark, sf), ["doc_id"])
+
+
+@register
+def train_val_split(spark, sf):
+    return _split(spark, sf).select("doc_id", "split")
+
+
+@register
+def split_leakage(spark, sf):
+    bal = _two_pass(spark, sf)
+    by_row = E.split_leakage(E.train_val_split(bal, ["type", "draw2"]), "text_key")
+    by_text = E.split_leakage(E.train_val_split(bal, ["type", "draw2"], group_cols=["text_key"]),
+                              "text_key")
+    return (by_row.select(F.lit("row").alias("mode"), "*")
+            .unionByName(by_text.select(F.lit("text_group").alias("mode"), "*")))
+
+
+def _vocab(spark, sf):
+    return E.build_vocabulary(_labelled(spark, sf), "cleaned_posts")
+
+
+@register
+def build_vocabulary(spark, sf):
+    return _vocab(spark, sf)
+
+
+def _tokens(spark, sf):
+    return E.encode_tokens(_labelled(spark, sf), "doc_id", "cleaned_posts", _vocab(spark, sf))
+
+
+@register
+def encode_tokens(spark, sf):
+    t = _tokens(spark, sf)
+    return t.select("doc_id",
+                    F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
+                    .alias("n_real"),
+                    F.size("input_ids").cast("bigint").alias("n_ids"),
+                    F.array_join("input_ids", " ").alias("ids"))
+
+
+@register
+def training_rows(spark, sf):
+    rows = E.training_rows(_tokens(spark, sf), _split(spark, sf), "doc_id",
+                           [f"label_{c}" for c in HEAD_COLS])
+    return rows.select("doc_id", "split", *[f"label_{c}" for c in HEAD_COLS],
+                       F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
+                       .alias("n_real"))

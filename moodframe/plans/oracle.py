@@ -80,7 +80,8 @@ SELECT doc_id, emo AS emotion, {P.emoji('emo')} AS emoji FROM (
 # ---------------------------------------------------------------- D balancing
 from moodframe.functions.hashing import md5int_sql as H  # noqa: E402
 
-_ENR = f"WITH {P.ENRICH_CTES}, enr AS (SELECT doc_id, type, lang, emotion, emoji FROM enriched)"
+_ENR = (f"WITH {P.ENRICH_CTES}, enr AS (SELECT doc_id, type, lang, emotion, emoji, "
+        f"md5(cleaned_posts) AS text_key FROM enriched)")
 ORACLE["class_counts"] = (f"{_ENR} SELECT emotion, COUNT(*) AS n FROM enr "
                           f"WHERE emotion IS NOT NULL GROUP BY emotion")
 ORACLE["max_class_count"] = f"""{_ENR}
@@ -148,3 +149,71 @@ SELECT 'n_classes(emotion)' AS "check", CAST(7 AS BIGINT) AS expected,
 UNION ALL
 SELECT 'n_weights', CAST(7 AS BIGINT), CAST(COUNT(*) AS BIGINT), COUNT(*) = 7 FROM w
 """
+
+
+# ------------------------------------------------------------- E preparation
+_HEADS = ["type", "emotion", "emoji"]
+_LAB = f"WITH {P.ENRICH_CTES}, lab AS (SELECT doc_id, cleaned_posts, type, emotion, emoji FROM enriched)"
+_CODES = ",\n".join(
+    f"""codes_{c} AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code
+    FROM (SELECT DISTINCT {c} AS value FROM lab WHERE {c} IS NOT NULL))""" for c in _HEADS)
+_ENC = f"""{_LAB}, {_CODES},
+enc AS (SELECT lab.*, {", ".join(f"codes_{c}.code AS label_{c}" for c in _HEADS)} FROM lab
+        {" ".join(f"LEFT JOIN codes_{c} ON lab.{c} = codes_{c}.value" for c in _HEADS)})"""
+ORACLE["encode_labels"] = f"{_ENC} SELECT doc_id, label_type, label_emotion, label_emoji FROM enc"
+ORACLE["decode_labels"] = f"""{_ENC}
+SELECT enc.doc_id, {", ".join(f"d_{c}.value AS {c}" for c in _HEADS)} FROM enc
+{" ".join(f"LEFT JOIN codes_{c} d_{c} ON enc.label_{c} = d_{c}.code" for c in _HEADS)}
+"""
+
+
+def _split_sql(src: str, unit: list[str], frac: float = 0.2) -> str:
+    u = ", ".join(unit)
+    return f"""(SELECT {u}, CASE WHEN row_number() OVER (ORDER BY {H("'split'", *unit)}, {u}) - 1
+                  < CAST(ceil({frac} * COUNT(*) OVER ()) AS BIGINT) THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT DISTINCT {u} FROM {src}))"""
+
+
+_SPLIT = f"{_ENC}, sp AS (SELECT enc.*, s.split FROM enc JOIN {_split_sql('enc', ['doc_id'])} s USING (doc_id))"
+ORACLE["train_val_split"] = f"{_SPLIT} SELECT doc_id, split FROM sp"
+
+
+def _leak_sql(src: str, mode: str) -> str:
+    return f"""SELECT '{mode}' AS mode, CAST(COUNT(*) AS BIGINT) AS n_val,
+       CAST(COUNT(t.text_key) AS BIGINT) AS n_leaked
+FROM (SELECT * FROM {src} WHERE split = 'val') v
+LEFT JOIN (SELECT DISTINCT text_key FROM {src} WHERE split = 'train') t USING (text_key)"""
+
+
+ORACLE["split_leakage"] = f"""{_TWO_PASS},
+r AS (SELECT p2.*, s.split FROM p2 JOIN {_split_sql('p2', ['type', 'draw2'])} s USING (type, draw2)),
+g AS (SELECT p2.*, s.split FROM p2 JOIN {_split_sql('p2', ['text_key'])} s USING (text_key))
+{_leak_sql('r', 'row')} UNION ALL {_leak_sql('g', 'text_group')}
+"""
+_VOCAB = f"""{_LAB},
+vt AS (SELECT unnest(list_filter(string_split(lower(cleaned_posts), ' '), lambda x: x <> '')) AS token FROM lab),
+vc AS (SELECT token, COUNT(*) AS n FROM vt GROUP BY token HAVING COUNT(*) >= 5),
+vocab AS (SELECT * FROM (VALUES ('[PAD]', 0, 0), ('[UNK]', 1, 0), ('[CLS]', 2, 0), ('[SEP]', 3, 0))
+            AS s(token, token_id, n)
+          UNION ALL
+          SELECT token, token_id, n FROM (
+            SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id, n FROM vc)
+          WHERE token_id < 30522)"""
+ORACLE["build_vocabulary"] = f"{_VOCAB} SELECT token, CAST(token_id AS BIGINT) AS token_id, CAST(n AS BIGINT) AS n FROM vocab"
+_TOKENS = f"""{_VOCAB},
+dl AS (SELECT doc_id, list_filter(string_split(lower(cleaned_posts), ' '), lambda x: x <> '') AS t FROM lab),
+dt AS (SELECT doc_id, unnest(range(0, len(t))) AS pos, unnest(t) AS token FROM dl),
+di AS (SELECT dt.doc_id, dt.pos, COALESCE(v.token_id, 1) AS id FROM dt LEFT JOIN vocab v USING (token)
+       WHERE dt.pos < 510),
+ds AS (SELECT l.doc_id, COUNT(di.id) AS n, string_agg(CAST(di.id AS VARCHAR), ' ' ORDER BY di.pos) AS s
+       FROM lab l LEFT JOIN di USING (doc_id) GROUP BY l.doc_id),
+tk AS (SELECT doc_id, CAST(n + 2 AS BIGINT) AS n_real, CAST(512 AS BIGINT) AS n_ids,
+              '2' || COALESCE(' ' || s, '') || ' 3' || repeat(' 0', CAST(510 - n AS INTEGER)) AS ids FROM ds)"""
+ORACLE["encode_tokens"] = f"{_TOKENS} SELECT * FROM tk"
+ORACLE["training_rows"] = f"""{_TOKENS}, {_CODES},
+enc AS (SELECT lab.*, {", ".join(f"codes_{c}.code AS label_{c}" for c in _HEADS)} FROM lab
+        {" ".join(f"LEFT JOIN codes_{c} ON lab.{c} = codes_{c}.value" for c in _HEADS)}),
+sp AS (SELECT enc.*, s.split FROM enc JOIN {_split_sql('enc', ['doc_id'])} s USING (doc_id))
+SELECT sp.doc_id, sp.split, sp.label_type, sp.label_emotion, sp.label_emoji, tk.n_real
+FROM sp JOIN tk USING (doc_id)
+"""
