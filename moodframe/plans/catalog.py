@@ -313,3 +313,352 @@ def training_rows(spark, sf):
     return rows.select("doc_id", "split", *[f"label_{c}" for c in HEAD_COLS],
                        F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
                        .alias("n_real"))
+
+
+# ------------------------------------------------------------ F models
+from moodframe.operators import evaluate as G  # noqa: E402
+from moodframe.operators import models as M  # noqa: E402
+
+ALPHAS = [0.5, 1.0, 2.0]
+
+
+def _split_lab(spark, sf):
+    return cut_lineage(E.train_val_split(_labelled(spark, sf), ["doc_id"]))
+
+
+def _nb(spark, sf, alpha=1.0, ngram=1, sp=None):
+    sp = sp if sp is not None else _split_lab(spark, sf)
+    model = M.train_naive_bayes(sp.where(F.col("split") == "train"), "doc_id", "cleaned_posts",
+                                HEAD_COLS, alpha, ngram)
+    return sp, model
+
+
+def _val_preds(spark, sf, alpha=1.0, ngram=1, sp=None, model=None):
+    if model is None:
+        sp, model = _nb(spark, sf, alpha, ngram, sp)
+    val = sp.where(F.col("split") == "val")
+    scores = M.naive_bayes_scores(val, "doc_id", "cleaned_posts", model)
+    return val, scores, M.argmax_rows(scores, ["doc_id", "head"])
+
+
+def _results(val, preds):
+    """G1: decoded truth and prediction of each head, one row per document."""
+    wide = (preds.groupBy("doc_id").pivot("head", HEAD_COLS).agg(F.first("pred"))
+            .select("doc_id", *[F.col(h).alias(f"pred_{h}") for h in HEAD_COLS]))
+    truth = val.select("doc_id", *[F.col(h).alias(f"true_{h}") for h in HEAD_COLS])
+    return truth.join(wide, "doc_id").select(
+        "doc_id", *[c for h in HEAD_COLS for c in (f"true_{h}", f"pred_{h}")])
+
+
+def _results_df(spark, sf):
+    val, _, preds = _val_preds(spark, sf)
+    return cut_lineage(_results(val.select("doc_id", *HEAD_COLS), preds))
+
+
+def _long(res):
+    return G.results_long(res, [(f"true_{h}", f"pred_{h}") for h in HEAD_COLS], HEAD_COLS)
+
+
+@register
+def train_multi_head(spark, sf):
+    _, m = _nb(spark, sf)
+    return m.class_params.select("head", "class", F.col("n_docs").cast("bigint"), "n_tokens",
+                                 F.round("log_prior", 8).alias("log_prior"),
+                                 F.round("log_denom", 8).alias("log_denom"))
+
+
+@register
+def predict_heads(spark, sf):
+    return _val_preds(spark, sf)[2]
+
+
+@register
+def joint_loss(spark, sf):
+    val, scores, _ = _val_preds(spark, sf)
+    return M.joint_loss(scores, val, "doc_id", HEAD_COLS).select(
+        "head", F.round("loss", 6).alias("loss"))
+
+
+@register
+def select_best_candidate(spark, sf):
+    sp = _split_lab(spark, sf)
+    parts = []
+    for a in ALPHAS:
+        val, scores, _ = _val_preds(spark, sf, alpha=a, sp=sp)
+        loss = M.joint_loss(scores, val, "doc_id", HEAD_COLS).where(F.col("head") == "sum")
+        parts.append(loss.select(F.lit(a).alias("alpha"), F.round("loss", 6).alias("loss")))
+    from functools import reduce as _r
+    return M.select_best_candidate(_r(DataFrame.unionByName, parts), "alpha")
+
+
+def _emb(spark, sf):
+    return table(spark, sf, "embeddings")
+
+
+def _logits(spark, sf):
+    e = _emb(spark, sf)
+    head = M.class_centroids(e, "embedding", "label")
+    return M.linear_head_logits(e, "vec_id", "embedding", head, "label")
+
+
+@register
+def logits_linear_head(spark, sf):
+    lg = _logits(spark, sf)
+    return lg.select("vec_id", F.inline(F.arrays_zip(F.col("labels").alias("label"),
+                                                     F.col("logits").alias("logit")))) \
+        .select("vec_id", F.col("label").cast("bigint").alias("label"),
+                F.round("logit", 5).alias("logit"))
+
+
+@register
+def argmax_class(spark, sf):
+    lg = _logits(spark, sf)
+    return lg.select("vec_id", F.get("labels", M.argmax_array("logits").cast("int"))
+                     .cast("bigint").alias("pred_label"))
+
+
+@register
+def predict_table(spark, sf):
+    sp, model = _nb(spark, sf)
+    scores = M.naive_bayes_scores(sp, "doc_id", "cleaned_posts", model, heads=["type"])
+    pred = M.argmax_rows(scores, ["doc_id"], out_col="predicted_type")
+    return sp.select("doc_id", *HEAD_COLS).join(pred, "doc_id", "left")
+
+
+@register
+def code_lookup_default(spark, sf):
+    lab = _labelled(spark, sf)
+    codes = _codes(lab)
+    val, _, preds = _val_preds(spark, sf)
+    wide = preds.groupBy("doc_id").pivot("head", HEAD_COLS).agg(F.first("pred"))
+    coded = E.encode_labels(wide, codes, prefix="code_")
+    out = coded.select("doc_id", *[f"code_{h}" for h in HEAD_COLS])
+    defaults = {"type": "Unknown", "emotion": "neutral", "emoji": T.EMOJI_MAP["neutral"]}
+    for h in HEAD_COLS:
+        out = E.decode_labels(out, f"code_{h}", codes[h], h).withColumn(
+            h, F.coalesce(F.col(h), F.lit(defaults[h])))
+    return out.select("doc_id", F.col("type").alias("personality"), "emotion", "emoji")
+
+
+@register
+def sequence_pooling(spark, sf):
+    pooled = M.sequence_pooling(_emb(spark, sf), "label", "vec_id", "embedding")
+    return pooled.select(F.col("label").cast("bigint").alias("label"),
+                         F.col("first.vec_id").alias("first_vec_id"),
+                         F.col("last.vec_id").alias("last_vec_id"),
+                         F.posexplode("mean").alias("dim", "mean")) \
+        .select("label", "first_vec_id", "last_vec_id", F.col("dim").cast("bigint"),
+                F.round("mean", 6).alias("mean"))
+
+
+def _metrics(res):
+    avg = G.report_averages(_long(res))
+    acc = avg.where(F.col("avg").isin("accuracy", "micro avg")).select("head", F.col("f1").alias("accuracy"))
+    mac = avg.where(F.col("avg") == "macro avg").select("head", F.col("f1").alias("macro_f1"))
+    return acc.join(mac, "head").select("head", F.round("accuracy", 6).alias("accuracy"),
+                                        F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@register
+def compare_models(spark, sf):
+    sp = _split_lab(spark, sf)
+    tables = {}
+    for name, ng in [("nb_unigram", 1), ("nb_bigram", 2)]:
+        val, _, preds = _val_preds(spark, sf, ngram=ng, sp=sp)
+        tables[name] = _metrics(_results(val.select("doc_id", *HEAD_COLS), preds))
+    return M.compare_models(tables)
+
+
+@register
+def train_logistic_heads(spark, sf):
+    sp = _split_lab(spark, sf)
+    train, val = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "val")
+    models = M.train_logistic_heads(train, "cleaned_posts", HEAD_COLS, num_features=1 << 14,
+                                    max_iter=20)
+    parts = []
+    for h, m in models.items():
+        out = m.transform(val.withColumn("_tokens", E.word_tokens("cleaned_posts")))
+        parts.append(out.agg(F.avg((F.col(f"_p_{h}") == F.col(f"_y_{h}")).cast("double"))
+                             .alias("accuracy")).select(F.lit(h).alias("head"), "accuracy"))
+    from functools import reduce as _r
+    return _r(DataFrame.unionByName, parts)
+
+
+def _model_dir(spark):
+    from moodframe.session import ensure_checkpoint_dir
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/nb-{uuid.uuid4().hex}"
+
+
+@register
+def model_save(spark, sf):
+    sp, model = _nb(spark, sf)
+    path = _model_dir(spark)
+    model.save(path)
+    return spark.read.parquet(f"{path}/class_params").select(
+        "head", "class", F.col("n_docs").cast("bigint"), "n_tokens",
+        F.round("log_prior", 8).alias("log_prior"), F.round("log_denom", 8).alias("log_denom"))
+
+
+@register
+def model_load(spark, sf):
+    sp, model = _nb(spark, sf)
+    path = _model_dir(spark)
+    model.save(path)
+    loaded = M.NaiveBayesModel.load(spark, path)
+    return _val_preds(spark, sf, sp=sp, model=loaded)[2]
+
+
+# --------------------------------------------------------- G evaluation
+@register
+def results_table(spark, sf):
+    return _results_df(spark, sf)
+
+
+@register
+def confusion_matrix(spark, sf):
+    return G.confusion_matrix(_long(_results_df(spark, sf)))
+
+
+def _r6(df, cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register
+def class_report(spark, sf):
+    return _r6(G.class_report(_long(_results_df(spark, sf))), ["precision", "recall", "f1"])
+
+
+@register
+def report_averages(spark, sf):
+    return _r6(G.report_averages(_long(_results_df(spark, sf))), ["precision", "recall", "f1"])
+
+
+@register
+def report_long(spark, sf):
+    return _r6(G.report_long(_long(_results_df(spark, sf))), ["precision", "recall", "f1"])
+
+
+@register
+def type_emotion_relation(spark, sf):
+    rel = G.relation(_results_df(spark, sf), "pred_type", "pred_emotion")
+    return rel.select("pred_type", "pred_emotion", "n", F.round("share", 8).alias("share"))
+
+
+@register
+def type_emoji_relation(spark, sf):
+    rel = G.relation(_results_df(spark, sf), "pred_type", "pred_emoji")
+    return rel.select("pred_type", "pred_emoji", "n", F.round("share", 8).alias("share"))
+
+
+@register
+def relation_filled(spark, sf):
+    labels = sorted(S.DEFAULT_PRIORS)
+    wide = G.relation_filled(_results_df(spark, sf), "pred_type", "pred_emotion", labels)
+    return wide.select("pred_type", *[F.round(F.col(l), 8).alias(l) for l in labels])
+
+
+@register
+def class_distribution_compare(spark, sf):
+    lab = _labelled(spark, sf)
+    labels = None
+    for h in HEAD_COLS:
+        t = E.fit_codes(lab, h).select(F.lit(h).alias("head"), F.col("value").alias("label"))
+        labels = t if labels is None else labels.unionByName(t)
+    return G.class_distribution_compare(_long(_results_df(spark, sf)), labels)
+
+
+@register
+def top_predictions(spark, sf):
+    res = _results_df(spark, sf)
+    a = G.top_predictions(res, "pred_emotion").select(
+        F.lit("pred_emotion").alias("column"), F.col("pred_emotion").alias("value"), "n")
+    b = G.top_predictions(res, "pred_emoji").select(
+        F.lit("pred_emoji").alias("column"), F.col("pred_emoji").alias("value"), "n")
+    return a.unionByName(b)
+
+
+@register
+def prediction_histogram(spark, sf):
+    return G.categorical_histogram(_results_df(spark, sf), "pred_emotion")
+
+
+@register
+def numeric_histogram(spark, sf):
+    h = G.numeric_histogram(table(spark, sf, "events"), "value", 20)
+    return h.select("bin", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"), "n")
+
+
+@register
+def density_curve(spark, sf):
+    d = G.density_curve(table(spark, sf, "events"), "value", 64)
+    return d.select("point", F.round("x", 8).alias("x"), F.round("density", 10).alias("density"))
+
+
+@register
+def crosstab_margins(spark, sf):
+    return G.crosstab_margins(_results_df(spark, sf), "true_emotion", "pred_emotion")
+
+
+@register
+def crosstab_normalised(spark, sf):
+    c = G.crosstab_normalised(_results_df(spark, sf), "true_emotion", "pred_emotion")
+    return c.select("row", "col", F.round("share", 8).alias("share"))
+
+
+@register
+def error_matrix(spark, sf):
+    e = G.error_matrix(G.confusion_matrix(_long(_results_df(spark, sf))))
+    return e.select("head", "y_true", "y_pred", F.round("error", 8).alias("error"))
+
+
+FEATURE_COLS = ["n_chars", "n_words", "n_chunks", "quality", "toxic"]
+
+
+def _features(spark, sf):
+    d = table(spark, sf, "documents")
+    c = T.clean_text("text")
+    feats = d.select("doc_id", "lang", "n_chars",
+                     F.size(T.tokenize_words(c)).cast("bigint").alias("n_words"),
+                     F.size(T.chunk_text(c)).cast("bigint").alias("n_chunks"))
+    return feats.join(table(spark, sf, "labels"), "doc_id", "left")
+
+
+@register
+def correlation_matrix(spark, sf):
+    c = G.correlation_matrix(_features(spark, sf), FEATURE_COLS)
+    return c.select("a", "b", F.round("corr", 8).alias("corr"))
+
+
+def _roc_input(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "n_chars").join(
+        table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+
+
+@register
+def roc_curve(spark, sf):
+    r = G.roc_curve(_roc_input(spark, sf), "n_chars", "toxic")
+    return r.select("threshold", F.round("fpr", 8).alias("fpr"), F.round("tpr", 8).alias("tpr"))
+
+
+@register
+def roc_auc(spark, sf):
+    return G.roc_auc(_roc_input(spark, sf), "n_chars", "toxic").select(
+        F.round("auc", 8).alias("auc"))
+
+
+@register
+def pair_features_by_class(spark, sf):
+    m = G.pair_moments_by_class(_features(spark, sf), "lang", ["n_chars", "n_words", "n_chunks"])
+    return m.select("lang", "a", "b", "n", *[F.round(c, 4).alias(c) for c in
+                                           ["mean_a", "mean_b", "std_a", "std_b", "cov"]])
+
+
+@register
+def pair_bins_by_class(spark, sf):
+    return G.pair_bins_by_class(_features(spark, sf), "lang", "n_chars", "n_words", 10)
+
+
+@register
+def labels_present(spark, sf):
+    return G.labels_present(_long(_results_df(spark, sf)))

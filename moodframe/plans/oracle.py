@@ -217,3 +217,301 @@ sp AS (SELECT enc.*, s.split FROM enc JOIN {_split_sql('enc', ['doc_id'])} s USI
 SELECT sp.doc_id, sp.split, sp.label_type, sp.label_emotion, sp.label_emoji, tk.n_real
 FROM sp JOIN tk USING (doc_id)
 """
+
+
+# ------------------------------------------------------------ F models
+def _feats(x: str, ngram: int) -> str:
+    uni = f"list_filter(string_split(lower({x}), ' '), lambda t: t <> '')"
+    if ngram == 1:
+        return uni
+    return (f"list_concat({uni}, list_transform(range(1, len({uni})), "
+            f"lambda i: ({uni})[i] || ' ' || ({uni})[i + 1]))")
+
+
+def _heads_union(src: str, extra: str) -> str:
+    return " UNION ALL ".join(f"SELECT {extra}'{h}' AS head, {h} AS class FROM {src}" for h in _HEADS)
+
+
+def _nb_ctes(alpha: float = 1.0, ngram: int = 1, sfx: str = "") -> str:
+    """Train on the train split, score the val split (CTE names end in sfx)."""
+    a = f"CAST({alpha!r} AS DOUBLE)"
+    return f"""
+tr_tok{sfx} AS (SELECT doc_id, type, emotion, emoji, unnest({_feats('cleaned_posts', ngram)}) AS token
+           FROM sp WHERE split = 'train'),
+nwc{sfx} AS (SELECT head, class, token, COUNT(*) AS n FROM ({_heads_union(f'tr_tok{sfx}', 'token, ')})
+        WHERE class IS NOT NULL GROUP BY ALL),
+vsize{sfx} AS (SELECT COUNT(DISTINCT token) AS v FROM tr_tok{sfx}),
+ndocs{sfx} AS (SELECT head, class, COUNT(*) AS n_docs FROM (
+          {_heads_union("(SELECT * FROM sp WHERE split = 'train')", '')}) WHERE class IS NOT NULL GROUP BY ALL),
+ntok{sfx} AS (SELECT head, class, SUM(n) AS n_tokens FROM nwc{sfx} GROUP BY ALL),
+cp{sfx} AS (SELECT d.head, d.class, d.n_docs, CAST(COALESCE(t.n_tokens, 0) AS BIGINT) AS n_tokens,
+        ln(d.n_docs / SUM(d.n_docs) OVER (PARTITION BY d.head)) AS log_prior,
+        ln(CAST(COALESCE(t.n_tokens, 0) AS DOUBLE) + {a} * vsize{sfx}.v) - ln({a}) AS log_denom
+      FROM ndocs{sfx} d LEFT JOIN ntok{sfx} t USING (head, class) CROSS JOIN vsize{sfx}),
+tp{sfx} AS (SELECT head, class, token, ln(n + {a}) - ln({a}) AS lw FROM nwc{sfx}),
+va_tok{sfx} AS (SELECT doc_id, token, COUNT(*) AS cnt FROM (
+           SELECT doc_id, unnest({_feats('cleaned_posts', ngram)}) AS token FROM sp WHERE split = 'val')
+           GROUP BY ALL),
+vlen{sfx} AS (SELECT v.doc_id, COALESCE(SUM(CASE WHEN vo.token IS NOT NULL THEN t.cnt END), 0) AS len
+         FROM (SELECT doc_id FROM sp WHERE split = 'val') v
+         LEFT JOIN va_tok{sfx} t USING (doc_id)
+         LEFT JOIN (SELECT DISTINCT token FROM tr_tok{sfx}) vo ON t.token = vo.token GROUP BY v.doc_id),
+matched{sfx} AS (SELECT t.doc_id, p.head, p.class, SUM(t.cnt * p.lw) AS m
+            FROM va_tok{sfx} t JOIN tp{sfx} p USING (token) GROUP BY ALL),
+scores{sfx} AS (SELECT l.doc_id, c.head, c.class,
+                  c.log_prior - l.len * c.log_denom + COALESCE(m.m, 0) AS score
+           FROM vlen{sfx} l CROSS JOIN cp{sfx} c
+           LEFT JOIN matched{sfx} m ON m.doc_id = l.doc_id AND m.head = c.head AND m.class = c.class),
+preds{sfx} AS (SELECT doc_id, head, class AS pred FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, head ORDER BY round(score, 6) DESC, class) AS rn
+            FROM scores{sfx}) WHERE rn = 1),
+probs{sfx} AS (SELECT *, e / SUM(e) OVER (PARTITION BY doc_id, head) AS prob FROM (
+             SELECT *, exp(score - MAX(score) OVER (PARTITION BY doc_id, head)) AS e FROM scores{sfx})),
+loss{sfx} AS (SELECT head, AVG(-ln(greatest(p.prob, 1e-15))) AS loss FROM probs{sfx} p
+         JOIN ({_heads_union("(SELECT * FROM sp WHERE split = 'val')", 'doc_id, ')}) t
+         USING (doc_id, head, class) GROUP BY head),
+results{sfx} AS (SELECT v.doc_id, v.type AS true_type, pt.pred AS pred_type, v.emotion AS true_emotion,
+                   pe.pred AS pred_emotion, v.emoji AS true_emoji, pj.pred AS pred_emoji
+            FROM (SELECT * FROM sp WHERE split = 'val') v
+            JOIN preds{sfx} pt ON pt.doc_id = v.doc_id AND pt.head = 'type'
+            JOIN preds{sfx} pe ON pe.doc_id = v.doc_id AND pe.head = 'emotion'
+            JOIN preds{sfx} pj ON pj.doc_id = v.doc_id AND pj.head = 'emoji')"""
+
+
+_SPLIT_LAB = f"{_LAB}, sp AS (SELECT lab.*, s.split FROM lab JOIN {_split_sql('lab', ['doc_id'])} s USING (doc_id))"
+_NB = f"{_SPLIT_LAB}, {_nb_ctes()}"
+_CP_OUT = ("SELECT head, class, CAST(n_docs AS BIGINT) AS n_docs, n_tokens, round(log_prior, 8) AS log_prior, "
+           "round(log_denom, 8) AS log_denom FROM cp")
+ORACLE["train_multi_head"] = f"{_NB} {_CP_OUT}"
+ORACLE["model_save"] = ORACLE["train_multi_head"]
+ORACLE["predict_heads"] = f"{_NB} SELECT doc_id, head, pred FROM preds"
+ORACLE["model_load"] = ORACLE["predict_heads"]
+ORACLE["joint_loss"] = f"""{_NB}
+SELECT head, round(loss, 6) AS loss FROM loss
+UNION ALL SELECT 'sum', round(SUM(loss), 6) FROM loss
+"""
+ORACLE["select_best_candidate"] = f"""{_SPLIT_LAB}, {",".join(_nb_ctes(a, 1, f"_{i}") for i, a in enumerate([0.5, 1.0, 2.0]))},
+c AS ({" UNION ALL ".join(f"SELECT CAST({a!r} AS DOUBLE) AS alpha, round(SUM(loss), 6) AS loss FROM loss_{i}"
+                          for i, a in enumerate([0.5, 1.0, 2.0]))})
+SELECT alpha, loss, alpha = (SELECT alpha FROM c ORDER BY loss, alpha LIMIT 1) AS is_best FROM c
+"""
+_HEAD_PARAMS = """
+ex AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS pos FROM embeddings),
+cen AS (SELECT label, pos, round(AVG(CAST(x AS DOUBLE)), 6) AS w FROM ex GROUP BY ALL),
+bias AS (SELECT label, -0.5 * SUM(w * w) AS b FROM cen GROUP BY label),
+logit AS (SELECT e.vec_id, c.label, SUM(CAST(e.x AS DOUBLE) * c.w) + b.b AS logit
+          FROM ex e JOIN cen c USING (pos) JOIN bias b ON b.label = c.label GROUP BY e.vec_id, c.label, b.b)"""
+ORACLE["logits_linear_head"] = (f"WITH {_HEAD_PARAMS} SELECT vec_id, CAST(label AS BIGINT) AS label, "
+                                f"round(logit, 5) AS logit FROM logit")
+ORACLE["argmax_class"] = f"""WITH {_HEAD_PARAMS}
+SELECT vec_id, CAST(label AS BIGINT) AS pred_label FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, label) AS rn FROM logit) WHERE rn = 1
+"""
+ORACLE["predict_table"] = f"""{_SPLIT_LAB}, {_nb_ctes()},
+all_tok AS (SELECT doc_id, token, COUNT(*) AS cnt FROM (
+            SELECT doc_id, unnest({_feats('cleaned_posts', 1)}) AS token FROM sp) GROUP BY ALL),
+alen AS (SELECT d.doc_id, COALESCE(SUM(CASE WHEN vo.token IS NOT NULL THEN t.cnt END), 0) AS len
+         FROM sp d LEFT JOIN all_tok t USING (doc_id)
+         LEFT JOIN (SELECT DISTINCT token FROM tr_tok) vo ON t.token = vo.token GROUP BY d.doc_id),
+am AS (SELECT t.doc_id, p.class, SUM(t.cnt * p.lw) AS m FROM all_tok t
+       JOIN (SELECT * FROM tp WHERE head = 'type') p USING (token) GROUP BY ALL),
+asc_ AS (SELECT l.doc_id, c.class, c.log_prior - l.len * c.log_denom + COALESCE(m.m, 0) AS score
+         FROM alen l CROSS JOIN (SELECT * FROM cp WHERE head = 'type') c
+         LEFT JOIN am m ON m.doc_id = l.doc_id AND m.class = c.class),
+ap AS (SELECT doc_id, class AS predicted_type FROM (
+       SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, class) AS rn FROM asc_)
+       WHERE rn = 1)
+SELECT sp.doc_id, sp.type, sp.emotion, sp.emoji, ap.predicted_type FROM sp LEFT JOIN ap USING (doc_id)
+"""
+ORACLE["code_lookup_default"] = f"""{_SPLIT_LAB}, {_CODES}, {_nb_ctes()},
+pc AS (SELECT p.doc_id, p.head, c.code FROM preds p
+       LEFT JOIN (SELECT 'type' AS head, * FROM codes_type UNION ALL SELECT 'emotion', * FROM codes_emotion
+                  UNION ALL SELECT 'emoji', * FROM codes_emoji) c ON c.head = p.head AND c.value = p.pred)
+SELECT d.doc_id,
+  COALESCE((SELECT value FROM codes_type WHERE code = t.code), 'Unknown') AS personality,
+  COALESCE((SELECT value FROM codes_emotion WHERE code = e.code), 'neutral') AS emotion,
+  COALESCE((SELECT value FROM codes_emoji WHERE code = j.code), {P.q(P.EMOJI_MAP['neutral'])}) AS emoji
+FROM (SELECT DISTINCT doc_id FROM pc) d
+JOIN pc t ON t.doc_id = d.doc_id AND t.head = 'type'
+JOIN pc e ON e.doc_id = d.doc_id AND e.head = 'emotion'
+JOIN pc j ON j.doc_id = d.doc_id AND j.head = 'emoji'
+"""
+ORACLE["sequence_pooling"] = """
+WITH ends AS (SELECT label, MIN(vec_id) AS first_vec_id, MAX(vec_id) AS last_vec_id FROM embeddings GROUP BY label),
+ex AS (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS dim FROM embeddings),
+mn AS (SELECT label, dim, AVG(CAST(x AS DOUBLE)) AS mean FROM ex GROUP BY ALL)
+SELECT CAST(label AS BIGINT) AS label, first_vec_id, last_vec_id, CAST(dim AS BIGINT) AS dim,
+       round(mean, 6) AS mean FROM mn JOIN ends USING (label)
+"""
+
+# --------------------------------------------------------- G evaluation
+_LONG = """long AS (SELECT 'type' AS head, true_type AS y_true, pred_type AS y_pred FROM results
+  UNION ALL SELECT 'emotion', true_emotion, pred_emotion FROM results
+  UNION ALL SELECT 'emoji', true_emoji, pred_emoji FROM results)"""
+_REPORT = f"""{_LONG},
+cm_counts AS (SELECT head, y_true, y_pred, COUNT(*) AS n FROM long GROUP BY ALL),
+labs AS (SELECT DISTINCT head, l FROM (SELECT head, y_true AS l FROM long UNION ALL SELECT head, y_pred FROM long)
+         WHERE l IS NOT NULL),
+cm AS (SELECT a.head, a.l AS y_true, b.l AS y_pred, CAST(COALESCE(c.n, 0) AS BIGINT) AS n
+       FROM labs a JOIN labs b ON a.head = b.head
+       LEFT JOIN cm_counts c ON c.head = a.head AND c.y_true = a.l AND c.y_pred = b.l),
+pcc AS (SELECT t.head, t.label, t.tp, t.support, COALESCE(p.n_pred, 0) AS n_pred FROM
+          (SELECT head, y_true AS label, COUNT(*) AS support, SUM(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS tp
+           FROM long WHERE y_true IS NOT NULL GROUP BY ALL) t
+        LEFT JOIN (SELECT head, y_pred AS label, COUNT(*) AS n_pred FROM long WHERE y_pred IS NOT NULL GROUP BY ALL) p
+        USING (head, label)),
+rep AS (SELECT head, label,
+          CASE WHEN n_pred = 0 THEN 0.0 ELSE tp / n_pred END AS precision,
+          CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+          CASE WHEN support + n_pred = 0 THEN 0.0 ELSE 2 * tp / (support + n_pred) END AS f1,
+          CAST(support AS BIGINT) AS support FROM pcc),
+hd AS (SELECT head, COUNT(*) AS n, SUM(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS n_ok,
+          SUM(CASE WHEN y_pred IS NOT NULL AND y_pred NOT IN (SELECT y_true FROM long l2
+              WHERE l2.head = long.head AND l2.y_true IS NOT NULL) THEN 1 ELSE 0 END) AS n_out
+       FROM long GROUP BY head),
+mic AS (SELECT head, SUM(tp) AS tp, SUM(n_pred) AS np, SUM(support) AS ns FROM pcc GROUP BY head),
+avgs AS (
+  SELECT hd.head, CASE WHEN n_out = 0 THEN 'accuracy' ELSE 'micro avg' END AS avg,
+    CASE WHEN n_out = 0 THEN NULL ELSE (CASE WHEN np = 0 THEN 0.0 ELSE tp / np END) END AS precision,
+    CASE WHEN n_out = 0 THEN NULL ELSE (CASE WHEN ns = 0 THEN 0.0 ELSE tp / ns END) END AS recall,
+    CASE WHEN n_out = 0 THEN n_ok / n ELSE (CASE WHEN np + ns = 0 THEN 0.0 ELSE 2 * tp / (np + ns) END) END AS f1,
+    CAST(ns AS BIGINT) AS support
+  FROM hd JOIN mic USING (head)
+  UNION ALL
+  SELECT head, 'macro avg', AVG(precision), AVG(recall), AVG(f1), CAST(SUM(support) AS BIGINT) FROM rep GROUP BY head
+  UNION ALL
+  SELECT head, 'weighted avg', SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
+         SUM(f1 * support) / SUM(support), CAST(SUM(support) AS BIGINT) FROM rep GROUP BY head)"""
+_G = f"{_NB}, {_REPORT}"
+
+
+def _r6(cols: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in cols.split(","))
+
+
+ORACLE["results_table"] = f"{_NB} SELECT * FROM results"
+ORACLE["confusion_matrix"] = f"{_G} SELECT * FROM cm"
+ORACLE["class_report"] = f"{_G} SELECT head, label, {_r6('precision,recall,f1')}, support FROM rep"
+ORACLE["report_averages"] = f"{_G} SELECT head, avg, {_r6('precision,recall,f1')}, support FROM avgs"
+ORACLE["report_long"] = f"""{_G}
+SELECT head, label AS row, {_r6('precision,recall,f1')}, support FROM rep
+UNION ALL SELECT head, avg AS row, {_r6('precision,recall,f1')}, support FROM avgs
+"""
+
+
+def _relation_sql(a: str, b: str) -> str:
+    return f"""rel AS (SELECT {a}, {b}, COUNT(*) AS n, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY {a}) AS share
+       FROM results WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b})"""
+
+
+ORACLE["type_emotion_relation"] = (f"{_NB}, {_relation_sql('pred_type', 'pred_emotion')} "
+                                   f"SELECT pred_type, pred_emotion, n, round(share, 8) AS share FROM rel")
+ORACLE["type_emoji_relation"] = (f"{_NB}, {_relation_sql('pred_type', 'pred_emoji')} "
+                                 f"SELECT pred_type, pred_emoji, n, round(share, 8) AS share FROM rel")
+ORACLE["relation_filled"] = f"""{_NB}, {_relation_sql('pred_type', 'pred_emotion')}
+SELECT pred_type, {", ".join(f"round(COALESCE(MAX(CASE WHEN pred_emotion = {P.q(l)} THEN share END), 0.0), 8) AS {l}"
+                             for l in P.LABELS)}
+FROM rel GROUP BY pred_type
+"""
+ORACLE["class_distribution_compare"] = f"""{_G}, {_CODES},
+lt AS (SELECT 'type' AS head, value AS label FROM codes_type UNION ALL SELECT 'emotion', value FROM codes_emotion
+       UNION ALL SELECT 'emoji', value FROM codes_emoji),
+t AS (SELECT head, y_true AS label, COUNT(*) AS n FROM long GROUP BY ALL),
+p AS (SELECT head, y_pred AS label, COUNT(*) AS n FROM long GROUP BY ALL)
+SELECT lt.head, lt.label, CAST(COALESCE(t.n, 0) AS BIGINT) AS n_true, CAST(COALESCE(p.n, 0) AS BIGINT) AS n_pred
+FROM lt LEFT JOIN t USING (head, label) LEFT JOIN p USING (head, label)
+"""
+ORACLE["top_predictions"] = f"""{_NB}
+SELECT * FROM (SELECT 'pred_emotion' AS column, pred_emotion AS value, COUNT(*) AS n FROM results
+               WHERE pred_emotion IS NOT NULL GROUP BY ALL ORDER BY n DESC, value LIMIT 10)
+UNION ALL
+SELECT * FROM (SELECT 'pred_emoji' AS column, pred_emoji AS value, COUNT(*) AS n FROM results
+               WHERE pred_emoji IS NOT NULL GROUP BY ALL ORDER BY n DESC, value LIMIT 10)
+"""
+ORACLE["prediction_histogram"] = f"{_NB} SELECT pred_emotion, COUNT(*) AS n FROM results GROUP BY ALL"
+ORACLE["numeric_histogram"] = """
+WITH st AS (SELECT MIN(value) AS lo, MAX(value) AS hi, (MAX(value) - MIN(value)) / 20 AS w FROM events),
+b AS (SELECT CAST(least(floor((value - st.lo) / st.w), 19) AS BIGINT) AS bin, COUNT(*) AS n
+      FROM events, st WHERE value IS NOT NULL GROUP BY ALL)
+SELECT g.bin, round(st.lo + g.bin * st.w, 8) AS lo, round(st.lo + (g.bin + 1) * st.w, 8) AS hi,
+       CAST(COALESCE(b.n, 0) AS BIGINT) AS n
+FROM (SELECT range AS bin FROM range(0, 20)) g CROSS JOIN st LEFT JOIN b USING (bin)
+"""
+ORACLE["density_curve"] = """
+WITH st AS (SELECT MIN(value) AS lo, MAX(value) AS hi, stddev_samp(value) AS s, COUNT(value) AS n FROM events),
+p AS (SELECT st.*, s * pow(n, -0.2) AS h, (hi - lo) / 63 AS step FROM st),
+g AS (SELECT range AS point, p.lo + range * p.step AS x, p.h, p.n FROM range(0, 64), p)
+SELECT CAST(g.point AS BIGINT) AS point, round(g.x, 8) AS x,
+       round(SUM(exp(-0.5 * pow((g.x - e.value) / g.h, 2))) / (g.n * g.h * sqrt(2 * pi())), 10) AS density
+FROM g, events e WHERE e.value IS NOT NULL GROUP BY g.point, g.x, g.h, g.n
+"""
+_CT = """ct AS (SELECT COALESCE(true_emotion, 'All') AS row, COALESCE(pred_emotion, 'All') AS col, COUNT(*) AS n
+  FROM results GROUP BY CUBE (true_emotion, pred_emotion))"""
+ORACLE["crosstab_margins"] = f"{_NB}, {_CT} SELECT row, col, CAST(n AS BIGINT) AS n FROM ct"
+ORACLE["crosstab_normalised"] = f"""{_NB}, {_CT}
+SELECT c.row, c.col, round(c.n / t.n, 8) AS share FROM ct c JOIN (SELECT row, n FROM ct WHERE col = 'All') t
+USING (row) WHERE c.col <> 'All'
+"""
+ORACLE["error_matrix"] = f"""{_G}
+SELECT head, y_true, y_pred, round(1.0 - n / NULLIF(SUM(n) OVER (PARTITION BY head, y_true), 0), 8) AS error FROM cm
+"""
+_FEATS = f"""feats AS (
+  SELECT d.doc_id, d.lang, d.n_chars,
+         CAST(len({P.tokens(P.clean('d.text'))}) AS BIGINT) AS n_words,
+         CAST(len({P.chunks(P.clean('d.text'))}) AS BIGINT) AS n_chunks, l.quality, l.toxic
+  FROM documents d LEFT JOIN labels l USING (doc_id))"""
+_FC = ["n_chars", "n_words", "n_chunks", "quality", "toxic"]
+ORACLE["correlation_matrix"] = f"WITH {_FEATS} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 8) AS corr FROM feats"
+    for i, a in enumerate(_FC) for b in _FC[i:])
+_ROC = """roc_in AS (SELECT d.n_chars AS s, l.toxic AS y FROM documents d JOIN labels l USING (doc_id)
+                     WHERE d.n_chars IS NOT NULL AND l.toxic IS NOT NULL),
+pts AS (SELECT CAST(s AS DOUBLE) AS threshold, SUM(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos,
+               SUM(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS neg FROM roc_in GROUP BY 1),
+cum AS (SELECT *, SUM(pos) OVER (ORDER BY threshold DESC) AS cum_pos,
+               SUM(neg) OVER (ORDER BY threshold DESC) AS cum_neg FROM pts)"""
+ORACLE["roc_curve"] = f"""WITH {_ROC}
+SELECT NULL::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL
+SELECT threshold, round(cum_neg / (SELECT SUM(neg) FROM pts), 8), round(cum_pos / (SELECT SUM(pos) FROM pts), 8)
+FROM cum
+"""
+ORACLE["roc_auc"] = f"""WITH {_ROC}
+SELECT round(SUM(neg * (cum_pos - pos + pos / 2.0)) / (SUM(pos) * SUM(neg)), 8) AS auc FROM cum
+"""
+_PC = ["n_chars", "n_words", "n_chunks"]
+ORACLE["pair_features_by_class"] = f"WITH {_FEATS} " + " UNION ALL ".join(
+    f"""SELECT lang, '{a}' AS a, '{b}' AS b, CAST(COUNT(*) AS BIGINT) AS n,
+    round(AVG(CAST({a} AS DOUBLE)), 4) AS mean_a, round(AVG(CAST({b} AS DOUBLE)), 4) AS mean_b,
+    round(stddev_samp(CAST({a} AS DOUBLE)), 4) AS std_a, round(stddev_samp(CAST({b} AS DOUBLE)), 4) AS std_b,
+    round(covar_samp(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 4) AS cov
+    FROM feats WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY lang"""
+    for i, a in enumerate(_PC) for b in _PC[i + 1:])
+ORACLE["pair_bins_by_class"] = f"""WITH {_FEATS},
+st AS (SELECT MIN(n_chars) AS alo, MAX(n_chars) AS ahi, MIN(n_words) AS blo, MAX(n_words) AS bhi FROM feats)
+SELECT lang, CAST(least(floor((n_chars - alo) / ((ahi - alo) / 10)), 9) AS BIGINT) AS bin_a,
+       CAST(least(floor((n_words - blo) / ((bhi - blo) / 10)), 9) AS BIGINT) AS bin_b, COUNT(*) AS n
+FROM feats, st WHERE n_chars IS NOT NULL AND n_words IS NOT NULL GROUP BY ALL
+"""
+ORACLE["labels_present"] = f"""{_NB}, {_LONG}
+SELECT head, label, row_number() OVER (PARTITION BY head ORDER BY label) - 1 AS ordinal
+FROM (SELECT DISTINCT head, y_true AS label FROM long WHERE y_true IS NOT NULL)
+"""
+
+ORACLE["compare_models"] = f"""{_SPLIT_LAB}, {_nb_ctes(1.0, 1, "")}, {_nb_ctes(1.0, 2, "_bi")},
+""" + ",\n".join(f"""{_LONG.replace("long AS", f"long{x} AS").replace("FROM results", f"FROM results{x}")},
+rep{x} AS (SELECT head, label, CASE WHEN support + n_pred = 0 THEN 0.0 ELSE 2 * tp / (support + n_pred) END AS f1
+  FROM (SELECT t.head, t.label, t.tp, t.support, COALESCE(p.n_pred, 0) AS n_pred FROM
+          (SELECT head, y_true AS label, COUNT(*) AS support, SUM(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS tp
+           FROM long{x} WHERE y_true IS NOT NULL GROUP BY ALL) t
+        LEFT JOIN (SELECT head, y_pred AS label, COUNT(*) AS n_pred FROM long{x} WHERE y_pred IS NOT NULL GROUP BY ALL) p
+        USING (head, label))),
+m{x} AS (SELECT '{name}' AS model, a.head, round(a.acc, 6) AS accuracy, round(r.mf, 6) AS macro_f1 FROM
+  (SELECT head, CASE WHEN SUM(CASE WHEN y_pred IS NOT NULL AND y_pred NOT IN (SELECT y_true FROM long{x} l2
+              WHERE l2.head = long{x}.head AND l2.y_true IS NOT NULL) THEN 1 ELSE 0 END) = 0
+          THEN SUM(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) / COUNT(*) ELSE NULL END AS acc
+   FROM long{x} GROUP BY head) a JOIN (SELECT head, AVG(f1) AS mf FROM rep{x} GROUP BY head) r USING (head))"""
+    for x, name in [("", "nb_unigram"), ("_bi", "nb_bigram")]) + """
+SELECT *, rank() OVER (PARTITION BY head ORDER BY macro_f1 DESC) AS rank FROM (
+  SELECT * FROM m UNION ALL SELECT * FROM m_bi)
+"""
