@@ -662,3 +662,145 @@ def pair_bins_by_class(spark, sf):
 @register
 def labels_present(spark, sf):
     return G.labels_present(_long(_results_df(spark, sf)))
+
+
+# ------------------------------------------------------- H conversations
+from moodframe.operators import conversation as C  # noqa: E402
+
+
+def _turns(spark, sf):
+    return C.conversation_turns(table(spark, sf, "conversations"))
+
+
+def _kept(spark, sf):
+    return C.conversation_cut(_turns(spark, sf))
+
+
+@register
+def conversation_turns(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", "role", "text")
+
+
+@register
+def exit_detect(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", "role", C.is_exit().alias("is_exit"))
+
+
+@register
+def conversation_cut(spark, sf):
+    return _kept(spark, sf).select("conv_id", "turn", "role", "text", "ended")
+
+
+@register
+def conversation_text(spark, sf):
+    return C.conversation_text(_kept(spark, sf))
+
+
+@register
+def prompt_text(spark, sf):
+    return C.conversation_text(_kept(spark, sf), sep="\n").select(
+        "conv_id", F.col("text").alias("prompt"))
+
+
+@register
+def last_turn_prompt(spark, sf):
+    return C.last_turn_prompt(_kept(spark, sf))
+
+
+@register
+def role_prefixed_transcript(spark, sf):
+    return C.role_prefixed_transcript(_kept(spark, sf))
+
+
+def _segments(spark, sf):
+    return C.segment_emotions(_kept(spark, sf), S.LexiconScorer(fx.lexicon(spark)))
+
+
+@register
+def segment_emotions(spark, sf):
+    return _segments(spark, sf).select("conv_id", "turn", "emotion", "emoji")
+
+
+@register
+def emotion_frequency(spark, sf):
+    return C.emotion_frequency(_segments(spark, sf))
+
+
+@register
+def dominant_emotion(spark, sf):
+    return C.dominant_emotion(C.emotion_frequency(_segments(spark, sf)))
+
+
+@register
+def conversation_summary(spark, sf):
+    _, model = _nb(spark, sf)
+    return C.conversation_summary(_kept(spark, sf), S.LexiconScorer(fx.lexicon(spark)), model)
+
+
+def _scratch(spark, name):
+    import uuid
+    from moodframe.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _land_in_batches(df, path, key_cols, n_batches=5):
+    """Write a table as ``n_batches`` appends, rows scattered by a seeded hash
+    of their key, so one conversation's turns arrive over several batches
+    and out of turn order."""
+    from moodframe.functions.hashing import md5int
+    b = df.withColumn("_b", F.pmod(md5int(F.lit("batch"), *key_cols), F.lit(n_batches)))
+    for i in range(n_batches):
+        b.where(F.col("_b") == i).drop("_b").write.mode("append").parquet(path)
+
+
+@register
+def stream_conversation_summary(spark, sf):
+    from moodframe.streaming.conversations import run_conversation_stream
+    src = _scratch(spark, "conv-landing")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    _land_in_batches(turns, src, ["conv_id", "turn"])
+    return run_conversation_stream(spark, src, "conv_id bigint, turn bigint, role string, text string",
+                                   files_per_batch=2)
+
+
+@register
+def stream_enrich_posts(spark, sf):
+    from moodframe.streaming.posts import run_enrich_stream
+    src = _scratch(spark, "posts-landing")
+    _land_in_batches(fx.posts_v(spark, sf), src, ["doc_id"], 4)
+    from moodframe.sources.io import POSTS_SCHEMA
+    return run_enrich_stream(spark, src, POSTS_SCHEMA, S.LexiconScorer(fx.lexicon(spark)),
+                             files_per_batch=2)
+
+
+# ----------------------------------------------------- A sources / sinks
+from moodframe.sources import io as IO  # noqa: E402
+
+
+@register
+def read_posts_csv(spark, sf):
+    path = _scratch(spark, "posts-csv")
+    IO.write_csv(fx.posts_v(spark, sf), path)
+    return IO.read_posts_csv(spark, path)
+
+
+@register
+def write_enriched(spark, sf):
+    e = enriched(spark, sf).select("doc_id", "type", "lang", "posts", "n_chars", "cleaned_posts",
+                                   "emotion", "emoji")
+    base = _scratch(spark, "enriched")
+    e = cut_lineage(e)
+    IO.write_parquet(e, f"{base}/parquet")
+    IO.write_csv(e, f"{base}/csv")
+    cols = ["doc_id", "type", "emotion", "emoji", "cleaned_posts"]
+    pq = IO.table_checksum(IO.read_parquet(spark, f"{base}/parquet"), cols)
+    cs = IO.table_checksum(spark.read.schema(IO.ENRICHED_SCHEMA).option("header", "true")
+                           .option("multiLine", "true").option("escape", '"')
+                           .csv(f"{base}/csv"), cols)
+    return (pq.select(F.lit("parquet").alias("format"), "*")
+            .unionByName(cs.select(F.lit("csv").alias("format"), "*")))
+
+
+@register
+def preview_head(spark, sf):
+    return IO.preview_head(enriched(spark, sf), ["doc_id", "type", "emotion", "emoji"], "doc_id")

@@ -515,3 +515,77 @@ m{x} AS (SELECT '{name}' AS model, a.head, round(a.acc, 6) AS accuracy, round(r.
 SELECT *, rank() OVER (PARTITION BY head ORDER BY macro_f1 DESC) AS rank FROM (
   SELECT * FROM m UNION ALL SELECT * FROM m_bi)
 """
+
+
+# ------------------------------------------------------- H conversations
+_CONV = """turns AS (SELECT * FROM conversations WHERE role IS NULL OR role <> 'system'),
+flag AS (SELECT *, role = 'user' AND COALESCE(regexp_matches(lower(text), 'bye|end|quit|exit|goodbye'), false)
+         AS is_exit FROM turns),
+cuts AS (SELECT conv_id, MIN(CASE WHEN is_exit THEN turn END) AS cut FROM flag GROUP BY conv_id),
+kept AS (SELECT f.conv_id, f.turn, f.role, f.text, c.cut IS NOT NULL AS ended
+         FROM flag f JOIN cuts c USING (conv_id) WHERE c.cut IS NULL OR f.turn < c.cut)"""
+ORACLE["conversation_turns"] = f"WITH {_CONV} SELECT conv_id, turn, role, text FROM turns"
+ORACLE["exit_detect"] = f"WITH {_CONV} SELECT conv_id, turn, role, is_exit FROM flag"
+ORACLE["conversation_cut"] = f"WITH {_CONV} SELECT * FROM kept"
+ORACLE["conversation_text"] = (f"WITH {_CONV} SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, "
+                               f"CAST(COUNT(*) AS BIGINT) AS n_turns FROM kept GROUP BY conv_id")
+ORACLE["prompt_text"] = (f"WITH {_CONV} SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS prompt "
+                         f"FROM kept GROUP BY conv_id")
+ORACLE["last_turn_prompt"] = (f"WITH {_CONV} SELECT conv_id, MAX(turn) AS turn, arg_max(text, turn) AS prompt "
+                              f"FROM kept WHERE role = 'user' GROUP BY conv_id")
+ORACLE["role_prefixed_transcript"] = f"""WITH {_CONV}
+SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'You: ' ELSE 'Bot: ' END || COALESCE(text, ''),
+                           chr(10) ORDER BY turn) AS transcript FROM kept GROUP BY conv_id
+"""
+_SEG = f"WITH {_CONV}, {P.score_ctes('s_', 'kept', ['conv_id', 'turn'], 'text')}"
+_FREQ = """freq AS (SELECT conv_id, emotion, CAST(COUNT(*) AS BIGINT) AS n, MIN(turn) AS first_turn
+         FROM s_enriched WHERE emotion IS NOT NULL GROUP BY ALL),
+dom AS (SELECT conv_id, emotion AS dominant_emotion FROM (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first_turn) AS rn FROM freq)
+        WHERE rn = 1)"""
+ORACLE["segment_emotions"] = f"{_SEG} SELECT conv_id, turn, emotion, emoji FROM s_enriched"
+ORACLE["emotion_frequency"] = f"{_SEG}, {_FREQ} SELECT * FROM freq"
+ORACLE["dominant_emotion"] = (f"{_SEG}, {_FREQ} SELECT conv_id, dominant_emotion, "
+                              f"{P.emoji('dominant_emotion')} AS emoji FROM dom")
+ORACLE["conversation_summary"] = f"""{_SPLIT_LAB}, {_nb_ctes()}, {_CONV},
+{P.score_ctes('s_', 'kept', ['conv_id', 'turn'], 'text')}, {_FREQ},
+ctok AS (SELECT conv_id, token, COUNT(*) AS cnt FROM (
+         SELECT conv_id, unnest({_feats(P.clean('text'), 1)}) AS token FROM kept) GROUP BY ALL),
+clen AS (SELECT k.conv_id, COALESCE(SUM(CASE WHEN vo.token IS NOT NULL THEN t.cnt END), 0) AS len
+         FROM (SELECT DISTINCT conv_id FROM kept) k LEFT JOIN ctok t USING (conv_id)
+         LEFT JOIN (SELECT DISTINCT token FROM tr_tok) vo ON t.token = vo.token GROUP BY k.conv_id),
+cmt AS (SELECT t.conv_id, p.class, SUM(t.cnt * p.lw) AS m FROM ctok t
+        JOIN (SELECT * FROM tp WHERE head = 'type') p USING (token) GROUP BY ALL),
+cs AS (SELECT l.conv_id, c.class, c.log_prior - l.len * c.log_denom + COALESCE(m.m, 0) AS score
+       FROM clen l CROSS JOIN (SELECT * FROM cp WHERE head = 'type') c
+       LEFT JOIN cmt m ON m.conv_id = l.conv_id AND m.class = c.class),
+pers AS (SELECT conv_id, class AS personality FROM (
+         SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 6) DESC, class) AS rn FROM cs)
+         WHERE rn = 1)
+SELECT pers.conv_id, pers.personality, dom.dominant_emotion,
+       {P.emoji('dom.dominant_emotion')} AS emoji FROM pers LEFT JOIN dom USING (conv_id)
+"""
+ORACLE["stream_conversation_summary"] = f"""WITH {_CONV}
+SELECT t.conv_id, t.n_seen, c.cut IS NOT NULL AS ended, CAST(COALESCE(k.n_kept, 0) AS BIGINT) AS n_kept,
+       COALESCE(k.text, '') AS text
+FROM (SELECT conv_id, CAST(COUNT(*) AS BIGINT) AS n_seen FROM turns GROUP BY conv_id) t
+JOIN cuts c USING (conv_id)
+LEFT JOIN (SELECT conv_id, COUNT(*) AS n_kept, string_agg(text, ' ' ORDER BY turn) AS text
+           FROM kept GROUP BY conv_id) k USING (conv_id)
+"""
+ORACLE["stream_enrich_posts"] = ORACLE["enrich_posts"]
+
+# ----------------------------------------------------- A sources / sinks
+ORACLE["read_posts_csv"] = P.POSTS_V
+
+
+def _checksum_sql(src: str, cols: list[str]) -> str:
+    key = " || '|' || ".join(f"COALESCE(CAST({c} AS VARCHAR), '∅')" for c in cols)
+    return (f"SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, "
+            f"CAST(SUM(CAST(('0x' || substr(md5({key}), 1, 7)) AS BIGINT)) AS BIGINT) AS checksum FROM {src}")
+
+
+_CK = ["doc_id", "type", "emotion", "emoji", "cleaned_posts"]
+ORACLE["write_enriched"] = (f"{_E} SELECT 'parquet' AS format, * FROM ({_checksum_sql('enriched', _CK)}) "
+                            f"UNION ALL SELECT 'csv', * FROM ({_checksum_sql('enriched', _CK)})")
+ORACLE["preview_head"] = f"{_E} SELECT doc_id, type, emotion, emoji FROM enriched ORDER BY doc_id LIMIT 5"

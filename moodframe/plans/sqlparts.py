@@ -97,3 +97,30 @@ assigned AS (SELECT doc_id, label AS emotion FROM (
 enriched AS (SELECT c.*, a.emotion, {emoji('a.emotion')} AS emoji
              FROM cleaned c LEFT JOIN assigned a USING (doc_id))
 """
+
+
+def score_ctes(p: str, src: str, keys: list[str], text: str) -> str:
+    """The enrich plan for any keyed text table; CTE names start with ``p``;
+    the last one, ``{p}enriched``, holds ``keys, cleaned, emotion, emoji``."""
+    k = ", ".join(keys)
+    return f"""
+{p}cl AS (SELECT {k}, {clean(text)} AS cleaned FROM {src}),
+{p}chl AS (SELECT {k}, {chunks('cleaned')} AS cl FROM {p}cl),
+{p}ch AS (SELECT {k}, CAST(unnest(range(0, len(cl))) AS BIGINT) AS chunk_idx, unnest(cl) AS chunk FROM {p}chl),
+{p}tok AS (SELECT {k}, chunk_idx, lower(unnest(string_split(chunk, ' '))) AS word FROM {p}ch),
+{p}hits AS (SELECT {", ".join("t." + c for c in keys)}, t.chunk_idx, l.label, SUM(l.weight) AS h
+            FROM {p}tok t LEFT JOIN {LEXICON_V} l ON t.word = l.word GROUP BY ALL),
+{p}htot AS (SELECT {k}, chunk_idx, COALESCE(SUM(h), 0.0) AS h_total FROM {p}hits GROUP BY ALL),
+{p}cand AS (SELECT c.*, pr.label, COALESCE(h.h, 0.0) + pr.prior AS v FROM {p}htot c CROSS JOIN {PRIORS_V} pr
+            LEFT JOIN {p}hits h ON {" AND ".join(f"h.{c} = c.{c}" for c in keys)}
+                 AND h.chunk_idx = c.chunk_idx AND h.label = pr.label),
+{p}scored AS (SELECT {k}, chunk_idx, label, v / (h_total + {TOTAL_PRIOR}) AS score FROM (
+              SELECT *, row_number() OVER (PARTITION BY {k}, chunk_idx ORDER BY v DESC, label) AS rn
+              FROM {p}cand) WHERE rn = 1),
+{p}means AS (SELECT {k}, label, SUM(score) / COUNT(*) AS mean_score, MIN(chunk_idx) AS first_idx
+             FROM {p}scored GROUP BY ALL),
+{p}assigned AS (SELECT {k}, label AS emotion FROM (
+                SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY round(mean_score, 9) DESC, first_idx)
+                AS rn FROM {p}means) WHERE rn = 1),
+{p}enriched AS (SELECT c.*, a.emotion, {emoji('a.emotion')} AS emoji
+                FROM {p}cl c LEFT JOIN {p}assigned a USING ({k}))"""
