@@ -8,7 +8,6 @@ filter) and are left out of balanced outputs.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -87,21 +86,11 @@ def oversample(df: DataFrame, class_col: str, key_cols: list[str], target: int |
             F.lit(1).cast("bigint"),
             F.ceil(F.col("_t") / (F.col("n_c") * F.lit(SALT_TARGET))).cast("bigint"))))
     sizes = broadcast_if_small(sizes)
-    n_blocks = F.ceil(F.col("_t") / F.lit(DRAW_BLOCK)).cast("bigint")
-    blocks = (sizes.where(F.col("_t") > 0)
-              .select(class_col, "n_c", "_t", "_salt",
-                      F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)).alias("_blk"))
-              .repartition(class_col, "_blk"))
-    lo = F.col("_blk") * DRAW_BLOCK
-    hi = F.least(lo + DRAW_BLOCK, F.col("_t")) - 1
-    draws = (blocks.select(class_col, "n_c", "_salt", F.explode(F.sequence(lo, hi)).alias(draw_col))
-             .select(class_col, draw_col,
-                     F.pmod(md5int(F.col(class_col), F.col(draw_col), seed=seed),
-                            F.col("n_c")).alias("_idx"),
-                     F.pmod(F.col(draw_col), F.col("_salt")).alias("_s")))
-    rows = (indexed.join(sizes.select(class_col, "_salt"), class_col)
-            .withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salt") - 1)))
-            .drop("_salt"))
+    draws = _draw_rows(sizes, class_col, "_t", draw_col).select(
+        class_col, draw_col,
+        F.pmod(md5int(F.col(class_col), F.col(draw_col), seed=seed), F.col("n_c")).alias("_idx"),
+        F.pmod(F.col(draw_col), F.col("_salt")).alias("_s"))
+    rows = _salted_rows(indexed, sizes, class_col)
     return draws.join(rows, [class_col, "_idx", "_s"]).drop("_idx", "_s")
 
 
@@ -182,3 +171,66 @@ def class_count_check(df: DataFrame, class_col: str, expected: int, weights: Dat
         out = out.withColumn("ok", F.when(F.col("ok"), F.col("ok")).otherwise(
             F.raise_error(F.concat(F.lit("class count check failed: "), F.col("check")))))
     return out
+
+
+def _draw_rows(sizes: DataFrame, class_col: str, count_col: str, draw_col: str) -> DataFrame:
+    """``(class, n_c, _salt, draw)`` for draws ``0..count-1`` of each class,
+    generated in blocks of ``DRAW_BLOCK`` spread over the cluster."""
+    n_blocks = F.ceil(F.col(count_col) / F.lit(DRAW_BLOCK)).cast("bigint")
+    blocks = (sizes.where(F.col(count_col) > 0)
+              .select(class_col, "n_c", "_salt", count_col,
+                      F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)).alias("_blk"))
+              .repartition(class_col, "_blk"))
+    lo = F.col("_blk") * DRAW_BLOCK
+    hi = F.least(lo + DRAW_BLOCK, F.col(count_col)) - 1
+    return blocks.select(class_col, "n_c", "_salt", F.explode(F.sequence(lo, hi)).alias(draw_col))
+
+
+def _salted_rows(indexed: DataFrame, sizes: DataFrame, class_col: str) -> DataFrame:
+    return (indexed.join(sizes.select(class_col, "_salt"), class_col)
+            .withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salt") - 1)))
+            .drop("_salt"))
+
+
+def synthetic_oversample(df: DataFrame, class_col: str, key_cols: list[str], vec_col: str,
+                         seed: int = DEFAULT_SEED, draw_col: str = "k",
+                         buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """D10 (re-aimed SMOTE): grow every class to the biggest class' size with
+    synthetic vectors ``x + u (y - x)``, where ``x`` (base) and ``y`` (partner)
+    are rows of the same class picked by seeded hashes of ``(class, k)`` and
+    ``u`` in [0, 1) is a hash too.
+
+    The partner is drawn from the whole class instead of the base's k nearest
+    neighbours: an exact neighbour search needs every pair inside a class,
+    which does not scale. Base and partner are fetched by two salted
+    equi-joins on ``(class, dense index)``; output columns: class, draw,
+    base key, partner key, ``u`` and the synthetic vector ``vec_col``.
+    """
+    src = df.where(F.col(class_col).isNotNull())
+    keyed = src.withColumn("_h", md5int(F.lit("row"), *key_cols, seed=seed))
+    indexed = dense_index(keyed, [class_col], "_h", key_cols, "_idx", buckets).drop("_h")
+    sizes = _class_sizes(src, class_col).withColumn(
+        "_need", F.max("n_c").over(Window.partitionBy(F.lit(1))) - F.col("n_c"))
+    sizes = broadcast_if_small(sizes.withColumn("_salt", F.least(
+        F.lit(MAX_SALT).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), F.ceil(
+            F.col("_need") / (F.col("n_c") * F.lit(SALT_TARGET))).cast("bigint")))))
+    draws = _draw_rows(sizes, class_col, "_need", draw_col).select(
+        class_col, draw_col,
+        F.pmod(md5int(F.lit("base"), F.col(class_col), F.col(draw_col), seed=seed), F.col("n_c"))
+        .alias("_bi"),
+        F.pmod(md5int(F.lit("partner"), F.col(class_col), F.col(draw_col), seed=seed), F.col("n_c"))
+        .alias("_pi"),
+        (md5int(F.lit("u"), F.col(class_col), F.col(draw_col), seed=seed).cast("double")
+         / F.lit(float(1 << 60))).alias("u"),
+        F.pmod(F.col(draw_col), F.col("_salt")).alias("_s"))
+    rows = _salted_rows(indexed.select(class_col, "_idx", *key_cols, vec_col), sizes, class_col)
+    base = rows.select(class_col, F.col("_idx").alias("_bi"), "_s",
+                       *[F.col(k).alias(f"base_{k}") for k in key_cols], F.col(vec_col).alias("_x"))
+    partner = rows.select(class_col, F.col("_idx").alias("_pi"), "_s",
+                          *[F.col(k).alias(f"partner_{k}") for k in key_cols],
+                          F.col(vec_col).alias("_y"))
+    out = draws.join(base, [class_col, "_bi", "_s"]).join(partner, [class_col, "_pi", "_s"])
+    synth = F.zip_with("_x", "_y", lambda a, b: a.cast("double") + F.col("u") * (b.cast("double")
+                                                                                 - a.cast("double")))
+    return out.select(class_col, draw_col, *[f"base_{k}" for k in key_cols],
+                      *[f"partner_{k}" for k in key_cols], "u", synth.alias(vec_col))

@@ -804,3 +804,13 @@ def write_enriched(spark, sf):
 @register
 def preview_head(spark, sf):
     return IO.preview_head(enriched(spark, sf), ["doc_id", "type", "emotion", "emoji"], "doc_id")
+
+
+@register
+def smote(spark, sf):
+    s = D.synthetic_oversample(table(spark, sf, "embeddings"), "label", ["vec_id"], "embedding")
+    return s.select(F.col("label").cast("bigint").alias("label"), "k", "base_vec_id",
+                    "partner_vec_id", F.round("u", 8).alias("u"),
+                    F.posexplode("embedding").alias("dim", "value")) \
+        .select("label", "k", "base_vec_id", "partner_vec_id", "u", F.col("dim").cast("bigint"),
+                F.round("value", 6).alias("value"))

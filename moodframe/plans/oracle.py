@@ -589,3 +589,21 @@ _CK = ["doc_id", "type", "emotion", "emoji", "cleaned_posts"]
 ORACLE["write_enriched"] = (f"{_E} SELECT 'parquet' AS format, * FROM ({_checksum_sql('enriched', _CK)}) "
                             f"UNION ALL SELECT 'csv', * FROM ({_checksum_sql('enriched', _CK)})")
 ORACLE["preview_head"] = f"{_E} SELECT doc_id, type, emotion, emoji FROM enriched ORDER BY doc_id LIMIT 5"
+
+# ------------------------------------------------------- D10 (re-aimed)
+ORACLE["smote"] = f"""
+WITH s AS (SELECT * FROM embeddings WHERE label IS NOT NULL),
+ix AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {H("'row'", 'vec_id')}, vec_id) - 1 AS _idx FROM s),
+sz AS (SELECT label, COUNT(*) AS n_c, MAX(COUNT(*)) OVER () - COUNT(*) AS need FROM s GROUP BY label),
+dr AS (SELECT label, n_c, unnest(range(0, need)) AS k FROM sz WHERE need > 0),
+dx AS (SELECT label, k, {H("'base'", 'label', 'k')} % n_c AS bi, {H("'partner'", 'label', 'k')} % n_c AS pi,
+              CAST({H("'u'", 'label', 'k')} AS DOUBLE) / {float(1 << 60)!r} AS u FROM dr),
+pairs AS (SELECT dx.label, dx.k, b.vec_id AS base_vec_id, p.vec_id AS partner_vec_id, dx.u,
+                 b.embedding AS x, p.embedding AS y
+          FROM dx JOIN ix b ON b.label = dx.label AND b._idx = dx.bi
+                  JOIN ix p ON p.label = dx.label AND p._idx = dx.pi),
+ex AS (SELECT label, k, base_vec_id, partner_vec_id, u, unnest(range(0, len(x))) AS dim,
+              unnest(x) AS xv, unnest(y) AS yv FROM pairs)
+SELECT CAST(label AS BIGINT) AS label, k, base_vec_id, partner_vec_id, round(u, 8) AS u, CAST(dim AS BIGINT) AS dim,
+       round(CAST(xv AS DOUBLE) + u * (CAST(yv AS DOUBLE) - CAST(xv AS DOUBLE)), 6) AS value FROM ex
+"""

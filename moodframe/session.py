@@ -83,6 +83,26 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
+# Text tables whose per-row work is CPU heavy (regex cleaning, chunking).
+TEXT_TABLES = {"documents", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one of the driver's parquet tables (text tables spread over the
+    cores when the file has too few splits, see :func:`spread`)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, parallelism: int | None = None) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A single-row-group file is read by one task, and every narrow step after
+    it (regex cleaning, chunking) would run on one core. The split count is
+    known at planning time; a large input already has enough splits and is
+    returned unchanged, so this adds no shuffle at scale.
+    """
+    target = parallelism or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
