@@ -453,9 +453,11 @@ def sequence_pooling(spark, sf):
 
 def _metrics(res):
     avg = G.report_averages(_long(res))
-    acc = avg.where(F.col("avg").isin("accuracy", "micro avg")).select("head", F.col("f1").alias("accuracy"))
+    # the report has an accuracy row only when every prediction is a label of
+    # the truth (else "micro avg" replaces it): accuracy is null then
+    acc = avg.where(F.col("avg") == "accuracy").select("head", F.col("f1").alias("accuracy"))
     mac = avg.where(F.col("avg") == "macro avg").select("head", F.col("f1").alias("macro_f1"))
-    return acc.join(mac, "head").select("head", F.round("accuracy", 6).alias("accuracy"),
+    return mac.join(acc, "head", "left").select("head", F.round("accuracy", 6).alias("accuracy"),
                                         F.round("macro_f1", 6).alias("macro_f1"))
 
 
