@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodframe.operators.prep import word_tokens
-from moodframe.session import broadcast_if_small
+from moodframe.session import broadcast_if_small, cut_lineage
 
 # Decimals of the score used for the argmax (ties -> smallest class).
 SCORE_DECIMALS = 6
@@ -78,26 +78,33 @@ class NaiveBayesModel:
 
 def train_naive_bayes(train: DataFrame, key_col: str, text_col: str, head_cols: list[str],
                       alpha: float = 1.0, ngram: int = 1) -> NaiveBayesModel:
-    """F1 (a): one plan for all heads. Token counts per (head, class, token)
-    are map-side combined; class tables are tiny."""
-    toks = train.select(key_col, *head_cols,
-                        F.explode(feature_tokens(text_col, ngram)).alias("token"))
-    n_wc = (_stack_heads(toks, head_cols, "token")
-            .groupBy("head", "class", "token").agg(F.count(F.lit(1)).alias("n")))
-    vocab = toks.select("token").distinct()
+    """F1 (a): one plan for all heads; the fitted tables are materialised in
+    the checkpoint folder, so scoring never re-reads the training text.
+
+    The training text is exploded once into ``(token, classes...) -> n``
+    (map-side combined, so a token in a third of all documents is one partial
+    row per task); per-head token counts, the vocabulary and the class table
+    all derive from that.
+    """
+    toks = train.select(*head_cols, F.explode(feature_tokens(text_col, ngram)).alias("token"))
+    base = cut_lineage(toks.groupBy("token", *head_cols).agg(F.count(F.lit(1)).alias("n")))
+    n_wc = (_stack_heads(base, head_cols, "token", "n")
+            .groupBy("head", "class", "token").agg(F.sum("n").alias("n")))
+    vocab = cut_lineage(base.select("token").distinct())
     v_size = vocab.count()
     docs = (_stack_heads(train, head_cols, key_col)
             .groupBy("head", "class").agg(F.count(F.lit(1)).alias("n_docs")))
     n_c = n_wc.groupBy("head", "class").agg(F.sum("n").alias("n_tokens"))
     per_head = Window.partitionBy("head")
-    class_params = (docs.join(n_c, ["head", "class"], "left")
-                    .withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)).cast("bigint"))
-                    .withColumn("log_prior", F.log(F.col("n_docs") / F.sum("n_docs").over(per_head)))
-                    .withColumn("log_denom", F.log(F.col("n_tokens") + F.lit(alpha * v_size))
-                                - F.lit(float(_ln(alpha)))))
-    token_params = n_wc.select("head", "class", "token",
-                               (F.log(F.col("n") + F.lit(float(alpha))) - F.lit(_ln(alpha)))
-                               .alias("lw"))
+    class_params = cut_lineage(
+        docs.join(n_c, ["head", "class"], "left")
+        .withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)).cast("bigint"))
+        .withColumn("log_prior", F.log(F.col("n_docs") / F.sum("n_docs").over(per_head)))
+        .withColumn("log_denom", F.log(F.col("n_tokens") + F.lit(alpha * v_size))
+                    - F.lit(float(_ln(alpha)))))
+    token_params = cut_lineage(n_wc.select(
+        "head", "class", "token",
+        (F.log(F.col("n") + F.lit(float(alpha))) - F.lit(_ln(alpha))).alias("lw")))
     return NaiveBayesModel(class_params, token_params, vocab, alpha, ngram)
 
 
@@ -106,29 +113,65 @@ def _ln(x: float) -> float:
     return math.log(x)
 
 
+# Up to this many (head, class) pairs the token weights are scored as one
+# dense vector per token; above it the sparse (token, class) join is used.
+DENSE_MAX_CLASSES = 256
+
+
 def naive_bayes_scores(df: DataFrame, key_col: str, text_col: str,
                        model: NaiveBayesModel, heads: list[str] | None = None) -> DataFrame:
     """``(key, head, class, score)`` for every class of every head.
 
-    Per document: in-vocabulary length (left join to the vocabulary), matched
-    sums (join to the token parameters, broadcast when small), and the class
-    base terms generated from the class table (bounded by the number of
-    classes); the parts meet in one map-side-combined aggregate.
+    Per document the token counts meet one row per vocabulary token holding
+    the weights of all classes (zeros where a class never saw the token),
+    broadcast when small: one join row per in-vocabulary (document, token),
+    one aggregate per document (length + one sum per class), then the class
+    base terms. The class table (number of classes rows) is model metadata.
     """
     cp = model.class_params
     tp = model.token_params
     if heads is not None:
         cp = cp.where(F.col("head").isin(heads))
         tp = tp.where(F.col("head").isin(heads))
+    class_rows = [r for r in cp.select("head", "class", "log_prior", "log_denom")
+                  .orderBy("head", "class").collect()]
+    if not class_rows:
+        return df.sparkSession.createDataFrame(
+            [], f"{key_col} {dict(df.dtypes)[key_col]}, head string, class string, score double")
     tc = (df.select(key_col, F.explode_outer(feature_tokens(text_col, model.ngram)).alias("token"))
           .groupBy(key_col, "token").agg(F.count(F.lit(1)).alias("cnt")))
+    if len(class_rows) > DENSE_MAX_CLASSES:
+        return _sparse_scores(df, tc, key_col, model, tp, class_rows)
+    k_of = {(r["head"], r["class"]): i for i, r in enumerate(class_rows)}
+    slot = F.create_map(*[x for (h, c), i in k_of.items()
+                          for x in (F.lit(f"{h}\x1f{c}"), F.lit(i))])
+    keyed = tp.select("token", F.element_at(slot, F.concat_ws("\x1f", "head", "class")).alias("k"),
+                      "lw")
+    dense = (model.vocab.join(keyed, "token", "left")
+             .groupBy("token").agg(*[F.sum(F.when(F.col("k") == i, F.col("lw"))).alias(f"w{i}")
+                                     for i in range(len(class_rows))]))
+    dense = broadcast_if_small(dense.select(
+        "token", F.array(*[F.coalesce(F.col(f"w{i}"), F.lit(0.0))
+                           for i in range(len(class_rows))]).alias("w")))
+    sums = (tc.join(dense, "token")
+            .groupBy(key_col).agg(F.sum("cnt").alias("len"),
+                                  *[F.sum(F.col("cnt") * F.col("w")[i]).alias(f"s{i}")
+                                    for i in range(len(class_rows))]))
+    docs = df.select(key_col).distinct().join(sums, key_col, "left")
+    per_class = F.array(*[F.struct(
+        F.lit(r["head"]).alias("head"), F.lit(r["class"]).alias("class"),
+        (F.lit(float(r["log_prior"])) - F.coalesce(F.col("len"), F.lit(0)) * F.lit(float(r["log_denom"]))
+         + F.coalesce(F.col(f"s{i}"), F.lit(0.0))).alias("score"))
+        for i, r in enumerate(class_rows)])
+    return docs.select(key_col, F.inline(per_class))
+
+
+def _sparse_scores(df, tc, key_col, model, tp, class_rows):
+    """Many classes: join counts to ``(class, token)`` weights directly."""
     vocab = broadcast_if_small(model.vocab.withColumn("_in", F.lit(1)))
     lens = (tc.join(vocab, "token", "left")
             .groupBy(key_col).agg(F.sum(F.coalesce(F.col("_in"), F.lit(0)) * F.col("cnt"))
                                   .alias("len")))
-    classes = cp.select(F.struct("head", "class", "log_prior", "log_denom").alias("c"))
-    # the class table is model metadata of (number of classes) rows
-    class_rows = [r["c"] for r in classes.collect()]
     class_arr = F.array(*[F.struct(F.lit(c["head"]).alias("head"), F.lit(c["class"]).alias("class"),
                                    F.lit(float(c["log_prior"])).alias("log_prior"),
                                    F.lit(float(c["log_denom"])).alias("log_denom"))

@@ -66,27 +66,82 @@ def decode_labels(df: DataFrame, code_col: str, codes: DataFrame, out_col: str)
 
 
 # ------------------------------------------------------------------ E3 / E4
+# Hash buckets used to find the split threshold: the boundary bucket holds
+# about n / SPLIT_BUCKETS distinct units.
+SPLIT_BUCKETS = 1 << 16
+
+
+def _lex_le(cols: list[str], vals: list, types: dict[str, str]):
+    """``(cols...) <= (vals...)`` in lexicographic order, null-safe on equality."""
+    if not cols:
+        return F.lit(True)
+    c, v = F.col(cols[0]), F.lit(vals[0]).cast(types[cols[0]])
+    return (c < v) | (c.eqNullSafe(v) & _lex_le(cols[1:], vals[1:], types))
+
+
+def _bucket_counts(units: DataFrame, hash_col: str, buckets: int):
+    width = (1 << 60) // buckets + 1
+    b = units.withColumn("_bkt", F.expr(f"`{hash_col}` div {width}"))
+    counts = sorted((r["_bkt"], r["n"]) for r in
+                    b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("n")).collect())
+    return b, counts
+
+
+def rank_threshold(units: DataFrame, hash_col: str, tie_cols: list[str], k,
+                   buckets: int = SPLIT_BUCKETS):
+    """The ``k``-th smallest ``(hash_col, *tie_cols)`` of ``units`` (1-based)
+    as a Row, or None when ``k <= 0``; ``k`` may be a function of the unit
+    count ``n``. Returns ``(row, n)``.
+
+    Per-bucket counts (at most ``buckets`` rows, one job; they also give
+    ``n``) locate the bucket that holds rank ``k``; only that bucket is
+    ranked, after collapsing equal keys, so a key repeated in a third of the
+    rows is one row there.
+    """
+    b, counts = _bucket_counts(units, hash_col, buckets)
+    n = sum(c for _, c in counts)
+    k = k(n) if callable(k) else k
+    if k <= 0 or k > n:
+        return None, n
+    off = 0
+    for bkt, c in counts:
+        if off + c >= k:
+            break
+        off += c
+    order = [hash_col, *tie_cols]
+    cum = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    row = (b.where(F.col("_bkt") == bkt).groupBy(*order).agg(F.count(F.lit(1)).alias("_c"))
+           .withColumn("_cum", F.sum("_c").over(cum)).where(F.col("_cum") >= k - off)
+           .orderBy(*order).select(*order).first())
+    return row, n
+
+
 def train_val_split(df: DataFrame, key_cols: list[str], val_frac: float = 0.2,
                     seed: int = 42, group_cols: list[str] | None = None,
                     split_col: str = "split") -> DataFrame:
     """Exact seeded split, ``ceil(val_frac * n)`` validation rows (or
-    groups): the rows with the smallest ``md5int(seed, key)``.
+    groups): the rows with the smallest ``(md5int(seed, key), key)``.
+    Keys (or groups) are expected to be unique units.
 
     With ``group_cols`` all rows of a group land on one side (no copies of a
     text on both sides). Reproducible from the key alone, unlike
-    ``randomSplit``. The rank is a keyed dense index (no global window).
+    ``randomSplit``. Only the unit keys are aggregated to find the rank
+    threshold; the split itself is a narrow column, so the table (and its
+    text) is never shuffled.
     """
-    from moodframe.operators.keyed import dense_index
-
     unit = group_cols or key_cols
+    h = md5int(F.lit("split"), *unit, seed=seed)
     units = df.select(*unit).distinct() if group_cols else df.select(*unit)
-    n = units.count()
-    n_val = math.ceil(val_frac * n)
-    ranked = dense_index(units.withColumn("_h", md5int(F.lit("split"), *unit, seed=seed))
-                         .withColumn("_all", F.lit(0)), ["_all"], "_h", unit, "_r")
-    sides = ranked.select(*unit, F.when(F.col("_r") < n_val, F.lit("val"))
-                          .otherwise(F.lit("train")).alias(split_col))
-    return df.join(sides, unit)
+    t, _ = rank_threshold(units.withColumn("_h", h), "_h", unit,
+                          lambda n: math.ceil(val_frac * n))
+    if t is None:
+        return df.withColumn(split_col, F.lit("train"))
+    types = dict(df.select(*unit).dtypes)
+    types["_h"] = "bigint"
+    is_val = _lex_le(["_h", *unit], [t[c] for c in ["_h", *unit]], types)
+    return (df.withColumn("_h", h)
+            .withColumn(split_col, F.when(is_val, F.lit("val")).otherwise(F.lit("train")))
+            .drop("_h"))
 
 
 def split_leakage(split_df: DataFrame, text_col: str, split_col: str = "split") -> DataFrame:

@@ -28,6 +28,10 @@ DEFAULT_PRIORS = {
 }
 # Decimals used when comparing mean scores, so ties are stable across engines.
 SCORE_TIE_DECIMALS = 9
+# Lexicon size (distinct words) up to which posts are scored inside their row
+# from a word -> weights map shipped with the tasks (no shuffle at all);
+# above it the exploded-token join path is used.
+INLINE_LEXICON_MAX = 100_000
 
 
 def _keys(key_col: str | list[str]) -> list[str]:
@@ -81,6 +85,70 @@ class LexiconScorer:
         return top1_from_sums(per_chunk, key_cols, labels,
                               [self.priors[l] for l in labels], total_prior)
 
+    def weight_map(self, max_words: int = INLINE_LEXICON_MAX) -> Column | None:
+        """``MAP<word, ARRAY<DOUBLE>>`` (summed weight per label, in
+        ``labels`` order) as a scalar subquery, or None when the lexicon has
+        more than ``max_words`` distinct words."""
+        labels = self.labels
+        lex = self.lexicon.where(F.col("label").isin(labels) & F.col("word").isNotNull())
+        per_word = lex.groupBy("word").agg(F.array(*[
+            F.coalesce(F.sum(F.when(F.col("label") == l, F.col("weight"))), F.lit(0.0))
+            .cast("double") for l in labels]).alias("w"))
+        if per_word.limit(max_words + 1).count() > max_words:
+            return None
+        return per_word.select(F.map_from_entries(F.collect_list(F.struct("word", "w")))).scalar()
+
+    def with_emotion(self, df: DataFrame, cleaned_col: str, out_col: str = "emotion",
+                     max_chars: int = 512) -> DataFrame | None:
+        """C1 + C4 inside each row: chunk the cleaned text, score every chunk
+        from the lexicon map, reduce to the post's emotion. Same result as
+        ``assign_emotion(score(explode_chunks(...)))`` per row, but narrow:
+        nothing is shuffled. None when the lexicon is too big for a map."""
+        wmap = self.weight_map()
+        if wmap is None:
+            return None
+        labels = self.labels
+        priors = [float(self.priors[l]) for l in labels]
+        total_prior = float(sum(priors))
+        zeros = F.array(*[F.lit(0.0) for _ in labels])
+
+        def hit_sums(chunk):
+            words = F.split(chunk, " ")
+            weights = F.transform(words, lambda w: F.try_element_at(
+                F.col("_lex"), F.lower(w) if self.lowercase else w))
+            hits = F.filter(weights, lambda x: x.isNotNull())
+            return F.aggregate(hits, zeros, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+
+        def top1(h):
+            vals = [h.getItem(i) + F.lit(p) for i, p in enumerate(priors)]
+            best = F.least(*[F.struct((-v).alias("nv"), F.lit(l).alias("label"))
+                             for v, l in zip(vals, labels)]) if len(labels) > 1 else \
+                F.struct((-vals[0]).alias("nv"), F.lit(labels[0]).alias("label"))
+            total = F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
+            return F.struct(best["label"].alias("label"),
+                            (-best["nv"] / (total + F.lit(total_prior))).alias("score"))
+
+        def label_sum(l):
+            return lambda a, c: a + F.when(c["label"] == l, c["score"]).otherwise(F.lit(0.0))
+
+        def label_count(l):
+            return lambda a, c: a + F.when(c["label"] == l, F.lit(1)).otherwise(F.lit(0))
+
+        chunks = chunk_text(cleaned_col, max_chars)
+        scored = (df.withColumn("_lex", wmap)
+                  .withColumn("_cs", F.transform(F.transform(chunks, hit_sums), top1))
+                  .drop("_lex"))
+        cands = []
+        for l in labels:
+            s_l = F.aggregate("_cs", F.lit(0.0), label_sum(l))
+            n_l = F.aggregate("_cs", F.lit(0), label_count(l))
+            first = F.array_position(F.col("_cs.label"), l) - 1
+            cands.append(F.when(n_l > 0, F.struct(
+                (-F.round(s_l / n_l, SCORE_TIE_DECIMALS)).alias("nm"), first.alias("first"),
+                F.lit(l).alias("label"))))
+        best = F.least(*cands) if len(cands) > 1 else cands[0]
+        return scored.withColumn(out_col, best["label"]).drop("_cs")
+
 
 def top1_from_sums(per_chunk: DataFrame, key_cols: list[str], labels: list[str],
                    priors: list[float], total_prior: float) -> DataFrame:
@@ -145,16 +213,23 @@ def enrich_posts(posts: DataFrame, scorer, key_col: str | list[str] = "doc_id",
                  text_col: str = "posts", max_chars: int = 512) -> DataFrame:
     """Clean -> chunk -> score -> reduce -> emoji, one plan.
 
-    The text crosses the network once (the final join back on the key); the
-    chunk branch only shuffles map-side-combined per-chunk and per-post
-    aggregates. Posts with no chunk (empty after cleaning) or a null key keep
-    their row with a null emotion and the default emoji. ``scorer`` is any
-    object with ``labels`` and
+    When the scorer can work inside the row (``with_emotion``, a lexicon
+    below its size bound) the plan is narrow: scan, project, no shuffle.
+    Otherwise the chunk branch shuffles only map-side-combined per-chunk and
+    per-post aggregates and the text crosses the network once (the join back
+    on the key); posts with no chunk (empty after cleaning) or a null key
+    keep their row with a null emotion and the default emoji. ``scorer`` is
+    any object with ``labels`` and
     ``score(chunks_df, key_cols, chunk_col) -> (keys..., label, score)``.
     """
     cleaned = posts.withColumn("cleaned_posts", clean_text(text_col))
-    chunks = explode_chunks(cleaned, "cleaned_posts", key_col, max_chars)
     keys = _keys(key_col)
+    in_row = getattr(scorer, "with_emotion", None)
+    out = in_row(cleaned, "cleaned_posts", "emotion", max_chars) if in_row else None
+    if out is not None:
+        rest = [c for c in cleaned.columns if c not in keys]
+        return out.select(*keys, *rest, "emotion", emotion_to_emoji("emotion").alias("emoji"))
+    chunks = explode_chunks(cleaned, "cleaned_posts", key_col, max_chars)
     scored = scorer.score(chunks, keys + ["chunk_idx"], "chunk")
     emotions = assign_emotion(scored, scorer.labels, keys)
     return (cleaned.join(emotions, keys, "left")

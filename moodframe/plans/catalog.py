@@ -323,7 +323,8 @@ ALPHAS = [0.5, 1.0, 2.0]
 
 
 def _split_lab(spark, sf):
-    return cut_lineage(E.train_val_split(_labelled(spark, sf), ["doc_id"]))
+    # the split is a narrow column over the checkpointed labelled table
+    return E.train_val_split(_labelled(spark, sf), ["doc_id"])
 
 
 def _nb(spark, sf, alpha=1.0, ngram=1, sp=None):

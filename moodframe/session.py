@@ -72,13 +72,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Byte bound for trusting the optimizer's size estimate without a count.
+BROADCAST_MAX_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df``, when it is an upper bound.
+
+    Without a generator (explode, cube) in the plan, every operator's estimate
+    is at most its input's (filters, projections, aggregates) or a product or
+    sum of its inputs (joins, unions), so the estimate bounds the real size.
+    A generator multiplies rows, so then None is returned.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.treeString()
+    if "Generate " in text or "Expand " in text:
+        return None
+    return int(str(plan.stats().sizeInBytes()))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Hint a broadcast only after checking the table's size.
 
-    The check is one count over a dimension table; a table above the bound is
-    returned unhinted so the planner keeps a shuffle join (AQE may still turn
-    it into a broadcast from runtime statistics).
+    An upper-bound size estimate under ``BROADCAST_MAX_BYTES`` settles it at
+    planning time; otherwise one bounded count over the table decides. A
+    table above the bound is returned unhinted so the planner keeps a shuffle
+    join (AQE may still turn it into a broadcast from runtime statistics).
     """
+    est = estimated_bytes(df)
+    if est is not None and est <= BROADCAST_MAX_BYTES:
+        return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
