@@ -29,9 +29,11 @@ DEFAULT_PRIORS = {
 # Decimals used when comparing mean scores, so ties are stable across engines.
 SCORE_TIE_DECIMALS = 9
 # Lexicon size (distinct words) up to which posts are scored inside their row
-# from a word -> weights map shipped with the tasks (no shuffle at all);
-# above it the exploded-token join path is used.
-INLINE_LEXICON_MAX = 100_000
+# from a word -> weights map shipped with the tasks (no shuffle at all). A
+# map lookup scans the keys, so the cost per word grows with the lexicon;
+# above this bound the exploded-token broadcast-join path (constant cost per
+# word, one shuffle of the text for the join back) is used.
+INLINE_LEXICON_MAX = 256
 
 
 def _keys(key_col: str | list[str]) -> list[str]:
@@ -61,6 +63,7 @@ class LexiconScorer:
     lexicon: DataFrame
     priors: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_PRIORS))
     lowercase: bool = True
+    inline_max: int = INLINE_LEXICON_MAX
 
     @property
     def labels(self) -> list[str]:
@@ -85,7 +88,7 @@ class LexiconScorer:
         return top1_from_sums(per_chunk, key_cols, labels,
                               [self.priors[l] for l in labels], total_prior)
 
-    def weight_map(self, max_words: int = INLINE_LEXICON_MAX) -> Column | None:
+    def weight_map(self, max_words: int | None = None) -> Column | None:
         """``MAP<word, ARRAY<DOUBLE>>`` (summed weight per label, in
         ``labels`` order) as a scalar subquery, or None when the lexicon has
         more than ``max_words`` distinct words."""
@@ -94,6 +97,7 @@ class LexiconScorer:
         per_word = lex.groupBy("word").agg(F.array(*[
             F.coalesce(F.sum(F.when(F.col("label") == l, F.col("weight"))), F.lit(0.0))
             .cast("double") for l in labels]).alias("w"))
+        max_words = self.inline_max if max_words is None else max_words
         if per_word.limit(max_words + 1).count() > max_words:
             return None
         return per_word.select(F.map_from_entries(F.collect_list(F.struct("word", "w")))).scalar()

@@ -170,3 +170,12 @@ def test_smote_vectors_interpolate(spark):
     bad = s.join(emb.select(F.col("vec_id").alias("base_vec_id"), F.col("label").alias("bl")),
                  "base_vec_id").where(F.col("bl") != F.col("label")).count()
     assert bad == 0
+
+
+def test_in_row_and_join_scoring_agree(spark):
+    posts = fx.posts_v(spark, SF_SMALL)
+    a = S.enrich_posts(posts, S.LexiconScorer(fx.lexicon(spark)))
+    b = S.enrich_posts(posts, S.LexiconScorer(fx.lexicon(spark), inline_max=0))
+    assert a.columns == b.columns
+    assert "Generate" not in a._jdf.queryExecution().executedPlan().toString()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
