@@ -15,7 +15,7 @@ so unmatched pairs are never materialised.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +57,28 @@ class NaiveBayesModel:
     vocab: DataFrame          # token
     alpha: float
     ngram: int
+    _dense: tuple | None = field(default=None, repr=False, compare=False)
+
+    def dense_weights(self) -> tuple[list, DataFrame]:
+        """``(classes, table)``: the ``(head, class, log_prior, log_denom)``
+        rows in (head, class) order (model metadata, one per class) and one
+        row per vocabulary token with the weights of all those classes
+        (``w[i]``, zero where class ``i`` never saw the token). Built once per
+        model and checkpointed."""
+        if self._dense is None:
+            classes = (self.class_params.select("head", "class", "log_prior", "log_denom")
+                       .orderBy("head", "class").collect())
+            slot = F.create_map(*[x for i, r in enumerate(classes)
+                                  for x in (F.lit(f"{r['head']}\x1f{r['class']}"), F.lit(i))])
+            keyed = self.token_params.select(
+                "token", F.element_at(slot, F.concat_ws("\x1f", "head", "class")).alias("k"), "lw")
+            dense = (self.vocab.join(keyed, "token", "left")
+                     .groupBy("token").agg(*[F.sum(F.when(F.col("k") == i, F.col("lw"))).alias(f"w{i}")
+                                             for i in range(len(classes))]))
+            table = cut_lineage(dense.select("token", F.array(
+                *[F.coalesce(F.col(f"w{i}"), F.lit(0.0)) for i in range(len(classes))]).alias("w")))
+            self._dense = (classes, table)
+        return self._dense
 
     def save(self, path: str) -> None:
         """A3: write the parameter tables as Parquet under ``path``."""
@@ -128,41 +150,32 @@ def naive_bayes_scores(df: DataFrame, key_col: str, text_col: str,
     one aggregate per document (length + one sum per class), then the class
     base terms. The class table (number of classes rows) is model metadata.
     """
-    cp = model.class_params
-    tp = model.token_params
-    if heads is not None:
-        cp = cp.where(F.col("head").isin(heads))
-        tp = tp.where(F.col("head").isin(heads))
-    class_rows = [r for r in cp.select("head", "class", "log_prior", "log_denom")
-                  .orderBy("head", "class").collect()]
-    if not class_rows:
+    n_classes = model.class_params.count()
+    if n_classes == 0:
         return df.sparkSession.createDataFrame(
             [], f"{key_col} {dict(df.dtypes)[key_col]}, head string, class string, score double")
     tc = (df.select(key_col, F.explode_outer(feature_tokens(text_col, model.ngram)).alias("token"))
           .groupBy(key_col, "token").agg(F.count(F.lit(1)).alias("cnt")))
-    if len(class_rows) > DENSE_MAX_CLASSES:
-        return _sparse_scores(df, tc, key_col, model, tp, class_rows)
-    k_of = {(r["head"], r["class"]): i for i, r in enumerate(class_rows)}
-    slot = F.create_map(*[x for (h, c), i in k_of.items()
-                          for x in (F.lit(f"{h}\x1f{c}"), F.lit(i))])
-    keyed = tp.select("token", F.element_at(slot, F.concat_ws("\x1f", "head", "class")).alias("k"),
-                      "lw")
-    dense = (model.vocab.join(keyed, "token", "left")
-             .groupBy("token").agg(*[F.sum(F.when(F.col("k") == i, F.col("lw"))).alias(f"w{i}")
-                                     for i in range(len(class_rows))]))
-    dense = broadcast_if_small(dense.select(
-        "token", F.array(*[F.coalesce(F.col(f"w{i}"), F.lit(0.0))
-                           for i in range(len(class_rows))]).alias("w")))
-    sums = (tc.join(dense, "token")
-            .groupBy(key_col).agg(F.sum("cnt").alias("len"),
+    if n_classes > DENSE_MAX_CLASSES:
+        cp, tp = model.class_params, model.token_params
+        if heads is not None:
+            cp = cp.where(F.col("head").isin(heads))
+            tp = tp.where(F.col("head").isin(heads))
+        return _sparse_scores(df, tc, key_col, model, tp,
+                              cp.select("head", "class", "log_prior", "log_denom").collect())
+    classes, dense = model.dense_weights()
+    picked = [(i, r) for i, r in enumerate(classes) if heads is None or r["head"] in heads]
+    # left join: a document without any vocabulary token keeps its row
+    # (length 0, base terms only) from the same aggregate
+    docs = (tc.join(broadcast_if_small(dense), "token", "left")
+            .groupBy(key_col).agg(F.sum(F.when(F.col("w").isNotNull(), F.col("cnt"))).alias("len"),
                                   *[F.sum(F.col("cnt") * F.col("w")[i]).alias(f"s{i}")
-                                    for i in range(len(class_rows))]))
-    docs = df.select(key_col).distinct().join(sums, key_col, "left")
+                                    for i, _ in picked]))
     per_class = F.array(*[F.struct(
         F.lit(r["head"]).alias("head"), F.lit(r["class"]).alias("class"),
         (F.lit(float(r["log_prior"])) - F.coalesce(F.col("len"), F.lit(0)) * F.lit(float(r["log_denom"]))
          + F.coalesce(F.col(f"s{i}"), F.lit(0.0))).alias("score"))
-        for i, r in enumerate(class_rows)])
+        for i, r in picked])
     return docs.select(key_col, F.inline(per_class))
 
 

@@ -123,35 +123,37 @@ class LexiconScorer:
             hits = F.filter(weights, lambda x: x.isNotNull())
             return F.aggregate(hits, zeros, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
 
-        def top1(h):
+        def top1(h, idx):
             vals = [h.getItem(i) + F.lit(p) for i, p in enumerate(priors)]
             best = F.least(*[F.struct((-v).alias("nv"), F.lit(l).alias("label"))
                              for v, l in zip(vals, labels)]) if len(labels) > 1 else \
                 F.struct((-vals[0]).alias("nv"), F.lit(labels[0]).alias("label"))
             total = F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
             return F.struct(best["label"].alias("label"),
-                            (-best["nv"] / (total + F.lit(total_prior))).alias("score"))
-
-        def label_sum(l):
-            return lambda a, c: a + F.when(c["label"] == l, c["score"]).otherwise(F.lit(0.0))
-
-        def label_count(l):
-            return lambda a, c: a + F.when(c["label"] == l, F.lit(1)).otherwise(F.lit(0))
-
+                            (-best["nv"] / (total + F.lit(total_prior))).alias("score"),
+                            idx.alias("idx"))
+
+        label_arr = F.array(*[F.lit(l) for l in labels])
+        zero = F.array(*[F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(-1).alias("f"))
+                         for _ in labels])
+
+        def add_chunk(acc, c):
+            return F.transform(acc, lambda st, i: F.when(
+                F.get(label_arr, i) == c["label"],
+                F.struct((st["s"] + c["score"]).alias("s"), (st["n"] + 1).alias("n"),
+                         F.when(st["f"] < 0, c["idx"]).otherwise(st["f"]).alias("f")))
+                .otherwise(st))
+
+        # Each intermediate (chunks -> per-chunk top-1 -> per-label sum, count,
+        # first chunk -> best) is used exactly once, so the optimizer may
+        # inline it anywhere (filter pushdown) without evaluating it twice.
         chunks = chunk_text(cleaned_col, max_chars)
-        scored = (df.withColumn("_lex", wmap)
-                  .withColumn("_cs", F.transform(F.transform(chunks, hit_sums), top1))
-                  .drop("_lex"))
-        cands = []
-        for l in labels:
-            s_l = F.aggregate("_cs", F.lit(0.0), label_sum(l))
-            n_l = F.aggregate("_cs", F.lit(0), label_count(l))
-            first = F.array_position(F.col("_cs.label"), l) - 1
-            cands.append(F.when(n_l > 0, F.struct(
-                (-F.round(s_l / n_l, SCORE_TIE_DECIMALS)).alias("nm"), first.alias("first"),
-                F.lit(l).alias("label"))))
-        best = F.least(*cands) if len(cands) > 1 else cands[0]
-        return scored.withColumn(out_col, best["label"]).drop("_cs")
+        per_chunk = F.transform(F.transform(chunks, hit_sums), top1)
+        stats = F.aggregate(per_chunk, zero, add_chunk)
+        best = F.array_min(F.transform(stats, lambda st, i: F.when(st["n"] > 0, F.struct(
+            (-F.round(st["s"] / st["n"], SCORE_TIE_DECIMALS)).alias("nm"), st["f"].alias("first"),
+            F.get(label_arr, i).alias("label")))))
+        return (df.withColumn("_lex", wmap).withColumn(out_col, best["label"]).drop("_lex"))
 
 
 def top1_from_sums(per_chunk: DataFrame, key_cols: list[str], labels: list[str],
