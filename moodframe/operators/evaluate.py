@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moodframe.session import local_table
+
 ALL = "All"
 
 
@@ -287,7 +289,7 @@ def roc_curve(scored: DataFrame, score_col: str, label_col: str) -> DataFrame:
     p_n = pts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     P, N = p_n["P"] or 0, p_n["N"] or 0
     spark = scored.sparkSession
-    origin = spark.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    origin = local_table(spark, [(None, 0.0, 0.0)], "threshold double, fpr double, tpr double")
     steps = pts.select("threshold",
                        (F.col("cum_neg") / F.lit(float(N) if N else float("nan"))).alias("fpr"),
                        (F.col("cum_pos") / F.lit(float(P) if P else float("nan"))).alias("tpr"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from moodframe.functions import text as T
 from moodframe.functions.hashing import md5int
-from moodframe.session import broadcast_if_small
+from moodframe.session import broadcast_if_small, local_table
 
 
 def lemmatize(df: DataFrame, lemma_df: DataFrame, key_col: str, tokens_col: str,
@@ -192,7 +192,7 @@ def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 5,
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size - len(SPECIALS))
     ranked = top.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token")))
                                   + len(SPECIALS) - 1).cast("bigint").alias("token_id"), "n")
-    specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)],
+    specials = local_table(spark, [(t, i, 0) for i, t in enumerate(SPECIALS)],
                                      "token string, token_id bigint, n bigint")
     return specials.unionByName(ranked)
 

@@ -129,3 +129,24 @@ def spread(df: DataFrame, parallelism: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small constant table as a SQL inline table (a JVM-side local
+    relation with exact size statistics; no Python worker reads it).
+    ``ddl`` is ``"name type, ..."`` with simple types."""
+    fields = [f.strip().split(None, 1) for f in ddl.split(",")]
+    names, types = [n for n, _ in fields], [t.strip() for _, t in fields]
+    if not rows:
+        return spark.createDataFrame([], ddl)
+
+    def lit(v, t):
+        if v is None:
+            return f"CAST(NULL AS {t})"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"CAST({v!r} AS {t})"
+
+    values = ", ".join("(" + ", ".join(lit(v, t) for v, t in zip(r, types)) + ")" for r in rows)
+    cols = ", ".join(f"CAST(`{n}` AS {t}) AS `{n}`" for n, t in zip(names, types))
+    return spark.sql(f"SELECT {cols} FROM VALUES {values} AS t({', '.join(f'`{n}`' for n in names)})")

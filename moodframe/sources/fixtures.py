@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodframe.functions.text import DEFAULT_EMOJI, EMOJI_MAP
-from moodframe.session import table
+from moodframe.session import local_table, table
 
 # The 16 personality types in sorted (code) order.
 TYPES = [
@@ -90,26 +90,26 @@ def posts_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w, l, 1.0) for w, l in LEXICON],
+    return local_table(spark, [(w, l, 1.0) for w, l in LEXICON],
                                  "word string, label string, weight double")
 
 
 def lemma(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEMMAS, "form string, lemma string")
+    return local_table(spark, LEMMAS, "form string, lemma string")
 
 
 def stop_words(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in spark_stop_words()], "word string")
+    return local_table(spark, [(w,) for w in spark_stop_words()], "word string")
 
 
 def emoji_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EMOJI_MAP.items()) + [(None, DEFAULT_EMOJI)],
+    return local_table(spark, list(EMOJI_MAP.items()) + [(None, DEFAULT_EMOJI)],
                                  "emotion string, emoji string")
 
 
 def edge_texts(spark: SparkSession) -> DataFrame:
     rows = [(i, t) for i, t in enumerate(EDGE_TEXTS)] + [(len(EDGE_TEXTS), None)]
-    return spark.createDataFrame(rows, "id int, text string")
+    return local_table(spark, rows, "id int, text string")
 
 
 def turns_v(spark: SparkSession, sf_dir: str) -> DataFrame:
