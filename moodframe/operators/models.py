@@ -58,6 +58,15 @@ class NaiveBayesModel:
     alpha: float
     ngram: int
     _dense: tuple | None = field(default=None, repr=False, compare=False)
+    _classes: list | None = field(default=None, repr=False, compare=False)
+
+    def classes(self) -> list:
+        """``(head, class, log_prior, log_denom)`` rows in (head, class)
+        order: model metadata, one row per class."""
+        if self._classes is None:
+            self._classes = (self.class_params.select("head", "class", "log_prior", "log_denom")
+                             .orderBy("head", "class").collect())
+        return self._classes
 
     def dense_weights(self) -> tuple[list, DataFrame]:
         """``(classes, table)``: the ``(head, class, log_prior, log_denom)``
@@ -66,8 +75,7 @@ class NaiveBayesModel:
         (``w[i]``, zero where class ``i`` never saw the token). Built once per
         model and checkpointed."""
         if self._dense is None:
-            classes = (self.class_params.select("head", "class", "log_prior", "log_denom")
-                       .orderBy("head", "class").collect())
+            classes = self.classes()
             slot = F.create_map(*[x for i, r in enumerate(classes)
                                   for x in (F.lit(f"{r['head']}\x1f{r['class']}"), F.lit(i))])
             keyed = self.token_params.select(
@@ -124,9 +132,10 @@ def train_naive_bayes(train: DataFrame, key_col: str, text_col: str, head_cols:
         .withColumn("log_prior", F.log(F.col("n_docs") / F.sum("n_docs").over(per_head)))
         .withColumn("log_denom", F.log(F.col("n_tokens") + F.lit(alpha * v_size))
                     - F.lit(float(_ln(alpha)))))
-    token_params = cut_lineage(n_wc.select(
+    # read once when the dense scoring table is built (and on save)
+    token_params = n_wc.select(
         "head", "class", "token",
-        (F.log(F.col("n") + F.lit(float(alpha))) - F.lit(_ln(alpha))).alias("lw")))
+        (F.log(F.col("n") + F.lit(float(alpha))) - F.lit(_ln(alpha))).alias("lw"))
     return NaiveBayesModel(class_params, token_params, vocab, alpha, ngram)
 
 
@@ -150,7 +159,7 @@ def naive_bayes_scores(df: DataFrame, key_col: str, text_col: str,
     one aggregate per document (length + one sum per class), then the class
     base terms. The class table (number of classes rows) is model metadata.
     """
-    n_classes = model.class_params.count()
+    n_classes = len(model.classes())
     if n_classes == 0:
         return df.sparkSession.createDataFrame(
             [], f"{key_col} {dict(df.dtypes)[key_col]}, head string, class string, score double")
