@@ -251,17 +251,21 @@ def running_totals_desc(df: DataFrame, order_col: str, value_cols: list[str],
     """Cumulative sums of ``value_cols`` in descending ``order_col`` order,
     for a table with one row per distinct ``order_col``.
 
-    Rows are bucketed by score range (monotone), bucket totals give each
-    bucket's offset (a window over at most ``buckets`` rows), and the running
+    Rows are split into equal-depth buckets of the order column (approximate
+    quantiles, then a binary-search ``Bucketizer``), so scores crowded into a
+    narrow range still spread over ``buckets`` tasks. Bucket totals give each
+    bucket's offset (a window over at most ``buckets`` rows) and the running
     sum is finished inside each bucket. No single window over all rows."""
-    st = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = st["lo"], st["hi"]
-    span = float(hi - lo) if hi is not None and hi > lo else 1.0
-    bkt = F.least(F.floor((F.lit(float(hi if hi is not None else 0)) - F.col(order_col))
-                          / F.lit(span) * buckets), F.lit(buckets - 1)).cast("bigint")
-    b = df.withColumn("_b", bkt)
+    from pyspark.ml.feature import Bucketizer
+
+    probs = [i / buckets for i in range(1, buckets)]
+    qs = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * buckets)
+                .alias("q")).first()["q"] or []
+    splits = [float("-inf")] + sorted({float(q) for q in qs if q is not None}) + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_ord", outputCol="_b", handleInvalid="keep").transform(
+        df.withColumn("_ord", F.col(order_col).cast("double"))).drop("_ord")
     tot = b.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
                               for c in value_cols])
     inner = Window.partitionBy("_b").orderBy(F.desc(order_col)).rowsBetween(

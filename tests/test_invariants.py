@@ -179,3 +179,15 @@ def test_in_row_and_join_scoring_agree(spark):
     assert a.columns == b.columns
     assert "Generate" not in a._jdf.queryExecution().executedPlan().toString()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_running_totals_with_crowded_scores(spark):
+    from pyspark.sql import Window
+    crowded = spark.range(0, 3000).select((F.lit(1.0) - F.col("id") * F.lit(1e-9)).alias("s"),
+                                          (F.col("id") % 5).alias("v"))
+    far = spark.range(0, 3).select((F.col("id") * -100.0).alias("s"), F.lit(7).cast("bigint").alias("v"))
+    df = crowded.unionByName(far)
+    got = G.running_totals_desc(df, "s", ["v"], buckets=32)
+    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.select("s", F.sum("v").over(w).alias("cum_v"))
+    assert {r["s"]: r["cum_v"] for r in got.collect()} == {r["s"]: r["cum_v"] for r in ref.collect()}
