@@ -235,8 +235,13 @@ def enrich_posts(posts: DataFrame, scorer, key_col: str | list[str] = "doc_id",
     if out is not None:
         rest = [c for c in cleaned.columns if c not in keys]
         return out.select(*keys, *rest, "emotion", emotion_to_emoji("emotion").alias("emoji"))
-    chunks = explode_chunks(cleaned, "cleaned_posts", key_col, max_chars)
+    chunks = explode_chunks(cleaned.select(*keys, "cleaned_posts"), "cleaned_posts", key_col,
+                            max_chars)
     scored = scorer.score(chunks, keys + ["chunk_idx"], "chunk")
     emotions = assign_emotion(scored, scorer.labels, keys)
-    return (cleaned.join(emotions, keys, "left")
-            .withColumn("emoji", emotion_to_emoji("emotion")))
+    # only the raw posts cross the network for the join back; the cleaned
+    # text is recomputed after it (same CPU, half the shuffled bytes)
+    rest = [c for c in posts.columns if c not in keys]
+    return (posts.join(emotions, keys, "left")
+            .select(*keys, *rest, clean_text(text_col).alias("cleaned_posts"), "emotion",
+                    emotion_to_emoji("emotion").alias("emoji")))
