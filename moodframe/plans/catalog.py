@@ -756,6 +756,14 @@ def _land_in_batches(df, path, key_cols, n_batches=5):
         b.where(F.col("_b") == i).drop("_b").write.mode("append").parquet(path)
 
 
+def _files_per_trigger(spark, path, micro_batches=3):
+    """Files per trigger so the landed files arrive in about
+    ``micro_batches`` micro-batches (a file listing, no data read)."""
+    import math
+    n_files = len(spark.read.parquet(path).inputFiles())
+    return max(1, math.ceil(n_files / micro_batches))
+
+
 @register
 def stream_conversation_summary(spark, sf):
     from moodframe.streaming.conversations import run_conversation_stream
@@ -763,7 +771,7 @@ def stream_conversation_summary(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     _land_in_batches(turns, src, ["conv_id", "turn"])
     return run_conversation_stream(spark, src, "conv_id bigint, turn bigint, role string, text string",
-                                   files_per_batch=2)
+                                   files_per_batch=_files_per_trigger(spark, src))
 
 
 @register
@@ -773,7 +781,7 @@ def stream_enrich_posts(spark, sf):
     _land_in_batches(fx.posts_v(spark, sf), src, ["doc_id"], 4)
     from moodframe.sources.io import POSTS_SCHEMA
     return run_enrich_stream(spark, src, POSTS_SCHEMA, S.LexiconScorer(fx.lexicon(spark)),
-                             files_per_batch=2)
+                             files_per_batch=_files_per_trigger(spark, src))
 
 
 # ----------------------------------------------------- A sources / sinks
