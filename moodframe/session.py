@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,26 +46,34 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Make the shared checkpoint folder known to the session and return it.
 
-    Only when the session has none (local tests) a fresh scratch folder is
-    set; a cluster's setting is always kept.
+    ``spark.checkpoint.dir`` (or an already set checkpoint folder) always
+    wins. Only a local master without either gets a fresh scratch folder; on a
+    cluster that would be a machine-local folder, so it is an error there.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         if not current:
             sc.setCheckpointDir(conf_dir)
         return conf_dir
     if current:
         return current
+    master = sc.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="moodframe-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder of this run below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor
     loss, unlike a local checkpoint)."""
