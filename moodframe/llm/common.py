@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,35 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def sample_labelled(docs: DataFrame, truth: DataFrame, doc_id: str, text: str, label: str,
+                    rows: int) -> DataFrame:
+    """(text, label) of at most about ``rows`` labelled documents, drawn by a
+    hash of the id, each distinct text once. The drawn labels are few enough
+    to be sent to every task, so no text is shuffled to find them."""
+    given = truth.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
+    given = given.groupBy(F.col(doc_id).alias("drawn_id")).agg(F.max(label).cast("int").alias("label"))
+    share = min(1.0, rows / max(1, given.count()))
+    drawn = given.where(F.pmod(F.xxhash64("drawn_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = docs.select(F.col(doc_id).alias("drawn_id"), F.coalesce(text, F.lit("")).alias("text"))
+    return (found.join(F.broadcast(drawn), "drawn_id").groupBy("text").agg(F.max("label").alias("label")))
+
+
+def rate_texts(docs: DataFrame, text: str, carry: tuple[str, ...], make: Callable[[], Callable[[pd.Series], dict]],
+               added: str) -> DataFrame:
+    """The ``carry`` columns of every row and what ``make()``, called in each
+    task, computes from a batch of texts. ``added`` is the schema of that."""
+    own = text in carry
+    kept = docs.select(*carry) if own else docs.select(*carry, F.col(text).alias("text to rate"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rate = make()
+        for frame in frames:
+            texts = frame[text] if own else frame.pop("text to rate")
+            for name, values in rate(texts).items():
+                frame[name] = pd.Series(values, index=frame.index, dtype=object if isinstance(values, list) else None)
+            yield frame
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    return kept.mapInPandas(run, f"{schema}, {added}")

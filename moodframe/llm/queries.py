@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from moodframe.llm import decontaminate, exact_dedup, packing
+from moodframe.llm import decontaminate, exact_dedup, language_id, packing, quality, toxicity
 
 QUERIES = {
+    "op5_language_id": language_id.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op8_best_fit_packing": packing.query,
+    "op9_quality_classifier": quality.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLE = {
