@@ -12,8 +12,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm.common import UPPER, discard, materialise
-from moodframe.session import ensure_checkpoint_dir
+from moodframe.llm.common import UPPER, discard, documents, materialise
+from moodframe.session import scratch_dir
+
+# Digests in a bucket, about 64 bytes each, that an index is laid out for.
+ROWS_PER_BUCKET = 2_000_000
+MIN_BUCKETS = 8
 
 # Digests that hold more than 1/HOT_SHARE of the rows are at most HOT_SHARE
 # many, whatever the table's size; only those are broadcast.
@@ -34,16 +38,17 @@ class DigestIndex:
 
     Rows are ``(digest binary, keep_id bigint, batch string)``: the document
     that stays for each digest and the batch that brought it. The number of
-    buckets is fixed at creation and read back from the folder name.
+    buckets follows from the rows expected, is fixed at creation and read back
+    from the folder name.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, expected_rows: int = 0):
         self.spark = spark
         root = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
         found = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
         found = [int(n.removeprefix("buckets-")) for n in found if n.startswith("buckets-")]
-        self.buckets = found[0] if found else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = found[0] if found else max(MIN_BUCKETS, expected_rows // ROWS_PER_BUCKET)
         self.location = f"{path.rstrip('/')}/buckets-{self.buckets}"
         self.table = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, self.location).hex
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, batch STRING) "
@@ -110,11 +115,15 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     return in_hot.unionByName(rest)
 
 
+def fresh_index(spark: SparkSession, docs: DataFrame) -> DigestIndex:
+    """An empty index below the checkpoint folder, laid out for ``docs``."""
+    return DigestIndex(spark, scratch_dir(spark, "digest-index"), docs.count())
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against a fresh index below the checkpoint folder."""
-    from moodframe.llm.common import documents
-    index = DigestIndex(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/digest-index-{uuid.uuid4().hex}")
-    return exact_dedup(documents(spark, sf_dir), index)
+    """All documents against a fresh index."""
+    docs = documents(spark, sf_dir)
+    return exact_dedup(docs, fresh_index(spark, docs))
 
 
 ORACLE_SQL = """
