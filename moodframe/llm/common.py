@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from moodframe.session import scratch_dir
 
@@ -50,6 +51,22 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+# Keys with more than 1/HOT_SHARE of all rows are at most HOT_SHARE many,
+# whatever the table's size; only those are broadcast.
+HOT_SHARE = 2000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``keyed``, one row for each key, where ``weight``
+    counts the key's rows and ``total`` all of them. Rows of a hot key meet its
+    broadcast row where they are; only the others are shuffled by key."""
+    bound = F.lit(total / HOT_SHARE)
+    hot = keyed.where(F.col(weight) > bound)
+    in_hot = rows.join(F.broadcast(hot), on)
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return in_hot.unionByName(others.join(keyed.where(F.col(weight) <= bound), on, how))
+
+
 def sample_labelled(docs: DataFrame, truth: DataFrame, doc_id: str, text: str, label: str,
                     rows: int) -> DataFrame:
     """(text, label) of at most about ``rows`` labelled documents, drawn by a
@@ -78,5 +95,5 @@ def rate_texts(docs: DataFrame, text: str, carry: tuple[str, ...], make: Callabl
                 frame[name] = pd.Series(values, index=frame.index, dtype=object if isinstance(values, list) else None)
             yield frame
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return kept.mapInPandas(run, f"{schema}, {added}")
+    schema = StructType(docs.select(*carry).schema.fields + StructType.fromDDL(added).fields)
+    return kept.mapInPandas(run, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from moodframe.llm import decontaminate, exact_dedup, language_id, packing, quality, toxicity
+from moodframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, toxicity
 
 QUERIES = {
+    "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_language_id": language_id.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_benchmark_decontamination": decontaminate.query,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }
