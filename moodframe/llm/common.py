@@ -33,13 +33,13 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.crc32(text.cast("binary")) % F.lit(modulus) == F.lit(remainder)
 
 
-def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     back: the lineage ends there and lost executors re-read files that every
     machine sees. Returns the table and its path (for :func:`discard`)."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path), path
 
 

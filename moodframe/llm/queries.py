@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from moodframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, quality, toxicity
+from moodframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, lm_score, packing, quality, toxicity
 
 QUERIES = {
+    "op3_lm_scoring": lm_score.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_language_id": language_id.query,
     "op6_exact_dedup": exact_dedup.query,
