@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from moodframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, lm_score, packing, pii, quality, toxicity
+from moodframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, lm_score, packing, pii, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_secret_scan": secrets.query,
     "op2_pii": pii.query,
     "op3_lm_scoring": lm_score.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
