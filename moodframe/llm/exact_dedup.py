@@ -105,7 +105,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     discard(spark, groups_at)
     bound = F.lit(rows.count() / HOT_SHARE)
     hot = decided.where(F.col("group_size") > bound)
-    out = [F.col(f"carried.{c}").alias(c) for c in carry if c != doc_id] + [
+    out = [F.col(f"carried.`{c}`").alias(c) for c in carry if c != doc_id] + [
         F.col("id").alias("doc_id"), "keep_id", "group_size",
         F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256")]
