@@ -83,11 +83,11 @@ def tokenize_words(col: Column | str) -> Column:
 def remove_stopwords(tokens: Column | str, stop_words: list[str]) -> Column:
     """Drop tokens in the stop list, keep order and duplicates.
 
-    ``array_except`` would de-duplicate, so a filter is used; the list is a
-    literal array folded into the plan.
+    ``array_except`` would de-duplicate, so a filter is used; ``isin`` over the
+    literals becomes one hash set.
     """
-    stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    return F.filter(_c(tokens), lambda x: ~F.array_contains(stop, x))
+    stop = sorted(set(stop_words))
+    return F.filter(_c(tokens), lambda x: ~x.isin(stop))
 
 
 def rejoin_tokens(tokens: Column | str) -> Column:

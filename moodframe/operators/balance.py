@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from moodframe.functions.hashing import DEFAULT_SEED, md5int
 from moodframe.operators.keyed import DEFAULT_BUCKETS, dense_index
-from moodframe.session import broadcast_if_small
 
 # Draw rows generated per block row (bounds one generator's output).
 DRAW_BLOCK = 100_000
@@ -85,7 +84,6 @@ def oversample(df: DataFrame, class_col: str, key_cols: list[str], target: int |
         "_salt", F.least(F.lit(MAX_SALT).cast("bigint"), F.greatest(
             F.lit(1).cast("bigint"),
             F.ceil(F.col("_t") / (F.col("n_c") * F.lit(SALT_TARGET))).cast("bigint"))))
-    sizes = broadcast_if_small(sizes)
     draws = _draw_rows(sizes, class_col, "_t", draw_col).select(
         class_col, draw_col,
         F.pmod(md5int(F.col(class_col), F.col(draw_col), seed=seed), F.col("n_c")).alias("_idx"),
@@ -211,9 +209,9 @@ def synthetic_oversample(df: DataFrame, class_col: str, key_cols: list[str], vec
     indexed = dense_index(keyed, [class_col], "_h", key_cols, "_idx", buckets).drop("_h")
     sizes = _class_sizes(src, class_col).withColumn(
         "_need", F.max("n_c").over(Window.partitionBy(F.lit(1))) - F.col("n_c"))
-    sizes = broadcast_if_small(sizes.withColumn("_salt", F.least(
+    sizes = sizes.withColumn("_salt", F.least(
         F.lit(MAX_SALT).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), F.ceil(
-            F.col("_need") / (F.col("n_c") * F.lit(SALT_TARGET))).cast("bigint")))))
+            F.col("_need") / (F.col("n_c") * F.lit(SALT_TARGET))).cast("bigint"))))
     draws = _draw_rows(sizes, class_col, "_need", draw_col).select(
         class_col, draw_col,
         F.pmod(md5int(F.lit("base"), F.col(class_col), F.col(draw_col), seed=seed), F.col("n_c"))

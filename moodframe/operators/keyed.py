@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodframe.session import broadcast_if_small
 
 HASH_SPACE = 1 << 60
 DEFAULT_BUCKETS = 1024
@@ -30,7 +29,7 @@ def dense_index(df: DataFrame, class_cols: list[str], hash_col: str, tie_cols: l
         Window.unboundedPreceding, -1)
     offs = counts.select(*class_cols, "_bkt",
                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    joined = b.join(broadcast_if_small(offs), class_cols + ["_bkt"])
+    joined = b.join(offs, class_cols + ["_bkt"])
     inner = Window.partitionBy(*class_cols, "_bkt").orderBy(hash_col, *tie_cols)
     return (joined.withColumn(out_col, (F.col("_off") + F.row_number().over(inner) - 1)
                               .cast("bigint"))

@@ -20,9 +20,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from moodframe.operators.prep import word_tokens
-from moodframe.session import broadcast_if_small, cut_lineage
+from moodframe.session import cut_lineage
 
 # Decimals of the score used for the argmax (ties -> smallest class).
 SCORE_DECIMALS = 6
@@ -88,13 +89,15 @@ class NaiveBayesModel:
             self._dense = (classes, table)
         return self._dense
 
-    def save(self, path: str) -> None:
-        """A3: write the parameter tables as Parquet under ``path``."""
+    def save(self, path: str, codes: dict[str, DataFrame] | None = None) -> None:
+        """A3: write the parameter tables as Parquet under ``path``, and the
+        label code tables that belong to the model."""
         self.class_params.write.mode("overwrite").parquet(f"{path}/class_params")
         self.token_params.write.mode("overwrite").parquet(f"{path}/token_params")
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+        save_codes(codes or {}, path)
         meta = self.class_params.sparkSession.createDataFrame(
-            [(float(self.alpha), int(self.ngram))], "alpha double, ngram int")
+            [(float(self.alpha), int(self.ngram), sorted(codes or {}))], "alpha double, ngram int, codes array<string>")
         meta.write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
@@ -106,37 +109,72 @@ class NaiveBayesModel:
                    spark.read.parquet(f"{path}/vocab"), meta["alpha"], meta["ngram"])
 
 
-def train_naive_bayes(train: DataFrame, key_col: str, text_col: str, head_cols: list[str],
-                      alpha: float = 1.0, ngram: int = 1) -> NaiveBayesModel:
-    """F1 (a): one plan for all heads; the fitted tables are materialised in
-    the checkpoint folder, so scoring never re-reads the training text.
+def save_codes(codes: dict[str, DataFrame], path: str) -> None:
+    for col, table in codes.items():
+        table.write.mode("overwrite").parquet(f"{path}/codes/{col}")
+
+
+def load_codes(spark, path: str) -> dict[str, DataFrame]:
+    """A4: the label code tables saved with a model."""
+    cols = spark.read.parquet(f"{path}/meta").first()["codes"]
+    return {col: spark.read.parquet(f"{path}/codes/{col}") for col in cols}
+
+
+@dataclass
+class NaiveBayesCounts:
+    """What one pass over the training text counts; parameters for any
+    smoothing ``alpha`` follow from it."""
+
+    token_counts: DataFrame   # head, class, token, n
+    class_counts: DataFrame   # head, class, n_docs, n_tokens
+    vocab: DataFrame          # token
+    v_size: int
+    ngram: int
+
+    def model(self, alpha: float = 1.0) -> NaiveBayesModel:
+        per_head = Window.partitionBy("head")
+        class_params = (
+            self.class_counts
+            .withColumn("log_prior", F.log(F.col("n_docs") / F.sum("n_docs").over(per_head)))
+            .withColumn("log_denom", F.log(F.col("n_tokens") + F.lit(alpha * self.v_size))
+                        - F.lit(float(_ln(alpha)))))
+        token_params = self.token_counts.select(
+            "head", "class", "token",
+            (F.log(F.col("n") + F.lit(float(alpha))) - F.lit(_ln(alpha))).alias("lw"))
+        return NaiveBayesModel(class_params, token_params, self.vocab, alpha, self.ngram)
+
+
+def count_naive_bayes(train: DataFrame, key_col: str, text_col: str, head_cols: list[str],
+                      ngram: int = 1) -> NaiveBayesCounts:
+    """F1 (a), counting: one plan for all heads; the counts are materialised
+    in the checkpoint folder, so scoring never re-reads the training text.
 
     The training text is exploded once into ``(token, classes...) -> n``
     (map-side combined, so a token in a third of all documents is one partial
     row per task); per-head token counts, the vocabulary and the class table
-    all derive from that.
+    all derive from that. A null token per document, never a word, carries
+    the number of documents in the same pass.
     """
-    toks = train.select(*head_cols, F.explode(feature_tokens(text_col, ngram)).alias("token"))
+    tokens = F.concat(F.coalesce(feature_tokens(text_col, ngram), F.array().cast("array<string>")),
+                      F.array(F.lit(None).cast("string")))
+    toks = train.select(*head_cols, F.explode(tokens).alias("token"))
     base = cut_lineage(toks.groupBy("token", *head_cols).agg(F.count(F.lit(1)).alias("n")))
-    n_wc = (_stack_heads(base, head_cols, "token", "n")
+    words = base.where(F.col("token").isNotNull())
+    n_wc = (_stack_heads(words, head_cols, "token", "n")
             .groupBy("head", "class", "token").agg(F.sum("n").alias("n")))
-    vocab = cut_lineage(base.select("token").distinct())
-    v_size = vocab.count()
-    docs = (_stack_heads(train, head_cols, key_col)
-            .groupBy("head", "class").agg(F.count(F.lit(1)).alias("n_docs")))
+    vocab = words.select("token").distinct()
+    docs = (_stack_heads(base.where(F.col("token").isNull()), head_cols, "n")
+            .groupBy("head", "class").agg(F.sum("n").alias("n_docs")))
     n_c = n_wc.groupBy("head", "class").agg(F.sum("n").alias("n_tokens"))
-    per_head = Window.partitionBy("head")
-    class_params = cut_lineage(
-        docs.join(n_c, ["head", "class"], "left")
-        .withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)).cast("bigint"))
-        .withColumn("log_prior", F.log(F.col("n_docs") / F.sum("n_docs").over(per_head)))
-        .withColumn("log_denom", F.log(F.col("n_tokens") + F.lit(alpha * v_size))
-                    - F.lit(float(_ln(alpha)))))
-    # read once when the dense scoring table is built (and on save)
-    token_params = n_wc.select(
-        "head", "class", "token",
-        (F.log(F.col("n") + F.lit(float(alpha))) - F.lit(_ln(alpha))).alias("lw"))
-    return NaiveBayesModel(class_params, token_params, vocab, alpha, ngram)
+    class_counts = cut_lineage(docs.join(n_c, ["head", "class"], "left")
+                               .withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)).cast("bigint")))
+    return NaiveBayesCounts(n_wc, class_counts, vocab, vocab.count(), ngram)
+
+
+def train_naive_bayes(train: DataFrame, key_col: str, text_col: str, head_cols: list[str],
+                      alpha: float = 1.0, ngram: int = 1) -> NaiveBayesModel:
+    """F1 (a): count, then take the parameters for ``alpha``."""
+    return count_naive_bayes(train, key_col, text_col, head_cols, ngram).model(alpha)
 
 
 def _ln(x: float) -> float:
@@ -144,39 +182,37 @@ def _ln(x: float) -> float:
     return math.log(x)
 
 
-# Up to this many (head, class) pairs the token weights are scored as one
-# dense vector per token; above it the sparse (token, class) join is used.
-DENSE_MAX_CLASSES = 256
+def document_tokens(df: DataFrame, key_col: str, text_col: str, ngram: int = 1) -> DataFrame:
+    """``(key, token, cnt)``; a document without tokens has one null token."""
+    return (df.select(key_col, F.explode_outer(feature_tokens(text_col, ngram)).alias("token"))
+            .groupBy(key_col, "token").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def naive_bayes_scores(df: DataFrame, key_col: str, text_col: str,
-                       model: NaiveBayesModel, heads: list[str] | None = None) -> DataFrame:
+def naive_bayes_scores(df: DataFrame, key_col: str, text_col: str, model: NaiveBayesModel,
+                       heads: list[str] | None = None, dense: bool = True,
+                       counts: DataFrame | None = None) -> DataFrame:
     """``(key, head, class, score)`` for every class of every head.
 
-    Per document the token counts meet one row per vocabulary token holding
-    the weights of all classes (zeros where a class never saw the token),
-    broadcast when small: one join row per in-vocabulary (document, token),
-    one aggregate per document (length + one sum per class), then the class
-    base terms. The class table (number of classes rows) is model metadata.
+    ``dense`` joins the token counts with one row per vocabulary token that
+    holds the weights of all classes (zeros where a class never saw the
+    token): one join row per in-vocabulary (document, token) and one aggregate
+    per document. For heads of very many classes ``dense=False`` joins with
+    one row per (class, token) instead; the scores are equal. ``counts`` may
+    bring the token counts (:func:`document_tokens`), to score them with
+    several models. The class table (number of classes rows) is model metadata.
     """
-    n_classes = len(model.classes())
-    if n_classes == 0:
-        return df.sparkSession.createDataFrame(
-            [], f"{key_col} {dict(df.dtypes)[key_col]}, head string, class string, score double")
-    tc = (df.select(key_col, F.explode_outer(feature_tokens(text_col, model.ngram)).alias("token"))
-          .groupBy(key_col, "token").agg(F.count(F.lit(1)).alias("cnt")))
-    if n_classes > DENSE_MAX_CLASSES:
-        cp, tp = model.class_params, model.token_params
-        if heads is not None:
-            cp = cp.where(F.col("head").isin(heads))
-            tp = tp.where(F.col("head").isin(heads))
-        return _sparse_scores(df, tc, key_col, model, tp,
-                              cp.select("head", "class", "log_prior", "log_denom").collect())
-    classes, dense = model.dense_weights()
+    classes = model.classes()
     picked = [(i, r) for i, r in enumerate(classes) if heads is None or r["head"] in heads]
+    if not picked:
+        key = df.schema[key_col]
+        return df.sparkSession.createDataFrame(
+            [], StructType([key]).add("head", "string").add("class", "string").add("score", "double"))
+    tc = counts if counts is not None else document_tokens(df, key_col, text_col, model.ngram)
+    if not dense:
+        return _sparse_scores(tc, key_col, model, [r for _, r in picked])
     # left join: a document without any vocabulary token keeps its row
     # (length 0, base terms only) from the same aggregate
-    docs = (tc.join(broadcast_if_small(dense), "token", "left")
+    docs = (tc.join(model.dense_weights()[1], "token", "left")
             .groupBy(key_col).agg(F.sum(F.when(F.col("w").isNotNull(), F.col("cnt"))).alias("len"),
                                   *[F.sum(F.col("cnt") * F.col("w")[i]).alias(f"s{i}")
                                     for i, _ in picked]))
@@ -188,10 +224,10 @@ def naive_bayes_scores(df: DataFrame, key_col: str, text_col: str,
     return docs.select(key_col, F.inline(per_class))
 
 
-def _sparse_scores(df, tc, key_col, model, tp, class_rows):
-    """Many classes: join counts to ``(class, token)`` weights directly."""
-    vocab = broadcast_if_small(model.vocab.withColumn("_in", F.lit(1)))
-    lens = (tc.join(vocab, "token", "left")
+def _sparse_scores(tc: DataFrame, key_col: str, model: NaiveBayesModel, class_rows: list) -> DataFrame:
+    """Join counts to ``(class, token)`` weights directly."""
+    heads = sorted({r["head"] for r in class_rows})
+    lens = (tc.join(model.vocab.withColumn("_in", F.lit(1)), "token", "left")
             .groupBy(key_col).agg(F.sum(F.coalesce(F.col("_in"), F.lit(0)) * F.col("cnt"))
                                   .alias("len")))
     class_arr = F.array(*[F.struct(F.lit(c["head"]).alias("head"), F.lit(c["class"]).alias("class"),
@@ -201,7 +237,7 @@ def _sparse_scores(df, tc, key_col, model, tp, class_rows):
     base = (lens.select(key_col, "len", F.inline(class_arr))
             .select(key_col, "head", "class",
                     (F.col("log_prior") - F.col("len") * F.col("log_denom")).alias("s")))
-    matched = (tc.join(broadcast_if_small(tp), "token")
+    matched = (tc.join(model.token_params.where(F.col("head").isin(heads)), "token")
                .groupBy(key_col, "head", "class")
                .agg(F.sum(F.col("cnt") * F.col("lw")).alias("s")))
     return (base.unionByName(matched)
@@ -231,12 +267,14 @@ def class_probabilities(scores: DataFrame, key_col: str) -> DataFrame:
 
 
 def joint_loss(scores: DataFrame, truth: DataFrame, key_col: str, head_cols: list[str]) -> DataFrame:
-    """mean cross-entropy per head and their sum (``head = 'sum'``)."""
+    """mean cross-entropy per head and their sum (``head = 'sum'``), over
+    all rows of the truth: a row whose class the model does not know has the
+    floor's probability."""
     probs = class_probabilities(scores, key_col)
     t = _stack_heads(truth, head_cols, key_col)
-    per_head = (probs.join(t, [key_col, "head", "class"])
-                .groupBy("head").agg(F.avg(-F.log(F.greatest(F.col("prob"), F.lit(LOSS_FLOOR))))
-                                     .alias("loss")))
+    prob = F.greatest(F.coalesce("prob", F.lit(0.0)), F.lit(LOSS_FLOOR))
+    per_head = (t.join(probs, [key_col, "head", "class"], "left")
+                .groupBy("head").agg(F.avg(-F.log(prob)).alias("loss")))
     total = per_head.agg(F.sum("loss").alias("loss")).select(F.lit("sum").alias("head"), "loss")
     return per_head.unionByName(total)
 
@@ -249,17 +287,55 @@ def select_best_candidate(losses: DataFrame, candidate_col: str, loss_col: str =
         .select(*losses.columns, F.col("_b").isNotNull().alias("is_best"))
 
 
+def wide_predictions(preds: DataFrame, key_col: str, heads: list[str], prefix: str = "pred_") -> DataFrame:
+    """One row per key with a ``<prefix><head>`` column for each head."""
+    return preds.groupBy(key_col).agg(*[F.max(F.when(F.col("head") == h, F.col("pred"))).alias(f"{prefix}{h}")
+                                        for h in heads])
+
+
+def results_table(truth: DataFrame, preds: DataFrame, key_col: str, heads: list[str]) -> DataFrame:
+    """G1: decoded truth and prediction of each head, one row per key."""
+    true = truth.select(key_col, *[F.col(h).alias(f"true_{h}") for h in heads])
+    return true.join(wide_predictions(preds, key_col, heads), key_col).select(
+        key_col, *[c for h in heads for c in (f"true_{h}", f"pred_{h}")])
+
+
+def predict_table(table: DataFrame, model: NaiveBayesModel, head: str, key_col: str, text_col: str,
+                  out_col: str) -> DataFrame:
+    """the table's rows with the predicted class of one head, null where
+    the key is null. Only key and text take part in the scoring."""
+    scores = naive_bayes_scores(table.select(key_col, text_col), key_col, text_col, model, heads=[head])
+    return table.drop(text_col).join(argmax_rows(scores, [key_col], out_col=out_col), key_col, "left")
+
+
+def look_up_codes(preds: DataFrame, codes: dict[str, DataFrame], defaults: dict[str, str], key_col: str) -> DataFrame:
+    """F8: each head's prediction through the saved code tables and back, the
+    head's default where a code or label is unknown."""
+    from moodframe.operators.prep import decode_labels, encode_labels
+
+    heads = list(codes)
+    out = encode_labels(wide_predictions(preds, key_col, heads, prefix=""), codes, prefix="code_")
+    out = out.select(key_col, *[f"code_{h}" for h in heads])
+    for h in heads:
+        out = decode_labels(out, f"code_{h}", codes[h], h).withColumn(h, F.coalesce(F.col(h), F.lit(defaults[h])))
+    return out.select(key_col, *heads)
+
+
 # --------------------------------------------------------------- vectors
+def _mean_vector(vec_col: str) -> Column:
+    """The element-wise mean of array vectors, one aggregate per group."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    return vector_to_array(Summarizer.mean(array_to_vector(F.col(vec_col).cast("array<double>"))))
+
+
 def class_centroids(vectors: DataFrame, vec_col: str, label_col: str,
                     decimals: int = 6) -> DataFrame:
     """Linear head parameters from class centroids: ``w`` = element-wise mean
     (rounded), ``b = -1/2 w.w`` (a nearest-centroid rule as a linear layer)."""
-    comps = (vectors.select(label_col, F.posexplode(vec_col).alias("pos", "x"))
-             .groupBy(label_col, "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    w = (comps.groupBy(label_col)
-         .agg(F.array_sort(F.collect_list(F.struct("pos", F.round("m", decimals).alias("m"))))
-              .alias("_w"))
-         .select(label_col, F.transform("_w", lambda s: s["m"]).alias("w")))
+    w = (vectors.groupBy(label_col).agg(_mean_vector(vec_col).alias("_m"))
+         .select(label_col, F.transform("_m", lambda m: F.round(m, decimals)).alias("w")))
     return w.withColumn("b", -0.5 * F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x * x))
 
 
@@ -289,10 +365,7 @@ def sequence_pooling(vectors: DataFrame, seq_col: str, pos_col: str, vec_col: st
     ends = vectors.groupBy(seq_col).agg(
         F.min_by(F.struct(pos_col, vec_col), F.col(pos_col)).alias("first"),
         F.max_by(F.struct(pos_col, vec_col), F.col(pos_col)).alias("last"))
-    mean = (vectors.select(seq_col, F.posexplode(vec_col).alias("i", "x"))
-            .groupBy(seq_col, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-            .groupBy(seq_col).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_m"))
-            .select(seq_col, F.transform("_m", lambda s: s["m"]).alias("mean")))
+    mean = vectors.groupBy(seq_col).agg(_mean_vector(vec_col).alias("mean"))
     return ends.join(mean, seq_col)
 
 
@@ -306,24 +379,55 @@ def compare_models(metric_tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def train_logistic_heads(train: DataFrame, text_col: str, head_cols: list[str],
-                         num_features: int = 1 << 18, max_iter: int = 50):
+                         num_features: int = 1 << 14, max_iter: int = 20):
     """F1 (b): ``pyspark.ml`` pipelines (tokens -> HashingTF -> IDF ->
-    multinomial LogisticRegression), one per head."""
+    multinomial LogisticRegression), one per head. The tokens are taken once,
+    for all heads."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, IDF, StringIndexer
 
-    base = train.withColumn("_tokens", word_tokens(text_col))
+    base = train.select(*head_cols, word_tokens(text_col).alias("_tokens"))
+    hashed = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features).transform(base)
+    hashed = cut_lineage(hashed.select(*head_cols, "_tf"))  # term counts, not the text
     models = {}
     for h in head_cols:
         pipe = Pipeline(stages=[
             StringIndexer(inputCol=h, outputCol=f"_y_{h}", stringOrderType="alphabetAsc",
                           handleInvalid="keep"),
-            HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
             IDF(inputCol="_tf", outputCol="_x"),
             LogisticRegression(featuresCol="_x", labelCol=f"_y_{h}", family="multinomial",
                                maxIter=max_iter, predictionCol=f"_p_{h}",
                                probabilityCol=f"_prob_{h}", rawPredictionCol=f"_raw_{h}"),
         ])
-        models[h] = pipe.fit(base.where(F.col(h).isNotNull()))
+        models[h] = pipe.fit(hashed.where(F.col(h).isNotNull()))
     return models
+
+
+def predict_logistic_heads(df: DataFrame, key_col: str, text_col: str, models: dict,
+                           num_features: int = 1 << 14) -> DataFrame:
+    """``(key, head, pred)`` of logistic heads, as :func:`argmax_rows` gives
+    for naive Bayes; the heads' truth columns need not be there."""
+    from pyspark.ml.feature import HashingTF
+
+    base = df.select(key_col, word_tokens(text_col).alias("_tokens"))
+    hashed = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features).transform(base).select(key_col, "_tf")
+    parts = []
+    for h, m in models.items():
+        index, idf, lr = m.stages
+        names = F.array(*[F.lit(x) for x in index.labels])
+        out = lr.transform(idf.transform(hashed))
+        parts.append(out.select(key_col, F.lit(h).alias("head"), F.get(names, F.col(f"_p_{h}").cast("int")).alias("pred")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def save_logistic_heads(models: dict, path: str) -> None:
+    """A3 for logistic heads: one pipeline folder per head."""
+    for h, m in models.items():
+        m.write().overwrite().save(f"{path}/logistic/{h}")
+
+
+def load_logistic_heads(path: str, heads: list[str]) -> dict:
+    """A4 for logistic heads."""
+    from pyspark.ml import PipelineModel
+    return {h: PipelineModel.load(f"{path}/logistic/{h}") for h in heads}

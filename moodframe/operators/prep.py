@@ -10,19 +10,29 @@ from pyspark.sql import functions as F
 
 from moodframe.functions import text as T
 from moodframe.functions.hashing import md5int
-from moodframe.session import broadcast_if_small, local_table
+from moodframe.session import local_table
 
 
 def lemmatize(df: DataFrame, lemma_df: DataFrame, key_col: str, tokens_col: str,
-              out_col: str = "lemmas") -> DataFrame:
-    """Dictionary lemmatizer, unknown tokens unchanged, order kept.
-
-    ``(form, lemma)`` is broadcast after a size check and left-joined to the
-    exploded tokens; tokens are re-collected per key in position order. The
-    key must be unique. Rows with no tokens come back with an empty array.
+              out_col: str = "lemmas", in_row: bool = True) -> DataFrame:
+    """Dictionary lemmatizer, unknown tokens unchanged, order kept. A form
+    listed twice has its smallest lemma.
+
+    ``in_row`` ships the dictionary as one map and nothing is shuffled; its
+    look-ups cost more the more forms there are. Otherwise the exploded tokens
+    are joined with the dictionary and re-collected in order, for large ones;
+    ``key_col`` must then be unique. Rows with no tokens come back with an
+    empty array, in either case equally.
     """
+    lem = (lemma_df.where(F.col("form").isNotNull()).groupBy("form").agg(F.min("lemma").alias("lemma"))
+           .where(F.col("lemma").isNotNull()))
+    if in_row:
+        entries = lem.select(F.map_from_entries(F.collect_list(F.struct("form", "lemma")))).scalar()
+        known = df.select(key_col, tokens_col).withColumn("_lemmas", entries)
+        return known.select(key_col, F.transform(
+            F.coalesce(tokens_col, F.array().cast("array<string>")),
+            lambda t: F.coalesce(F.try_element_at(F.col("_lemmas"), t), t)).alias(out_col))
     exploded = df.select(key_col, F.posexplode_outer(tokens_col).alias("pos", "form"))
-    lem = broadcast_if_small(lemma_df.select("form", "lemma").dropDuplicates(["form"]))
     tok = F.coalesce(F.col("lemma"), F.col("form"))
     item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), tok.alias("tok")))
     grouped = (exploded.join(lem, "form", "left")
@@ -31,11 +41,11 @@ def lemmatize(df: DataFrame, lemma_df: DataFrame, key_col: str, tokens_col: str,
 
 
 def readme_clean(df: DataFrame, lemma_df: DataFrame, stop_words: list[str], key_col: str,
-                 text_col: str, out_col: str = "cleaned") -> DataFrame:
+                 text_col: str, out_col: str = "cleaned", in_row: bool = True) -> DataFrame:
     """Lower -> a-z only -> split -> stop words out -> lemmas -> join."""
     toks = df.select(key_col, T.remove_stopwords(
         T.tokenize_words(T.normalize_lower(text_col)), stop_words).alias("_t"))
-    lem = lemmatize(toks, lemma_df, key_col, "_t", "_lem")
+    lem = lemmatize(toks, lemma_df, key_col, "_t", "_lem", in_row)
     return lem.select(key_col, T.rejoin_tokens("_lem").alias(out_col))
 
 
@@ -49,19 +59,19 @@ def fit_codes(df: DataFrame, col: str) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, codes: dict[str, DataFrame], prefix: str = "label_") -> DataFrame:
-    """E1 (apply): ``label_<col>`` code for each column, by a size-checked
-    broadcast join to the saved code table (unknown values -> null)."""
+    """E1 (apply): ``label_<col>`` code for each column, by a join to the saved
+    code table (unknown values -> null)."""
     out = df
     for col, table in codes.items():
-        t = broadcast_if_small(table.select(F.col("value").alias(col),
-                                            F.col("code").alias(f"{prefix}{col}")))
+        t = table.select(F.col("value").alias(col),
+                                            F.col("code").alias(f"{prefix}{col}"))
         out = out.join(t, col, "left")
     return out
 
 
 def decode_labels(df: DataFrame, code_col: str, codes: DataFrame, out_col: str) -> DataFrame:
     """Code -> label through the saved code table."""
-    t = broadcast_if_small(codes.select(F.col("code").alias(code_col), F.col("value").alias(out_col)))
+    t = codes.select(F.col("code").alias(code_col), F.col("value").alias(out_col))
     return df.join(t, code_col, "left")
 
 
@@ -161,17 +171,10 @@ def leaked_rows(split_df: DataFrame, text_col: str, split_col: str = "split") ->
     return split_df.where(F.col(split_col) == "val").join(train, text_col, "left_semi")
 
 
-def clean_validation(split_df: DataFrame, text_col: str, split_col: str = "split") -> DataFrame:
-    """E4 clean variant: validation rows without a copy in training (LEFT ANTI)."""
-    train = split_df.where(F.col(split_col) == "train").select(text_col)
-    return split_df.where(F.col(split_col) == "val").join(train, text_col, "left_anti")
-
-
 # ------------------------------------------------------------------ E5 - E7
-# Special tokens and their ids, vocabulary size, sequence length.
+# Special tokens and their ids, sequence length.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
-VOCAB_SIZE = 30522
 MAX_LEN = 512
 
 
@@ -180,20 +183,31 @@ def word_tokens(text_col: str):
     return F.filter(F.split(F.lower(F.col(text_col)), " "), lambda x: x != "")
 
 
-def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 5,
-                     size: int = VOCAB_SIZE) -> DataFrame:
-    """E5: ``(token, token_id, n)``: specials first, then the most frequent
-    tokens with ``n >= min_count`` by (n desc, token), up to ``size`` ids.
-    The ordering is a top-k (TakeOrderedAndProject), bounded by ``size``."""
+def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 1,
+                     size: int | None = None) -> DataFrame:
+    """E5: ``(token, token_id, n)``: specials first, then the tokens with
+    ``n >= min_count`` by (n desc, token). All tokens by default; with
+    ``size`` only the first ones up to ``size`` ids (a top-k).
+
+    The order is taken without one window over all tokens: tokens are dealt
+    to buckets by count and first letters, a small table of bucket sizes gives
+    each bucket its first id, and tokens are numbered inside their bucket.
+    """
     spark = df.sparkSession
     counts = (df.select(F.explode(word_tokens(text_col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
               .where(F.col("n") >= min_count))
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size - len(SPECIALS))
-    ranked = top.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), F.asc("token")))
-                                  + len(SPECIALS) - 1).cast("bigint").alias("token_id"), "n")
     specials = local_table(spark, [(t, i, 0) for i, t in enumerate(SPECIALS)],
                                      "token string, token_id bigint, n bigint")
+    if size is not None:
+        counts = counts.orderBy(F.desc("n"), F.asc("token")).limit(size - len(SPECIALS))
+    bucketed = counts.withColumn("_start", F.substring("token", 1, 2))
+    before = Window.orderBy(F.desc("n"), "_start").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = bucketed.groupBy("n", "_start").agg(F.count(F.lit(1)).alias("_size")).select(
+        F.col("n").alias("_n"), F.col("_start").alias("_s"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("n", "_start").orderBy("token")
+    ranked = (bucketed.join(firsts, (F.col("n") == F.col("_n")) & (F.col("_start") == F.col("_s")))
+              .select("token", (F.col("_first") + F.row_number().over(inside) + (len(SPECIALS) - 1)).cast("bigint").alias("token_id"), "n"))
     return specials.unionByName(ranked)
 
 
@@ -207,7 +221,7 @@ def encode_tokens(df: DataFrame, key_col: str, text_col: str, vocab: DataFrame,
     """
     toks = (df.select(key_col, F.posexplode_outer(word_tokens(text_col)).alias("pos", "token"))
             .where(F.col("pos").isNull() | (F.col("pos") < max_len - 2)))
-    v = broadcast_if_small(vocab.select("token", "token_id"))
+    v = vocab.select("token", "token_id")
     item = F.when(F.col("pos").isNotNull(), F.struct(
         "pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID).cast("bigint")).alias("id")))
     ids = (toks.join(v, "token", "left").groupBy(key_col)

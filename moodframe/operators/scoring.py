@@ -1,19 +1,22 @@
 """Emotion scoring: explode chunks -> score each chunk -> reduce per post.
 
-Layout at scale: the chunk explode and the lexicon broadcast join are narrow;
-per-chunk and per-post results come from one conditional aggregate each
+A scorer has ``labels`` and ``score(chunks, key_cols, chunk_col)``, which gives
+``(keys..., label, score)`` with one row per chunk. Three are here: a lexicon,
+a trained naive Bayes head, and any function over Arrow batches of chunks.
+Per-chunk and per-post results come from one conditional aggregate each
 (map-side combined), and only the final join back moves the post text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from moodframe.functions.text import chunk_text, clean_text, emotion_to_emoji
-from moodframe.session import broadcast_if_small
 
 # Label priors of the smoothed lexicon scorer (a chunk with no
 # lexicon hit scores neutral at 1 / 4 = 0.25).
@@ -28,13 +31,6 @@ DEFAULT_PRIORS = {
 }
 # Decimals used when comparing mean scores, so ties are stable across engines.
 SCORE_TIE_DECIMALS = 9
-# Lexicon size (distinct words) up to which posts are scored inside their row
-# from a word -> weights map shipped with the tasks (no shuffle at all). A
-# map lookup scans the keys, so the cost per word grows with the lexicon;
-# above this bound the exploded-token broadcast-join path (constant cost per
-# word, one shuffle of the text for the join back) is used.
-INLINE_LEXICON_MAX = 256
-
 
 def _keys(key_col: str | list[str]) -> list[str]:
     return [key_col] if isinstance(key_col, str) else list(key_col)
@@ -55,15 +51,19 @@ class LexiconScorer:
 
     ``score(l) = (hits(l) + prior(l)) / (sum(hits) + sum(priors))`` over the
     scorer's label set (the keys of ``priors``); the chunk's top-1 label is
-    the best score, ties by label name. The lexicon ``(word, label, weight)``
-    is broadcast after a size check; one conditional aggregate per chunk
-    (partial on the map side) gives all label sums at once.
+    the best score, rounded as in :data:`SCORE_TIE_DECIMALS`, ties by label
+    name.
+
+    ``in_row`` says how posts are enriched, with equal results either way: from
+    a ``word -> weights`` map inside the row, which shuffles nothing and whose
+    look-ups cost more the more words the lexicon has, or by joining the
+    exploded tokens with the lexicon, for large ones.
     """
 
     lexicon: DataFrame
     priors: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_PRIORS))
     lowercase: bool = True
-    inline_max: int = INLINE_LEXICON_MAX
+    in_row: bool = True
 
     @property
     def labels(self) -> list[str]:
@@ -78,8 +78,7 @@ class LexiconScorer:
         tokens = chunks.select(*key_cols, word)
         if self.lowercase:
             tokens = tokens.withColumn("word", F.lower("word"))
-        lex = broadcast_if_small(
-            self.lexicon.where(F.col("label").isin(labels)).select("word", "label", "weight"))
+        lex = self.lexicon.where(F.col("label").isin(labels)).select("word", "label", "weight")
         sums = [F.sum(F.when(F.col("label") == l, F.col("weight"))).alias(f"h{i}")
                 for i, l in enumerate(labels)]
         # Left join: tokens without a hit keep null sums, so every chunk gets
@@ -88,18 +87,14 @@ class LexiconScorer:
         return top1_from_sums(per_chunk, key_cols, labels,
                               [self.priors[l] for l in labels], total_prior)
 
-    def weight_map(self, max_words: int | None = None) -> Column | None:
+    def weight_map(self) -> Column:
         """``MAP<word, ARRAY<DOUBLE>>`` (summed weight per label, in
-        ``labels`` order) as a scalar subquery, or None when the lexicon has
-        more than ``max_words`` distinct words."""
+        ``labels`` order) as a scalar subquery."""
         labels = self.labels
         lex = self.lexicon.where(F.col("label").isin(labels) & F.col("word").isNotNull())
         per_word = lex.groupBy("word").agg(F.array(*[
             F.coalesce(F.sum(F.when(F.col("label") == l, F.col("weight"))), F.lit(0.0))
             .cast("double") for l in labels]).alias("w"))
-        max_words = self.inline_max if max_words is None else max_words
-        if per_word.limit(max_words + 1).count() > max_words:
-            return None
         return per_word.select(F.map_from_entries(F.collect_list(F.struct("word", "w")))).scalar()
 
     def with_emotion(self, df: DataFrame, cleaned_col: str, out_col: str = "emotion",
@@ -107,10 +102,10 @@ class LexiconScorer:
         """C1 + C4 inside each row: chunk the cleaned text, score every chunk
         from the lexicon map, reduce to the post's emotion. Same result as
         ``assign_emotion(score(explode_chunks(...)))`` per row, but narrow:
-        nothing is shuffled. None when the lexicon is too big for a map."""
-        wmap = self.weight_map()
-        if wmap is None:
+        nothing is shuffled. None when ``in_row`` is off."""
+        if not self.in_row:
             return None
+        wmap = self.weight_map()
         labels = self.labels
         priors = [float(self.priors[l]) for l in labels]
         total_prior = float(sum(priors))
@@ -125,9 +120,7 @@ class LexiconScorer:
 
         def top1(h, idx):
             vals = [h.getItem(i) + F.lit(p) for i, p in enumerate(priors)]
-            best = F.least(*[F.struct((-v).alias("nv"), F.lit(l).alias("label"))
-                             for v, l in zip(vals, labels)]) if len(labels) > 1 else \
-                F.struct((-vals[0]).alias("nv"), F.lit(labels[0]).alias("label"))
+            best = _largest(vals, labels)
             total = F.aggregate(h, F.lit(0.0), lambda a, x: a + x)
             return F.struct(best["label"].alias("label"),
                             (-best["nv"] / (total + F.lit(total_prior))).alias("score"),
@@ -156,14 +149,66 @@ class LexiconScorer:
         return (df.withColumn("_lex", wmap).withColumn(out_col, best["label"]).drop("_lex"))
 
 
+def _largest(vals: list[Column], labels: list[str]) -> Column:
+    """``(nv, label)`` of the largest value, ties to the smallest name; values
+    are rounded, so that the order of summing does not decide."""
+    least = [F.struct((-F.round(v, SCORE_TIE_DECIMALS)).alias("nv"), F.lit(l).alias("label"))
+             for v, l in zip(vals, labels)]
+    return F.least(*least) if len(least) > 1 else least[0]
+
+
+@dataclass
+class NaiveBayesScorer:
+    """C1 scorer from a trained naive Bayes head: a chunk's label is the
+    head's class of the largest posterior, its score that probability."""
+
+    model: object
+    head: str
+
+    @property
+    def labels(self) -> list[str]:
+        return [r["class"] for r in self.model.classes() if r["head"] == self.head]
+
+    def score(self, chunks: DataFrame, key_cols: list[str] | None = None,
+              chunk_col: str = "chunk") -> DataFrame:
+        from moodframe.operators.models import class_probabilities, naive_bayes_scores
+
+        key_cols = key_cols or ["doc_id", "chunk_idx"]
+        keyed = chunks.select(F.struct(*key_cols).alias("_key"), chunk_col)
+        scores = naive_bayes_scores(keyed, "_key", chunk_col, self.model, heads=[self.head])
+        probs = class_probabilities(scores, "_key")
+        order = F.struct(-F.round("score", SCORE_TIE_DECIMALS), F.col("class"))
+        best = probs.groupBy("_key").agg(F.min_by(F.struct("class", "prob"), order).alias("b"))
+        return best.select("_key.*", F.col("b.class").alias("label"), F.col("b.prob").alias("score"))
+
+
+@dataclass
+class BatchScorer:
+    """C1 scorer from a function over batches: ``fn`` gets the chunks of an
+    Arrow batch as a pandas Series and returns a frame with ``label`` and
+    ``score``, one row per chunk in the same order."""
+
+    fn: Callable
+    labels: list[str]
+
+    def score(self, chunks: DataFrame, key_cols: list[str] | None = None,
+              chunk_col: str = "chunk") -> DataFrame:
+        key_cols, fn = key_cols or ["doc_id", "chunk_idx"], self.fn
+
+        def run(frames):
+            for frame in frames:
+                rated = fn(frame[chunk_col])
+                yield frame[key_cols].assign(label=list(rated["label"]), score=list(rated["score"]))
+
+        schema = StructType(chunks.select(*key_cols).schema.fields).add("label", "string").add("score", "double")
+        return chunks.select(*key_cols, chunk_col).mapInPandas(run, schema)
+
+
 def top1_from_sums(per_chunk: DataFrame, key_cols: list[str], labels: list[str],
                    priors: list[float], total_prior: float) -> DataFrame:
     """Top-1 (label, score) from per-label hit sums ``h0..h{K-1}``."""
     vals = [F.coalesce(F.col(f"h{i}"), F.lit(0.0)) + F.lit(float(p)) for i, p in enumerate(priors)]
-    # least over (-value, label): the largest value, ties to the smallest name
-    best = F.least(*[F.struct((-v).alias("nv"), F.lit(l).alias("label"))
-                     for v, l in zip(vals, labels)]) if len(labels) > 1 else \
-        F.struct((-vals[0]).alias("nv"), F.lit(labels[0]).alias("label"))
+    best = _largest(vals, labels)
     h_total = sum([F.coalesce(F.col(f"h{i}"), F.lit(0.0)) for i in range(len(labels))],
                   F.lit(0.0))
     return (per_chunk.select(*key_cols, best.alias("best"), h_total.alias("h_total"))
@@ -219,29 +264,30 @@ def enrich_posts(posts: DataFrame, scorer, key_col: str | list[str] = "doc_id",
                  text_col: str = "posts", max_chars: int = 512) -> DataFrame:
     """Clean -> chunk -> score -> reduce -> emoji, one plan.
 
-    When the scorer can work inside the row (``with_emotion``, a lexicon
-    below its size bound) the plan is narrow: scan, project, no shuffle.
-    Otherwise the chunk branch shuffles only map-side-combined per-chunk and
-    per-post aggregates and the text crosses the network once (the join back
-    on the key); posts with no chunk (empty after cleaning) or a null key
-    keep their row with a null emotion and the default emoji. ``scorer`` is
-    any object with ``labels`` and
+    A scorer that works inside the row (``with_emotion``) makes a narrow plan:
+    scan, project, no shuffle. Otherwise every row gets a number, the chunk
+    branch shuffles only map-side-combined per-chunk and per-post aggregates
+    by that number, and the text crosses the network once (the join back), so
+    rows with a null or repeated key are enriched each for itself, too.
+    ``posts`` should then be a scan or a written table, whose rows come in the
+    same order each time. Posts with no chunk (empty after cleaning) keep
+    their row with a null emotion and the default emoji. ``scorer`` is any
+    object with ``labels`` and
     ``score(chunks_df, key_cols, chunk_col) -> (keys..., label, score)``.
     """
-    cleaned = posts.withColumn("cleaned_posts", clean_text(text_col))
     keys = _keys(key_col)
+    rest = [c for c in posts.columns if c not in keys]
+    out = [*keys, *rest, "cleaned_posts", "emotion", emotion_to_emoji("emotion").alias("emoji")]
     in_row = getattr(scorer, "with_emotion", None)
-    out = in_row(cleaned, "cleaned_posts", "emotion", max_chars) if in_row else None
-    if out is not None:
-        rest = [c for c in cleaned.columns if c not in keys]
-        return out.select(*keys, *rest, "emotion", emotion_to_emoji("emotion").alias("emoji"))
-    chunks = explode_chunks(cleaned.select(*keys, "cleaned_posts"), "cleaned_posts", key_col,
+    if in_row:
+        cleaned = posts.withColumn("cleaned_posts", clean_text(text_col))
+        done = in_row(cleaned, "cleaned_posts", "emotion", max_chars)
+        if done is not None:
+            return done.select(*out)
+    numbered = posts.withColumn("_row", F.monotonically_increasing_id())
+    chunks = explode_chunks(numbered.select("_row", clean_text(text_col).alias("cleaned_posts")), "cleaned_posts", "_row",
                             max_chars)
-    scored = scorer.score(chunks, keys + ["chunk_idx"], "chunk")
-    emotions = assign_emotion(scored, scorer.labels, keys)
+    emotions = assign_emotion(scorer.score(chunks, ["_row", "chunk_idx"], "chunk"), scorer.labels, "_row")
     # only the raw posts cross the network for the join back; the cleaned
     # text is recomputed after it (same CPU, half the shuffled bytes)
-    rest = [c for c in posts.columns if c not in keys]
-    return (posts.join(emotions, keys, "left")
-            .select(*keys, *rest, clean_text(text_col).alias("cleaned_posts"), "emotion",
-                    emotion_to_emoji("emotion").alias("emoji")))
+    return numbered.join(emotions, "_row", "left").withColumn("cleaned_posts", clean_text(text_col)).select(*out)

@@ -27,7 +27,7 @@ def register(fn):
 
 # --------------------------------------------------------------------- B text
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return fx.text_table(spark, sf, "documents").select("doc_id", "text")
 
 
 @register
@@ -215,7 +215,8 @@ def undersample(spark, sf):
 
 @register
 def balance_before_after(spark, sf):
-    return D.balance_before_after(_enr(spark, sf), _two_pass(spark, sf), ["emotion", "type"])
+    e = _enr(spark, sf)
+    return D.balance_before_after(e, D.balance_two_pass(e, "emotion", "type", ["doc_id"]), ["emotion", "type"])
 
 
 @register
@@ -237,15 +238,21 @@ HEAD_COLS = ["type", "emotion", "emoji"]
 
 
 def _labelled(spark, sf):
-    return cut_lineage(enriched(spark, sf).select("doc_id", "cleaned_posts", *HEAD_COLS))
+    # a narrow plan over the scan: text is cleaned where it is used, never stored
+    return enriched(spark, sf).select("doc_id", "cleaned_posts", *HEAD_COLS)
 
 
 def _codes(df):
     return {c: E.fit_codes(df, c) for c in HEAD_COLS}
 
 
+def _heads(spark, sf):
+    # keys and labels only, read by several steps of a query
+    return cut_lineage(_labelled(spark, sf).select("doc_id", *HEAD_COLS))
+
+
 def _encoded(spark, sf):
-    lab = _labelled(spark, sf)
+    lab = _heads(spark, sf)
     return E.encode_labels(lab, _codes(lab))
 
 
@@ -256,7 +263,7 @@ def encode_labels(spark, sf):
 
 @register
 def decode_labels(spark, sf):
-    lab = _labelled(spark, sf)
+    lab = _heads(spark, sf)
     codes = _codes(lab)
     out = E.encode_labels(lab, codes).select("doc_id", *[f"label_{c}" for c in HEAD_COLS])
     for c in HEAD_COLS:
@@ -275,7 +282,7 @@ def train_val_split(spark, sf):
 
 @register
 def split_leakage(spark, sf):
-    bal = _two_pass(spark, sf)
+    bal = cut_lineage(_two_pass(spark, sf).select("type", "draw2", "text_key"))
     by_row = E.split_leakage(E.train_val_split(bal, ["type", "draw2"]), "text_key")
     by_text = E.split_leakage(E.train_val_split(bal, ["type", "draw2"], group_cols=["text_key"]),
                               "text_key")
@@ -283,8 +290,12 @@ def split_leakage(spark, sf):
             .unionByName(by_text.select(F.lit("text_group").alias("mode"), "*")))
 
 
+def _cleaned(spark, sf):
+    return _docs(spark, sf).select("doc_id", T.clean_text("text").alias("cleaned_posts"))
+
+
 def _vocab(spark, sf):
-    return E.build_vocabulary(_labelled(spark, sf), "cleaned_posts")
+    return E.build_vocabulary(_cleaned(spark, sf), "cleaned_posts")
 
 
 @register
@@ -293,7 +304,7 @@ def build_vocabulary(spark, sf):
 
 
 def _tokens(spark, sf):
-    return E.encode_tokens(_labelled(spark, sf), "doc_id", "cleaned_posts", _vocab(spark, sf))
+    return E.encode_tokens(_cleaned(spark, sf), "doc_id", "cleaned_posts", _vocab(spark, sf))
 
 
 @register
@@ -323,7 +334,7 @@ ALPHAS = [0.5, 1.0, 2.0]
 
 
 def _split_lab(spark, sf):
-    # the split is a narrow column over the checkpointed labelled table
+    # the split is a narrow column; only the keys are read to find its threshold
     return E.train_val_split(_labelled(spark, sf), ["doc_id"])
 
 
@@ -343,12 +354,7 @@ def _val_preds(spark, sf, alpha=1.0, ngram=1, sp=None, model=None):
 
 
 def _results(val, preds):
-    """G1: decoded truth and prediction of each head, one row per document."""
-    wide = (preds.groupBy("doc_id").pivot("head", HEAD_COLS).agg(F.first("pred"))
-            .select("doc_id", *[F.col(h).alias(f"pred_{h}") for h in HEAD_COLS]))
-    truth = val.select("doc_id", *[F.col(h).alias(f"true_{h}") for h in HEAD_COLS])
-    return truth.join(wide, "doc_id").select(
-        "doc_id", *[c for h in HEAD_COLS for c in (f"true_{h}", f"pred_{h}")])
+    return M.results_table(val, preds, "doc_id", HEAD_COLS)
 
 
 def _results_df(spark, sf):
@@ -383,10 +389,14 @@ def joint_loss(spark, sf):
 @register
 def select_best_candidate(spark, sf):
     sp = _split_lab(spark, sf)
+    counts = M.count_naive_bayes(sp.where(F.col("split") == "train"), "doc_id", "cleaned_posts", HEAD_COLS)
+    val = sp.where(F.col("split") == "val")
+    tokens = cut_lineage(M.document_tokens(val, "doc_id", "cleaned_posts"))
+    truth = cut_lineage(val.select("doc_id", *HEAD_COLS))
     parts = []
     for a in ALPHAS:
-        val, scores, _ = _val_preds(spark, sf, alpha=a, sp=sp)
-        loss = M.joint_loss(scores, val, "doc_id", HEAD_COLS).where(F.col("head") == "sum")
+        scores = M.naive_bayes_scores(val, "doc_id", "cleaned_posts", counts.model(a), counts=tokens)
+        loss = M.joint_loss(scores, truth, "doc_id", HEAD_COLS).where(F.col("head") == "sum")
         parts.append(loss.select(F.lit(a).alias("alpha"), F.round("loss", 6).alias("loss")))
     from functools import reduce as _r
     return M.select_best_candidate(_r(DataFrame.unionByName, parts), "alpha")
@@ -421,23 +431,16 @@ def argmax_class(spark, sf):
 @register
 def predict_table(spark, sf):
     sp, model = _nb(spark, sf)
-    scores = M.naive_bayes_scores(sp, "doc_id", "cleaned_posts", model, heads=["type"])
-    pred = M.argmax_rows(scores, ["doc_id"], out_col="predicted_type")
-    return sp.select("doc_id", *HEAD_COLS).join(pred, "doc_id", "left")
+    return M.predict_table(sp.select("doc_id", *HEAD_COLS, "cleaned_posts"), model, "type", "doc_id", "cleaned_posts",
+                           "predicted_type")
 
 
 @register
 def code_lookup_default(spark, sf):
-    lab = _labelled(spark, sf)
-    codes = _codes(lab)
-    val, _, preds = _val_preds(spark, sf)
-    wide = preds.groupBy("doc_id").pivot("head", HEAD_COLS).agg(F.first("pred"))
-    coded = E.encode_labels(wide, codes, prefix="code_")
-    out = coded.select("doc_id", *[f"code_{h}" for h in HEAD_COLS])
+    codes = _codes(_heads(spark, sf))
+    _, _, preds = _val_preds(spark, sf)
     defaults = {"type": "Unknown", "emotion": "neutral", "emoji": T.EMOJI_MAP["neutral"]}
-    for h in HEAD_COLS:
-        out = E.decode_labels(out, f"code_{h}", codes[h], h).withColumn(
-            h, F.coalesce(F.col(h), F.lit(defaults[h])))
+    out = M.look_up_codes(preds, codes, defaults, "doc_id")
     return out.select("doc_id", F.col("type").alias("personality"), "emotion", "emoji")
 
 
@@ -476,15 +479,10 @@ def compare_models(spark, sf):
 def train_logistic_heads(spark, sf):
     sp = _split_lab(spark, sf)
     train, val = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "val")
-    models = M.train_logistic_heads(train, "cleaned_posts", HEAD_COLS, num_features=1 << 14,
-                                    max_iter=20)
-    parts = []
-    for h, m in models.items():
-        out = m.transform(val.withColumn("_tokens", E.word_tokens("cleaned_posts")))
-        parts.append(out.agg(F.avg((F.col(f"_p_{h}") == F.col(f"_y_{h}")).cast("double"))
-                             .alias("accuracy")).select(F.lit(h).alias("head"), "accuracy"))
-    from functools import reduce as _r
-    return _r(DataFrame.unionByName, parts)
+    models = M.train_logistic_heads(train, "cleaned_posts", HEAD_COLS)
+    preds = M.predict_logistic_heads(val, "doc_id", "cleaned_posts", models)
+    long = _long(_results(val.select("doc_id", *HEAD_COLS), preds))
+    return long.groupBy("head").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
 
 
 def _model_dir(spark):
@@ -497,7 +495,7 @@ def _model_dir(spark):
 def model_save(spark, sf):
     sp, model = _nb(spark, sf)
     path = _model_dir(spark)
-    model.save(path)
+    model.save(path, _codes(_heads(spark, sf)))
     return spark.read.parquet(f"{path}/class_params").select(
         "head", "class", F.col("n_docs").cast("bigint"), "n_tokens",
         F.round("log_prior", 8).alias("log_prior"), F.round("log_denom", 8).alias("log_denom"))
@@ -563,7 +561,7 @@ def relation_filled(spark, sf):
 
 @register
 def class_distribution_compare(spark, sf):
-    lab = _labelled(spark, sf)
+    lab = _heads(spark, sf)
     labels = None
     for h in HEAD_COLS:
         t = E.fit_codes(lab, h).select(F.lit(h).alias("head"), F.col("value").alias("label"))
@@ -814,7 +812,10 @@ def write_enriched(spark, sf):
 
 @register
 def preview_head(spark, sf):
-    return IO.preview_head(enriched(spark, sf), ["doc_id", "type", "emotion", "emoji"], "doc_id")
+    # the five posts first, then only they are scored
+    posts = fx.posts_v(spark, sf)
+    first = IO.preview_head(posts, posts.columns, "doc_id")
+    return S.enrich_posts(first, S.LexiconScorer(fx.lexicon(spark))).select("doc_id", "type", "emotion", "emoji")
 
 
 @register

@@ -192,13 +192,12 @@ g AS (SELECT p2.*, s.split FROM p2 JOIN {_split_sql('p2', ['text_key'])} s USING
 """
 _VOCAB = f"""{_LAB},
 vt AS (SELECT unnest(list_filter(string_split(lower(cleaned_posts), ' '), lambda x: x <> '')) AS token FROM lab),
-vc AS (SELECT token, COUNT(*) AS n FROM vt GROUP BY token HAVING COUNT(*) >= 5),
+vc AS (SELECT token, COUNT(*) AS n FROM vt GROUP BY token),
 vocab AS (SELECT * FROM (VALUES ('[PAD]', 0, 0), ('[UNK]', 1, 0), ('[CLS]', 2, 0), ('[SEP]', 3, 0))
             AS s(token, token_id, n)
           UNION ALL
           SELECT token, token_id, n FROM (
-            SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id, n FROM vc)
-          WHERE token_id < 30522)"""
+            SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id, n FROM vc))"""
 ORACLE["build_vocabulary"] = f"{_VOCAB} SELECT token, CAST(token_id AS BIGINT) AS token_id, CAST(n AS BIGINT) AS n FROM vocab"
 _TOKENS = f"""{_VOCAB},
 dl AS (SELECT doc_id, list_filter(string_split(lower(cleaned_posts), ' '), lambda x: x <> '') AS t FROM lab),
@@ -267,9 +266,9 @@ preds{sfx} AS (SELECT doc_id, head, class AS pred FROM (
             FROM scores{sfx}) WHERE rn = 1),
 probs{sfx} AS (SELECT *, e / SUM(e) OVER (PARTITION BY doc_id, head) AS prob FROM (
              SELECT *, exp(score - MAX(score) OVER (PARTITION BY doc_id, head)) AS e FROM scores{sfx})),
-loss{sfx} AS (SELECT head, AVG(-ln(greatest(p.prob, 1e-15))) AS loss FROM probs{sfx} p
-         JOIN ({_heads_union("(SELECT * FROM sp WHERE split = 'val')", 'doc_id, ')}) t
-         USING (doc_id, head, class) GROUP BY head),
+loss{sfx} AS (SELECT t.head, AVG(-ln(greatest(COALESCE(p.prob, 0), 1e-15))) AS loss
+         FROM ({_heads_union("(SELECT * FROM sp WHERE split = 'val')", 'doc_id, ')}) t LEFT JOIN probs{sfx} p
+         ON p.doc_id = t.doc_id AND p.head = t.head AND p.class = t.class WHERE t.class IS NOT NULL GROUP BY t.head),
 results{sfx} AS (SELECT v.doc_id, v.type AS true_type, pt.pred AS pred_type, v.emotion AS true_emotion,
                    pe.pred AS pred_emotion, v.emoji AS true_emoji, pj.pred AS pred_emoji
             FROM (SELECT * FROM sp WHERE split = 'val') v

@@ -1,5 +1,6 @@
 """Session helpers: building a local session for tests/bench, the checkpoint
-folder, and size-checked broadcasting.
+folder, and constant tables. Joins carry no broadcast hint: the planner and
+AQE choose from the sizes they measure.
 
 On a cluster the session comes from the launcher; nothing here overrides a
 setting the cluster already made (``spark.checkpoint.dir`` in particular).
@@ -12,12 +13,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Row bound under which a dimension-like table (lexicon, code table, model
-# parameters) is broadcast. Above it the planner's shuffle join is used.
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "moodframe") -> SparkSession:
@@ -81,63 +76,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Byte bound for trusting the optimizer's size estimate without a count.
-BROADCAST_MAX_BYTES = 64 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df``, when it is an upper bound.
-
-    Without a generator (explode, cube) in the plan, every operator's estimate
-    is at most its input's (filters, projections, aggregates) or a product or
-    sum of its inputs (joins, unions), so the estimate bounds the real size.
-    A generator multiplies rows, so then None is returned.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    text = plan.treeString()
-    if "Generate " in text or "Expand " in text:
-        return None
-    return int(str(plan.stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the table's size.
-
-    An upper-bound size estimate under ``BROADCAST_MAX_BYTES`` settles it at
-    planning time; otherwise one bounded count over the table decides. A
-    table above the bound is returned unhinted so the planner keeps a shuffle
-    join (AQE may still turn it into a broadcast from runtime statistics).
-    """
-    est = estimated_bytes(df)
-    if est is not None and est <= BROADCAST_MAX_BYTES:
-        return F.broadcast(df)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-# Text tables whose per-row work is CPU heavy (regex cleaning, chunking).
-TEXT_TABLES = {"documents", "conversations"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one of the driver's parquet tables (text tables spread over the
-    cores when the file has too few splits, see :func:`spread`)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame, parallelism: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    A single-row-group file is read by one task, and every narrow step after
-    it (regex cleaning, chunking) would run on one core. The split count is
-    known at planning time; a large input already has enough splits and is
-    returned unchanged, so this adds no shuffle at scale.
-    """
-    target = parallelism or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    """Read one of the driver's parquet tables."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:

@@ -89,9 +89,17 @@ def type_of_source(source_col: str = "source"):
     return F.get(types, idx)
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table of the driver, dealt to all cores. Its files hold a single
+    row group each, so that a scan alone would clean the text on one core; a
+    table of many splits needs no such step, and the library takes none."""
+    df = table(spark, sf_dir, name)
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def posts_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> (doc_id, type, lang, posts, n_chars)."""
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents")
     return d.select("doc_id", type_of_source("source").alias("type"), "lang",
                     F.col("text").alias("posts"), "n_chars")
 

@@ -12,7 +12,7 @@ from conftest import SF_SMALL
 # pyspark.ml heads; sources/sinks write files while planning.
 SKIP = {"stream_conversation_summary", "stream_enrich_posts", "train_logistic_heads",
         "read_posts_csv", "write_enriched", "model_save", "model_load"}
-CHECKED = sorted(q for q in E.queries() if q not in SKIP)
+CHECKED = sorted(q for q in E.QUERIES if q not in SKIP)
 
 
 def _plan(df) -> str:
