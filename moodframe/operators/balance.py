@@ -14,13 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodframe.functions.hashing import DEFAULT_SEED, md5int
-from moodframe.operators.keyed import DEFAULT_BUCKETS, dense_index
+from moodframe.operators.keyed import dense_index
 
 # Draw rows generated per block row (bounds one generator's output).
 DRAW_BLOCK = 100_000
 # Largest expected multiplicity of one (class, row) join key before it is salted.
 SALT_TARGET = 10_000
-MAX_SALT = 4096
 
 
 def class_counts(df: DataFrame, class_col: str) -> DataFrame:
@@ -61,7 +60,7 @@ def _class_sizes(df: DataFrame, class_col: str) -> DataFrame:
 
 def oversample(df: DataFrame, class_col: str, key_cols: list[str], target: int | None = None,
                seed: int = DEFAULT_SEED, draw_col: str = "draw",
-               buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Bootstrap every class with replacement to ``target`` rows (default:
     the biggest class' size).
 
@@ -81,9 +80,9 @@ def oversample(df: DataFrame, class_col: str, key_cols: list[str], target: int |
     else:
         tgt = F.lit(int(target)).cast("bigint")
     sizes = sizes.withColumn("_t", tgt).withColumn(
-        "_salt", F.least(F.lit(MAX_SALT).cast("bigint"), F.greatest(
+        "_salt", F.greatest(
             F.lit(1).cast("bigint"),
-            F.ceil(F.col("_t") / (F.col("n_c") * F.lit(SALT_TARGET))).cast("bigint"))))
+            F.ceil(F.col("_t") / (F.col("n_c") * F.lit(SALT_TARGET))).cast("bigint")))
     draws = _draw_rows(sizes, class_col, "_t", draw_col).select(
         class_col, draw_col,
         F.pmod(md5int(F.col(class_col), F.col(draw_col), seed=seed), F.col("n_c")).alias("_idx"),
@@ -108,7 +107,7 @@ def balance_two_pass(df: DataFrame, first_col: str, second_col: str, key_cols: l
 
 
 def shuffle_reindex(df: DataFrame, key_cols: list[str], seed: int = DEFAULT_SEED,
-                    out_col: str = "row_idx", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    out_col: str = "row_idx", buckets: int | None = None) -> DataFrame:
     """Seeded random order with a new dense 0-based index, computed by hash
     range buckets (no single-partition window)."""
     h = df.withColumn("_h", md5int(F.lit("shuffle"), *key_cols, seed=seed)) \
@@ -117,7 +116,7 @@ def shuffle_reindex(df: DataFrame, key_cols: list[str], seed: int = DEFAULT_SEED
 
 
 def undersample(df: DataFrame, class_col: str, key_cols: list[str], seed: int = DEFAULT_SEED,
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Every class cut to the smallest class' size, without replacement,
     keeping the rows with the smallest seeded hash."""
     src = df.where(F.col(class_col).isNotNull())
@@ -192,7 +191,7 @@ def _salted_rows(indexed: DataFrame, sizes: DataFrame, class_col: str) -> DataFr
 
 def synthetic_oversample(df: DataFrame, class_col: str, key_cols: list[str], vec_col: str,
                          seed: int = DEFAULT_SEED, draw_col: str = "k",
-                         buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                         buckets: int | None = None) -> DataFrame:
     """D10 (re-aimed SMOTE): grow every class to the biggest class' size with
     synthetic vectors ``x + u (y - x)``, where ``x`` (base) and ``y`` (partner)
     are rows of the same class picked by seeded hashes of ``(class, k)`` and
@@ -209,9 +208,8 @@ def synthetic_oversample(df: DataFrame, class_col: str, key_cols: list[str], vec
     indexed = dense_index(keyed, [class_col], "_h", key_cols, "_idx", buckets).drop("_h")
     sizes = _class_sizes(src, class_col).withColumn(
         "_need", F.max("n_c").over(Window.partitionBy(F.lit(1))) - F.col("n_c"))
-    sizes = sizes.withColumn("_salt", F.least(
-        F.lit(MAX_SALT).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), F.ceil(
-            F.col("_need") / (F.col("n_c") * F.lit(SALT_TARGET))).cast("bigint"))))
+    sizes = sizes.withColumn("_salt", F.greatest(F.lit(1).cast("bigint"), F.ceil(
+            F.col("_need") / (F.col("n_c") * F.lit(SALT_TARGET))).cast("bigint")))
     draws = _draw_rows(sizes, class_col, "_need", draw_col).select(
         class_col, draw_col,
         F.pmod(md5int(F.lit("base"), F.col(class_col), F.col(draw_col), seed=seed), F.col("n_c"))

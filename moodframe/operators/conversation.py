@@ -43,14 +43,15 @@ def conversation_cut(turns: DataFrame, key_col: str = "conv_id", turn_col: str =
                      text_col: str = "text", role_col: str = "role",
                      word_boundary: bool = False) -> DataFrame:
     """H3: turns strictly before the first exit turn; ``ended`` marks
-    conversations that have one. The exit turn itself is not kept."""
-    flagged = turns.withColumn("_exit", is_exit(text_col, role_col, word_boundary=word_boundary))
-    cuts = flagged.groupBy(key_col).agg(
-        F.min(F.when(F.col("_exit"), F.col(turn_col))).alias("_cut"))
-    return (flagged.join(cuts, key_col)
+    conversations that have one. The exit turn itself is not kept, nor are
+    turns without a number of a conversation that has one. Turns without a
+    key are one conversation. Only conversations with an exit turn are joined."""
+    exits = turns.where(is_exit(text_col, role_col, word_boundary=word_boundary))
+    cuts = exits.groupBy(F.col(key_col).alias("_key")).agg(F.min(turn_col).alias("_cut")).where(F.col("_cut").isNotNull())
+    return (turns.join(cuts, F.col(key_col).eqNullSafe(F.col("_key")), "left")
             .where(F.col("_cut").isNull() | (F.col(turn_col) < F.col("_cut")))
             .withColumn("ended", F.col("_cut").isNotNull())
-            .drop("_exit", "_cut"))
+            .drop("_key", "_cut"))
 
 
 def _ordered_join(values: Column, turn_col: str, sep: str) -> Column:
@@ -117,4 +118,6 @@ def conversation_summary(kept: DataFrame, scorer, nb_model, key_col: str = "conv
     docs = kept.select(key_col, clean_text(text_col).alias("_clean"))
     scores = naive_bayes_scores(docs, key_col, "_clean", nb_model, heads=["type"])
     pers = argmax_rows(scores, [key_col], out_col="personality")
-    return pers.join(dom, key_col, "left").select(key_col, "personality", "dominant_emotion", "emoji")
+    dom = dom.withColumnRenamed(key_col, "_key")
+    return pers.join(dom, F.col(key_col).eqNullSafe(F.col("_key")), "left").select(
+        key_col, "personality", "dominant_emotion", "emoji")

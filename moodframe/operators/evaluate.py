@@ -10,8 +10,6 @@ never in one global window over raw rows.
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +32,14 @@ def results_long(results: DataFrame, pairs: list[tuple[str, str]],
     return results.select(F.inline(arr))
 
 
+def outcome_counts(long: DataFrame) -> DataFrame:
+    """``(head, y_true, y_pred, n)``: all reports follow from this small table.
+    A table that has an ``n`` already is taken for one."""
+    if "n" in long.columns:
+        return long
+    return long.groupBy("head", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
+
+
 def labels_present(long: DataFrame) -> DataFrame:
     """Sorted distinct labels in the truth, per head, with their rank."""
     d = long.where(F.col("y_true").isNotNull()).select("head", F.col("y_true").alias("label")).distinct()
@@ -57,11 +63,12 @@ def confusion_matrix(long: DataFrame) -> DataFrame:
 
 def _per_class_counts(long: DataFrame) -> DataFrame:
     """``(head, label, tp, support, n_pred)`` for labels present in the truth."""
-    by_true = long.where(F.col("y_true").isNotNull()).groupBy("head", F.col("y_true").alias("label")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.sum(F.when(F.col("y_true") == F.col("y_pred"), 1).otherwise(0)).alias("tp"))
-    by_pred = long.where(F.col("y_pred").isNotNull()).groupBy(
-        "head", F.col("y_pred").alias("label")).agg(F.count(F.lit(1)).alias("n_pred"))
+    counts = outcome_counts(long)
+    by_true = counts.where(F.col("y_true").isNotNull()).groupBy("head", F.col("y_true").alias("label")).agg(
+        F.sum("n").alias("support"),
+        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("tp"))
+    by_pred = counts.where(F.col("y_pred").isNotNull()).groupBy(
+        "head", F.col("y_pred").alias("label")).agg(F.sum("n").alias("n_pred"))
     return (by_true.join(by_pred, ["head", "label"], "left")
             .select("head", "label", F.col("tp").cast("bigint"), F.col("support").cast("bigint"),
                     F.coalesce("n_pred", F.lit(0)).cast("bigint").alias("n_pred")))
@@ -82,16 +89,14 @@ def report_averages(long: DataFrame) -> DataFrame:
     """Per head ``accuracy`` (or ``micro avg`` when some prediction is
     outside the truth's label set), ``macro avg`` and ``weighted avg``.
     The accuracy row carries its value in ``f1`` (precision/recall null)."""
-    rep = class_report(long)
-    cnt = _per_class_counts(long)
-    labels = long.where(F.col("y_true").isNotNull()).select("head", F.col("y_true").alias("lbl")).distinct()
-    outside = (long.where(F.col("y_pred").isNotNull())
-               .join(labels, (long["head"] == labels["head"]) & (F.col("y_pred") == F.col("lbl")),
-                     "left_anti")
-               .groupBy("head").agg(F.count(F.lit(1)).alias("n_out")))
-    tot = long.groupBy("head").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("y_true") == F.col("y_pred"), 1).otherwise(0)).alias("n_ok"))
+    counts = outcome_counts(long)
+    rep = class_report(counts)
+    cnt = _per_class_counts(counts)
+    labels = counts.where(F.col("y_true").isNotNull()).select("head", F.col("y_true").alias("y_pred")).distinct()
+    outside = (counts.where(F.col("y_pred").isNotNull()).join(labels, ["head", "y_pred"], "left_anti")
+               .groupBy("head").agg(F.sum("n").alias("n_out")))
+    tot = counts.groupBy("head").agg(
+        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("n_ok"), F.sum("n").alias("n"))
     micro = cnt.groupBy("head").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("np"),
                                     F.sum("support").alias("ns"))
     head = tot.join(micro, "head").join(outside, "head", "left") \
@@ -121,9 +126,10 @@ def report_averages(long: DataFrame) -> DataFrame:
 
 def report_long(long: DataFrame) -> DataFrame:
     """The report as one table: class rows then the average rows."""
-    rep = class_report(long).select("head", F.col("label").alias("row"), "precision", "recall",
-                                    "f1", "support")
-    avg = report_averages(long).select("head", F.col("avg").alias("row"), "precision", "recall",
+    counts = outcome_counts(long)
+    rep = class_report(counts).select("head", F.col("label").alias("row"), "precision", "recall",
+                                      "f1", "support")
+    avg = report_averages(counts).select("head", F.col("avg").alias("row"), "precision", "recall",
                                        "f1", "support")
     return rep.unionByName(avg)
 
@@ -187,9 +193,9 @@ def numeric_histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
 
 def density_curve(df: DataFrame, col: str, points: int = 64) -> DataFrame:
     """Gaussian kernel density on a ``points`` grid over [min, max],
-    Scott bandwidth ``h = s * n^(-1/5)``. Each row contributes to every grid
-    point inside its task (a generator) and the partial sums are combined
-    map-side, so only ``points`` values per task are shuffled."""
+    Scott bandwidth ``h = s * n^(-1/5)``. One aggregate with a sum for each
+    grid point over the distinct values and their counts; no row is repeated
+    and one row of ``points`` sums per task is shuffled."""
     st = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.stddev_samp(col).alias("s"),
                 F.count(col).alias("n")).first()
     lo, hi, s, n = st["lo"], st["hi"], st["s"], st["n"]
@@ -198,14 +204,13 @@ def density_curve(df: DataFrame, col: str, points: int = 64) -> DataFrame:
         return spark.createDataFrame([], "point bigint, x double, density double")
     h = s * n ** (-0.2)
     step = (hi - lo) / (points - 1)
-    gx = F.lit(lo) + F.col("point") * F.lit(step)
-    contrib = (df.where(F.col(col).isNotNull())
-               .select(F.col(col).alias("v"),
-                       F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-               .select("point", F.exp(-0.5 * F.pow((gx - F.col("v")) / F.lit(h), 2)).alias("k")))
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    return (contrib.groupBy("point").agg(F.sum("k").alias("k"))
-            .select(F.col("point").cast("bigint"), gx.alias("x"), (F.col("k") * norm).alias("density")))
+    values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    sums = values.agg(*[F.sum(F.col("n") * F.exp(-0.5 * F.pow((F.lit(lo + p * step) - F.col("v")) / F.lit(h), 2))).alias(f"k{p}")
+                        for p in range(points)])
+    grid = F.array(*[F.struct(F.lit(p).cast("bigint").alias("point"), F.lit(lo + p * step).alias("x"),
+                              (F.col(f"k{p}") * norm).alias("density")) for p in range(points)])
+    return sums.select(F.inline(grid))
 
 
 def crosstab_margins(results: DataFrame, row_col: str, col_col: str) -> DataFrame:
@@ -313,17 +318,15 @@ def pair_moments_by_class(df: DataFrame, class_col: str, cols: list[str]) -> Dat
     """G19 (moments): per class and numeric pair: n, means, sample std devs and
     covariance (pairwise-complete)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    parts = []
-    for a, b in pairs:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        parts.append(both.groupBy(class_col).agg(
-            F.count(F.lit(1)).cast("bigint").alias("n"), F.avg(x).alias("mean_a"),
-            F.avg(y).alias("mean_b"), F.stddev_samp(x).alias("std_a"),
-            F.stddev_samp(y).alias("std_b"), F.covar_samp(x, y).alias("cov"))
-            .select(class_col, F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "mean_a", "mean_b",
-                    "std_a", "std_b", "cov"))
-    return reduce(DataFrame.unionByName, parts)
+    aggs = []
+    for k, (a, b) in enumerate(pairs):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+        aggs += [F.count(x).cast("bigint").alias(f"n{k}"), F.avg(x).alias(f"mean_a{k}"), F.avg(y).alias(f"mean_b{k}"),
+                 F.stddev_samp(x).alias(f"std_a{k}"), F.stddev_samp(y).alias(f"std_b{k}"), F.covar_samp(x, y).alias(f"cov{k}")]
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *[
+        F.col(f"{c}{k}").alias(c) for c in ("n", "mean_a", "mean_b", "std_a", "std_b", "cov")]) for k, (a, b) in enumerate(pairs)])
+    return df.groupBy(class_col).agg(*aggs).select(class_col, F.inline(rows)).where("n > 0")
 
 
 def pair_bins_by_class(df: DataFrame, class_col: str, a: str, b: str, bins: int = 10) -> DataFrame:

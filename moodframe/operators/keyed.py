@@ -5,7 +5,7 @@ Rows are range-bucketed on the hash's high bits, so buckets follow the hash
 order. A small ``(class, bucket) -> count`` table gives each bucket its
 offset (a running sum over at most ``buckets`` rows per class) and the row
 number is taken inside ``(class, bucket)`` only. A hot class is therefore
-spread over ``buckets`` window partitions.
+spread over ``buckets`` window partitions, whose number follows from the rows.
 """
 
 from __future__ import annotations
@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 
 
 HASH_SPACE = 1 << 60
-DEFAULT_BUCKETS = 1024
+# Rows that one window partition numbers, and the least number of buckets.
+ROWS_PER_BUCKET = 50_000
+MIN_BUCKETS = 1024
 
 
 def dense_index(df: DataFrame, class_cols: list[str], hash_col: str, tie_cols: list[str],
-                out_col: str = "idx", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                out_col: str = "idx", buckets: int | None = None) -> DataFrame:
     """Add ``out_col`` = rank (0-based) of the row inside its class by
     ``(hash_col, *tie_cols)``. ``hash_col`` must be a BIGINT in [0, 2^60)."""
+    if buckets is None:  # as many as keep a bucket small, whatever the size
+        buckets = max(MIN_BUCKETS, df.count() // ROWS_PER_BUCKET)
     width = HASH_SPACE // buckets + 1
     b = df.withColumn("_bkt", F.expr(f"`{hash_col}` div {width}"))
     counts = b.groupBy(*class_cols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from moodframe.functions import text as T
 from moodframe.operators import scoring as S
 from moodframe.sources import fixtures as fx
-from moodframe.session import cut_lineage, table
+from moodframe.session import cut_lineage, scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -475,6 +475,23 @@ def compare_models(spark, sf):
     return M.compare_models(tables)
 
 
+@register
+def compare_models_with_logistic(spark, sf):
+    """F10 with the logistic heads as a third candidate (no SQL twin)."""
+    sp = cut_lineage(_split_lab(spark, sf).select("doc_id", *HEAD_COLS, "split"))
+    text = _cleaned(spark, sf).join(sp, "doc_id")
+    train, val = text.where(F.col("split") == "train"), text.where(F.col("split") == "val")
+    truth, tables = sp.where(F.col("split") == "val"), {}
+    for name, ng in [("nb_unigram", 1), ("nb_bigram", 2)]:
+        model = M.train_naive_bayes(train, "doc_id", "cleaned_posts", HEAD_COLS, ngram=ng)
+        scores = M.naive_bayes_scores(val, "doc_id", "cleaned_posts", model)
+        tables[name] = _metrics(cut_lineage(_results(truth, M.argmax_rows(scores, ["doc_id", "head"]))))
+    models = M.train_logistic_heads(train, "cleaned_posts", HEAD_COLS)
+    preds = M.predict_logistic_heads(val, "doc_id", "cleaned_posts", models)
+    tables["logistic"] = _metrics(cut_lineage(_results(truth, preds)))
+    return M.compare_models(tables)
+
+
 @register
 def train_logistic_heads(spark, sf):
     sp = _split_lab(spark, sf)
@@ -485,16 +502,10 @@ def train_logistic_heads(spark, sf):
     return long.groupBy("head").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
 
 
-def _model_dir(spark):
-    from moodframe.session import ensure_checkpoint_dir
-    import uuid
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/nb-{uuid.uuid4().hex}"
-
-
 @register
 def model_save(spark, sf):
     sp, model = _nb(spark, sf)
-    path = _model_dir(spark)
+    path = scratch_dir(spark, "model")
     model.save(path, _codes(_heads(spark, sf)))
     return spark.read.parquet(f"{path}/class_params").select(
         "head", "class", F.col("n_docs").cast("bigint"), "n_tokens",
@@ -504,7 +515,7 @@ def model_save(spark, sf):
 @register
 def model_load(spark, sf):
     sp, model = _nb(spark, sf)
-    path = _model_dir(spark)
+    path = scratch_dir(spark, "model")
     model.save(path)
     loaded = M.NaiveBayesModel.load(spark, path)
     return _val_preds(spark, sf, sp=sp, model=loaded)[2]
@@ -738,12 +749,6 @@ def conversation_summary(spark, sf):
     return C.conversation_summary(_kept(spark, sf), S.LexiconScorer(fx.lexicon(spark)), model)
 
 
-def _scratch(spark, name):
-    import uuid
-    from moodframe.session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _land_in_batches(df, path, key_cols, n_batches=5):
     """Write a table as ``n_batches`` appends, rows scattered by a seeded hash
     of their key, so one conversation's turns arrive over several batches
@@ -765,17 +770,19 @@ def _files_per_trigger(spark, path, micro_batches=3):
 @register
 def stream_conversation_summary(spark, sf):
     from moodframe.streaming.conversations import run_conversation_stream
-    src = _scratch(spark, "conv-landing")
+    src = scratch_dir(spark, "conv-landing")
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     _land_in_batches(turns, src, ["conv_id", "turn"])
+    _, model = _nb(spark, sf)
     return run_conversation_stream(spark, src, "conv_id bigint, turn bigint, role string, text string",
+                                   S.LexiconScorer(fx.lexicon(spark)), model,
                                    files_per_batch=_files_per_trigger(spark, src))
 
 
 @register
 def stream_enrich_posts(spark, sf):
     from moodframe.streaming.posts import run_enrich_stream
-    src = _scratch(spark, "posts-landing")
+    src = scratch_dir(spark, "posts-landing")
     _land_in_batches(fx.posts_v(spark, sf), src, ["doc_id"], 4)
     from moodframe.sources.io import POSTS_SCHEMA
     return run_enrich_stream(spark, src, POSTS_SCHEMA, S.LexiconScorer(fx.lexicon(spark)),
@@ -788,7 +795,7 @@ from moodframe.sources import io as IO  # noqa: E402
 
 @register
 def read_posts_csv(spark, sf):
-    path = _scratch(spark, "posts-csv")
+    path = scratch_dir(spark, "posts-csv")
     IO.write_csv(fx.posts_v(spark, sf), path)
     return IO.read_posts_csv(spark, path)
 
@@ -797,15 +804,13 @@ def read_posts_csv(spark, sf):
 def write_enriched(spark, sf):
     e = enriched(spark, sf).select("doc_id", "type", "lang", "posts", "n_chars", "cleaned_posts",
                                    "emotion", "emoji")
-    base = _scratch(spark, "enriched")
-    e = cut_lineage(e)
+    base = scratch_dir(spark, "enriched")
     IO.write_parquet(e, f"{base}/parquet")
+    e = IO.read_parquet(spark, f"{base}/parquet")
     IO.write_csv(e, f"{base}/csv")
-    cols = ["doc_id", "type", "emotion", "emoji", "cleaned_posts"]
-    pq = IO.table_checksum(IO.read_parquet(spark, f"{base}/parquet"), cols)
-    cs = IO.table_checksum(spark.read.schema(IO.ENRICHED_SCHEMA).option("header", "true")
-                           .option("multiLine", "true").option("escape", '"')
-                           .csv(f"{base}/csv"), cols)
+    cols = ["doc_id", "type", "emotion", "emoji", "posts", "cleaned_posts"]
+    pq = IO.table_checksum(e, cols)
+    cs = IO.table_checksum(IO.read_csv(spark, f"{base}/csv", IO.ENRICHED_SCHEMA), cols)
     return (pq.select(F.lit("parquet").alias("format"), "*")
             .unionByName(cs.select(F.lit("csv").alias("format"), "*")))
 

@@ -546,7 +546,7 @@ ORACLE["segment_emotions"] = f"{_SEG} SELECT conv_id, turn, emotion, emoji FROM
 ORACLE["emotion_frequency"] = f"{_SEG}, {_FREQ} SELECT * FROM freq"
 ORACLE["dominant_emotion"] = (f"{_SEG}, {_FREQ} SELECT conv_id, dominant_emotion, "
                               f"{P.emoji('dominant_emotion')} AS emoji FROM dom")
-ORACLE["conversation_summary"] = f"""{_SPLIT_LAB}, {_nb_ctes()}, {_CONV},
+_SUMMARY = f"""{_SPLIT_LAB}, {_nb_ctes()}, {_CONV},
 {P.score_ctes('s_', 'kept', ['conv_id', 'turn'], 'text')}, {_FREQ},
 ctok AS (SELECT conv_id, token, COUNT(*) AS cnt FROM (
          SELECT conv_id, unnest({_feats(P.clean('text'), 1)}) AS token FROM kept) GROUP BY ALL),
@@ -560,17 +560,19 @@ cs AS (SELECT l.conv_id, c.class, c.log_prior - l.len * c.log_denom + COALESCE(m
        LEFT JOIN cmt m ON m.conv_id = l.conv_id AND m.class = c.class),
 pers AS (SELECT conv_id, class AS personality FROM (
          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 6) DESC, class) AS rn FROM cs)
-         WHERE rn = 1)
-SELECT pers.conv_id, pers.personality, dom.dominant_emotion,
-       {P.emoji('dom.dominant_emotion')} AS emoji FROM pers LEFT JOIN dom USING (conv_id)
+         WHERE rn = 1),
+summary AS (SELECT pers.conv_id, pers.personality, dom.dominant_emotion,
+       {P.emoji('dom.dominant_emotion')} AS emoji FROM pers LEFT JOIN dom USING (conv_id))
 """
-ORACLE["stream_conversation_summary"] = f"""WITH {_CONV}
+ORACLE["conversation_summary"] = f"{_SUMMARY} SELECT * FROM summary"
+ORACLE["stream_conversation_summary"] = f"""{_SUMMARY}
 SELECT t.conv_id, t.n_seen, c.cut IS NOT NULL AS ended, CAST(COALESCE(k.n_kept, 0) AS BIGINT) AS n_kept,
-       COALESCE(k.text, '') AS text
+       COALESCE(k.text, '') AS text, s.personality, s.dominant_emotion, s.emoji
 FROM (SELECT conv_id, CAST(COUNT(*) AS BIGINT) AS n_seen FROM turns GROUP BY conv_id) t
 JOIN cuts c USING (conv_id)
 LEFT JOIN (SELECT conv_id, COUNT(*) AS n_kept, string_agg(text, ' ' ORDER BY turn) AS text
            FROM kept GROUP BY conv_id) k USING (conv_id)
+LEFT JOIN summary s USING (conv_id)
 """
 ORACLE["stream_enrich_posts"] = ORACLE["enrich_posts"]
 
@@ -584,7 +586,7 @@ def _checksum_sql(src: str, cols: list[str]) -> str:
             f"CAST(SUM(CAST(('0x' || substr(md5({key}), 1, 7)) AS BIGINT)) AS BIGINT) AS checksum FROM {src}")
 
 
-_CK = ["doc_id", "type", "emotion", "emoji", "cleaned_posts"]
+_CK = ["doc_id", "type", "emotion", "emoji", "posts", "cleaned_posts"]
 ORACLE["write_enriched"] = (f"{_E} SELECT 'parquet' AS format, * FROM ({_checksum_sql('enriched', _CK)}) "
                             f"UNION ALL SELECT 'csv', * FROM ({_checksum_sql('enriched', _CK)})")
 ORACLE["preview_head"] = f"{_E} SELECT doc_id, type, emotion, emoji FROM enriched ORDER BY doc_id LIMIT 5"

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.functions.text import DEFAULT_EMOJI, EMOJI_MAP
 from moodframe.session import local_table, table
 
 # The 16 personality types in sorted (code) order.
@@ -113,24 +112,6 @@ def lemma(spark: SparkSession) -> DataFrame:
     return local_table(spark, LEMMAS, "form string, lemma string")
 
 
-def stop_words(spark: SparkSession) -> DataFrame:
-    return local_table(spark, [(w,) for w in spark_stop_words()], "word string")
-
-
-def emoji_map(spark: SparkSession) -> DataFrame:
-    return local_table(spark, list(EMOJI_MAP.items()) + [(None, DEFAULT_EMOJI)],
-                                 "emotion string, emoji string")
-
-
 def edge_texts(spark: SparkSession) -> DataFrame:
     rows = [(i, t) for i, t in enumerate(EDGE_TEXTS)] + [(len(EDGE_TEXTS), None)]
     return local_table(spark, rows, "id int, text string")
-
-
-def turns_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(F.col("role") != "system")
-
-
-def labelled_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """posts_v joined with binary truth from ``labels``."""
-    return posts_v(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")

@@ -10,31 +10,37 @@ POSTS_SCHEMA = "doc_id bigint, type string, lang string, posts string, n_chars b
 ENRICHED_SCHEMA = ("doc_id bigint, type string, lang string, posts string, n_chars bigint, "
                    "cleaned_posts string, emotion string, emoji string")
 
+# Written for a null, so that it is not read as an empty text; a text of just
+# this character cannot be told from it.
+CSV_NULL = "\u0000"
+# The same on both sides: nothing is trimmed, and every cell is quoted.
 CSV_OPTIONS = {
     "header": "true",
-    "multiLine": "true",
     "quote": '"',
     "escape": '"',
-    "nullValue": None,
-    "emptyValue": "",
-    "mode": "FAILFAST",
+    "nullValue": CSV_NULL,
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
 }
+# Rows in a CSV file: a file whose cells hold newlines is one task's work.
+CSV_FILE_ROWS = 100_000
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Header CSV whose text cells may hold commas, quotes, newlines and blanks."""
+    return (spark.read.schema(schema).options(**CSV_OPTIONS, multiLine="true", emptyValue="", mode="FAILFAST").csv(path))
 
 
 def read_posts_csv(spark: SparkSession, path: str, schema: str = POSTS_SCHEMA) -> DataFrame:
-    """A1: header CSV whose text cells may hold commas, quotes and newlines."""
-    r = spark.read.schema(schema)
-    for k, v in CSV_OPTIONS.items():
-        if v is not None:
-            r = r.option(k, v)
-    return r.csv(path)
-
-
-def write_csv(df: DataFrame, path: str) -> None:
-    """A2 (CSV): header, quotes doubled, empty strings kept as ``""``."""
-    w = df.write.mode("overwrite").option("header", "true").option("quote", '"') \
-        .option("escape", '"').option("emptyValue", '""')
-    w.csv(path)
+    """A1: posts from header CSV."""
+    return read_csv(spark, path, schema)
+
+
+def write_csv(df: DataFrame, path: str, rows_per_file: int = CSV_FILE_ROWS) -> None:
+    """A2 (CSV): header, quotes doubled, blanks and empty strings kept, nulls
+    marked, at most ``rows_per_file`` rows a file."""
+    (df.write.mode("overwrite").options(**CSV_OPTIONS, quoteAll="true", emptyValue="", maxRecordsPerFile=rows_per_file)
+     .csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -3,31 +3,39 @@
 Each conversation's turns are state (``applyInPandasWithState``). Turns may
 arrive in any order and in any micro-batch, so the state is never closed on
 the first exit turn seen: new turns are merged, sorted by turn, the cut is
-re-applied, and an updated summary ``(conv_id, n_seen, ended, n_kept, text)``
-is emitted. Turns after the current cut can never come back into the kept
-set (the cut only moves earlier), so they are dropped from the state; the
-state is therefore at most the kept transcript, which is also the output.
-The final answer for a conversation is its row with the largest ``n_seen``.
+re-applied, and the kept turns are emitted. Turns after the current cut can
+never come back into the kept set (the cut only moves earlier), so they are
+dropped from the state, which is at most the kept transcript.
+
+Each micro-batch then summarises the conversations it changed with the batch
+operators (personality, dominant emotion, emoji) and writes its own folder,
+so a batch that is repeated after a failure replaces what it wrote before.
+The final answer for a conversation is its row of the latest batch.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from moodframe.operators.conversation import EXIT_WORDS, exit_pattern
-from moodframe.session import ensure_checkpoint_dir
+from moodframe.operators.conversation import EXIT_WORDS, conversation_summary, conversation_turns, exit_pattern
+from moodframe.operators.models import NaiveBayesModel
+from moodframe.session import scratch_dir
 
-OUTPUT_SCHEMA = "conv_id bigint, n_seen bigint, ended boolean, n_kept bigint, text string"
+OUTPUT_SCHEMA = ("conv_id bigint, n_seen bigint, ended boolean, n_kept bigint, "
+                 "kept array<struct<turn: bigint, role: string, text: string>>")
 STATE_SCHEMA = ("n_seen bigint, cut bigint, turns array<bigint>, roles array<string>, "
                 "texts array<string>")
 
 
+def _whole(value) -> int | None:
+    return None if pd.isna(value) else int(value)
+
+
 def _make_reducer(words: list[str], word_boundary: bool):
     pat = re.compile(exit_pattern(words, word_boundary))
 
@@ -42,21 +50,22 @@ def _make_reducer(words: list[str], word_boundary: bool):
             n_seen, cut, turns, roles, texts = 0, None, [], [], []
         for pdf in batches:
             n_seen += len(pdf)
-            turns += [int(t) for t in pdf["turn"]]
+            turns += [_whole(t) for t in pdf["turn"]]
             roles += [r for r in pdf["role"]]
             texts += [t for t in pdf["text"]]
-        rows = sorted(zip(turns, roles, texts), key=lambda r: r[0])
-        for t, r, x in rows:
-            if r == "user" and x is not None and pat.search(x.lower()):
-                cut = t if cut is None else min(cut, t)
-                break
+        # as in the batch cut: a turn without a number is first, and it is
+        # kept only while the conversation has no cut
+        rows = sorted(zip(turns, roles, texts), key=lambda r: (r[0] is not None, r[0] or 0))
+        exits = [t for t, r, x in rows if t is not None and r == "user" and x is not None and pat.search(x.lower())]
+        if exits:
+            cut = min(exits) if cut is None else min(cut, *exits)
         if cut is not None:
-            rows = [r for r in rows if r[0] < cut]
+            rows = [r for r in rows if r[0] is not None and r[0] < cut]
         state.update((n_seen, cut, [r[0] for r in rows], [r[1] for r in rows],
                       [r[2] for r in rows]))
-        text = " ".join("" if r[2] is None else r[2] for r in rows)
-        yield pd.DataFrame({"conv_id": [int(key[0])], "n_seen": [n_seen],
-                            "ended": [cut is not None], "n_kept": [len(rows)], "text": [text]})
+        kept = [{"turn": t, "role": r, "text": x} for t, r, x in rows]
+        yield pd.DataFrame({"conv_id": pd.Series([_whole(key[0])], dtype="Int64"), "n_seen": [n_seen],
+                            "ended": [cut is not None], "n_kept": [len(rows)], "kept": pd.Series([kept], dtype=object)})
 
     return reduce_state
 
@@ -65,8 +74,8 @@ def summarise_stream(turns_stream: DataFrame, words: list[str] = EXIT_WORDS,
                      word_boundary: bool = False, timeout: str | None = None) -> DataFrame:
     """The stateful part as a streaming DataFrame (update mode).
 
-    ``timeout`` (e.g. ``"30 minutes"``) drops idle conversations from state
-    (processing-time timeout)."""
+    ``timeout`` (e.g. ``"30 minutes"``) closes idle conversations
+    (processing-time timeout); later turns begin a new one."""
     conf = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
     fn = _make_reducer(words, word_boundary)
     if timeout:
@@ -76,30 +85,45 @@ def summarise_stream(turns_stream: DataFrame, words: list[str] = EXIT_WORDS,
             yield from inner(key, batches, state)
             if state.exists:
                 state.setTimeoutDuration(timeout)
-    return (turns_stream.where(F.col("role") != "system")
-            .groupBy("conv_id")
+    return (conversation_turns(turns_stream).groupBy("conv_id")
             .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "update", conf))
 
 
+def summaries(updates: DataFrame, scorer, nb_model: NaiveBayesModel) -> DataFrame:
+    """H11 of the kept turns of each update; a conversation without kept turns
+    has no personality or emotion."""
+    rows = updates.select("conv_id", F.inline("kept"))
+    summary = conversation_summary(rows, scorer, nb_model).withColumnRenamed("conv_id", "_conv")
+    text = F.array_join(F.transform("kept", lambda t: t["text"]), " ", "")
+    return (updates.join(summary, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+            .select("conv_id", "n_seen", "ended", "n_kept", text.alias("text"), "personality", "dominant_emotion", "emoji"))
+
+
+def write_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """Write a micro-batch to its own folder, replacing an earlier attempt."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
 def latest_summaries(updates: DataFrame) -> DataFrame:
-    """Final row per conversation: the update with the most turns seen."""
-    best = updates.groupBy("conv_id").agg(
-        F.max_by(F.struct("n_seen", "ended", "n_kept", "text"), F.col("n_seen")).alias("s"))
-    return best.select("conv_id", "s.n_seen", "s.ended", "s.n_kept", "s.text")
+    """Final row per conversation: the update of the latest batch."""
+    cols = [c for c in updates.columns if c not in ("conv_id", "batch_id")]
+    best = updates.groupBy("conv_id").agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("s"))
+    return best.select("conv_id", *[F.col(f"s.{c}").alias(c) for c in cols])
 
 
-def run_conversation_stream(spark: SparkSession, source_dir: str, schema: str,
+def run_conversation_stream(spark: SparkSession, source_dir: str, schema: str, scorer, nb_model: NaiveBayesModel,
                             work_dir: str | None = None, files_per_batch: int = 1) -> DataFrame:
     """Run the stream over a file source with ``Trigger.AvailableNow`` and
-    return the final summary per conversation. Every micro-batch's updates
-    are appended to a Parquet table by ``foreachBatch``."""
-    work_dir = work_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/conv-{uuid.uuid4().hex}"
+    return the final summary per conversation."""
+    work_dir = work_dir or scratch_dir(spark, "conversation-stream")
     out_dir, ckpt = f"{work_dir}/updates", f"{work_dir}/checkpoint"
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
            .parquet(source_dir))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
+        batch.persist()  # the stateful step runs once a batch
+        write_batch(summaries(batch, scorer, nb_model), batch_id, out_dir)
+        batch.unpersist()
 
     q = (summarise_stream(src).writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())

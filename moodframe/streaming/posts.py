@@ -1,27 +1,18 @@
 """Enrich posts as they arrive.
 
-Cleaning, chunking and the emoji lookup are stateless column expressions;
-the per-post reduction runs inside ``foreachBatch`` on each micro-batch (a
-post arrives whole in one batch), so the stream's output equals the batch
-enrich plan on the same rows.
+The enrich plan runs inside ``foreachBatch`` on each micro-batch (a post
+arrives whole in one batch), so the stream's output equals the batch plan on
+the same rows. Every batch has its own folder, which a repeated batch
+replaces.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from moodframe.functions.text import chunk_text, clean_text
 from moodframe.operators.scoring import enrich_posts
-from moodframe.session import ensure_checkpoint_dir
-
-
-def stateless_view(posts_stream: DataFrame, text_col: str = "posts") -> DataFrame:
-    """The stateless part on a stream: cleaned text and its chunk count."""
-    return (posts_stream.withColumn("cleaned_posts", clean_text(text_col))
-            .withColumn("n_chunks", F.size(chunk_text("cleaned_posts"))))
+from moodframe.session import scratch_dir
+from moodframe.streaming.conversations import write_batch
 
 
 def run_enrich_stream(spark: SparkSession, source_dir: str, schema: str, scorer,
@@ -29,16 +20,15 @@ def run_enrich_stream(spark: SparkSession, source_dir: str, schema: str, scorer,
                       work_dir: str | None = None, files_per_batch: int = 1) -> DataFrame:
     """Stream a folder of post files through the enrich plan
     (``Trigger.AvailableNow``) into a Parquet table and return that table."""
-    work_dir = work_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/posts-{uuid.uuid4().hex}"
+    work_dir = work_dir or scratch_dir(spark, "post-stream")
     out_dir, ckpt = f"{work_dir}/enriched", f"{work_dir}/checkpoint"
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
            .parquet(source_dir))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        enrich_posts(batch.drop("cleaned_posts", "n_chunks"), scorer, key_col, text_col) \
-            .write.mode("append").parquet(out_dir)
+        write_batch(enrich_posts(batch, scorer, key_col, text_col), batch_id, out_dir)
 
-    q = (stateless_view(src, text_col).writeStream.foreachBatch(sink)
+    q = (src.writeStream.foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.parquet(out_dir).drop("batch_id")

@@ -20,12 +20,6 @@ def spark():
     s.stop()
 
 
-@pytest.fixture(scope="session")
-def duck_small():
-    from harness import duck
-    return duck(SF_SMALL)
-
-
 @pytest.fixture(scope="session")
 def duck_check():
     from harness import duck
