@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ from moodframe.llm.common import ASCII_LOWER, documents, held_out, materialise
 ORDER = 5
 CHUNK_BYTES = 32 << 20
 BLOCK_BYTES = 4 << 20
-LOOK_UP_BYTES = 256 << 10
+LOOK_UP_BYTES = 128 << 10  # packed
 # Runs of bytes whose costs one task computes.
 RUNS_PER_TASK = 300_000
 # Never part of UTF-8: before a text, and after it. The latter is coded.
@@ -154,23 +154,30 @@ def run_costs(runs: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_coun
 
 def _to_chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """The rows with the number of the chunk that each is in: a task's rows in
-    a row, up to ``chunk_bytes`` of text."""
+    a row, up to ``chunk_bytes`` of text. The text, lower-cased, is packed: it
+    is written once and shuffled once."""
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = TaskContext.get().partitionId() << 32, 0
+        packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            numbers = np.zeros(batch.num_rows, dtype=np.int64)
-            for k, size in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
-                if held and held + size > chunk_bytes:
+            numbers, packed = np.zeros(batch.num_rows, dtype=np.int64), []
+            for k, text in enumerate(batch.column("text")):
+                data = text.as_py().translate(ASCII_LOWER)
+                if held and held + len(data) > chunk_bytes:
                     chunk, held = chunk + 1, 0
-                held += size
+                held += len(data)
                 numbers[k] = chunk
-            yield batch.append_column("chunk", pa.array(numbers))
+                packed.append(packer.compress(data))
+            kept = [batch.column(c) for c in ("doc_id", "held_out", "training")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(packed, pa.binary()), pa.array(numbers)],
+                                             ["doc_id", "held_out", "training", "text", "chunk"])
     return docs.mapInArrow(number, StructType(docs.schema.fields + [StructField("chunk", LongType())]))
 
 
 def _counts(order: int, what: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def done(chunk: int) -> pa.RecordBatch:
             parts = held.pop(chunk)
@@ -187,7 +194,7 @@ def _counts(order: int, what: str):
                 for old in [c for c in held if c != chunk]:
                     yield done(old)
                 rows = np.flatnonzero(chunks == chunk)
-                texts = [t.translate(ASCII_LOWER) for t in batch.column("text").take(pa.array(rows)).to_pylist()]
+                texts = [unpack(t) for t in batch.column("text").take(pa.array(rows)).to_pylist()]
                 if what == "runs":
                     held[chunk] = [_summed(held.get(chunk, []) + [count_runs(texts, training[rows], order)])]
                     continue
@@ -220,7 +227,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held:
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(held).alias("held_out"), (~F.col(held)).alias("training"),
                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    chunks, _ = materialise(_to_chunks(rows, chunk_bytes), "lm-chunks", compression="zstd")
+    chunks, _ = materialise(_to_chunks(rows, chunk_bytes), "lm-chunks")
     held_in = chunks.select("chunk", "training", "text")
 
     # unigram counts of the chunks' tokens
@@ -228,12 +235,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held:
     own = Window.partitionBy("key")
     tokens = tokens.select("chunk", "key", "n", F.sum("n").over(own).alias("c"),
                            (F.row_number().over(own.orderBy("chunk")) == 1).alias("once"))
-    tokens, _ = materialise(tokens, "lm-tokens")
+    tokens, _ = materialise(tokens, "lm-tokens", compression="zstd")
     sums = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
                       F.coalesce(F.sum((F.col("once") & (F.col("c") > 0)).cast("long")), F.lit(0)).alias("v")).first()
 
     # costs of the chunks' runs
-    runs, _ = materialise(held_in.mapInArrow(_counts(order, "runs"), "chunk long, key long, n long"), "lm-runs")
+    runs, _ = materialise(held_in.mapInArrow(_counts(order, "runs"), "chunk long, key long, n long"), "lm-runs", compression="zstd")
     totals, _ = materialise(runs.groupBy("key").agg(F.sum("n").alias("n")), "lm-totals")
     pair = F.col("key").bitwiseAND(0xFFFF)  # at most 65,536 rows
     pairs = totals.where("n > 0").groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).toPandas()
@@ -258,15 +265,17 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held:
         sort = np.argsort(keys)
         keys, cost = keys[sort], given["value"].to_numpy()[is_run][sort]
         counts = dict(zip(given["token"].to_numpy()[~is_run], given["value"].to_numpy()[~is_run]))
-        texts = [bytes(t).translate(ASCII_LOWER) for t in own.pop("text")]
-        out = np.zeros((len(texts), 4))
-        for a, b in blocks(texts, LOOK_UP_BYTES):
-            runs, starts = runs_of(texts[a:b], order)
+        del given
+        packed, unpack = own.pop("text").tolist(), zstandard.ZstdDecompressor().decompress
+        out = np.zeros((len(packed), 4))
+        for a, b in blocks(packed, LOOK_UP_BYTES):
+            texts = [unpack(bytes(t)) for t in packed[a:b]]
+            runs, starts = runs_of(texts, order)
             distinct, at = np.unique(runs, return_inverse=True)  # in order, so that looking up is quick
             out[a:b, 3] = np.add.reduceat(cost[np.searchsorted(keys, distinct)][at], starts)
-        for k, t in enumerate(texts):
-            c = np.fromiter(map(counts.__getitem__, words_of(t)), dtype=np.float64)
-            out[k, :3] = len(c), np.count_nonzero(c), np.log10(c + 1).sum() - len(c) * np.log10(n_train + n_types + 1)
+            for k, t in enumerate(texts, start=a):
+                c = np.fromiter(map(counts.__getitem__, words_of(t)), dtype=np.float64)
+                out[k, :3] = len(c), np.count_nonzero(c), np.log10(c + 1).sum() - len(c) * np.log10(n_train + n_types + 1)
         return pd.DataFrame({"doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": out[:, 0].astype(np.int64),
                              "n_known": out[:, 1].astype(np.int64), "train_tokens": n_train, "base_score": out[:, 2], "score": out[:, 3]})
 
