@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from moodframe.functions.hashing import DEFAULT_SEED, md5int
 from moodframe.operators.keyed import dense_index
+from moodframe.session import cut_lineage
 
 # Draw rows generated per block row (bounds one generator's output).
 DRAW_BLOCK = 100_000
@@ -95,15 +96,21 @@ def balance_two_pass(df: DataFrame, first_col: str, second_col: str, key_cols: l
                      seed: int = DEFAULT_SEED) -> DataFrame:
     """Oversample by ``first_col`` to its max class size, then the result by
     ``second_col`` to the max ``second_col`` class size measured *before* the
-    first pass. Row keys of pass 1 are ``(first_col, draw1)``."""
+    first pass. Row keys of pass 1 are ``(first_col, draw1)``.
+
+    Both passes draw keys and classes only. The first is written once, and the
+    other columns are joined to the result."""
+    rest = [c for c in df.columns if c not in (first_col, second_col, *key_cols)]
+    payload, df = df.select(*key_cols, *rest), df.select(*key_cols, first_col, second_col)
     target2 = _class_sizes(df.where(F.col(second_col).isNotNull()), second_col) \
         .agg(F.max("n_c").alias("t"))
-    p1 = oversample(df, first_col, key_cols, seed=seed, draw_col="draw1")
+    p1 = cut_lineage(oversample(df, first_col, key_cols, seed=seed, draw_col="draw1"))
     # the pass-2 target is a one-row aggregate; it is attached through the
     # size table inside ``oversample`` by passing it as a literal
-    t2 = target2.first()["t"]
-    return oversample(p1, second_col, [first_col, "draw1"], target=t2, seed=seed,
-                      draw_col="draw2")
+    t2 = target2.first()["t"] or 0
+    out = oversample(p1, second_col, [first_col, "draw1"], target=t2, seed=seed,
+                     draw_col="draw2")
+    return out.join(payload, key_cols) if rest else out
 
 
 def shuffle_reindex(df: DataFrame, key_cols: list[str], seed: int = DEFAULT_SEED,

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodframe.session import local_table
+from moodframe.session import cut_lineage, local_table
 
 ALL = "All"
 
@@ -288,7 +288,8 @@ def roc_points(scored: DataFrame, score_col: str, label_col: str) -> DataFrame:
            .groupBy(F.col(score_col).cast("double").alias("threshold"))
            .agg(F.sum(F.when(F.col(label_col) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
                 F.sum(F.when(F.col(label_col) == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
-    return running_totals_desc(agg, "threshold", ["pos", "neg"])
+    # read for the quantiles, the totals and the sums: the input runs once
+    return running_totals_desc(cut_lineage(agg), "threshold", ["pos", "neg"])
 
 
 def roc_curve(scored: DataFrame, score_col: str, label_col: str) -> DataFrame:

@@ -348,15 +348,13 @@ def linear_head_logits(vectors: DataFrame, key_col: str, vec_col: str,
                        head: DataFrame, label_col: str) -> DataFrame:
     """``logits`` array (classes in label order) of ``w.x + b``.
 
-    The head is model parameters of (#classes x dim) values; it is read once
-    and inlined as a literal array, like a fitted model's coefficients."""
-    rows = head.orderBy(label_col).collect()
-    params = F.array(*[F.struct(F.lit(r[label_col]).alias("label"),
-                                F.array(*[F.lit(float(x)) for x in r["w"]]).alias("w"),
-                                F.lit(float(r["b"])).alias("b")) for r in rows])
-    return vectors.select(
-        key_col, F.transform(params, lambda p: dot(F.col(vec_col), p["w"]) + p["b"]).alias("logits"),
-        F.transform(params, lambda p: p["label"]).alias("labels"))
+    The head, model parameters of (#classes x dim) values, reaches the rows as
+    one scalar subquery; nothing is collected."""
+    params = head.select(F.array_sort(F.collect_list(F.struct(
+        F.col(label_col).alias("label"), "w", F.col("b").cast("double").alias("b"))))).scalar()
+    return vectors.select(key_col, vec_col, params.alias("_head")).select(
+        key_col, F.transform("_head", lambda p: dot(F.col(vec_col), p["w"]) + p["b"]).alias("logits"),
+        F.transform("_head", lambda p: p["label"]).alias("labels"))
 
 
 def sequence_pooling(vectors: DataFrame, seq_col: str, pos_col: str, vec_col: str) -> DataFrame:
