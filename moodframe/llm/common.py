@@ -67,6 +67,36 @@ def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, tota
     return in_hot.unionByName(others.join(keyed.where(F.col(weight) <= bound), on, how))
 
 
+def keep_decided(docs: DataFrame, doc_id: str, keys: list[Column], decided: DataFrame, kept: str) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` keeps. Its columns are the id, the
+    values of ``keys`` for the row and the flag ``kept``; a row is known by id
+    and keys, and of rows that repeat both one stays for each one flagged.
+
+    Only what goes is joined with the rows, so that the table of decisions is
+    small where little goes.
+    """
+    id_col, *key_cols = [c for c in decided.columns if c != kept]
+    rows = decided.groupBy(id_col, *key_cols).agg(
+        F.count(F.lit(1)).alias("rows here"), F.sum(F.col(kept).cast("int")).alias("rows kept"))
+    changed, _ = materialise(rows.where("`rows kept` < `rows here`"), "decided")
+    named = {c: f"decided {c}" for c in [id_col, *key_cols]}
+
+    def match(table: DataFrame, how: str) -> DataFrame:
+        table = table.select(*[F.col(c).alias(n) for c, n in named.items()])
+        same = F.col(doc_id).eqNullSafe(F.col(named[id_col]))
+        for key, c in zip(keys, key_cols):
+            same = same & (key == F.col(named[c]))
+        return docs.join(table, same, how)
+
+    out = match(changed, "left_anti")
+    repeated = changed.where("`rows kept` > 0")
+    if repeated.limit(1).count():
+        some = match(repeated, "left_semi").withColumns({f"key {k}": key for k, key in enumerate(keys)})
+        one = some.dropDuplicates([doc_id, *(f"key {k}" for k in range(len(keys)))])
+        out = out.unionByName(one.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return out
+
+
 def sample_labelled(docs: DataFrame, truth: DataFrame, doc_id: str, text: str, label: str,
                     rows: int) -> DataFrame:
     """(text, label) of at most about ``rows`` labelled documents, drawn by a

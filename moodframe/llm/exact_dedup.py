@@ -12,17 +12,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm.common import UPPER, discard, documents, materialise
+from moodframe.llm.common import UPPER, discard, documents, join_hot, keep_decided, materialise
 from moodframe.session import scratch_dir
 
 # Digests in a bucket, about 64 bytes each, that an index is laid out for.
 ROWS_PER_BUCKET = 2_000_000
 MIN_BUCKETS = 8
 
-# Digests that hold more than 1/HOT_SHARE of the rows are at most HOT_SHARE
-# many, whatever the table's size; only those are broadcast.
-HOT_SHARE = 2000
-
 
 def normalised(text: str) -> Column:
     """A-Z lower-cased, everything else as it is; null counts as empty."""
@@ -69,13 +65,11 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text",
-                carry: tuple[str, ...] = ()) -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Decide for every row of ``docs`` whether it stays, and append the new
     digests to ``index``.
 
-    Returns one row per row of ``docs``: the ``carry`` columns, ``doc_id``,
-    ``keep_id`` (the id that stays for this text; an id of an earlier batch if
+    Returns one row per row of ``docs``: ``doc_id``, ``keep_id`` (the id that stays for this text; an id of an earlier batch if
     the index held the text already), ``group_size`` (rows of this batch with
     the text), ``kept`` and ``text_sha256``.
 
@@ -87,8 +81,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
     """
     spark, batch = docs.sparkSession, uuid.uuid4().hex
     rows, rows_at = materialise(
-        docs.select(F.struct(*carry).alias("carried") if carry else F.lit(0).alias("carried"),
-                    F.col(doc_id).alias("id"), digest_of(text).alias("digest"),
+        docs.select(F.col(doc_id).alias("id"), digest_of(text).alias("digest"),
                     F.monotonically_increasing_id().alias("row")), "dedup-rows")
     # partial aggregation leaves one row per digest and task before the shuffle
     groups = rows.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("best"),
@@ -103,16 +96,16 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", tex
         .select("digest", F.col("known_id").alias("keep_id"), "group_size",
                 F.when(F.col("known_in") == batch, F.col("keep_row")).alias("keep_row")), "dedup-decided")
     discard(spark, groups_at)
-    bound = F.lit(rows.count() / HOT_SHARE)
-    hot = decided.where(F.col("group_size") > bound)
-    out = [F.col(f"carried.`{c}`").alias(c) for c in carry if c != doc_id] + [
-        F.col("id").alias("doc_id"), "keep_id", "group_size",
-        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256")]
-    in_hot = rows.join(F.broadcast(hot), "digest").select(*out)
-    others = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-    rest = others.join(decided.where(F.col("group_size") <= bound), "digest").select(*out)
-    return in_hot.unionByName(rest)
+    matched = join_hot(rows, decided, ["digest"], "group_size", rows.count())
+    return matched.select(F.col("id").alias("doc_id"), "keep_id", "group_size",
+                          F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"),
+                          F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def deduplicated(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    decided = exact_dedup(docs, index, doc_id, text).select("doc_id", "text_sha256", "kept")
+    return keep_decided(docs, doc_id, [F.lower(F.hex(digest_of(text)))], decided, "kept")
 
 
 def fresh_index(spark: SparkSession, docs: DataFrame) -> DigestIndex:
