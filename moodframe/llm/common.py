@@ -18,7 +18,32 @@ ASCII_LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
+# Rows of an Arrow batch. Spark's default of 10,000 is meant for narrow rows;
+# of whole texts, a Python worker would hold tens of megabytes several times.
+BATCH_ROWS = 1_000
+
+_worker_caches: dict = {}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get ``BATCH_ROWS`` rows at a time, unless the session
+    has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def worker_cache(key, make: Callable):
+    """What a Python worker keeps from one task to the next. Only the cache
+    asked for last is kept, so that those of several operators never add up."""
+    if key not in _worker_caches:
+        _worker_caches.clear()
+        _worker_caches[key] = make()
+    return _worker_caches[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm.common import documents, held_out, rate_texts
+from moodframe.llm.common import documents, held_out, rate_texts, worker_cache
 
 DIMENSIONS = 1024
 SEED = 20
@@ -25,8 +25,6 @@ BATCH_CHARS = 200_000
 # Directions are summed as integers, so that sums do not depend on their order.
 SCALE = 1 << 20
 
-_tables: dict = {}
-
 
 class LetterVectors:
     """Random sign vectors by code point, made when a letter first occurs."""
@@ -68,9 +66,7 @@ class LetterVectors:
 
 
 def letter_vectors(dimensions: int, seed: int) -> LetterVectors:
-    if (dimensions, seed) not in _tables:
-        _tables[dimensions, seed] = LetterVectors(dimensions, seed)
-    return _tables[dimensions, seed]
+    return worker_cache(("letters", dimensions, seed), lambda: LetterVectors(dimensions, seed))
 
 
 def directions(texts: list[str | None], letters: LetterVectors) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moodframe.llm.common import documents, materialise
+from moodframe.llm.common import documents, materialise, worker_cache
 
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
@@ -36,8 +36,6 @@ CACHED_WORDS = 500_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PLAIN = re.compile(rb"([A-Za-z]+)([!-/:-@\[-`{-~]*)")
 
-_tokenizers: dict = {}
-
 
 class WordIds:
     """Ids of whole texts, as little-endian 32-bit bytes, from those of words.
@@ -109,9 +107,7 @@ class WordIds:
 
 def word_ids(path: str) -> WordIds:
     """One per Python worker and tokenizer file."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
+    return worker_cache(("word ids", path), lambda: WordIds(path))
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text",

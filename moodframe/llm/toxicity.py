@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm.common import discard, documents, held_out, labels, materialise, rate_texts, sample_labelled
+from moodframe.llm.common import discard, documents, held_out, labels, materialise, rate_texts, sample_labelled, worker_cache
 
 # Bounds of the model: labelled rows that it is fitted on, and listed words.
 SAMPLE_ROWS = 20_000
@@ -189,7 +189,11 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", carry: tupl
             places.append([{"start": a, "end": b, "score": p} for a, b, p in scored if p >= cut])
         return {"score": scores, "predicted": (scores >= cut).astype("int32"), "offending": places}
 
-    return rate_texts(docs, text, carry, lambda: rate, "score double, predicted int, "
+    def make():
+        worker_cache("no cache", dict)
+        return rate
+
+    return rate_texts(docs, text, carry, make, "score double, predicted int, "
                       "offending array<struct<start: int, end: int, score: double>>")
 
 
