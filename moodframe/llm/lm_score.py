@@ -35,6 +35,7 @@ ORDER = 5
 CHUNK_BYTES = 32 << 20
 BLOCK_BYTES = 4 << 20
 LOOK_UP_BYTES = 128 << 10  # packed
+SPREAD = 2000
 # Runs of bytes whose costs one task computes.
 RUNS_PER_TASK = 300_000
 # Never part of UTF-8: before a text, and after it. The latter is coded.
@@ -283,7 +284,10 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held:
     for name in ("n_tokens", "n_known", "train_tokens"):
         schema.add(name, "long")
     schema.add("base_score", "double").add("score", "double")
-    return (chunks.select("chunk", "doc_id", "held_out", "text").groupBy("chunk")
+    # a chunk is one group; where chunks are few, more partitions keep them apart
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(SPREAD, 4 * chunks.select("chunk").distinct().count()))
+    return (chunks.select("chunk", "doc_id", "held_out", "text").repartition(parts, "chunk").groupBy("chunk")
             .cogroup(known.groupBy("chunk")).applyInPandas(score, schema))
 
 
