@@ -265,14 +265,12 @@ def enrich_posts(posts: DataFrame, scorer, key_col: str | list[str] = "doc_id",
     """Clean -> chunk -> score -> reduce -> emoji, one plan.
 
     A scorer that works inside the row (``with_emotion``) makes a narrow plan:
-    scan, project, no shuffle. Otherwise every row gets a number, the chunk
-    branch shuffles only map-side-combined per-chunk and per-post aggregates
-    by that number, and the text crosses the network once (the join back), so
-    rows with a null or repeated key are enriched each for itself, too.
-    ``posts`` should then be a scan or a written table, whose rows come in the
-    same order each time. Posts with no chunk (empty after cleaning) keep
-    their row with a null emotion and the default emoji. ``scorer`` is any
-    object with ``labels`` and
+    scan, project, no shuffle. Otherwise each distinct text is scored once,
+    known by its digest, since the emotion follows from the text alone: rows
+    with a null or repeated key are enriched each for itself, too, and the
+    text crosses the network twice (distinct texts, join back). Posts with no
+    chunk (empty after cleaning) keep their row with a null emotion and the
+    default emoji. ``scorer`` is any object with ``labels`` and
     ``score(chunks_df, key_cols, chunk_col) -> (keys..., label, score)``.
     """
     keys = _keys(key_col)
@@ -284,10 +282,11 @@ def enrich_posts(posts: DataFrame, scorer, key_col: str | list[str] = "doc_id",
         done = in_row(cleaned, "cleaned_posts", "emotion", max_chars)
         if done is not None:
             return done.select(*out)
-    numbered = posts.withColumn("_row", F.monotonically_increasing_id())
-    chunks = explode_chunks(numbered.select("_row", clean_text(text_col).alias("cleaned_posts")), "cleaned_posts", "_row",
+    numbered = posts.withColumn("_text", F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    texts = numbered.select("_text", text_col).dropDuplicates(["_text"])
+    chunks = explode_chunks(texts.select("_text", clean_text(text_col).alias("cleaned_posts")), "cleaned_posts", "_text",
                             max_chars)
-    emotions = assign_emotion(scorer.score(chunks, ["_row", "chunk_idx"], "chunk"), scorer.labels, "_row")
+    emotions = assign_emotion(scorer.score(chunks, ["_text", "chunk_idx"], "chunk"), scorer.labels, "_text")
     # only the raw posts cross the network for the join back; the cleaned
     # text is recomputed after it (same CPU, half the shuffled bytes)
-    return numbered.join(emotions, "_row", "left").withColumn("cleaned_posts", clean_text(text_col)).select(*out)
+    return numbered.join(emotions, "_text", "left").withColumn("cleaned_posts", clean_text(text_col)).select(*out)
