@@ -31,7 +31,7 @@ CAPACITY = 2048
 END = (0).to_bytes(4, "little")
 # Words whose ids a Python worker keeps in each of two generations; when the
 # younger is full it becomes the older one.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PLAIN = re.compile(rb"([A-Za-z]+)([!-/:-@\[-`{-~]*)")
