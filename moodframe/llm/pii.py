@@ -5,7 +5,8 @@ occurrence are patterns, and every identifier-like string is an instance of
 the patterns around it. In rounds, a pattern is scored by the share of its
 distinct instances that are known to be of a kind, an instance by the noisy-or
 of its reliable patterns, and instances that score high enough join the known
-ones. Identifiers found that way are added to the base spans.
+ones, also for patterns that no seed has. The rounds end when no instance
+joins. Identifiers found that way are added to the base spans.
 """
 
 from __future__ import annotations
@@ -38,10 +39,13 @@ LEFT, RIGHT = 80, 40
 # What identifies: at least so many digits, or an at sign.
 MIN_DIGITS = 4
 
-ROUNDS = 3
+# A reliable pattern's known instances, weighted by their scores, and its
+# confidence; the score of an instance that joins.
 MIN_SEEDS = 3
 MIN_PATTERN = 0.8
 MIN_INSTANCE = 0.9
+# A rise of a known instance's score that no longer counts as a change.
+TOLERANCE = 1e-4
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -130,19 +134,28 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                                  "found array<struct<kind: int, start: int, end: int, instance: string, patterns: array<string>>>")
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(instance, kind) of the unknown instances that the pattern graph of
-    ``edges`` (pattern, instance, kind) takes for identifiers."""
+    ``edges`` (pattern, instance, kind) takes for identifiers: the fixed point,
+    or what ``rounds`` rounds find.
+
+    Scores of a kind only rise from round to round, so that what has joined
+    stays, and the fixed point is reached.
+    """
     # each instance once a pattern; what is a seed anywhere is one everywhere
     graph, _ = materialise(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-graph")
+    seeds = [F.col(f"seeds{k}") for k in range(len(KINDS))]
+    unknown = F.col("instances") - sum(seeds)
+    most = F.greatest(*seeds) + unknown  # held if all unknown instances were of the best kind
+    # only patterns go that could never be reliable or have nothing to find
     sizes, _ = materialise(graph.groupBy("pattern").agg(
         F.count(F.lit(1)).alias("instances"), *[F.sum((F.col("kind") == k).cast("double")).alias(f"seeds{k}") for k in range(len(KINDS))])
-        .where(F.greatest(*[F.col(f"seeds{k}") for k in range(len(KINDS))]) >= MIN_SEEDS), "pii-patterns")
+        .where((unknown > 0) & (most >= MIN_SEEDS) & (F.round(most / (F.col("instances") + 1), 9) >= MIN_PATTERN)), "pii-patterns")
     open_, _ = materialise(graph.where(F.col("kind") == UNKNOWN).select("pattern", "instance")
                            .join(sizes.select("pattern"), "pattern", "left_semi"), "pii-open")
-    total, known = open_.count(), None
+    total, known, known_at, done = open_.count(), None, None, 0
     spark = edges.sparkSession
-    for _ in range(rounds):
+    while rounds is None or done < rounds:
         scored = sizes
         if known is not None:
             # unknown instances that joined in earlier rounds count for their patterns
@@ -151,16 +164,27 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             scored = sizes.join(gained, "pattern", "left").select("pattern", "instances", *[
                 (F.col(f"seeds{k}") + F.coalesce(f"gained{k}", F.lit(0.0))).alias(f"seeds{k}") for k in range(len(KINDS))])
         best = F.array_max(F.array(*[F.struct(F.col(f"seeds{k}").alias("held"), F.lit(k).alias("kind")) for k in range(len(KINDS))]))
+        # rounded, as sums in another order must not move a score across a cut
         scored = scored.withColumn("best", best).select(
-            "pattern", "instances", F.col("best.kind").alias("kind"), F.col("best.held").alias("held"),
-            (F.col("best.held") / (F.col("instances") + 1)).alias("confidence"))
+            "pattern", "instances", F.col("best.kind").alias("kind"), F.round("best.held", 9).alias("held"),
+            F.round(F.col("best.held") / (F.col("instances") + 1), 9).alias("confidence"))
         reliable, reliable_at = materialise(scored.where((F.col("held") >= MIN_SEEDS) & (F.col("confidence") >= MIN_PATTERN)), "pii-reliable")
         # patterns of few instances are joined by key, frequent ones where their edges are
         voted = join_hot(open_, reliable, ["pattern"], "instances", total)
-        votes = voted.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        chosen = votes.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("top"))
-        known, _ = materialise(chosen.select("instance", "top.kind", "top.score").where(F.col("score") >= MIN_INSTANCE), "pii-known")
-        discard(spark, reliable_at)
+        votes = voted.groupBy("instance", "kind").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.col("confidence")))), 9).alias("score"))
+        votes = votes.where(F.col("score") >= MIN_INSTANCE)
+        if known is None:
+            votes = votes.withColumn("joined", F.lit(None).cast("int")).withColumn("had", F.lit(None).cast("double"))
+        else:
+            votes = votes.join(known.select("instance", F.col("kind").alias("joined"), F.col("score").alias("had")), "instance", "left")
+        # a known instance keeps its kind
+        top = F.max(F.struct(F.coalesce(F.col("kind") == F.col("joined"), F.lit(False)).alias("same"), "score", "kind", "had")).alias("top")
+        after, after_at = materialise(votes.groupBy("instance").agg(top).select("instance", "top.kind", "top.score", "top.had"), "pii-known")
+        changed = after.where(F.col("had").isNull() | (F.col("score") - F.col("had") > TOLERANCE)).limit(1).count()
+        discard(spark, reliable_at, *([known_at] if known_at else []))
+        known, known_at, done = after.drop("had"), after_at, done + 1
+        if not changed:
+            break
     return known.select("instance", "kind")
 
 
@@ -171,7 +195,7 @@ def spelt(spans: str) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int | None = None) -> DataFrame:
     """Personal data of every row: ``doc_id``, the number of base spans of each
     kind, ``base_sha256``, ``spans`` (base and added ones) and ``n_added``.
     Offsets are code points, ends exclusive.

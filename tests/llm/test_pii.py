@@ -54,6 +54,23 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(got[200 + k].spans == "" for k in range(9)) and got[300].spans == ""
 
 
+def test_found_identifiers_raise_patterns_without_seeds(spark):
+    """Only the first context has seeds; each later one is reliable by the
+    accounts found in the one before, so that the last takes a fourth round."""
+    contexts, sizes = ("reach me at", "my handle is", "now posting as", "letters signed by"), (300, 60, 12, 1)
+    accounts = [[f"acct-{n}55{k:04d}" for k in range(size)] for n, size in enumerate(sizes)]
+    rows = [(k, f"some words {contexts[0]} user{k}@mail.example.com please") for k in range(1500)]
+    for n, context in enumerate(contexts):
+        for name in accounts[n] + (accounts[n - 1] if n else []):
+            rows.append((10_000 * (n + 1) + len(rows), f"some words {context} {name} please"))
+    rows += [(90_000 + k, f"see page {k}{k}0012 of the book") for k in range(9)]
+    got = find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        assert r.n_added == (10_000 <= r.doc_id < 90_000), r
+    few = find_pii(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()
+    assert sum(r.n_added for r in few) == 300 + 300  # the first accounts, in both of their contexts
+
+
 def test_edge_rows(spark):
     mail = "İ x.y@a-b.co, 4111 1111 1111 1111 and +1 (377) 555-0271 at 10.0.0.255"
     rows = [(1, None), (2, ""), (None, mail), (3, mail), (3, mail), (4, "é" * 300_000 + " a@b.c")]
