@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from moodframe.llm.common import documents, held_out, materialise
+from moodframe.llm.common import discard, documents, held_out, join_hot, materialise
 
 MIN_LENGTH = 16
-# Bounds of the model: labelled findings that it is fitted on, and the most
-# frequent words that count as the dictionary.
+# Bound of the model: labelled findings that it is fitted on.
 MAX_FINDINGS = 50_000
-DICTIONARY_WORDS = 20_000
+# The dictionary is every word of so many letters that so many documents hold.
 MIN_WORD = 4
+MIN_WORD_DOCS = 5
+# Longest word looked for inside a candidate.
+LONGEST_INSIDE = 20
 TREES, DEPTH, SEED = 40, 8, 1
 CUT = 0.5
 
@@ -52,14 +54,16 @@ FEATURES = (
     "log_length", "digits", "uppers", "lowers", "symbols", "distinct", "entropy", "is_hex", "longest_class_run",
     "class_changes", "transitions", "worst_transition", "dictionary", "path_length", "path_depth", "example_path",
     "name_before", "assigned", "quoted", "placeholder_near", "placeholder_inside", "words_near_in_dictionary")
+INSIDE, NEAR = FEATURES.index("dictionary"), FEATURES.index("words_near_in_dictionary")
 
 
-# what the corpus tells: transitions of bytes, and its frequent words
+# what the corpus tells: transitions of bytes, and its words
 
 
-def corpus_statistics(docs: DataFrame, text: str) -> tuple[np.ndarray, frozenset[bytes]]:
+def corpus_statistics(docs: DataFrame, text: str) -> tuple[np.ndarray, DataFrame]:
     """log2 probabilities of a byte after another over all documents, and the
-    most frequent words. Every task sums its own documents first."""
+    table (word) of all words that ``MIN_WORD_DOCS`` documents hold. Every task
+    sums its own documents first."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs, words = np.zeros(1 << 16, dtype=np.int64), Counter()
         for frame in frames:
@@ -67,7 +71,7 @@ def corpus_statistics(docs: DataFrame, text: str) -> tuple[np.ndarray, frozenset
                 data = bytes(value)
                 codes = np.frombuffer(data, dtype=np.uint8).astype(np.uint16)
                 pairs += np.bincount((codes[:-1] << 8) | codes[1:], minlength=1 << 16) if len(codes) > 1 else 0
-                words.update(w for w in LETTERS.findall(data.lower()) if len(w) >= MIN_WORD)
+                words.update({w for w in LETTERS.findall(data.lower()) if len(w) >= MIN_WORD})
             if len(words) > 1_000_000:
                 yield pd.DataFrame({"pair": -1, "word": list(words), "n": list(words.values())})
                 words = Counter()
@@ -81,8 +85,7 @@ def corpus_statistics(docs: DataFrame, text: str) -> tuple[np.ndarray, frozenset
     table = np.full((256, 256), 0.5)
     for r in counts.where("pair >= 0").collect():  # at most 65,536 rows
         table[r.pair >> 8, r.pair & 255] += r.n
-    frequent = counts.where("pair < 0").orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word").collect()
-    return np.log2(table / table.sum(axis=1, keepdims=True)), frozenset(bytes(r.word) for r in frequent)
+    return np.log2(table / table.sum(axis=1, keepdims=True)), counts.where((F.col("pair") < 0) & (F.col("n") >= MIN_WORD_DOCS)).select("word")
 
 
 # candidates and their features
@@ -105,11 +108,30 @@ def covered(run: str, dictionary: frozenset[bytes]) -> float:
     the left."""
     data, at, total = run.lower().encode(), 0, 0
     while at < len(data):
-        size = next((n for n in range(min(20, len(data) - at), MIN_WORD - 1, -1) if data[at:at + n] in dictionary), 0)
+        size = next((n for n in range(min(LONGEST_INSIDE, len(data) - at), MIN_WORD - 1, -1) if data[at:at + n] in dictionary), 0)
         total, at = total + size, at + max(size, 1)
     return total / len(data)
 
 
+def near_words(text: str, start: int, end: int) -> list[str]:
+    before, after = text[max(0, start - CONTEXT):start], text[end:end + CONTEXT]
+    return re.findall(r"[a-z]{%d,}" % MIN_WORD, (before + " " + after).lower())
+
+
+def dictionary_features(run: str, near: list[str], dictionary: frozenset[bytes]) -> tuple[float, float]:
+    return covered(run, dictionary), sum(w.encode() in dictionary for w in near) / max(1, len(near))
+
+
+def asked_words(run: str, near: list[str]) -> set[bytes]:
+    """All that :func:`dictionary_features` looks up in the dictionary."""
+    asked = {w.encode() for w in near}
+    for m in LETTERS.finditer(run.lower().encode()):
+        word = m.group()
+        for n in range(MIN_WORD, min(LONGEST_INSIDE, len(word)) + 1):
+            asked.update(word[at:at + n] for at in range(len(word) - n + 1))
+    return asked
+
+
 def features(text: str, start: int, end: int, path: str | None, transitions: np.ndarray, dictionary: frozenset[bytes]) -> list[float]:
     run, path = text[start:end], path or ""
     classes = _classes(run)
@@ -120,14 +142,14 @@ def features(text: str, start: int, end: int, path: str | None, transitions: np.
     codes = np.frombuffer(run.encode(), dtype=np.uint8)
     steps = transitions[codes[:-1], codes[1:]]
     before, after = text[max(0, start - CONTEXT):start], text[end:end + CONTEXT]
-    near = re.findall(r"[a-z]{%d,}" % MIN_WORD, (before + " " + after).lower())
+    inside, near = dictionary_features(run, near_words(text, start, end), dictionary)
     return [np.log(len(run)), *share, len(counts) / len(run), -(counts * np.log2(counts)).sum(), float(HEX.fullmatch(run) is not None),
-            longest, len(changes) / len(run), steps.mean(), steps.min(), covered(run, dictionary),
+            longest, len(changes) / len(run), steps.mean(), steps.min(), inside,
             len(path), path.count("/"), float(EXAMPLE_PATH.search(path) is not None),
             float(NAMES.search(before[-24:]) is not None), float(ASSIGNED.search(before) is not None),
             float(before[-1:] in ("'", '"', "`") and after[:1] == before[-1:]),
             float(PLACEHOLDER.search(before + " " + after) is not None), float(PLACEHOLDER.search(run) is not None),
-            sum(w.encode() in dictionary for w in near) / max(1, len(near))]
+            near]
 
 
 def decided(text: str, start: int, end: int) -> int:
@@ -142,27 +164,66 @@ def decided(text: str, start: int, end: int) -> int:
     return 0 if re.fullmatch(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/+=](?:[A-Za-z]+|[0-9]+))+", run) else -1
 
 
-def find_candidates(docs: DataFrame, transitions: np.ndarray, dictionary: frozenset[bytes], doc_id: str, text: str,
-                    path: str) -> DataFrame:
-    """(doc_id, start, end, finding_sha256, decided, features) of every candidate."""
+def find_candidates(docs: DataFrame, transitions: np.ndarray, doc_id: str, text: str, path: str) -> DataFrame:
+    """(doc_id, start, end, finding_sha256, decided, features, run, near) of
+    every candidate. ``run`` and ``near`` are what the dictionary is asked
+    for; until :func:`with_dictionary` its features are 0."""
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for key, value, place in zip(frame["doc_id"], frame["text"], frame["path"]):
                 for start, end in candidates(value or ""):
                     rows.append((key, start, end, hashlib.sha256(value[start:end].encode()).hexdigest(), decided(value, start, end),
-                                 [float(x) for x in features(value, start, end, place, transitions, dictionary)]))
+                                 [float(x) for x in features(value, start, end, place, transitions, frozenset())],
+                                 value[start:end], near_words(value, start, end)))
             if rows:
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "finding_sha256", "decided", "features"])
+                out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "finding_sha256", "decided", "features", "run", "near"])
                 out["doc_id"] = pd.Series(out["doc_id"].tolist(), dtype="Int64" if whole else object)
                 yield out
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(path).cast("string").alias("path"))
     whole = rows.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    rest = "start int, end int, finding_sha256 string, decided int, features array<double>"
+    rest = "start int, end int, finding_sha256 string, decided int, features array<double>, run string, near array<string>"
     return rows.mapInPandas(find, StructType([rows.schema["doc_id"]] + StructType.fromDDL(rest).fields))
 
 
+def with_dictionary(found: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``found`` with the features that the table ``dictionary`` (word) tells,
+    without ``run`` and ``near``. Only words that candidates ask for are joined
+    with it, and each candidate gets those of its own that it holds."""
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for nth, run, near in zip(frame["nth"], frame["run"], frame["near"]):
+                rows += [(nth, word) for word in asked_words(run, near)]
+                if len(rows) > 100_000:
+                    yield pd.DataFrame(rows, columns=["nth", "word"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["nth", "word"])
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            filled = []
+            for values, run, near, known in zip(frame["features"], frame["run"], frame["near"], frame["known"]):
+                values = list(values)
+                known = frozenset() if known is None else frozenset(bytes(w) for w in known)
+                values[INSIDE], values[NEAR] = dictionary_features(run, list(near), known)
+                filled.append([float(x) for x in values])
+            yield pd.DataFrame({"nth": frame["nth"], "features": pd.Series(filled, index=frame.index, dtype=object)})
+
+    spark = found.sparkSession
+    rows, rows_at = materialise(found.withColumn("nth", F.monotonically_increasing_id()), "secret-found")
+    asked, asked_at = materialise(rows.select("nth", "run", "near").mapInPandas(ask, "nth long, word binary"), "secret-asked")
+    held, held_at = materialise(asked.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(dictionary, "word", "left_semi"), "secret-held")
+    # words that many candidates ask for are met where the candidates are
+    known = join_hot(asked, held, ["word"], "n", asked.count()).groupBy("nth").agg(F.collect_list("word").alias("known"))
+    told = rows.select("nth", "features", "run", "near").join(known, "nth", "left").mapInPandas(fill, "nth long, features array<double>")
+    out, _ = materialise(rows.drop("features", "run", "near").join(told, "nth").drop("nth"), "secret-candidates")
+    discard(spark, rows_at, asked_at, held_at)
+    return out
+
+
 def train(findings: DataFrame, label: str = "label") -> RandomForestClassificationModel | None:
     """A forest from labelled findings (``features`` and ``label`` 0 or 1), at
     most about ``MAX_FINDINGS`` of them, drawn by a hash of the features.
@@ -204,7 +265,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     An empty table gives an empty result; other columns are not looked at.
     """
     transitions, dictionary = corpus_statistics(docs, text)
-    found, _ = materialise(find_candidates(docs, transitions, dictionary, doc_id, text, path), "secret-candidates")
+    found = with_dictionary(find_candidates(docs, transitions, doc_id, text, path), dictionary)
     if findings is None:
         known = found.withColumn("label", F.col("decided"))
     else:

@@ -22,6 +22,22 @@ def test_features_by_hand():
     assert S.covered("abcdefgh12", frozenset({b"abcd", b"efgh"})) == 0.8
 
 
+def test_dictionary_holds_every_common_word(spark):
+    """More words than a fixed list holds, each in as many documents; the
+    candidates' features are those of the whole dictionary."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["q" + "".join(letters[k // 26 ** p % 26] for p in range(3, -1, -1)) for k in range(24_000)]
+    rows = [(k, " ".join(words), "p") for k in range(S.MIN_WORD_DOCS)]
+    rows += [(10, "rareword " * 50, "p"), (11, f"{words[-1]} rareword key 12-{words[-1]}-{words[-2]}-34 end", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    transitions, dictionary = S.corpus_statistics(docs, "text")
+    assert {bytes(r.word).decode() for r in dictionary.collect()} == set(words)
+    got = [r for r in S.with_dictionary(S.find_candidates(docs, transitions, "doc_id", "text", "source"), dictionary).collect()]
+    assert [(r.doc_id, r.features[S.INSIDE], r.features[S.NEAR]) for r in got] == [(11, 10 / 17, 1 / 2)]
+    text = rows[-1][1]
+    assert got[0].features == S.features(text, got[0].start, got[0].end, "p", transitions, frozenset(w.encode() for w in words))
+
+
 def test_candidates_and_decisions():
     text = "x" * 16 + " 1234567890123456 aB" + "c" * 14 + " A" + "b" * 20 + " key: 9f86d081884c7d659a2feaa0c55ad015 " + "Q" * 20
     spans = list(S.candidates(text))
