@@ -1,6 +1,7 @@
 """Secret scans: candidate strings judged by a random forest.
 
-Candidates are long runs of key characters. Each gets features of its length
+Candidates are long runs of key characters, and all values that are assigned
+to a secret's name, of any length and alphabet. Each gets features of its length
 and alphabet, of its character transitions under those of the corpus, of the
 share that corpus words cover, of the path it was found at, and of the words
 around it. A random forest, trained from labelled findings, tells secrets from
@@ -43,7 +44,15 @@ CONTEXT = 48
 
 # Names that secrets are assigned to, words of placeholders, and
 # parts of paths that hold examples.
-NAMED = re.compile(r"(secret|token|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|signature)[a-z_]*['\"]?\s*(=|:|=>|:=)\s*['\"]?$", re.I)
+NAME = (r"(?:secret|token|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|signature)[a-z_]*['\"]?\s*")
+NAMED = re.compile(NAME + r"(=|:|=>|:=)\s*['\"]?$", re.I)
+NAME_BEFORE = re.compile(NAME + "$", re.I)
+ASSIGNS = re.compile(r"(?<![=:!<>])(?:=>|:=|={1,3}|:)(?![=:])")
+QUOTED = re.compile(r"\s*(?:\"((?:\\.|[^\"\\\n])*+)\"|'((?:\\.|[^'\\\n])*+)'|`((?:\\.|[^`\\\n])*+)`)")
+LEAD = re.compile(r"[^\S\n]*+['\"`]?")
+UNQUOTED = re.compile(r"\S++")
+# What ends a statement or a pair, after a value without quotes.
+CLOSING = ",;&)]}'\"`"
 NAMES = re.compile(r"secret|token|passw|pwd|key|auth|bearer|credential|signature", re.I)
 PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|fake|xxxx|1234567", re.I)
 EXAMPLE_PATH = re.compile(r"test|example|sample|doc|mock|fixture", re.I)
@@ -91,7 +100,36 @@ def corpus_statistics(docs: DataFrame, text: str) -> tuple[np.ndarray, DataFrame
 # candidates and their features
 
 
+def assigned_values(text: str) -> Iterator[tuple[int, int]]:
+    """Values that follow a secret's name and a sign that assigns or compares:
+    what is in quotes, else all up to white space or the next such name."""
+    named = []
+    for m in ASSIGNS.finditer(text):
+        at = max(0, m.start() - CONTEXT)
+        if name := NAME_BEFORE.search(text[at:m.start()]):
+            named.append((at + name.start(), m.end()))
+    done = 0
+    for k, (_, at) in enumerate(named):
+        if at < done:  # inside a quoted value
+            continue
+        if m := QUOTED.match(text, at):
+            start, end = m.span(m.lastindex)
+            done = m.end()
+        else:
+            start = LEAD.match(text, at).end()
+            # a name that is itself the value's beginning does not end it
+            m = UNQUOTED.match(text, start, next((n for n, _ in named[k + 1:k + 3] if n > start), len(text)))
+            end = start + len(m.group().rstrip(CLOSING)) if m else start
+        if start < end:
+            yield start, end
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Values assigned to a secret's name, and runs of key characters."""
+    yield from sorted({*assigned_values(text), *key_runs(text)})
+
+
+def key_runs(text: str) -> Iterator[tuple[int, int]]:
     """Runs of key characters with a digit, or with both cases inside."""
     for m in RUN.finditer(text):
         run = m.group()
@@ -140,7 +178,7 @@ def features(text: str, start: int, end: int, path: str | None, transitions: np.
     changes = np.flatnonzero(classes[1:] != classes[:-1])
     longest = np.diff(np.r_[-1, changes, len(run) - 1]).max()
     codes = np.frombuffer(run.encode(), dtype=np.uint8)
-    steps = transitions[codes[:-1], codes[1:]]
+    steps = transitions[codes[:-1], codes[1:]] if len(codes) > 1 else np.zeros(1)
     before, after = text[max(0, start - CONTEXT):start], text[end:end + CONTEXT]
     inside, near = dictionary_features(run, near_words(text, start, end), dictionary)
     return [np.log(len(run)), *share, len(counts) / len(run), -(counts * np.log2(counts)).sum(), float(HEX.fullmatch(run) is not None),
@@ -154,13 +192,15 @@ def features(text: str, start: int, end: int, path: str | None, transitions: np.
 
 def decided(text: str, start: int, end: int) -> int:
     """The label of a finding that its context or format decides, else -1: 1 if
-    it is assigned to a secret's name, 0 if it is a placeholder, a number or
-    words and numbers joined by signs."""
+    it is assigned to a secret's name (and quoted, if it is no key run), 0 if
+    it is a placeholder, a number or words and numbers joined by signs."""
     run = text[start:end]
-    if PLACEHOLDER.search(run) or len(set(run)) <= 4 or re.fullmatch(r"[0-9_/+=-]+", run):
+    if PLACEHOLDER.search(run) or len(set(run)) <= min(4, len(run) // 4) or re.fullmatch(r"[0-9_/+=-]+", run):
         return 0
-    if NAMED.search(text[max(0, start - CONTEXT):start]) and not PLACEHOLDER.search(text[max(0, start - CONTEXT):start]):
-        return 1
+    before = text[max(0, start - CONTEXT):start]
+    if NAMED.search(before) and not PLACEHOLDER.search(before):
+        # prose has names of secrets before a colon too
+        return 1 if before[-1:] in ("'", '"') or (0, len(run)) in key_runs(run) else -1
     return 0 if re.fullmatch(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/+=](?:[A-Za-z]+|[0-9]+))+", run) else -1
 
 

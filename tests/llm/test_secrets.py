@@ -49,6 +49,35 @@ def test_candidates_and_decisions():
         list(S.candidates(long))
 
 
+def test_every_value_assigned_to_a_name_is_a_candidate():
+    values = {'password = "Tr0ub4dor3x"': ["Tr0ub4dor3x"], "pwd: 'correct horse battery staple'": ["correct horse battery staple"],
+              'db_password: p.q~r!s$t@u#v, next': ["p.q~r!s$t@u#v"], 'auth = ""': [], "token=a&password=é; x": ["a", "é"],
+              'if token == "q w":': ["q w"], '{"secret": hunter2}': ["hunter2"], 'name = "Tr0ub4dor3x"': [], "secret::x != y": [],
+              'token = "password = x" next': ["password = x"], 'pwd = "open end': ["open"], r'pwd = "a\"b" c': [r'a\"b'], "token:": [],
+              "auth = token=abc x": ["token=abc", "abc"]}
+    for text, want in values.items():
+        assert [text[a:b] for a, b in S.candidates(text)] == want, text
+    text = 'api_key = "ab.cd/0123456789abcdefXYZ"'  # the value, and the key run in it
+    assert [text[a:b] for a, b in S.candidates(text)] == ["ab.cd/0123456789abcdefXYZ", "cd/0123456789abcdefXYZ"]
+    transitions = np.full((256, 256), -8.0)
+    for text, want in values.items():
+        for a, b in S.candidates(text):
+            assert np.isfinite(S.features(text, a, b, None, transitions, frozenset())).all()
+    assert S.decided('password = "Tr0ub4dor3x"', 12, 23) == 1 and S.decided("secret: nobody knows", 8, 14) == -1
+    for long in ("token=" * 50_000, 'token="' * 50_000, "token='" * 50_000 + '"', ": " * 150_000, "token" * 60_000 + "=", "pwd=" + " " * 300_000):
+        list(S.candidates(long))
+
+
+def test_short_secrets_are_found(spark):
+    rng = random.Random(5)
+    make = lambda: "".join(rng.choice("abcdefghkmnpqrstABCDEFGHKM23456789!.~@") for _ in range(11))
+    rows = [(k, f'some words password = "{make()}" more words', "p") for k in range(60)]
+    rows += [(100 + k, f"some words {rng.randrange(10 ** 19, 10 ** 20)} more words", "p") for k in range(60)]
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {(r.doc_id, r.is_secret) for r in got} == {(r[0], r[0] < 100) for r in rows} and len(got) == 120
+    assert all((r.start, r.end) == (23, 34) for r in got if r.doc_id < 100)
+
+
 def test_labelled_findings_train_the_forest(spark):
     rng = random.Random(4)
     rows, labelled = [], []
