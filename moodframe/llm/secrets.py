@@ -264,18 +264,28 @@ def with_dictionary(found: DataFrame, dictionary: DataFrame) -> DataFrame:
     return out
 
 
+def draw(findings: DataFrame, label: str, rows: int) -> DataFrame:
+    """(features, label, weight): at most about ``rows`` distinct ones of the
+    labelled findings. The chance to be drawn grows with the number of equal
+    ones, up to certainty; the weight is that number over the chance, so that
+    every kind counts as often as it is found."""
+    equal = findings.groupBy("features", F.col(label).cast("double").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    total = equal.agg(F.sum("n").alias("n")).first().n or 1
+    chance = F.least(F.lit(1.0), F.col("n") * (rows / total))
+    drawn = equal.withColumn("chance", chance).where(
+        F.pmod(F.xxhash64("features", "label"), F.lit(1 << 30)) < F.col("chance") * (1 << 30))
+    return drawn.select("features", "label", (F.col("n") / F.col("chance")).alias("weight"))
+
+
 def train(findings: DataFrame, label: str = "label") -> RandomForestClassificationModel | None:
     """A forest from labelled findings (``features`` and ``label`` 0 or 1), at
-    most about ``MAX_FINDINGS`` of them, drawn by a hash of the features.
-    Without both labels there is nothing to learn, and no model."""
+    most about ``MAX_FINDINGS`` distinct ones with weights. Without both labels
+    there is nothing to learn, and no model."""
     given = findings.where(F.col(label).isin(0, 1))
-    shape = given.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("labels")).first()
-    if shape.labels < 2:
+    if given.agg(F.count_distinct(label).alias("labels")).first().labels < 2:
         return None
-    share = min(1.0, MAX_FINDINGS / shape.n)
-    drawn = given.where(F.pmod(F.xxhash64("features"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = drawn.select(array_to_vector("features").alias("features"), F.col(label).cast("double").alias("label"))
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
+    drawn = draw(given, label, MAX_FINDINGS).withColumn("features", array_to_vector("features"))
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(drawn)
 
 
 def judge(findings: DataFrame, model: RandomForestClassificationModel | None, cut: float = CUT) -> DataFrame:

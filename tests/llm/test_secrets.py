@@ -93,6 +93,22 @@ def test_labelled_findings_train_the_forest(spark):
     assert got == {k: k % 3 == 0 for k in range(300)}
 
 
+def test_copied_findings_are_drawn_once(spark, monkeypatch):
+    rows = [([1.0, 0.0], 1)] * 1_000 + [([0.0, 1.0], 0)] * 1_000 + [([0.5, float(k)], k % 2) for k in range(1_000)]
+    found = spark.createDataFrame(rows, "features array<double>, label int")
+    drawn = S.draw(found, "label", 100).collect()
+    heavy = {tuple(r.features): r.weight for r in drawn if r.features[0] != 0.5}
+    assert heavy == {(1.0, 0.0): 1_000, (0.0, 1.0): 1_000}
+    light = [r.weight for r in drawn if r.features[0] == 0.5]
+    assert 15 <= len(light) <= 60 and all(abs(w - 30) < 1e-9 for w in light)
+    assert {r.weight for r in S.draw(found, "label", 50_000).collect()} == {1.0, 1_000.0}
+    monkeypatch.setattr(S, "MAX_FINDINGS", 20)
+    copies = [([1.0] * 22, 1)] * 500 + [([0.0] * 22, 0)] * 500
+    model = S.train(spark.createDataFrame(copies, "features array<double>, label int"))
+    got = S.judge(spark.createDataFrame(copies[:1] + copies[-1:], "features array<double>, label int"), model).collect()
+    assert {(r.label, r.is_secret) for r in got} == {(1, True), (0, False)}
+
+
 def test_edge_rows(spark):
     run = "9f86d081884c7d659a2feaa0c55ad015"
     rows = [(1, None, None), (2, "", "a"), (None, f'é token = "{run}"', None), (3, f'token = "{run}"', "p"), (3, f'token = "{run}"', "p"),
