@@ -9,6 +9,7 @@ is. While training, a leak term explains labels that no sentence accounts for.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,15 +19,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm.common import discard, documents, held_out, labels, materialise, rate_texts, sample_labelled, worker_cache
+from moodframe.llm.common import discard, documents, held_out, labels, materialise, rate_texts, worker_cache
 
 # Bounds of the model: labelled rows that it is fitted on, and listed words.
 SAMPLE_ROWS = 20_000
 MAX_WORDS = 5_000
 # A word, or a beginning that longer words share (written with a trailing *),
-# is listed if toxic documents hold it more often than chance explains.
+# is listed if toxic documents hold it more often than chance explains, by so
+# many deviations. The normal ones need some toxic documents to mean anything;
+# with fewer, the root of the deviance decides.
 BEGINNINGS = (4, 5, 6, 7)
-MIN_TOXIC_DOCS = 5
+NORMAL_TOXIC_DOCS = 5
 MIN_DEVIATIONS = 4.5
 CUT = 0.5
 
@@ -90,47 +93,73 @@ def _beginnings(words: str, n: int) -> Column:
 def listed_words(sample: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
     """Words and beginnings that more toxic documents hold than their
     frequency explains."""
+    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
+    if not total.toxic or total.toxic == total.n:
+        return []
+    rate = total.toxic / total.n
+    # fewer toxic documents are no evidence at this rate, even if no other document has the word
+    least = min(NORMAL_TOXIC_DOCS, math.ceil(MIN_DEVIATIONS ** 2 / 2 / -math.log(rate)))
     own = sample.select("label", F.array_distinct(F.split(F.lower("text"), JAVA_NO_LETTERS)).alias("words"))
     starts = [_beginnings("words", n) for n in BEGINNINGS]
     held = own.select("label", F.explode(F.array_distinct(F.concat("words", *starts))).alias("word"))
     # only what enough toxic documents hold is counted over all of them
-    common = held.where("label = 1").groupBy("word").count().where(F.col("count") >= MIN_TOXIC_DOCS)
+    common = held.where("label = 1").groupBy("word").count().where(F.col("count") >= least)
     held = held.join(common.select("word"), "word", "left_semi")
-    counts = (held.where("word <> ''").groupBy("word")
-              .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"))
-              .where(F.col("toxic") >= MIN_TOXIC_DOCS))
-    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    if not total.toxic or total.toxic == total.n:
-        return []
-    rate = total.toxic / total.n
-    z = (F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    best = counts.withColumn("z", z).where(F.col("z") >= MIN_DEVIATIONS)
+    counts = held.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic"))
+    n, toxic, clean = F.col("n"), F.col("toxic"), F.col("n") - F.col("toxic")
+    z = (toxic - n * rate) / F.sqrt(n * rate * (1 - rate))
+    deviance = 2 * (toxic * F.log(toxic / (n * rate)) + F.when(clean > 0, clean * F.log(clean / (n * (1 - rate)))).otherwise(0.0))
+    enough = (toxic >= NORMAL_TOXIC_DOCS) | (F.sqrt(F.greatest(deviance, F.lit(0.0))) >= MIN_DEVIATIONS)
+    best = counts.withColumn("z", z).where((F.col("z") >= MIN_DEVIATIONS) & enough)
     return sorted(r.word for r in best.orderBy(F.desc("z"), "word").limit(max_words).select("word").collect())
 
 
+def sample_by_label(docs: DataFrame, truth: DataFrame, doc_id: str, text: str, label: str, rows: int) -> DataFrame:
+    """(text, label, weight) of at most about ``rows`` labelled documents, each
+    distinct text once. Toxic ones get up to half of the rows, or all that
+    clean ones leave; both are drawn by a hash of the id, and a weight is the
+    number of labelled documents that one drawn stands for."""
+    given = truth.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
+    given = given.groupBy(F.col(doc_id).alias("drawn_id")).agg(F.max(label).cast("int").alias("label"))
+    count = {r.label: r.n for r in given.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = count.get(1, 0), sum(n for k, n in count.items() if k != 1)
+    toxic_rows = min(toxic, max(rows // 2, rows - clean))
+    shares = [min(1.0, (rows - toxic_rows) / max(1, clean)), toxic_rows / max(1, toxic)]
+    share, weight = (F.when(F.col("label") == 1, of[1]).otherwise(of[0]) for of in (shares, [1 / s if s else 0.0 for s in shares]))
+    drawn = given.where(F.pmod(F.xxhash64("drawn_id"), F.lit(1 << 30)) < share * (1 << 30)).withColumn("weight", weight)
+    found = docs.select(F.col(doc_id).alias("drawn_id"), F.coalesce(text, F.lit("")).alias("text"))
+    # few enough to be sent to every task, so no text is shuffled to find them
+    return (found.join(F.broadcast(drawn), "drawn_id").groupBy("text").agg(F.max(F.struct("label", "weight")).alias("top"))
+            .select("text", "top.label", "top.weight"))
+
+
 def to_bags(sample: DataFrame, words: list[str]) -> DataFrame:
-    """(label, plain, hits): per document the number of sentences without a
+    """(label, weight, plain, hits): per document the number of sentences without a
     listed word, and the places of the listed words in each other sentence."""
     listed = {w: k for k, w in enumerate(words)}
 
     def bags(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for text, label in zip(frame["text"], frame["label"]):
+            for text, label, weight in zip(frame["text"], frame["label"], frame["weight"]):
                 plain, others = sentences_with(text, listed)
-                rows.append((label, plain, [found for _, _, found in others]))
+                rows.append((label, weight, plain, [found for _, _, found in others]))
             if rows:
-                yield pd.DataFrame(rows, columns=["label", "plain", "hits"])
-    return sample.mapInPandas(bags, "label int, plain long, hits array<array<int>>")
+                yield pd.DataFrame(rows, columns=["label", "weight", "plain", "hits"])
+    return sample.mapInPandas(bags, "label int, weight double, plain long, hits array<array<int>>")
 
 
 def fit_bags(bags: list, n_words: int, steps: int = 300, rate: float = 0.1,
              penalty: float = 0.02) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of the document labels
-    under the noisy-or with a leak, by gradient steps over the sampled bags."""
+    under the noisy-or with a leak, by gradient steps over the sampled bags.
+    Each bag counts by its ``weight``, if it has one."""
     if not bags:
         return np.zeros(n_words), -20.0
     y = np.array([b.label for b in bags], dtype=float)
+    counts = np.array([getattr(b, "weight", 1.0) for b in bags])
+    # where few bags are toxic, their words must not be outweighed by the number of the others
+    penalty *= min(len(y) / 1000, (y > 0).sum() / 10)
     plain = np.array([b.plain for b in bags], dtype=float)
     sentences = [(d, h) for d, b in enumerate(bags) for h in b.hits]
     doc = np.array([d for d, _ in sentences], dtype=np.int64)
@@ -147,10 +176,10 @@ def fit_bags(bags: list, n_words: int, steps: int = 300, rate: float = 0.1,
         log_none += np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
         none = np.exp(log_none)
         # d log-likelihood / d log_none; d log(1 - p) / dz is -p
-        up = np.where(y > 0, -none / np.maximum(1 - none, 1e-12), 1.0)
+        up = counts * np.where(y > 0, -none / np.maximum(1 - none, 1e-12), 1.0)
         dz = -p * up[doc]
         grad = np.zeros_like(params)
-        grad[:-2] = np.bincount(word, dz[of], minlength=n_words) - penalty * weights * len(y) / 1000
+        grad[:-2] = np.bincount(word, dz[of], minlength=n_words) - penalty * weights
         grad[-2] = dz.sum() - (p0 * plain * up).sum()
         grad[-1] = -(eps * up).sum()
         grad /= len(y)
@@ -163,7 +192,7 @@ def train(docs: DataFrame, truth: DataFrame, doc_id: str = "doc_id", text: str =
           rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS) -> ToxicityModel:
     """Fit on a bounded sample of the labelled documents (``rows``). Only the
     sample's bags, a few numbers for each document, come to the driver."""
-    sample, sample_at = materialise(sample_labelled(docs, truth, doc_id, text, label, rows), "toxicity-sample")
+    sample, sample_at = materialise(sample_by_label(docs, truth, doc_id, text, label, rows), "toxicity-sample")
     words = listed_words(sample, max_words)
     weights, bias = fit_bags(to_bags(sample, words).collect() if words else [], len(words))
     discard(docs.sparkSession, sample_at)

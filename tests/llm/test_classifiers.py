@@ -122,6 +122,27 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted for r in clean]) < 0.01 and np.mean([r.predicted for r in toxic]) > 0.8
 
 
+def test_rare_toxic_documents_are_learnt_from(spark):
+    rng = np.random.default_rng(2)
+    common = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(30)]
+
+    def table(n: int, toxic: int):
+        rows = [(k, " ".join(rng.choice(common, 12)) + f". day {k}. " + ("You vileword here. " if k < toxic else "") + "End.", int(k < toxic))
+                for k in range(n)]
+        return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+    for docs, rows, toxic in ((table(8_000, 6), 400, 6), (table(400, 3), 20_000, 3)):  # few of many, and a small table
+        sample = toxicity.sample_by_label(docs, docs, "doc_id", "text", "toxic", rows).collect()
+        assert sum(r.label for r in sample) == toxic and len(sample) < 1.3 * rows
+        assert sum(r.weight for r in sample) == pytest.approx(docs.count(), rel=0.2)
+        model = toxicity.train(docs, docs, rows=rows)
+        got = toxicity.score(docs, model, carry=("doc_id", "toxic")).collect()
+        assert "vileword" in model.words and all(r.predicted == r.toxic for r in got)
+    for label in (0, 1):  # one label alone teaches nothing
+        assert toxicity.train(docs, docs.where(f"toxic = {label}")).words == {}
+    assert toxicity.train(docs, docs.where("doc_id < 0")).words == {}
+
+
 def test_toxicity_edge_rows(spark):
     model = toxicity.train(edge(spark), edge(spark), label="label")
     got = toxicity.score(edge(spark), model, carry=("doc_id", "lang")).collect()
