@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moodframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, lm_score, packing, pii, quality, secrets, toxicity
+from moodframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, lm_score, merkle, packing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_best_fit_packing": packing.query,
     "op9_quality_classifier": quality.query,
     "op10_toxicity": toxicity.query,
+    "op11_merkle_manifest": merkle.query,
 }
 
 ORACLE = {
     "op4_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
