@@ -21,8 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodframe.llm.common import HOT_SHARE, discard, documents, join_hot, materialise
-from moodframe.session import local_table
+from moodframe.llm.common import HOT_SHARE, discard, documents, join_hot, materialise, numbered
 
 RUN = 3
 DIGEST_BYTES = 32
@@ -54,29 +53,6 @@ def hex_text(digest: Column) -> Column:
     return F.lower(F.hex(digest))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, str]:
-    """``rows`` with ``idx``, their number from 0 in the given order.
-
-    A range partitioning sorts them; a row's number is its place in its
-    partition and the rows of the partitions before. Rows equal in ``order``
-    are dealt by where they stand, so many of them do not meet in one task.
-    """
-    spark = rows.sparkSession
-    keys = [*order, "tie"]
-    placed = (rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys)
-              .sortWithinPartitions(*keys).drop("tie").withColumn("spot", F.monotonically_increasing_id()))
-    placed, at = materialise(placed, name)
-    part = F.shiftright("spot", 33)
-    counts = placed.groupBy(part.alias("part")).count().collect()  # one row a partition
-    shifts, before = [], 0
-    for part_no, n in sorted(tuple(r) for r in counts):
-        shifts.append((part_no, before - (part_no << 33)))
-        before += n
-    shifts = local_table(spark, shifts, "part bigint, shift bigint")
-    placed = placed.withColumn("part", part).join(F.broadcast(shifts), "part")
-    return placed.withColumn("idx", F.col("spot") + F.col("shift")).drop("part", "spot", "shift"), at
-
-
 @dataclass
 class Tree:
     """Runs of every level (``tree, level, run, kids, digest, n``; ``kids`` are

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moodframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, lm_score, merkle, packing, pii, quality, secrets, toxicity
+from moodframe.llm import decontaminate, exact_dedup, fingerprints, hard_negatives, jaccard_join, language_id, lm_score, merkle, packing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality_classifier": quality.query,
     "op10_toxicity": toxicity.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_document_fingerprints": fingerprints.query,
 }
 
 ORACLE = {
@@ -23,4 +25,5 @@ ORACLE = {
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
 }
