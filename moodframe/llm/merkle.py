@@ -164,7 +164,10 @@ def manifest(leaves: DataFrame) -> DataFrame:
     """
     spark = leaves.sparkSession
     name = F.coalesce(F.concat(F.lit("="), F.col("group")), F.lit(""))  # orders like the group, null first
-    rows, rows_at = numbered(leaves.select(name.alias("name"), "id", "leaf", "extra"), ["name", "id", "leaf"], "merkle-leaves")
+    # range partitioning reads its input twice; the leaves are made once
+    made, made_at = materialise(leaves.select(name.alias("name"), "id", "leaf", "extra"), "merkle-made")
+    rows, rows_at = numbered(made, ["name", "id", "leaf"], "merkle-leaves")
+    discard(spark, made_at)
     groups, groups_at = numbered(rows.groupBy("name").agg(F.min("idx").alias("first"), F.count(F.lit(1)).alias("n")),
                                  ["name"], "merkle-groups")
     groups = groups.withColumnRenamed("idx", "tree")
