@@ -44,6 +44,53 @@ def test_later_batches_lose_to_the_index(spark):
     assert again.rows().count() == 3
 
 
+def decisions(rows):
+    return sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows.collect()), key=str)
+
+
+def test_a_batch_that_runs_again_keeps_what_it_kept(spark):
+    docs = spark.createDataFrame([(5, "a"), (3, "A"), (4, "b"), (None, "c")], "doc_id bigint, text string")
+    for name in (None, "monday"):
+        index = fresh_index(spark)
+        exact_dedup(spark.createDataFrame([(1, "b")], "doc_id bigint, text string"), index).collect()
+        once = decisions(exact_dedup(docs, index, batch=name))
+        assert decisions(exact_dedup(docs, index, batch=name)) == once
+        assert (5, 5, 2, True) in once and (4, 1, 1, False) in once and index.rows().count() == 3
+
+
+def test_a_run_that_fails_around_the_append(spark, monkeypatch):
+    docs = spark.createDataFrame([(5, "a"), (3, "A"), (4, "b")], "doc_id bigint, text string")
+    want = decisions(exact_dedup(docs, fresh_index(spark)))
+    append = DigestIndex.append
+    for partial in (False, True):
+        def failing(self, fresh):
+            append(self, fresh.where("keep_id = 5") if partial else fresh)
+            raise RuntimeError("lost")
+        index = fresh_index(spark)
+        monkeypatch.setattr(DigestIndex, "append", failing)
+        try:
+            exact_dedup(docs, index)
+        except RuntimeError:
+            pass
+        monkeypatch.setattr(DigestIndex, "append", append)
+        assert decisions(exact_dedup(docs, DigestIndex(spark, index.path))) == want
+
+
+def test_an_index_grows_into_more_buckets(spark):
+    index = fresh_index(spark)
+    docs = spark.range(500).selectExpr("id as doc_id", "cast(id as string) as text")
+    exact_dedup(docs, index).collect()
+    buckets, held = index.buckets, sorted(r.keep_id for r in index.rows().collect())
+    index.grow()
+    assert index.buckets == buckets
+    index.grow(rows_per_bucket=10)
+    assert index.buckets == 50 and sorted(r.keep_id for r in index.rows().collect()) == held
+    again = DigestIndex(spark, index.path)
+    assert again.buckets == 50
+    assert exact_dedup(docs.selectExpr("doc_id + 1000 as doc_id", "text"), again).where("kept").count() == 0
+    again.close()
+
+
 def test_empty_table(spark):
     assert exact_dedup(spark.createDataFrame([], SCHEMA), fresh_index(spark)).count() == 0
 
