@@ -14,9 +14,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from moodframe.llm.common import discard, documents, join_hot, materialise
 
@@ -36,8 +38,6 @@ DIGIT = re.compile(r"[0-9]")
 
 # Context that patterns are made of, in characters on either side.
 LEFT, RIGHT = 80, 40
-# What identifies: at least so many digits, or an at sign.
-MIN_DIGITS = 4
 
 # A reliable pattern's known instances, weighted by their scores, and its
 # confidence; the score of an instance that joins.
@@ -86,7 +86,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like strings that no base span touches."""
+    """Strings with a digit or an at sign that no base span touches. How many
+    digits they have does not matter: their patterns decide."""
     taken, k = sorted((a, b) for _, a, b in spans), 0
     for m in TOKEN.finditer(text):
         token = m.group()
@@ -96,8 +97,11 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[i
         end = m.end() - (len(token) - len(token.rstrip(EDGES)))
         while k < len(taken) and taken[k][1] <= m.start():
             k += 1
-        touched = any(a < end and start < b for a, b in taken[k:k + 8])
-        if start < end and not touched and ("@" in token or len(DIGIT.findall(token)) >= MIN_DIGITS):
+        at, touched = k, False
+        while not touched and at < len(taken) and taken[at][0] < end:
+            touched = start < taken[at][1]
+            at += 1
+        if start < end and not touched:
             yield start, end
 
 
@@ -113,10 +117,16 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, found): each row's base spans, and all its identifier-like
     places with their patterns and kind (-1: unknown)."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL(
+        "base array<struct<kind: int, start: int, end: int>>, "
+        "found array<struct<kind: int, start: int, end: int, instance: string, patterns: array<string>>>").fields])
+    _, base_type, found_type = to_arrow_schema(schema).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             base, found = [], []
-            for value in frame["text"]:
+            for value in batch.column(1).to_pylist():
                 value = value or ""
                 spans = base_spans(value) if IDENTIFYING.search(value) else []
                 places = list(spans)
@@ -125,13 +135,10 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
                 found.append([{"kind": k, "start": a, "end": b, "instance": value[a:b].lower(), "patterns": patterns(value, a, b)}
                               for k, a, b in places])
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "base": pd.Series(base, index=frame.index, dtype=object),
-                                "found": pd.Series(found, index=frame.index, dtype=object)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, base_type), pa.array(found, found_type)],
+                                             names=schema.names)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, "
-                                 "base array<struct<kind: int, start: int, end: int>>, "
-                                 "found array<struct<kind: int, start: int, end: int, instance: string, patterns: array<string>>>")
+    return rows.mapInArrow(run, schema)
 
 
 def bootstrap(edges: DataFrame, rounds: int | None = None) -> DataFrame:
