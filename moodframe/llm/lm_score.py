@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -260,14 +261,15 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held:
     known = known.unionAll(costs.select("chunk", "key", F.lit(None).cast("binary"), "cost"))
     n_train, n_types = int(sums.n), int(sums.v)
 
-    def score(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        is_run = given["token"].isna().to_numpy()
-        keys = given["run"].to_numpy()[is_run].astype(np.int64).view(np.uint64)
-        sort = np.argsort(keys)
-        keys, cost = keys[sort], given["value"].to_numpy()[is_run][sort]
-        counts = dict(zip(given["token"].to_numpy()[~is_run], given["value"].to_numpy()[~is_run]))
+    def score(own: pa.Table, given: pa.Table) -> pa.Table:
+        runs_given, tokens_given = given.filter(pc.field("token").is_null()), given.filter(pc.field("token").is_valid())
         del given
-        packed, unpack = own.pop("text").tolist(), zstandard.ZstdDecompressor().decompress
+        keys = runs_given["run"].to_numpy().astype(np.int64).view(np.uint64)
+        sort = np.argsort(keys)
+        keys, cost = keys[sort], runs_given["value"].to_numpy()[sort]
+        counts = dict(zip(tokens_given["token"].to_pylist(), tokens_given["value"].to_pylist()))
+        del runs_given, tokens_given
+        packed, unpack = own["text"].to_pylist(), zstandard.ZstdDecompressor().decompress
         out = np.zeros((len(packed), 4))
         for a, b in blocks(packed, LOOK_UP_BYTES):
             texts = [unpack(bytes(t)) for t in packed[a:b]]
@@ -277,8 +279,9 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held:
             for k, t in enumerate(texts, start=a):
                 c = np.fromiter(map(counts.__getitem__, words_of(t)), dtype=np.float64)
                 out[k, :3] = len(c), np.count_nonzero(c), np.log10(c + 1).sum() - len(c) * np.log10(n_train + n_types + 1)
-        return pd.DataFrame({"doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": out[:, 0].astype(np.int64),
-                             "n_known": out[:, 1].astype(np.int64), "train_tokens": n_train, "base_score": out[:, 2], "score": out[:, 3]})
+        # ids stay in Arrow, where a null beside them changes nothing
+        return pa.table([own["doc_id"], own["held_out"], *(pa.array(out[:, k].astype(np.int64)) for k in (0, 1)),
+                         pa.array(np.full(len(out), n_train, dtype=np.int64)), pa.array(out[:, 2]), pa.array(out[:, 3])], names=schema.names)
 
     schema = StructType([chunks.schema["doc_id"], StructField("held_out", BooleanType())])
     for name in ("n_tokens", "n_known", "train_tokens"):
@@ -288,7 +291,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held:
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(SPREAD, 4 * chunks.select("chunk").distinct().count()))
     return (chunks.select("chunk", "doc_id", "held_out", "text").repartition(parts, "chunk").groupBy("chunk")
-            .cogroup(known.groupBy("chunk")).applyInPandas(score, schema))
+            .cogroup(known.groupBy("chunk")).applyInArrow(score, schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
