@@ -48,3 +48,23 @@ def test_query_matches_its_twin(spark):
     for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
         r = compare(spark, "op7_benchmark_decontamination", sf, duck(sf))
         assert r["cols_match"] and r["hash_match"] and r["spark_rows"] > 0, r
+
+
+def test_items_of_fewer_words_than_a_shingle(spark):
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "Gamma"), (3, "one two three four five six"), (4, "one two three four"), (5, "...")],
+                                  "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x alpha, BETA y"), (2, "beta alpha"), (3, "the gamma"), (4, "gammas one two three"),
+                                  (5, "zero one two three four five six seven"), (6, "alpha"), (7, None)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.item_shingles, r.shared_shingles) for r in contaminated(docs, items).collect())
+    assert got == [(1, 1, 1, 1), (3, 2, 1, 1), (5, 3, 2, 2), (5, 4, 1, 1)]
+
+
+def test_short_items_match_the_twin(spark, tmp_path):
+    import duckdb
+    from moodframe.llm.decontaminate import ORACLE_SQL, query
+    spark.createDataFrame([(1, "alpha beta"), (2, "one two three four five six")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "x alpha, BETA y"), (2, "one two three four five six"), (3, "alpha")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(con.sql(ORACLE_SQL).fetchall())
