@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from moodframe.session import local_table, scratch_dir
@@ -161,17 +163,19 @@ def sample_labelled(docs: DataFrame, truth: DataFrame, doc_id: str, text: str, l
 def rate_texts(docs: DataFrame, text: str, carry: tuple[str, ...], make: Callable[[], Callable[[pd.Series], dict]],
                added: str) -> DataFrame:
     """The ``carry`` columns of every row and what ``make()``, called in each
-    task, computes from a batch of texts. ``added`` is the schema of that."""
+    task, computes from a batch of texts. ``added`` is the schema of that. The carried
+    columns stay in Arrow, so that values of any type come back as they are."""
     own = text in carry
     kept = docs.select(*carry) if own else docs.select(*carry, F.col(text).alias("text to rate"))
+    schema = StructType(docs.select(*carry).schema.fields + StructType.fromDDL(added).fields)
+    types = {f.name: f.type for f in to_arrow_schema(StructType.fromDDL(added))}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = make()
-        for frame in frames:
-            texts = frame[text] if own else frame.pop("text to rate")
-            for name, values in rate(texts).items():
-                frame[name] = pd.Series(values, index=frame.index, dtype=object if isinstance(values, list) else None)
-            yield frame
+        for batch in batches:
+            at = carry.index(text) if own else len(carry)
+            rated = rate(batch.column(at).to_pandas())
+            columns = [*batch.columns[:len(carry)], *(pa.array(rated[name], type=kind, from_pandas=True) for name, kind in types.items())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    schema = StructType(docs.select(*carry).schema.fields + StructType.fromDDL(added).fields)
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from moodframe.llm.common import discard, documents, held_out, labels, materialise, rate_texts, worker_cache
 
-# Bounds of the model: labelled rows that it is fitted on, and listed words.
+# Bound of the model: labelled rows that it is fitted on.
 SAMPLE_ROWS = 20_000
-MAX_WORDS = 5_000
 # A word, or a beginning that longer words share (written with a trailing *),
 # is listed if toxic documents hold it more often than chance explains, by so
 # many deviations. The normal ones need some toxic documents to mean anything;
@@ -90,9 +89,9 @@ def _beginnings(words: str, n: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
 
-def listed_words(sample: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
+def listed_words(sample: DataFrame) -> list[str]:
     """Words and beginnings that more toxic documents hold than their
-    frequency explains."""
+    frequency explains; all of them, from a sample of a bounded number of rows."""
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     if not total.toxic or total.toxic == total.n:
         return []
@@ -111,7 +110,7 @@ def listed_words(sample: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
     deviance = 2 * (toxic * F.log(toxic / (n * rate)) + F.when(clean > 0, clean * F.log(clean / (n * (1 - rate)))).otherwise(0.0))
     enough = (toxic >= NORMAL_TOXIC_DOCS) | (F.sqrt(F.greatest(deviance, F.lit(0.0))) >= MIN_DEVIATIONS)
     best = counts.withColumn("z", z).where((F.col("z") >= MIN_DEVIATIONS) & enough)
-    return sorted(r.word for r in best.orderBy(F.desc("z"), "word").limit(max_words).select("word").collect())
+    return sorted(r.word for r in best.select("word").collect())
 
 
 def sample_by_label(docs: DataFrame, truth: DataFrame, doc_id: str, text: str, label: str, rows: int) -> DataFrame:
@@ -189,11 +188,11 @@ def fit_bags(bags: list, n_words: int, steps: int = 300, rate: float = 0.1,
 
 
 def train(docs: DataFrame, truth: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-          rows: int = SAMPLE_ROWS, max_words: int = MAX_WORDS) -> ToxicityModel:
+          rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on a bounded sample of the labelled documents (``rows``). Only the
     sample's bags, a few numbers for each document, come to the driver."""
     sample, sample_at = materialise(sample_by_label(docs, truth, doc_id, text, label, rows), "toxicity-sample")
-    words = listed_words(sample, max_words)
+    words = listed_words(sample)
     weights, bias = fit_bags(to_bags(sample, words).collect() if words else [], len(words))
     discard(docs.sparkSession, sample_at)
     return ToxicityModel({w: k for k, w in enumerate(words)}, weights, bias)

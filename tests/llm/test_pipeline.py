@@ -83,11 +83,27 @@ def test_stages_keep_columns_and_bear_edge_rows(spark):
         [(1, 0), (1, 0), (2, 0), (3, 13), (4, 15), (5, 300_000)], key=str)
 
 
+def test_stages_keep_values_of_any_type(spark):
+    """Extra columns come back as they were: longs beyond 2**53 beside nulls,
+    late timestamps, decimals, maps and binaries."""
+    docs = spark.createDataFrame(ROWS[3:7], "doc_id long, text string, score string, n int").selectExpr(
+        "if(doc_id is null, doc_id, doc_id + 9007199254740990) as doc_id", "text", "if(n = 3, null, 9007199254740993) as big", "timestamp'9999-12-31 23:59:59' as late",
+        "date'0001-01-01' as early", "cast('12345678901234567890.123456789' as decimal(38, 9)) as exact", "map('a', 1, 'b', null) as m",
+        "X'00FF' as bytes", "cast(null as array<struct<a: bigint>>) as nested", "cast('nan' as double) as broken", "timestamp_ntz'1700-01-01 00:00:00' as ntz")
+    same = "to_json(struct(*)), hex(bytes)"
+    before = {tuple(r) for r in docs.selectExpr(*same.split(", ")).collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        after = {tuple(r) for r in out.selectExpr(*same.split(", ")).collect()}
+        assert after and after <= before, name
+
+
 def test_the_rest_works_without_the_corpus_operators(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 89 and not any(k.startswith('op') and k[2].isdigit() for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120, env=dict(os.environ, PYTHONPATH=""))
     code = ("import __spark_entry__ as e; q = e.queries(); assert 'pipeline' in q and "
-            "sorted(int(k[2:].split('_')[0]) for k in q if k[:2] == 'op' and k[2].isdigit()) == list(range(1, 11))")
+            "sorted(int(k[2:].split('_')[0]) for k in q if k[:2] == 'op' and k[2].isdigit()) == list(range(1, 14))")
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
