@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from moodframe.functions.hashing import DEFAULT_SEED, md5int
 from moodframe.operators.keyed import dense_index
+from moodframe.operators.neighbours import CELL_ROWS, nearest_in_class
 from moodframe.session import cut_lineage
 
 # Draw rows generated per block row (bounds one generator's output).
@@ -98,8 +99,9 @@ def balance_two_pass(df: DataFrame, first_col: str, second_col: str, key_cols: l
     ``second_col`` to the max ``second_col`` class size measured *before* the
     first pass. Row keys of pass 1 are ``(first_col, draw1)``.
 
-    Both passes draw keys and classes only. The first is written once, and the
-    other columns are joined to the result."""
+    Both passes draw keys and classes only. The first is written once. The
+    other columns are joined to the result on the key and a salt, of as many
+    values as keep a row that is drawn very often out of one task."""
     rest = [c for c in df.columns if c not in (first_col, second_col, *key_cols)]
     payload, df = df.select(*key_cols, *rest), df.select(*key_cols, first_col, second_col)
     target2 = _class_sizes(df.where(F.col(second_col).isNotNull()), second_col) \
@@ -110,7 +112,22 @@ def balance_two_pass(df: DataFrame, first_col: str, second_col: str, key_cols: l
     t2 = target2.first()["t"] or 0
     out = oversample(p1, second_col, [first_col, "draw1"], target=t2, seed=seed,
                      draw_col="draw2")
-    return out.join(payload, key_cols) if rest else out
+    return _join_drawn(out, payload, key_cols) if rest else out
+
+
+def _join_drawn(drawn: DataFrame, payload: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Join draws to their rows' other columns. A row that is drawn more than
+    ``SALT_TARGET`` times is repeated, and its draws are dealt over the copies."""
+    drawn = cut_lineage(drawn)
+    often = (drawn.groupBy(*key_cols).agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT_TARGET)).cast("int").alias("_copies"))
+             .where("_copies > 1"))
+    # at most one row for each SALT_TARGET draws
+    drawn = drawn.join(often, key_cols, "left").withColumn(
+        "_s", F.pmod(F.xxhash64("draw2"), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+    payload = payload.join(often, key_cols, "left").withColumn(
+        "_s", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return drawn.join(payload, [*key_cols, "_s"]).drop("_s")
+
 
 
 def shuffle_reindex(df: DataFrame, key_cols: list[str], seed: int = DEFAULT_SEED,
@@ -198,21 +215,24 @@ def _salted_rows(indexed: DataFrame, sizes: DataFrame, class_col: str) -> DataFr
 
 def synthetic_oversample(df: DataFrame, class_col: str, key_cols: list[str], vec_col: str,
                          seed: int = DEFAULT_SEED, draw_col: str = "k",
-                         buckets: int | None = None) -> DataFrame:
-    """D10 (re-aimed SMOTE): grow every class to the biggest class' size with
-    synthetic vectors ``x + u (y - x)``, where ``x`` (base) and ``y`` (partner)
-    are rows of the same class picked by seeded hashes of ``(class, k)`` and
-    ``u`` in [0, 1) is a hash too.
-
-    The partner is drawn from the whole class instead of the base's k nearest
-    neighbours: an exact neighbour search needs every pair inside a class,
-    which does not scale. Base and partner are fetched by two salted
-    equi-joins on ``(class, dense index)``; output columns: class, draw,
-    base key, partner key, ``u`` and the synthetic vector ``vec_col``.
+                         buckets: int | None = None, neighbours: int = 5,
+                         min_recall: float = 0.9, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """D10 (SMOTE): grow every class to the biggest class' size with synthetic
+    vectors ``x + u (y - x)``. ``x`` (base) is a row of the class picked by a
+    seeded hash of ``(class, k)``, ``y`` (partner) one of its ``neighbours``
+    nearest rows of the class, picked by another hash, ``u`` in [0, 1) a third.
+
+    Neighbours come from :func:`nearest_in_class`: exact for classes of one
+    cell, else with a measured recall of at least ``min_recall``; only rows that
+    are a base are looked up. A class of one row is its own partner. Base and
+    partner are fetched by two salted equi-joins on ``(class, dense index)``;
+    output columns: class, draw, base key, partner key, ``u`` and the synthetic
+    vector ``vec_col``. Rows with a null class or vector take no part.
     """
-    src = df.where(F.col(class_col).isNotNull())
+    src = df.where(F.col(class_col).isNotNull() & F.col(vec_col).isNotNull())
     keyed = src.withColumn("_h", md5int(F.lit("row"), *key_cols, seed=seed))
-    indexed = dense_index(keyed, [class_col], "_h", key_cols, "_idx", buckets).drop("_h")
+    indexed = cut_lineage(dense_index(keyed, [class_col], "_h", key_cols, "_idx", buckets)
+                          .select(class_col, "_idx", *key_cols, vec_col))
     sizes = _class_sizes(src, class_col).withColumn(
         "_need", F.max("n_c").over(Window.partitionBy(F.lit(1))) - F.col("n_c"))
     sizes = sizes.withColumn("_salt", F.greatest(F.lit(1).cast("bigint"), F.ceil(
@@ -221,18 +241,25 @@ def synthetic_oversample(df: DataFrame, class_col: str, key_cols: list[str], vec
         class_col, draw_col,
         F.pmod(md5int(F.lit("base"), F.col(class_col), F.col(draw_col), seed=seed), F.col("n_c"))
         .alias("_bi"),
-        F.pmod(md5int(F.lit("partner"), F.col(class_col), F.col(draw_col), seed=seed), F.col("n_c"))
-        .alias("_pi"),
+        md5int(F.lit("partner"), F.col(class_col), F.col(draw_col), seed=seed).alias("_pick"),
         (md5int(F.lit("u"), F.col(class_col), F.col(draw_col), seed=seed).cast("double")
          / F.lit(float(1 << 60))).alias("u"),
         F.pmod(F.col(draw_col), F.col("_salt")).alias("_s"))
-    rows = _salted_rows(indexed.select(class_col, "_idx", *key_cols, vec_col), sizes, class_col)
-    base = rows.select(class_col, F.col("_idx").alias("_bi"), "_s",
-                       *[F.col(k).alias(f"base_{k}") for k in key_cols], F.col(vec_col).alias("_x"))
+    near = nearest_in_class(indexed.select(class_col, F.col("_idx").alias("idx"), F.col(vec_col).alias("vec")), class_col,
+                            draws.select(class_col, F.col("_bi").alias("idx")), neighbours, min_recall, cell_rows)
+    near = cut_lineage(near.found.withColumnRenamed("idx", "_idx"))
+    rows = _salted_rows(indexed, sizes, class_col)
+    # only bases have neighbours, and they are salted with their rows
+    base = _salted_rows(indexed.join(near, [class_col, "_idx"], "left"), sizes, class_col).select(
+        class_col, F.col("_idx").alias("_bi"), "_s",
+        *[F.col(k).alias(f"base_{k}") for k in key_cols], F.col(vec_col).alias("_x"), "neighbours")
     partner = rows.select(class_col, F.col("_idx").alias("_pi"), "_s",
                           *[F.col(k).alias(f"partner_{k}") for k in key_cols],
                           F.col(vec_col).alias("_y"))
-    out = draws.join(base, [class_col, "_bi", "_s"]).join(partner, [class_col, "_pi", "_s"])
+    among = F.size("neighbours")
+    picked = F.when(F.col("neighbours").isNull(), F.col("_bi")).otherwise(
+        F.get("neighbours", F.pmod(F.col("_pick"), among).cast("int")))
+    out = draws.join(base, [class_col, "_bi", "_s"]).withColumn("_pi", picked).join(partner, [class_col, "_pi", "_s"])
     synth = F.zip_with("_x", "_y", lambda a, b: a.cast("double") + F.col("u") * (b.cast("double")
                                                                                  - a.cast("double")))
     return out.select(class_col, draw_col, *[f"base_{k}" for k in key_cols],

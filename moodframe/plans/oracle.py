@@ -597,8 +597,14 @@ WITH s AS (SELECT * FROM embeddings WHERE label IS NOT NULL),
 ix AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {H("'row'", 'vec_id')}, vec_id) - 1 AS _idx FROM s),
 sz AS (SELECT label, COUNT(*) AS n_c, MAX(COUNT(*)) OVER () - COUNT(*) AS need FROM s GROUP BY label),
 dr AS (SELECT label, n_c, unnest(range(0, need)) AS k FROM sz WHERE need > 0),
-dx AS (SELECT label, k, {H("'base'", 'label', 'k')} % n_c AS bi, {H("'partner'", 'label', 'k')} % n_c AS pi,
+nb AS (SELECT a.label, a._idx AS bi, b._idx AS pi,
+              row_number() OVER (PARTITION BY a.label, a._idx
+                  ORDER BY round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) ** 2, 9), b._idx) - 1 AS place
+       FROM ix a JOIN ix b ON a.label = b.label AND a._idx <> b._idx QUALIFY place < 5),
+bs AS (SELECT label, k, {H("'base'", 'label', 'k')} % n_c AS bi, {H("'partner'", 'label', 'k')} % greatest(least(n_c - 1, 5), 1) AS place,
               CAST({H("'u'", 'label', 'k')} AS DOUBLE) / {float(1 << 60)!r} AS u FROM dr),
+dx AS (SELECT bs.label, bs.k, bs.bi, coalesce(nb.pi, bs.bi) AS pi, bs.u
+       FROM bs LEFT JOIN nb ON nb.label = bs.label AND nb.bi = bs.bi AND nb.place = bs.place),
 pairs AS (SELECT dx.label, dx.k, b.vec_id AS base_vec_id, p.vec_id AS partner_vec_id, dx.u,
                  b.embedding AS x, p.embedding AS y
           FROM dx JOIN ix b ON b.label = dx.label AND b._idx = dx.bi
