@@ -210,12 +210,7 @@ def naive_bayes_scores(df: DataFrame, key_col: str, text_col: str, model: NaiveB
     tc = counts if counts is not None else document_tokens(df, key_col, text_col, model.ngram)
     if not dense:
         return _sparse_scores(tc, key_col, model, [r for _, r in picked])
-    # left join: a document without any vocabulary token keeps its row
-    # (length 0, base terms only) from the same aggregate
-    docs = (tc.join(model.dense_weights()[1], "token", "left")
-            .groupBy(key_col).agg(F.sum(F.when(F.col("w").isNotNull(), F.col("cnt"))).alias("len"),
-                                  *[F.sum(F.col("cnt") * F.col("w")[i]).alias(f"s{i}")
-                                    for i, _ in picked]))
+    docs = _class_sums(tc, key_col, model, [i for i, _ in picked])
     per_class = F.array(*[F.struct(
         F.lit(r["head"]).alias("head"), F.lit(r["class"]).alias("class"),
         (F.lit(float(r["log_prior"])) - F.coalesce(F.col("len"), F.lit(0)) * F.lit(float(r["log_denom"]))
@@ -224,6 +219,26 @@ def naive_bayes_scores(df: DataFrame, key_col: str, text_col: str, model: NaiveB
     return docs.select(key_col, F.inline(per_class))
 
 
+def _class_sums(tc: DataFrame, key_col: str, model: NaiveBayesModel, slots: list[int]) -> DataFrame:
+    """``key, len, s<i>``: the in-vocabulary words of each document and the sum
+    of their weights for the classes ``slots``. A left join: a document without
+    any vocabulary token keeps its row (length 0, null sums)."""
+    return (tc.join(model.dense_weights()[1], "token", "left")
+            .groupBy(key_col).agg(F.sum(F.when(F.col("w").isNotNull(), F.col("cnt"))).alias("len"),
+                                  *[F.sum(F.col("cnt") * F.col("w")[i]).alias(f"s{i}") for i in slots]))
+
+
+def naive_bayes_sums(df: DataFrame, key_col: str, text_col: str, model: NaiveBayesModel, heads: list[str]) -> DataFrame:
+    """``key, len, sums``: what each text adds to its document's scores, one
+    value for each class of ``heads`` in the model's order. Texts of a document
+    may be scored one by one: a class' score is its prior, plus the sums, minus
+    ``len`` times its ``log_denom``."""
+    slots = [i for i, r in enumerate(model.classes()) if r["head"] in heads]
+    sums = _class_sums(document_tokens(df, key_col, text_col, model.ngram), key_col, model, slots)
+    return sums.select(key_col, F.coalesce("len", F.lit(0)).alias("len"),
+                       F.array(*[F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in slots]).cast("array<double>").alias("sums"))
+
+
 def _sparse_scores(tc: DataFrame, key_col: str, model: NaiveBayesModel, class_rows: list) -> DataFrame:
     """Join counts to ``(class, token)`` weights directly."""
     heads = sorted({r["head"] for r in class_rows})

@@ -69,6 +69,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def publish_folder(spark: SparkSession, path: str, write) -> bool:
+    """Let ``write(folder)`` fill a staging folder beside ``path`` and publish
+    it by one rename. Readers of ``path`` see all of it or nothing; where it is
+    there already, it stays and nothing is written. Returns whether it was new."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
+        return False
+    parent = target.getParent()
+    staging = jvm.org.apache.hadoop.fs.Path(parent.getParent(), f"_staging-{uuid.uuid4().hex}")
+    write(staging.toString())
+    fs.mkdirs(parent)
+    # a rename onto a folder that came meanwhile would move into it
+    if fs.exists(target) or not fs.rename(staging, target):
+        fs.delete(staging, True)
+        return False
+    return True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor
     loss, unlike a local checkpoint)."""

@@ -161,7 +161,13 @@ def test_stream_equals_batch_and_bears_replay(spark):
     last = spark.read.parquet(f"{work}/updates").agg(F.max("batch_id")).first()[0]
     rows = cut_lineage(spark.read.parquet(f"{work}/updates/batch_id={last}"))
     ST.write_batch(rows, last, f"{work}/updates")
-    assert sorted(map(str, ST.latest_summaries(spark.read.parquet(f"{work}/updates")).collect())) == before
+    updates = spark.read.schema(ST.OUTPUT + ", batch_id bigint").parquet(f"{work}/updates")
+    published = spark.read.schema(ST.PUBLISHED).parquet(f"{work}/turns")
+    assert sorted(map(str, ST.with_text(ST.summaries(ST.latest_totals(updates), model), published).collect())) == before
+    # a batch of turns that is published again stays as it is
+    files = sorted(spark.read.parquet(f"{work}/turns").inputFiles())
+    ST.publish_batch(published.drop("batch_id"), 0, work)
+    assert sorted(spark.read.parquet(f"{work}/turns").inputFiles()) == files
 
 
 def test_enrich_takes_no_exchange_over_a_scan(spark):
