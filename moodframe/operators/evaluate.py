@@ -191,11 +191,32 @@ def numeric_histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
+# Bins of a density curve, in bandwidths, and moments that a bin holds.
+BIN_WIDTH = 0.25
+MOMENTS = 14
+
+
+def _hermite(terms: int) -> list[list[int]]:
+    """Coefficients of the Hermite polynomials He_0 to He_(terms - 1), constant
+    term first: He_(j+1)(t) = t He_j(t) - j He_(j-1)(t)."""
+    rows = [[1], [0, 1]]
+    for j in range(1, terms - 1):
+        low = rows[j - 1] + [0, 0]
+        rows.append([a - j * b for a, b in zip([0, *rows[j]], low)])
+    return rows[:terms]
+
+
 def density_curve(df: DataFrame, col: str, points: int = 64) -> DataFrame:
     """Gaussian kernel density on a ``points`` grid over [min, max],
-    Scott bandwidth ``h = s * n^(-1/5)``. One aggregate with a sum for each
-    grid point over the distinct values and their counts; no row is repeated
-    and one row of ``points`` sums per task is shuffled."""
+    Scott bandwidth ``h = s * n^(-1/5)``.
+
+    Values are binned with a width of ``h / 4``; a bin keeps the sums of the
+    powers of its values' distances from its centre, which tasks add up, so no
+    value is shuffled. Around a centre the kernel is a series of Hermite
+    polynomials in those powers: with ``m`` moments a density is off by at most
+    ``1.09 / sqrt(m!) / 8^m`` of the kernel's height (1e-18 for 14), less than the
+    rounding of a direct sum."""
+    df = df.select(F.col(col).cast("double").alias(col))
     st = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.stddev_samp(col).alias("s"),
                 F.count(col).alias("n")).first()
     lo, hi, s, n = st["lo"], st["hi"], st["s"], st["n"]
@@ -204,13 +225,25 @@ def density_curve(df: DataFrame, col: str, points: int = 64) -> DataFrame:
         return spark.createDataFrame([], "point bigint, x double, density double")
     h = s * n ** (-0.2)
     step = (hi - lo) / (points - 1)
+    place = (F.col(col).cast("double") - F.lit(lo)) / F.lit(h * BIN_WIDTH)
+    bins = (df.where(F.col(col).isNotNull()).select(F.round(place).cast("bigint").alias("bin"), place.alias("place"))
+            .withColumn("u", (F.col("place") - F.col("bin")) * F.lit(BIN_WIDTH))
+            .groupBy("bin").agg(*[F.sum(F.pow("u", F.lit(j)) if j else F.lit(1.0)).alias(f"m{j}") for j in range(MOMENTS)]))
+    # sum over j of He_j(t) m_j / j! as a polynomial in t
+    hermite = _hermite(MOMENTS)
+    polynomial = [sum((F.lit(hermite[j][k] / math.factorial(j)) * F.col(f"m{j}") for j in range(k, MOMENTS) if hermite[j][k]), F.lit(0.0))
+                  for k in range(MOMENTS)]
+    at = bins.select("bin", *[p.alias(f"p{k}") for k, p in enumerate(polynomial)],
+                     F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    t = F.col("point") * F.lit(step / h) - F.col("bin") * F.lit(BIN_WIDTH)
+    value = F.lit(0.0)
+    for k in reversed(range(MOMENTS)):
+        value = value * F.col("t") + F.col(f"p{k}")
+    # a kernel further away than 40 bandwidths is 0
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    sums = values.agg(*[F.sum(F.col("n") * F.exp(-0.5 * F.pow((F.lit(lo + p * step) - F.col("v")) / F.lit(h), 2))).alias(f"k{p}")
-                        for p in range(points)])
-    grid = F.array(*[F.struct(F.lit(p).cast("bigint").alias("point"), F.lit(lo + p * step).alias("x"),
-                              (F.col(f"k{p}") * norm).alias("density")) for p in range(points)])
-    return sums.select(F.inline(grid))
+    sums = at.withColumn("t", t).groupBy("point").agg(
+        (F.sum(F.when(F.abs("t") < 40, value * F.exp(-0.5 * F.col("t") * F.col("t"))).otherwise(0.0)) * norm).alias("density"))
+    return sums.select(F.col("point").cast("bigint").alias("point"), (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"), "density")
 
 
 def crosstab_margins(results: DataFrame, row_col: str, col_col: str) -> DataFrame:
