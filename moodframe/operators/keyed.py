@@ -10,9 +10,11 @@ spread over ``buckets`` window partitions, whose number follows from the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moodframe.session import cut_lineage, local_table
+
 
 HASH_SPACE = 1 << 60
 # Rows that one window partition numbers, and the least number of buckets.
@@ -38,3 +40,48 @@ def dense_index(df: DataFrame, class_cols: list[str], hash_col: str, tie_cols: l
     return (joined.withColumn(out_col, (F.col("_off") + F.row_number().over(inner) - 1)
                               .cast("bigint"))
             .drop("_bkt", "_off"))
+
+
+# A key with more than 1/FREQUENT_SHARE of all occurrences is frequent; there are
+# at most so many of them, whatever the table's size.
+FREQUENT_SHARE = 2000
+# Rows of frequent keys are dealt over so many keys of their own.
+SPREAD = 4096
+
+
+def join_frequent(rows: DataFrame, table: DataFrame, key: str, count: str, spread_by: str) -> DataFrame:
+    """LEFT join of ``rows`` with ``table``, one row for each non-null ``key`` (a
+    string), where ``count`` says how often a key occurs. The result has the
+    columns of ``rows`` and those of ``table`` but for ``count``.
+
+    Rows of frequent keys meet their broadcast row where they are, and go on
+    under salted keys, so that no key has many rows in the shuffle join of the
+    others. Rows without a key are salted too. One pass over ``rows``."""
+    values = [c for c in table.columns if c not in (key, count)]
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first().n
+    bound, packed = F.lit(float(total) / FREQUENT_SHARE), F.struct(*values)
+    often = table.where(F.col(count) > bound).select(key, packed.alias("_often"))
+    others = table.where(F.col(count) <= bound).select(F.col(key).alias("_key"), packed.alias("_rare"))
+    salt = F.concat(F.lit("\0"), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("string"))
+    met = rows.join(F.broadcast(often), key, "left").withColumn(
+        "_key", F.when(F.col("_often").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(salt))
+    joined = met.join(others, "_key", "left").withColumn("_value", F.coalesce("_often", "_rare"))
+    return joined.select(*rows.columns, *[F.col(f"_value.{c}").alias(c) for c in values])
+
+
+def global_index(df: DataFrame, order: list[Column], out_col: str = "idx") -> DataFrame:
+    """Add ``out_col``, the rows' number from 0 in the given order (of distinct
+    values). A range partitioning sorts the rows; a row's number is its place in
+    its partition and the rows of the partitions before, so no window spans more
+    than a partition. The result is checkpointed."""
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_spot", F.monotonically_increasing_id()))
+    part = F.shiftright("_spot", 33)
+    counts = placed.groupBy(part.alias("part")).count().collect()  # one row a partition
+    shifts, before = [], 0
+    for number, n in sorted(tuple(r) for r in counts):
+        shifts.append((number, before - (number << 33)))
+        before += n
+    shifts = local_table(df.sparkSession, shifts, "_part bigint, _shift bigint")
+    return (placed.withColumn("_part", part).join(shifts, "_part")
+            .withColumn(out_col, F.col("_spot") + F.col("_shift")).drop("_part", "_spot", "_shift"))

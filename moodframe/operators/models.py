@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from moodframe.operators.keyed import join_frequent
 from moodframe.operators.prep import word_tokens
-from moodframe.session import cut_lineage
+from moodframe.session import cut_lineage, publish_folder
 
 # Decimals of the score used for the argmax (ties -> smallest class).
 SCORE_DECIMALS = 6
@@ -73,51 +74,93 @@ class NaiveBayesModel:
         """``(classes, table)``: the ``(head, class, log_prior, log_denom)``
         rows in (head, class) order (model metadata, one per class) and one
         row per vocabulary token with the weights of all those classes
-        (``w[i]``, zero where class ``i`` never saw the token). Built once per
-        model and checkpointed."""
+        (``w[i]``, zero where class ``i`` never saw the token) and how often
+        training saw it (``seen``). Built once per model and checkpointed."""
         if self._dense is None:
             classes = self.classes()
             slot = F.create_map(*[x for i, r in enumerate(classes)
                                   for x in (F.lit(f"{r['head']}\x1f{r['class']}"), F.lit(i))])
             keyed = self.token_params.select(
                 "token", F.element_at(slot, F.concat_ws("\x1f", "head", "class")).alias("k"), "lw")
+            # a weight is ln(n + alpha) - ln(alpha), so the counts come back from it
+            seen = F.lit(float(self.alpha)) * (F.exp("lw") - 1)
             dense = (self.vocab.join(keyed, "token", "left")
-                     .groupBy("token").agg(*[F.sum(F.when(F.col("k") == i, F.col("lw"))).alias(f"w{i}")
+                     .groupBy("token").agg(F.coalesce(F.sum(seen), F.lit(0.0)).alias("seen"),
+                                           *[F.sum(F.when(F.col("k") == i, F.col("lw"))).alias(f"w{i}")
                                              for i in range(len(classes))]))
             table = cut_lineage(dense.select("token", F.array(
-                *[F.coalesce(F.col(f"w{i}"), F.lit(0.0)) for i in range(len(classes))]).alias("w")))
+                *[F.coalesce(F.col(f"w{i}"), F.lit(0.0)) for i in range(len(classes))]).alias("w"), "seen"))
             self._dense = (classes, table)
         return self._dense
 
-    def save(self, path: str, codes: dict[str, DataFrame] | None = None) -> None:
-        """A3: write the parameter tables as Parquet under ``path``, and the
-        label code tables that belong to the model."""
-        self.class_params.write.mode("overwrite").parquet(f"{path}/class_params")
-        self.token_params.write.mode("overwrite").parquet(f"{path}/token_params")
-        self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        save_codes(codes or {}, path)
-        meta = self.class_params.sparkSession.createDataFrame(
-            [(float(self.alpha), int(self.ngram), sorted(codes or {}))], "alpha double, ngram int, codes array<string>")
-        meta.write.mode("overwrite").parquet(f"{path}/meta")
+    def save(self, path: str, codes: dict[str, DataFrame] | None = None) -> str:
+        """A3: write the model as a new version below ``path`` and return the
+        version's folder: the parameter tables as Parquet, the label code tables
+        that belong to the model, and a manifest with each table's rows and
+        checksum.
+
+        The version is written to a staging folder and published by one rename.
+        A save that ends half-way leaves the versions before as they are, and
+        of two saves at a time both get a number of their own."""
+        spark = self.class_params.sparkSession
+        tables = {"class_params": self.class_params, "token_params": self.token_params, "vocab": self.vocab,
+                  **{f"codes/{c}": t for c, t in (codes or {}).items()}}
+
+        def write(folder: str) -> None:
+            entries = []
+            for name, table in tables.items():
+                table.write.parquet(f"{folder}/{name}")
+                entries.append((name, *_checksum(spark.read.parquet(f"{folder}/{name}"))))
+            meta = spark.createDataFrame(
+                [(float(self.alpha), int(self.ngram), sorted(codes or {}), entries)],
+                "alpha double, ngram int, codes array<string>, tables array<struct<name: string, rows: bigint, checksum: string>>")
+            meta.write.parquet(f"{folder}/meta")
+
+        while True:
+            version = f"{path}/versions/v{max(saved_versions(spark, path), default=0) + 1:06d}"
+            if publish_folder(spark, version, write):
+                return version
 
     @classmethod
-    def load(cls, spark, path: str) -> "NaiveBayesModel":
-        """A4: read a saved model back."""
-        meta = spark.read.parquet(f"{path}/meta").first()
-        return cls(spark.read.parquet(f"{path}/class_params"),
-                   spark.read.parquet(f"{path}/token_params"),
-                   spark.read.parquet(f"{path}/vocab"), meta["alpha"], meta["ngram"])
+    def load(cls, spark, path: str, version: int | None = None) -> "NaiveBayesModel":
+        """A4: read a version back, by default the newest; its tables must be
+        those of its manifest."""
+        folder = version_folder(spark, path, version)
+        meta = spark.read.parquet(f"{folder}/meta").first()
+        for t in meta["tables"]:
+            if _checksum(spark.read.parquet(f"{folder}/{t['name']}")) != (t["rows"], t["checksum"]):
+                raise ValueError(f"{folder}/{t['name']} is not the table that was saved")
+        return cls(spark.read.parquet(f"{folder}/class_params"), spark.read.parquet(f"{folder}/token_params"),
+                   spark.read.parquet(f"{folder}/vocab"), meta["alpha"], meta["ngram"])
 
 
-def save_codes(codes: dict[str, DataFrame], path: str) -> None:
-    for col, table in codes.items():
-        table.write.mode("overwrite").parquet(f"{path}/codes/{col}")
+def _checksum(table: DataFrame) -> tuple[int, str]:
+    """Rows, and the sum of the rows' hashes."""
+    r = table.agg(F.count(F.lit(1)).alias("n"),
+                  F.coalesce(F.sum(F.xxhash64(*table.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("h")).first()
+    return r.n, r.h
 
 
-def load_codes(spark, path: str) -> dict[str, DataFrame]:
+def saved_versions(spark, path: str) -> list[int]:
+    """The numbers of the published versions of a model."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n[1:]) for n in names if n.startswith("v"))
+
+
+def version_folder(spark, path: str, version: int | None = None) -> str:
+    found = saved_versions(spark, path)
+    if not found or version is not None and version not in found:
+        raise FileNotFoundError(f"no {'model' if version is None else f'version {version}'} in {path}")
+    return f"{path}/versions/v{version or found[-1]:06d}"
+
+
+def load_codes(spark, path: str, version: int | None = None) -> dict[str, DataFrame]:
     """A4: the label code tables saved with a model."""
-    cols = spark.read.parquet(f"{path}/meta").first()["codes"]
-    return {col: spark.read.parquet(f"{path}/codes/{col}") for col in cols}
+    folder = version_folder(spark, path, version)
+    cols = spark.read.parquet(f"{folder}/meta").first()["codes"]
+    return {col: spark.read.parquet(f"{folder}/codes/{col}") for col in cols}
 
 
 @dataclass
@@ -222,8 +265,9 @@ def naive_bayes_scores(df: DataFrame, key_col: str, text_col: str, model: NaiveB
 def _class_sums(tc: DataFrame, key_col: str, model: NaiveBayesModel, slots: list[int]) -> DataFrame:
     """``key, len, s<i>``: the in-vocabulary words of each document and the sum
     of their weights for the classes ``slots``. A left join: a document without
-    any vocabulary token keeps its row (length 0, null sums)."""
-    return (tc.join(model.dense_weights()[1], "token", "left")
+    any vocabulary token keeps its row (length 0, null sums). Tokens that were
+    frequent in training are not shuffled by token."""
+    return (join_frequent(tc, model.dense_weights()[1], "token", "seen", key_col)
             .groupBy(key_col).agg(F.sum(F.when(F.col("w").isNotNull(), F.col("cnt"))).alias("len"),
                                   *[F.sum(F.col("cnt") * F.col("w")[i]).alias(f"s{i}") for i in slots]))
 

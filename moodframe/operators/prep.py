@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from moodframe.functions import text as T
 from moodframe.functions.hashing import md5int
-from moodframe.session import local_table
+from moodframe.operators.keyed import global_index, join_frequent
+from moodframe.session import cut_lineage, local_table
 
 
 def lemmatize(df: DataFrame, lemma_df: DataFrame, key_col: str, tokens_col: str,
@@ -154,21 +155,33 @@ def train_val_split(df: DataFrame, key_cols: list[str], val_frac: float = 0.2,
             .drop("_h"))
 
 
+def _text_digest(text_col: str):
+    return F.sha2(F.col(text_col).cast("binary"), 256)
+
+
 def split_leakage(split_df: DataFrame, text_col: str, split_col: str = "split") -> DataFrame:
-    """Validation rows whose text also occurs in training (left semi
-    join), and the clean remainder (left anti join)."""
-    train = (split_df.where(F.col(split_col) == "train").select(text_col).distinct()
-             .withColumn("_in_train", F.lit(1)))
-    val = split_df.where(F.col(split_col) == "val")
-    flagged = val.join(train, text_col, "left")
-    return flagged.agg(F.count(F.lit(1)).cast("bigint").alias("n_val"),
-                       F.count("_in_train").cast("bigint").alias("n_leaked"))
+    """Validation rows, and those whose text also occurs in training. Texts
+    are counted by digest on each side before anything is joined, so neither a
+    text nor many rows of one text are shuffled. A null text is no copy."""
+    digests = split_df.groupBy(_text_digest(text_col).alias("_digest")).agg(
+        F.sum((F.col(split_col) == "train").cast("long")).alias("_train"),
+        F.sum((F.col(split_col) == "val").cast("long")).alias("_val"))
+    leaked = F.col("_digest").isNotNull() & (F.col("_train") > 0)
+    return digests.agg(F.coalesce(F.sum("_val"), F.lit(0)).cast("bigint").alias("n_val"),
+                       F.coalesce(F.sum(F.when(leaked, F.col("_val"))), F.lit(0)).cast("bigint").alias("n_leaked"))
 
 
 def leaked_rows(split_df: DataFrame, text_col: str, split_col: str = "split") -> DataFrame:
-    """E4 rows: validation rows with a copy in training (LEFT SEMI)."""
-    train = split_df.where(F.col(split_col) == "train").select(text_col)
-    return split_df.where(F.col(split_col) == "val").join(train, text_col, "left_semi")
+    """E4 rows: validation rows with a copy in training. Rows meet the training
+    side's digests, one row each; a text that very many validation rows share
+    meets its digest where the rows are."""
+    digest = _text_digest(text_col)
+    val = split_df.where(F.col(split_col) == "val").withColumn("_digest", digest)
+    counts = split_df.groupBy(digest.alias("_digest")).agg(
+        F.sum((F.col(split_col) == "train").cast("long")).alias("_train"), F.sum((F.col(split_col) == "val").cast("long")).alias("_n"))
+    held = cut_lineage(counts.where(F.col("_digest").isNotNull() & (F.col("_train") > 0) & (F.col("_n") > 0))
+                       .select("_digest", F.lit(True).alias("_leaked"), "_n"))
+    return join_frequent(val, held, "_digest", "_n", "_digest").where("_leaked").select(*split_df.columns)
 
 
 # ------------------------------------------------------------------ E5 - E7
@@ -189,9 +202,8 @@ def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 1,
     ``n >= min_count`` by (n desc, token). All tokens by default; with
     ``size`` only the first ones up to ``size`` ids (a top-k).
 
-    The order is taken without one window over all tokens: tokens are dealt
-    to buckets by count and first letters, a small table of bucket sizes gives
-    each bucket its first id, and tokens are numbered inside their bucket.
+    Ids follow from a range partitioning by count and token: no window spans
+    more than a partition, also where most tokens are seen once.
     """
     spark = df.sparkSession
     counts = (df.select(F.explode(word_tokens(text_col)).alias("token"))
@@ -201,13 +213,8 @@ def build_vocabulary(df: DataFrame, text_col: str, min_count: int = 1,
                                      "token string, token_id bigint, n bigint")
     if size is not None:
         counts = counts.orderBy(F.desc("n"), F.asc("token")).limit(size - len(SPECIALS))
-    bucketed = counts.withColumn("_start", F.substring("token", 1, 2))
-    before = Window.orderBy(F.desc("n"), "_start").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = bucketed.groupBy("n", "_start").agg(F.count(F.lit(1)).alias("_size")).select(
-        F.col("n").alias("_n"), F.col("_start").alias("_s"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("n", "_start").orderBy("token")
-    ranked = (bucketed.join(firsts, (F.col("n") == F.col("_n")) & (F.col("_start") == F.col("_s")))
-              .select("token", (F.col("_first") + F.row_number().over(inside) + (len(SPECIALS) - 1)).cast("bigint").alias("token_id"), "n"))
+    ranked = global_index(counts, [F.desc("n"), F.asc("token")], "_rank").select(
+        "token", (F.col("_rank") + len(SPECIALS)).cast("bigint").alias("token_id"), "n")
     return specials.unionByName(ranked)
 
 
@@ -217,14 +224,15 @@ def encode_tokens(df: DataFrame, key_col: str, text_col: str, vocab: DataFrame,
     with ``[PAD]`` to ``max_len``) and ``attention_mask`` (1 real, 0 pad).
 
     Truncation happens before the vocabulary join, so at most ``max_len-2``
-    tokens per row are joined and re-collected.
+    tokens per row are joined and re-collected. Tokens that the vocabulary counts
+    as frequent are looked up where they are.
     """
     toks = (df.select(key_col, F.posexplode_outer(word_tokens(text_col)).alias("pos", "token"))
             .where(F.col("pos").isNull() | (F.col("pos") < max_len - 2)))
-    v = vocab.select("token", "token_id")
+    v = cut_lineage(vocab.select("token", "token_id", "n"))
     item = F.when(F.col("pos").isNotNull(), F.struct(
         "pos", F.coalesce(F.col("token_id"), F.lit(UNK_ID).cast("bigint")).alias("id")))
-    ids = (toks.join(v, "token", "left").groupBy(key_col)
+    ids = (join_frequent(toks, v, "token", "n", key_col).groupBy(key_col)
            .agg(F.array_sort(F.collect_list(item)).alias("_l")))
     real = F.concat(F.array(F.lit(CLS_ID).cast("bigint")), F.transform("_l", lambda x: x["id"]),
                     F.array(F.lit(SEP_ID).cast("bigint")))

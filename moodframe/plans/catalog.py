@@ -502,12 +502,36 @@ def train_logistic_heads(spark, sf):
     return long.groupBy("head").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
 
 
+def _joint(spark, sf):
+    """The joint heads trained on the cleaned training split, and the rows held
+    out."""
+    from moodframe.operators.joint import train_joint_heads as train_joint
+    sp = _split_lab(spark, sf)
+    held = sp.where(F.col("split") == "val")
+    return held, train_joint(sp.where(F.col("split") == "train"), held, "doc_id", "cleaned_posts", HEAD_COLS)
+
+
+@register
+def train_joint_heads(spark, sf):
+    """F1 with a shared representation, F3 over its epochs (no SQL twin)."""
+    losses = _joint(spark, sf)[1].losses
+    return losses.select("epoch", "head", F.round("train_loss", 4).alias("train_loss"), F.round("loss", 4).alias("loss"), "is_best")
+
+
+@register
+def predict_joint_heads(spark, sf):
+    """F6 by the best epoch's joint heads (no SQL twin)."""
+    from moodframe.operators.joint import predict_joint
+    held, model = _joint(spark, sf)
+    return predict_joint(held, "doc_id", "cleaned_posts", model)
+
+
 @register
 def model_save(spark, sf):
     sp, model = _nb(spark, sf)
     path = scratch_dir(spark, "model")
-    model.save(path, _codes(_heads(spark, sf)))
-    return spark.read.parquet(f"{path}/class_params").select(
+    version = model.save(path, _codes(_heads(spark, sf)))
+    return spark.read.parquet(f"{version}/class_params").select(
         "head", "class", F.col("n_docs").cast("bigint"), "n_tokens",
         F.round("log_prior", 8).alias("log_prior"), F.round("log_denom", 8).alias("log_denom"))
 

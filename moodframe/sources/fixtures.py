@@ -89,11 +89,8 @@ def type_of_source(source_col: str = "source"):
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text table of the driver, dealt to all cores. Its files hold a single
-    row group each, so that a scan alone would clean the text on one core; a
-    table of many splits needs no such step, and the library takes none."""
-    df = table(spark, sf_dir, name)
-    return df.repartition(spark.sparkContext.defaultParallelism)
+    """A text table of the driver, in the splits that its files have."""
+    return table(spark, sf_dir, name)
 
 
 def posts_v(spark: SparkSession, sf_dir: str) -> DataFrame:
