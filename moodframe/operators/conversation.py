@@ -8,7 +8,7 @@ instead of being sorted in one window task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moodframe.functions.text import clean_text, emotion_to_emoji
@@ -75,6 +75,21 @@ def last_turn_prompt(kept: DataFrame, key_col: str = "conv_id", turn_col: str =
             .agg(F.max(turn_col).alias("turn"), F.max_by(text_col, turn_col).alias("prompt")))
 
 
+def last_turns(kept: DataFrame, k: int, key_col: str = "conv_id", turn_col: str = "turn",
+               text_col: str = "text", role_col: str = "role", sep: str = "\n") -> DataFrame:
+    """H6 with a history of ``k``: the newest ``k`` user turns in turn order,
+    joined by ``sep``, and their number. Of a turn number that repeats, texts
+    later in order count as newer; a null text is left out of the prompt. Tasks
+    cut each conversation to ``k`` rows before the shuffle, so a conversation of
+    any length is ``k`` rows a task."""
+    newest = Window.partitionBy(key_col).orderBy(F.desc(turn_col), F.desc(text_col))
+    held = (kept.where((F.col(role_col) == "user") & F.col(turn_col).isNotNull())
+            .select(key_col, turn_col, text_col).withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= k))
+    in_order = F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("at"), F.col(text_col).alias("text"))))
+    return held.groupBy(key_col).agg(F.count(F.lit(1)).cast("bigint").alias("n_turns"),
+                                     F.array_join(F.transform(in_order, lambda t: t["text"]), sep).alias("prompt"))
+
+
 def role_prefixed_transcript(kept: DataFrame, key_col: str = "conv_id", turn_col: str = "turn",
                              text_col: str = "text", role_col: str = "role") -> DataFrame:
     """H7: ``You: ...`` / ``Bot: ...`` lines joined by newlines."""

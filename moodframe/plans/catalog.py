@@ -743,6 +743,12 @@ def last_turn_prompt(spark, sf):
     return C.last_turn_prompt(_kept(spark, sf))
 
 
+@register
+def last_three_turns_prompt(spark, sf):
+    """H6 with a history of three user turns."""
+    return C.last_turns(_kept(spark, sf), 3)
+
+
 @register
 def role_prefixed_transcript(spark, sf):
     return C.role_prefixed_transcript(_kept(spark, sf))

@@ -532,6 +532,11 @@ ORACLE["prompt_text"] = (f"WITH {_CONV} SELECT conv_id, string_agg(text, chr(10)
                          f"FROM kept GROUP BY conv_id")
 ORACLE["last_turn_prompt"] = (f"WITH {_CONV} SELECT conv_id, MAX(turn) AS turn, arg_max(text, turn) AS prompt "
                               f"FROM kept WHERE role = 'user' GROUP BY conv_id")
+ORACLE["last_three_turns_prompt"] = f"""WITH {_CONV},
+u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS back
+      FROM kept WHERE role = 'user' AND turn IS NOT NULL)
+SELECT conv_id, CAST(COUNT(*) AS BIGINT) AS n_turns, string_agg(text, chr(10) ORDER BY back DESC) AS prompt
+FROM u WHERE back <= 3 GROUP BY conv_id"""
 ORACLE["role_prefixed_transcript"] = f"""WITH {_CONV}
 SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'You: ' ELSE 'Bot: ' END || COALESCE(text, ''),
                            chr(10) ORDER BY turn) AS transcript FROM kept GROUP BY conv_id

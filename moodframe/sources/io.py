@@ -26,14 +26,32 @@ CSV_OPTIONS = {
 CSV_FILE_ROWS = 100_000
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Header CSV whose text cells may hold commas, quotes, newlines and blanks."""
-    return (spark.read.schema(schema).options(**CSV_OPTIONS, multiLine="true", emptyValue="", mode="FAILFAST").csv(path))
-
-
-def read_posts_csv(spark: SparkSession, path: str, schema: str = POSTS_SCHEMA) -> DataFrame:
+# Column that holds the text of a row that does not fit its schema.
+BAD_ROW = "_bad_row"
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: str, quarantine: str | None = None) -> DataFrame:
+    """Header CSV whose text cells may hold commas, quotes, newlines and blanks.
+
+    A row that does not fit the schema (a broken number, too few or too many
+    cells) ends the read. With ``quarantine`` it goes there instead, as Parquet
+    with its text, its file and the cells that could be read, and the other rows are returned."""
+    reader = spark.read.options(**CSV_OPTIONS, multiLine="true", emptyValue="")
+    if quarantine is None:
+        return reader.schema(schema).option("mode", "FAILFAST").csv(path)
+    rows = (reader.schema(f"{schema}, {BAD_ROW} string").option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", BAD_ROW).csv(path))
+    bad = F.col(BAD_ROW).isNotNull()
+    rows.where(bad).select("*", F.col("_metadata.file_path").alias("_file")).write.mode("overwrite").parquet(quarantine)
+    # whether a row fits shows only when all its cells are read, also for a count
+    whole = F.length(F.concat_ws("", *[c for c in rows.columns if c != BAD_ROW])) >= 0
+    return rows.where(~bad & whole).drop(BAD_ROW)
+
+
+def read_posts_csv(spark: SparkSession, path: str | list[str], schema: str = POSTS_SCHEMA,
+                   quarantine: str | None = None) -> DataFrame:
     """A1: posts from header CSV."""
-    return read_csv(spark, path, schema)
+    return read_csv(spark, path, schema, quarantine)
 
 
 def write_csv(df: DataFrame, path: str, rows_per_file: int = CSV_FILE_ROWS) -> None:
