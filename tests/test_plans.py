@@ -9,8 +9,8 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 # Queries whose plans may legitimately hold Python: the stateful stream and the
-# pyspark.ml heads; sources/sinks write files while planning.
-SKIP = {"stream_conversation_summary", "stream_enrich_posts", "train_logistic_heads",
+# pyspark.ml and joint heads; sources/sinks write files while planning.
+SKIP = {"stream_conversation_summary", "stream_enrich_posts", "train_logistic_heads", "train_joint_heads", "predict_joint_heads",
         "read_posts_csv", "write_enriched", "model_save", "model_load"}
 CHECKED = sorted(q for q in E.QUERIES if q not in SKIP)
 
