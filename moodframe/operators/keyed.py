@@ -47,6 +47,8 @@ def dense_index(df: DataFrame, class_cols: list[str], hash_col: str, tie_cols: l
 FREQUENT_SHARE = 2000
 # Rows of frequent keys are dealt over so many keys of their own.
 SPREAD = 4096
+# Names of the join's own columns, which no table uses.
+KEY, OFTEN, RARE, VALUE = ("frequent join: " + c for c in ("key", "often", "rare", "value"))
 
 
 def join_frequent(rows: DataFrame, table: DataFrame, key: str, count: str, spread_by: str) -> DataFrame:
@@ -60,13 +62,13 @@ def join_frequent(rows: DataFrame, table: DataFrame, key: str, count: str, sprea
     values = [c for c in table.columns if c not in (key, count)]
     total = table.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first().n
     bound, packed = F.lit(float(total) / FREQUENT_SHARE), F.struct(*values)
-    often = table.where(F.col(count) > bound).select(key, packed.alias("_often"))
-    others = table.where(F.col(count) <= bound).select(F.col(key).alias("_key"), packed.alias("_rare"))
+    often = table.where(F.col(count) > bound).select(key, packed.alias(OFTEN))
+    others = table.where(F.col(count) <= bound).select(F.col(key).alias(KEY), packed.alias(RARE))
     salt = F.concat(F.lit("\0"), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("string"))
     met = rows.join(F.broadcast(often), key, "left").withColumn(
-        "_key", F.when(F.col("_often").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(salt))
-    joined = met.join(others, "_key", "left").withColumn("_value", F.coalesce("_often", "_rare"))
-    return joined.select(*rows.columns, *[F.col(f"_value.{c}").alias(c) for c in values])
+        KEY, F.when(F.col(OFTEN).isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(salt))
+    joined = met.join(others, KEY, "left").withColumn(VALUE, F.coalesce(F.col(OFTEN), F.col(RARE)))
+    return joined.select(*rows.columns, *[F.col(VALUE)[c].alias(c) for c in values])
 
 
 def global_index(df: DataFrame, order: list[Column], out_col: str = "idx") -> DataFrame:
