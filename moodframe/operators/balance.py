@@ -20,6 +20,8 @@ from moodframe.session import cut_lineage
 
 # Draw rows generated per block row (bounds one generator's output).
 DRAW_BLOCK = 100_000
+# Buckets of hashes, as a power of two, by which a class is cut.
+CUT_BITS = 16
 # Largest expected multiplicity of one (class, row) join key before it is salted.
 SALT_TARGET = 10_000
 
@@ -139,15 +141,27 @@ def shuffle_reindex(df: DataFrame, key_cols: list[str], seed: int = DEFAULT_SEED
     return dense_index(h, ["_all"], "_h", key_cols, out_col, buckets).drop("_h", "_all")
 
 
-def undersample(df: DataFrame, class_col: str, key_cols: list[str], seed: int = DEFAULT_SEED,
-                buckets: int | None = None) -> DataFrame:
+def undersample(df: DataFrame, class_col: str, key_cols: list[str], seed: int = DEFAULT_SEED) -> DataFrame:
     """Every class cut to the smallest class' size, without replacement,
-    keeping the rows with the smallest seeded hash."""
+    keeping the rows with the smallest seeded hash (ties by key, which is unique).
+
+    Counts by class and hash bucket show in which bucket each class' last kept
+    row lies; only that bucket is ranked. What cuts the rows is then a comparison
+    with one value a class, and no row is moved for it."""
     src = df.where(F.col(class_col).isNotNull())
     keyed = src.withColumn("_h", md5int(F.lit("under"), *key_cols, seed=seed))
-    idx = dense_index(keyed, [class_col], "_h", key_cols, "_i", buckets)
-    smallest = _class_sizes(src, class_col).agg(F.min("n_c")).first()[0] or 0
-    return idx.where(F.col("_i") < F.lit(int(smallest))).drop("_h", "_i")
+    narrow = cut_lineage(keyed.select(class_col, "_h", *key_cols).withColumn("_bkt", F.shiftright("_h", 60 - CUT_BITS)))
+    counts = cut_lineage(narrow.groupBy(class_col, "_bkt").agg(F.count(F.lit(1)).alias("_n")))
+    smallest = counts.groupBy(class_col).agg(F.sum("_n").alias("n")).agg(F.min("n")).first()[0] or 0
+    upto = F.sum("_n").over(Window.partitionBy(class_col).orderBy("_bkt"))
+    last = (counts.withColumn("_upto", upto).where((F.col("_upto") >= smallest) & (F.col("_upto") - F.col("_n") < smallest))
+            .select(class_col, "_bkt", (F.lit(int(smallest)) - F.col("_upto") + F.col("_n")).alias("_need")))
+    order = ["_h", *key_cols]
+    ranked = narrow.join(last, [class_col, "_bkt"]).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(class_col).orderBy(*order)))
+    cuts = cut_lineage(ranked.where(F.col("_rank") == F.col("_need")).select(class_col, F.struct(*order).alias("_cut")))
+    # one row a class
+    return keyed.join(F.broadcast(cuts), class_col).where(F.struct(*order) <= F.col("_cut")).select(*df.columns)
 
 
 def balance_before_after(before: DataFrame, after: DataFrame, class_cols: list[str]) -> DataFrame:

@@ -10,6 +10,11 @@ never in one global window over raw rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -273,15 +278,53 @@ def error_matrix(cm: DataFrame) -> DataFrame:
                      (F.lit(1.0) - F.col("n") / F.nullif(tot, F.lit(0))).alias("error"))
 
 
+# Values that a task turns into sums at once.
+VALUES_AT_ONCE = 1 << 21
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson correlation of every pair of numeric columns
-    (pairwise-complete), long form ``(a, b, corr)``, all in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}")
-                   for a, b in pairs])
-    arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("corr"))
-                    for a, b in pairs])
-    return row.select(F.inline(arr))
+    (pairwise-complete), long form ``(a, b, corr)``.
+
+    Tasks sum products as matrices: for each column its counts, sums, squares and
+    products over the rows where the other column has a value too. One row a
+    column and task is shuffled, so hundreds of columns are one job. Values are
+    taken from the column's smallest one, which keeps the sums small. As in an
+    aggregate of pairs, fewer than two rows give null and a constant gives NaN."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    width = len(cols)
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    least = rows.agg(*[F.coalesce(F.min(c), F.lit(0.0)).alias(c) for c in rows.columns]).first()
+    shift = np.array([0.0 if math.isnan(v) or math.isinf(v) else v for v in least])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((width, 4, width))
+        step = max(1, VALUES_AT_ONCE // max(1, width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                have = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in part.columns], axis=1).astype(float)
+                x = np.stack([pc.fill_null(c, 0.0).to_numpy(zero_copy_only=False) for c in part.columns], axis=1)
+                x = np.where(have > 0, x - shift, 0.0)
+                for k, (left, right) in enumerate(((have, have), (x, have), (x * x, have), (x, x))):
+                    sums[:, k] += left.T @ right
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(list(sums.reshape(width, -1)), pa.list_(pa.float64()))],
+                                         ["i", "sums"])
+
+    parts = rows.mapInArrow(run, "i int, sums array<double>").groupBy("i").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    at = lambda k: F.get("sums", F.col("j") + F.lit(k * width))
+    pairs = parts.select("i", "sums", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("j")).select(
+        "i", "j", at(0).alias("n"), at(1).alias("s"), at(2).alias("q"), at(3).alias("p"))
+    other = pairs.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("t"), F.col("q").alias("r"))
+    n = F.col("n")
+    spread = (n * F.col("q") - F.col("s") * F.col("s")) * (n * F.col("r") - F.col("t") * F.col("t"))
+    corr = F.when(n >= 2, F.when(spread > 0, (n * F.col("p") - F.col("s") * F.col("t")) / F.sqrt(spread)).otherwise(F.lit(float("nan"))))
+    names = F.array(*[F.lit(c) for c in cols])
+    return (pairs.where("i <= j").join(other, ["i", "j"])
+            .select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), corr.alias("corr")))
 
 
 def running_totals_desc(df: DataFrame, order_col: str, value_cols: list[str],
