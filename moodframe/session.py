@@ -69,6 +69,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """An empty folder where there is none yet, on the path's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def publish_folder(spark: SparkSession, path: str, write) -> bool:
     """Let ``write(folder)`` fill a staging folder beside ``path`` and publish
     it by one rename. Readers of ``path`` see all of it or nothing; where it is

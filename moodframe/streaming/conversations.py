@@ -27,7 +27,7 @@ from moodframe.functions.text import clean_text, emotion_to_emoji
 from moodframe.operators.conversation import EXIT_WORDS, conversation_turns, is_exit
 from moodframe.operators.models import SCORE_DECIMALS, NaiveBayesModel, naive_bayes_sums
 from moodframe.operators.scoring import enrich_posts
-from moodframe.session import cut_lineage, publish_folder, scratch_dir
+from moodframe.session import cut_lineage, make_folder, publish_folder, scratch_dir
 
 HEAD = "type"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -213,6 +213,8 @@ def run_conversation_stream(spark: SparkSession, source_dir: str, schema: str, s
     The state lives in RocksDB, which the second query is started with; the
     session's own setting is put back."""
     work_dir = work_dir or scratch_dir(spark, "conversation-stream")
+    for folder in ("turns", "updates"):  # there may be nothing to write into them
+        make_folder(spark, f"{work_dir}/{folder}")
     landed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
     (landed.writeStream.foreachBatch(lambda batch, n: publish_batch(scored_turns(batch, scorer, nb_model), n, work_dir))
      .option("checkpointLocation", f"{work_dir}/checkpoint-turns").trigger(availableNow=True).start().awaitTermination())

@@ -126,6 +126,12 @@ def test_a_late_exit_takes_later_turns_out(spark, nb):
     assert "text" not in updates.columns and updates.where("conv_id = 1").count() == 3
 
 
+def test_nothing_has_landed(spark, nb):
+    src = scratch_dir(spark, "no-turns")
+    spark.createDataFrame([], CONV).write.parquet(src)
+    assert ST.run_conversation_stream(spark, src, CONV, S.LexiconScorer(fx.lexicon(spark)), nb).collect() == []
+
+
 def test_an_idle_conversation_begins_anew(spark):
     src, work = scratch_dir(spark, "idle"), scratch_dir(spark, "idle")
     def land(turn):
