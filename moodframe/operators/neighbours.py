@@ -9,7 +9,8 @@ class of one cell is searched whole.
 
 How many cells to probe follows from the data: for a bounded sample of queries
 the answer is compared with the one from all cells, and probes are doubled until
-the share of true neighbours found reaches ``min_recall``.
+the share of true neighbours found reaches ``min_recall`` with two standard
+errors to spare.
 """
 
 from __future__ import annotations
@@ -181,10 +182,12 @@ def nearest_in_class(rows: DataFrame, class_col: str, queries: DataFrame | None
         while True:
             own = search(drawn, probes).withColumnRenamed("neighbours", "own")
             hits = truth.join(own, [class_col, "idx"], "left").agg(
-                F.sum(F.size("neighbours")).alias("all"),
+                F.count(F.lit(1)).alias("queries"), F.sum(F.size("neighbours")).alias("all"),
                 F.sum(F.size(F.array_intersect("neighbours", F.coalesce("own", F.array().cast("array<bigint>"))))).alias("hit")).first()
             recall = hits.hit / hits["all"]
-            if recall >= min_recall or probes >= most:
+            # the sample may flatter: two standard errors to spare
+            spare = 2 * (recall * (1 - recall) / hits.queries) ** 0.5
+            if recall - spare >= min_recall or probes >= most:
                 break
             probes = min(2 * probes, most)
     return Neighbours(search(asking, probes), recall, probes)

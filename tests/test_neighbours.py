@@ -55,7 +55,7 @@ def test_hot_class_of_many_cells_reaches_the_recall(spark, spread):
     got = nearest_in_class(table(spark, groups), "label", cell_rows=100, chunk=64)
     have, want = found(got), brute(groups, 5)
     hit = sum(len(set(have.get(key, [])) & set(w)) for key, w in want.items())
-    assert got.recall >= 0.9 and hit / sum(map(len, want.values())) >= 0.88
+    assert got.recall >= 0.9 and hit / sum(map(len, want.values())) >= 0.9
     if spread < 1:
         assert got.probes < 30  # clusters need few of the cells
 
