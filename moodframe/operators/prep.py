@@ -15,15 +15,15 @@ from moodframe.session import cut_lineage, local_table
 
 
 def lemmatize(df: DataFrame, lemma_df: DataFrame, key_col: str, tokens_col: str,
-              out_col: str = "lemmas", in_row: bool = True) -> DataFrame:
+              out_col: str = "lemmas", in_row: bool = False) -> DataFrame:
     """Dictionary lemmatizer, unknown tokens unchanged, order kept. A form
     listed twice has its smallest lemma.
 
-    ``in_row`` ships the dictionary as one map and nothing is shuffled; its
-    look-ups cost more the more forms there are. Otherwise the exploded tokens
-    are joined with the dictionary and re-collected in order, for large ones;
-    ``key_col`` must then be unique. Rows with no tokens come back with an
-    empty array, in either case equally.
+    The exploded tokens are joined with the dictionary, of any size, and
+    re-collected in order. ``in_row`` ships the dictionary as one map instead and
+    nothing is shuffled; its look-ups cost more the more forms there are, so it
+    is for small ones. Rows with no tokens come back with an empty array, and
+    rows that repeat a key each for itself, in either case equally.
     """
     lem = (lemma_df.where(F.col("form").isNotNull()).groupBy("form").agg(F.min("lemma").alias("lemma"))
            .where(F.col("lemma").isNotNull()))
@@ -33,16 +33,20 @@ def lemmatize(df: DataFrame, lemma_df: DataFrame, key_col: str, tokens_col: str,
         return known.select(key_col, F.transform(
             F.coalesce(tokens_col, F.array().cast("array<string>")),
             lambda t: F.coalesce(F.try_element_at(F.col("_lemmas"), t), t)).alias(out_col))
-    exploded = df.select(key_col, F.posexplode_outer(tokens_col).alias("pos", "form"))
+    # rows of the same key and tokens have the same lemmas
+    counted = df.groupBy(key_col, tokens_col).agg(F.count(F.lit(1)).alias("_n"))
+    exploded = counted.select(key_col, F.sha2(F.to_json(F.struct(F.col(tokens_col).alias("t"))), 256).alias("_row"), "_n",
+                              F.posexplode_outer(tokens_col).alias("pos", "form"))
     tok = F.coalesce(F.col("lemma"), F.col("form"))
     item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), tok.alias("tok")))
-    grouped = (exploded.join(lem, "form", "left")
-               .groupBy(key_col).agg(F.array_sort(F.collect_list(item)).alias("_l")))
-    return grouped.select(key_col, F.transform("_l", lambda x: x["tok"]).alias(out_col))
+    grouped = (exploded.join(lem, "form", "left").groupBy(key_col, "_row", "_n")
+               .agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["tok"]).alias(out_col)))
+    return (grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+            .select(key_col, out_col))
 
 
 def readme_clean(df: DataFrame, lemma_df: DataFrame, stop_words: list[str], key_col: str,
-                 text_col: str, out_col: str = "cleaned", in_row: bool = True) -> DataFrame:
+                 text_col: str, out_col: str = "cleaned", in_row: bool = False) -> DataFrame:
     """Lower -> a-z only -> split -> stop words out -> lemmas -> join."""
     toks = df.select(key_col, T.remove_stopwords(
         T.tokenize_words(T.normalize_lower(text_col)), stop_words).alias("_t"))

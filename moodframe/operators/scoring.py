@@ -54,16 +54,16 @@ class LexiconScorer:
     the best score, rounded as in :data:`SCORE_TIE_DECIMALS`, ties by label
     name.
 
-    ``in_row`` says how posts are enriched, with equal results either way: from
-    a ``word -> weights`` map inside the row, which shuffles nothing and whose
-    look-ups cost more the more words the lexicon has, or by joining the
-    exploded tokens with the lexicon, for large ones.
+    Posts are enriched by joining the exploded tokens with the lexicon, of any
+    size. ``in_row`` takes a ``word -> weights`` map inside the row instead, with
+    equal results: it shuffles nothing, but its look-ups cost more the more words
+    the lexicon has, so it is for small ones.
     """
 
     lexicon: DataFrame
     priors: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_PRIORS))
     lowercase: bool = True
-    in_row: bool = True
+    in_row: bool = False
 
     @property
     def labels(self) -> list[str]:

@@ -80,7 +80,7 @@ def lemmatize_tokens(spark, sf):
     toks = _docs(spark, sf).select(
         "doc_id", T.remove_stopwords(T.tokenize_words(T.normalize_lower("text")),
                                      fx.spark_stop_words()).alias("tokens"))
-    out = lemmatize(toks, fx.lemma(spark), "doc_id", "tokens", "lemmas")
+    out = lemmatize(toks, fx.lemma(spark), "doc_id", "tokens", "lemmas", in_row=True)
     return out.select("doc_id", F.size("lemmas").cast("bigint").alias("n_lemmas"),
                       F.array_join("lemmas", "|").alias("lemmas"))
 
@@ -88,7 +88,7 @@ def lemmatize_tokens(spark, sf):
 @register
 def readme_clean(spark, sf):
     from moodframe.operators.prep import readme_clean as rc
-    out = rc(_docs(spark, sf), fx.lemma(spark), fx.spark_stop_words(), "doc_id", "text")
+    out = rc(_docs(spark, sf), fx.lemma(spark), fx.spark_stop_words(), "doc_id", "text", in_row=True)
     return out.select("doc_id", "cleaned")
 
 
@@ -117,6 +117,14 @@ def score_chunks(spark, sf):
                                      F.round("score", 8).alias("score"))
 
 
+@register
+def score_chunks_by_phrases(spark, sf):
+    from moodframe.operators.phrases import PhraseScorer
+    d = _docs(spark, sf).select("doc_id", T.clean_text("text").alias("cleaned_posts"))
+    scored = PhraseScorer(fx.phrase_lexicon(spark)).score(S.explode_chunks(d))
+    return scored.select("doc_id", "chunk_idx", "label", F.round("score", 8).alias("score"))
+
+
 @register
 def emotion_vote(spark, sf):
     return S.emotion_vote(_scored(spark, sf))
@@ -135,7 +143,7 @@ def assign_emotion(spark, sf):
 
 
 def enriched(spark, sf) -> DataFrame:
-    return S.enrich_posts(fx.posts_v(spark, sf), S.LexiconScorer(fx.lexicon(spark)))
+    return S.enrich_posts(fx.posts_v(spark, sf), S.LexiconScorer(fx.lexicon(spark), in_row=True))
 
 
 @register
@@ -815,7 +823,7 @@ def stream_enrich_posts(spark, sf):
     src = scratch_dir(spark, "posts-landing")
     _land_in_batches(fx.posts_v(spark, sf), src, ["doc_id"], 4)
     from moodframe.sources.io import POSTS_SCHEMA
-    return run_enrich_stream(spark, src, POSTS_SCHEMA, S.LexiconScorer(fx.lexicon(spark)),
+    return run_enrich_stream(spark, src, POSTS_SCHEMA, S.LexiconScorer(fx.lexicon(spark), in_row=True),
                              files_per_batch=_files_per_trigger(spark, src))
 
 
@@ -850,7 +858,7 @@ def preview_head(spark, sf):
     # the five posts first, then only they are scored
     posts = fx.posts_v(spark, sf)
     first = IO.preview_head(posts, posts.columns, "doc_id")
-    return S.enrich_posts(first, S.LexiconScorer(fx.lexicon(spark))).select("doc_id", "type", "emotion", "emoji")
+    return S.enrich_posts(first, S.LexiconScorer(fx.lexicon(spark), in_row=True)).select("doc_id", "type", "emotion", "emoji")
 
 
 @register

@@ -62,6 +62,21 @@ SELECT doc_id, CAST(unnest(range(0, len(c))) AS BIGINT) AS chunk_idx, unnest(c)
 # ------------------------------------------------------------------ C scoring
 _E = f"WITH {P.ENRICH_CTES}"
 ORACLE["score_chunks"] = f"{_E} SELECT doc_id, chunk_idx, label, round(score, 8) AS score FROM scored"
+ORACLE["score_chunks_by_phrases"] = f"""
+WITH chunk_lists AS (SELECT doc_id, {P.chunks('cleaned')} AS cl FROM (SELECT doc_id, {P.clean('text')} AS cleaned FROM {_DOCS})),
+chunk_words AS (SELECT doc_id, chunk_idx, string_split(lower(chunk), ' ') AS w FROM (
+  SELECT doc_id, CAST(unnest(range(0, len(cl))) AS BIGINT) AS chunk_idx, unnest(cl) AS chunk FROM chunk_lists)),
+runs AS (SELECT doc_id, chunk_idx, unnest(w) AS phrase FROM chunk_words
+  UNION ALL SELECT doc_id, chunk_idx, a || ' ' || b AS phrase FROM (
+    SELECT doc_id, chunk_idx, unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM chunk_words WHERE len(w) > 1)),
+hits AS (SELECT r.doc_id, r.chunk_idx, p.label, SUM(p.weight) AS h FROM runs r JOIN {P.PHRASES_V} p USING (phrase) GROUP BY ALL),
+total AS (SELECT doc_id, chunk_idx, SUM(h) AS h_total FROM hits GROUP BY ALL),
+cand AS (SELECT c.doc_id, c.chunk_idx, p.label, COALESCE(h.h, 0.0) + p.prior AS v, COALESCE(t.h_total, 0.0) AS h_total
+  FROM chunk_words c CROSS JOIN {P.PRIORS_V} p LEFT JOIN total t ON t.doc_id = c.doc_id AND t.chunk_idx = c.chunk_idx
+  LEFT JOIN hits h ON h.doc_id = c.doc_id AND h.chunk_idx = c.chunk_idx AND h.label = p.label)
+SELECT doc_id, chunk_idx, label, round(v / (h_total + {P.TOTAL_PRIOR}), 8) AS score FROM cand
+QUALIFY row_number() OVER (PARTITION BY doc_id, chunk_idx ORDER BY v DESC, label) = 1
+"""
 ORACLE["emotion_vote"] = f"""{_E}
 SELECT doc_id, label AS vote_emotion FROM (
   SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_idx) AS rn

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from moodframe.functions.text import DEFAULT_EMOJI, EMOJI_MAP
 from moodframe.operators.scoring import DEFAULT_PRIORS
-from moodframe.sources.fixtures import LEMMAS, LEXICON, TYPES, spark_stop_words
+from moodframe.sources.fixtures import LEMMAS, LEXICON, PHRASES, TYPES, spark_stop_words
 
 # Same classes as moodframe.functions.text, in RE2 spelling.
 WS = r"\t-\r\x{1c}-\x{1f}\x{85}\p{Z}"
@@ -65,6 +65,7 @@ TYPES_LIST = "[" + ", ".join(q(t) for t in TYPES) + "]"
 POSTS_V = (f"SELECT doc_id, {TYPES_LIST}[(CAST(substr(source, 4) AS INTEGER) % 16) + 1] AS type, "
            f"lang, text AS posts, n_chars FROM documents")
 LEXICON_V = values([(w, l, 1.0) for w, l in LEXICON], "word, label, weight")
+PHRASES_V = values(PHRASES, "phrase, label, weight")
 LEMMA_V = values(LEMMAS, "form, lemma")
 STOP_V = values([(w,) for w in spark_stop_words()], "word")
 LABELS = sorted(DEFAULT_PRIORS)

@@ -105,6 +105,16 @@ def lexicon(spark: SparkSession) -> DataFrame:
                                  "word string, label string, weight double")
 
 
+# Entries of two words: every pair of lexicon words, with the label of the first
+# and twice the weight; the words alone are entries, too.
+PHRASES = ([(w, l, 1.0) for w, l in LEXICON]
+           + [(f"{first} {second}", l, 2.0) for first, l in LEXICON for second, _ in LEXICON])
+
+
+def phrase_lexicon(spark: SparkSession) -> DataFrame:
+    return local_table(spark, PHRASES, "phrase string, label string, weight double")
+
+
 def lemma(spark: SparkSession) -> DataFrame:
     return local_table(spark, LEMMAS, "form string, lemma string")
 

@@ -174,8 +174,8 @@ def test_smote_vectors_interpolate(spark):
 
 def test_in_row_and_join_scoring_agree(spark):
     posts = fx.posts_v(spark, SF_SMALL)
-    a = S.enrich_posts(posts, S.LexiconScorer(fx.lexicon(spark)))
-    b = S.enrich_posts(posts, S.LexiconScorer(fx.lexicon(spark), in_row=False))
+    a = S.enrich_posts(posts, S.LexiconScorer(fx.lexicon(spark), in_row=True))
+    b = S.enrich_posts(posts, S.LexiconScorer(fx.lexicon(spark)))
     assert a.columns == b.columns
     assert "Generate" not in a._jdf.queryExecution().executedPlan().toString()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -42,8 +42,8 @@ def test_both_lexicon_paths_agree_on_null_and_repeated_keys(spark, weight):
     rows = [(7, "and and"), (7, "is is is is"), (None, "la"), (None, None), (8, "#1"), (9, "and is la der " * 90)]
     lexicon = fx.lexicon(spark).withColumn("weight", F.lit(weight))
     posts = spark.createDataFrame(rows, "doc_id bigint, posts string")
-    a = S.enrich_posts(posts, S.LexiconScorer(lexicon))
-    b = S.enrich_posts(posts, S.LexiconScorer(lexicon, in_row=False))
+    a = S.enrich_posts(posts, S.LexiconScorer(lexicon, in_row=True))
+    b = S.enrich_posts(posts, S.LexiconScorer(lexicon))
     assert same(a, b) and a.count() == len(rows)
     emotions = {(r.doc_id, r.posts): r.emotion for r in b.collect()}
     assert emotions[7, "and and"] == "joy" and emotions[7, "is is is is"] == "anger"
@@ -73,10 +73,27 @@ def test_naive_bayes_and_batch_scorers(spark):
 
 
 def test_lemma_paths_agree(spark):
-    tokens = spark.createDataFrame([(1, ["des", "x", "des"]), (2, []), (3, None)], "doc_id bigint, t array<string>")
-    a = E.lemmatize(tokens, fx.lemma(spark), "doc_id", "t")
-    assert same(a, E.lemmatize(tokens, fx.lemma(spark), "doc_id", "t", in_row=False))
-    assert {r.doc_id: list(r.lemmas) for r in a.collect()} == {1: ["de", "x", "de"], 2: [], 3: []}
+    rows = [(1, ["des", "x", "des"]), (2, []), (3, None), (1, ["x"]), (1, ["x"]), (None, ["was"]), (2, None), (4, [None, "es"]), (5, ["a,b"]), (5, ["a", "b"])]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, t array<string>")
+    a = E.lemmatize(tokens, fx.lemma(spark), "doc_id", "t", in_row=True)
+    b = E.lemmatize(tokens, fx.lemma(spark), "doc_id", "t")
+    want = [(1, ["de", "x", "de"]), (1, ["x"]), (1, ["x"]), (2, []), (2, []), (3, []), (4, [None, "e"]), (5, ["a", "b"]), (5, ["a,b"]), (None, ["be"])]
+    assert [sorted(((r.doc_id, list(r.lemmas)) for r in t.collect()), key=str) for t in (a, b)] == [sorted(want, key=str)] * 2
+
+
+def test_large_dictionaries_are_joined_by_default(spark):
+    """No array of the dictionary: a million forms and words."""
+    many = spark.range(1_000_000).select(F.concat(F.lit("w"), "id").alias("form"), F.concat(F.lit("l"), "id").alias("lemma"))
+    tokens = spark.createDataFrame([(1, ["w7", "x", "w999999"])], "doc_id bigint, t array<string>")
+    got = E.lemmatize(tokens, many, "doc_id", "t")
+    assert got.first().lemmas == ["l7", "x", "l999999"]
+    words = many.select(F.col("form").alias("word"), F.lit("joy").alias("label"), F.lit(5.0).alias("weight"))
+    # letters only remain of a cleaned post
+    words = words.unionAll(spark.createDataFrame([("sun", "fear", 9.0)], words.schema))
+    posts = spark.createDataFrame([(1, "the sun"), (2, "the rain")], "doc_id bigint, posts string")
+    rated = S.enrich_posts(posts, S.LexiconScorer(words))
+    assert {r.doc_id: r.emotion for r in rated.collect()} == {1: "fear", 2: "neutral"}
+    assert "map_from_entries" not in rated._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_vocabulary_has_every_token_unless_told_otherwise(spark):
@@ -172,10 +189,10 @@ def test_stream_equals_batch_and_bears_replay(spark):
 
 def test_enrich_takes_no_exchange_over_a_scan(spark):
     posts = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", F.col("text").alias("posts"))
-    plan = S.enrich_posts(posts, S.LexiconScorer(fx.lexicon(spark)))._jdf.queryExecution().executedPlan()
+    plan = S.enrich_posts(posts, S.LexiconScorer(fx.lexicon(spark), in_row=True))._jdf.queryExecution().executedPlan()
     main = plan.toString().split("Subquery")[0]
     assert "Exchange" not in main and "Join" not in main
-    lemmas = E.readme_clean(posts, fx.lemma(spark), fx.spark_stop_words(), "doc_id", "posts")
+    lemmas = E.readme_clean(posts, fx.lemma(spark), fx.spark_stop_words(), "doc_id", "posts", in_row=True)
     assert "Exchange" not in lemmas._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
     stops = posts.select(clean_text("posts"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<text:string>" in stops
