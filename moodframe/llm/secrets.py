@@ -34,6 +34,8 @@ MIN_WORD = 4
 MIN_WORD_DOCS = 5
 # Longest word looked for inside a candidate.
 LONGEST_INSIDE = 20
+# Characters that are looked at together, so that memory does not follow a run.
+BLOCK = 1 << 18
 TREES, DEPTH, SEED = 40, 8, 1
 CUT = 0.5
 
@@ -57,6 +59,7 @@ NAMES = re.compile(r"secret|token|passw|pwd|key|auth|bearer|credential|signature
 PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|fake|xxxx|1234567", re.I)
 EXAMPLE_PATH = re.compile(r"test|example|sample|doc|mock|fixture", re.I)
 ASSIGNED = re.compile(r"(=|:|=>|:=)\s*['\"]?$")
+SAME_CLASS = re.compile(rb"0+|1+|2+|3+")
 HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 
 FEATURES = (
@@ -137,16 +140,32 @@ def key_runs(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-def _classes(run: str) -> np.ndarray:
-    return np.array([0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in run])
+def _classes(run: str) -> bytes:
+    """One byte a character: 0 digits, 1 upper, 2 lower case, 3 others."""
+    kinds = {ord(c): "0" if c.isdigit() else "1" if c.isupper() else "2" if c.islower() else "3" for c in set(run)}
+    return run.translate(kinds).encode()
+
+
+def _steps(run: str, transitions: np.ndarray) -> tuple[float, float]:
+    """Mean and least of the transitions along a run, in blocks."""
+    codes = np.frombuffer(run.encode(), dtype=np.uint8)
+    if len(codes) < 2:
+        return 0.0, 0.0
+    total, least = 0.0, np.inf
+    for at in range(0, len(codes) - 1, BLOCK):
+        part = codes[at:at + BLOCK + 1]
+        steps = transitions[part[:-1], part[1:]]
+        total, least = total + steps.sum(), min(least, steps.min())
+    return total / (len(codes) - 1), least
 
 
 def covered(run: str, dictionary: frozenset[bytes]) -> float:
     """The share of characters that dictionary words cover, longest first from
     the left."""
     data, at, total = run.lower().encode(), 0, 0
-    while at < len(data):
-        size = next((n for n in range(min(LONGEST_INSIDE, len(data) - at), MIN_WORD - 1, -1) if data[at:at + n] in dictionary), 0)
+    lengths = sorted({len(w) for w in dictionary if MIN_WORD <= len(w) <= LONGEST_INSIDE}, reverse=True)
+    while lengths and at < len(data):
+        size = next((n for n in lengths if at + n <= len(data) and data[at:at + n] in dictionary), 0)
         total, at = total + size, at + max(size, 1)
     return total / len(data)
 
@@ -160,29 +179,50 @@ def dictionary_features(run: str, near: list[str], dictionary: frozenset[bytes])
     return covered(run, dictionary), sum(w.encode() in dictionary for w in near) / max(1, len(near))
 
 
-def asked_words(run: str, near: list[str]) -> set[bytes]:
-    """All that :func:`dictionary_features` looks up in the dictionary."""
-    asked = {w.encode() for w in near}
+def word_beginnings(dictionary: DataFrame) -> np.ndarray:
+    """For every beginning of ``MIN_WORD`` letters, the lengths of the dictionary's
+    words that have it, as bits: a table of 26 ** MIN_WORD numbers."""
+    letters = [F.ascii(F.substring(F.col("word").cast("string"), k + 1, 1)) - 97 for k in range(MIN_WORD)]
+    first = sum((letter * 26 ** (MIN_WORD - 1 - k) for k, letter in enumerate(letters)), F.lit(0))
+    lengths = F.expr(f"shiftleft(1, octet_length(word) - {MIN_WORD})")
+    inside = dictionary.where(F.octet_length("word") <= LONGEST_INSIDE)
+    table = np.zeros(26 ** MIN_WORD, dtype=np.int32)
+    for r in inside.groupBy(first.alias("first")).agg(F.bit_or(lengths).alias("lengths")).collect():  # at most 456,976 rows
+        table[r["first"]] = r.lengths
+    return table
+
+
+def asked_words(run: str, near: list[str], beginnings: np.ndarray) -> Iterator[bytes]:
+    """What :func:`dictionary_features` may find in the dictionary: the words
+    around, and the parts of the run that begin as a word of their length does.
+    A part may come more than once, but not twice from one block of the run."""
+    yield from {w.encode() for w in near}
     for m in LETTERS.finditer(run.lower().encode()):
         word = m.group()
-        for n in range(MIN_WORD, min(LONGEST_INSIDE, len(word)) + 1):
-            asked.update(word[at:at + n] for at in range(len(word) - n + 1))
-    return asked
+        for start in range(0, len(word) - MIN_WORD + 1, BLOCK):
+            part = word[start:start + BLOCK + LONGEST_INSIDE - 1]
+            codes = np.frombuffer(part, dtype=np.uint8).astype(np.int32) - 97
+            last = min(BLOCK, len(part) - MIN_WORD + 1)
+            first = sum(codes[k:k + last] * 26 ** (MIN_WORD - 1 - k) for k in range(MIN_WORD))
+            lengths = beginnings[first]
+            for n in range(MIN_WORD, min(LONGEST_INSIDE, len(part)) + 1):
+                places = np.flatnonzero(lengths[:max(0, len(part) - n + 1)] & (1 << (n - MIN_WORD)))
+                yield from {part[at:at + n] for at in places.tolist()}
 
 
 def features(text: str, start: int, end: int, path: str | None, transitions: np.ndarray, dictionary: frozenset[bytes]) -> list[float]:
     run, path = text[start:end], path or ""
     classes = _classes(run)
-    share = np.bincount(classes, minlength=4) / len(run)
+    share = [classes.count(kind) / len(run) for kind in (b"0", b"1", b"2", b"3")]
     counts = np.array(list(Counter(run).values())) / len(run)
-    changes = np.flatnonzero(classes[1:] != classes[:-1])
-    longest = np.diff(np.r_[-1, changes, len(run) - 1]).max()
-    codes = np.frombuffer(run.encode(), dtype=np.uint8)
-    steps = transitions[codes[:-1], codes[1:]] if len(codes) > 1 else np.zeros(1)
+    stretches = longest = 0
+    for m in SAME_CLASS.finditer(classes):
+        stretches, longest = stretches + 1, max(longest, m.end() - m.start())
+    mean_step, least_step = _steps(run, transitions)
     before, after = text[max(0, start - CONTEXT):start], text[end:end + CONTEXT]
     inside, near = dictionary_features(run, near_words(text, start, end), dictionary)
     return [np.log(len(run)), *share, len(counts) / len(run), -(counts * np.log2(counts)).sum(), float(HEX.fullmatch(run) is not None),
-            longest, len(changes) / len(run), steps.mean(), steps.min(), inside,
+            longest, (stretches - 1) / len(run), mean_step, least_step, inside,
             len(path), path.count("/"), float(EXAMPLE_PATH.search(path) is not None),
             float(NAMES.search(before[-24:]) is not None), float(ASSIGNED.search(before) is not None),
             float(before[-1:] in ("'", '"', "`") and after[:1] == before[-1:]),
@@ -235,10 +275,11 @@ def with_dictionary(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for nth, run, near in zip(frame["nth"], frame["run"], frame["near"]):
-                rows += [(nth, word) for word in asked_words(run, near)]
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=["nth", "word"])
-                    rows = []
+                for word in asked_words(run, near, beginnings):
+                    rows.append((nth, word))
+                    if len(rows) >= 100_000:
+                        yield pd.DataFrame(rows, columns=["nth", "word"])
+                        rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=["nth", "word"])
 
@@ -252,12 +293,12 @@ def with_dictionary(found: DataFrame, dictionary: DataFrame) -> DataFrame:
                 filled.append([float(x) for x in values])
             yield pd.DataFrame({"nth": frame["nth"], "features": pd.Series(filled, index=frame.index, dtype=object)})
 
-    spark = found.sparkSession
+    spark, beginnings = found.sparkSession, word_beginnings(dictionary)
     rows, rows_at = materialise(found.withColumn("nth", F.monotonically_increasing_id()), "secret-found")
     asked, asked_at = materialise(rows.select("nth", "run", "near").mapInPandas(ask, "nth long, word binary"), "secret-asked")
     held, held_at = materialise(asked.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(dictionary, "word", "left_semi"), "secret-held")
     # words that many candidates ask for are met where the candidates are
-    known = join_hot(asked, held, ["word"], "n", asked.count()).groupBy("nth").agg(F.collect_list("word").alias("known"))
+    known = join_hot(asked, held, ["word"], "n", asked.count()).groupBy("nth").agg(F.collect_set("word").alias("known"))
     told = rows.select("nth", "features", "run", "near").join(known, "nth", "left").mapInPandas(fill, "nth long, features array<double>")
     out, _ = materialise(rows.drop("features", "run", "near").join(told, "nth").drop("nth"), "secret-candidates")
     discard(spark, rows_at, asked_at, held_at)

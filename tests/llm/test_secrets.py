@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -49,6 +50,66 @@ def test_candidates_and_decisions():
         list(S.candidates(long))
 
 
+def brute_words(run, near, dictionary):
+    asked = {run.lower()[a:a + n] for n in range(S.MIN_WORD, S.LONGEST_INSIDE + 1) for a in range(len(run) - n + 1)}
+    return {w for w in asked | set(near) if w in dictionary}
+
+
+def test_asked_words_miss_nothing_of_the_dictionary(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcz") for _ in range(n))
+    dictionary = {word(rng.randrange(4, 24)) for _ in range(400)} | {"zzzz", "a" * 20, "a" * 21}
+    table = S.word_beginnings(spark.createDataFrame([(w.encode(),) for w in dictionary], "word binary"))
+    runs = ["".join(rng.choice(["1", "-", "É", "ß", word(3).upper(), *dictionary]) for _ in range(20)) for _ in range(60)]
+    runs += ["", "abc", "zzzz", "ZZZZ", "a" * 50, "1" * 30, word(700)]
+    for block in (S.BLOCK, 64, 7, 1):
+        monkeypatch.setattr(S, "BLOCK", block)
+        for run in runs:
+            near = [word(5), "a" * 21]
+            got = {w.decode() for w in S.asked_words(run, near, table)} & dictionary
+            assert got == brute_words(run, near, dictionary), (block, run)
+
+
+def brute_features(run, transitions):
+    kinds = ["digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.islower() else "sign" for c in run]
+    stretch, longest, changes = 0, 0, 0
+    for k, kind in enumerate(kinds):
+        stretch = stretch + 1 if k and kinds[k - 1] == kind else 1
+        longest, changes = max(longest, stretch), changes + (k > 0 and kinds[k - 1] != kind)
+    data = run.encode()
+    steps = [transitions[a][b] for a, b in zip(data, data[1:])] or [0.0]
+    shares = [sum(c == x for c in run) / len(run) for x in set(run)]
+    return {**{f"{k}s" if k != "sign" else "symbols": kinds.count(k) / len(run) for k in ("digit", "upper", "lower", "sign")},
+            "longest_class_run": longest, "class_changes": changes / len(run), "transitions": sum(steps) / len(steps),
+            "worst_transition": min(steps), "entropy": -sum(p * np.log2(p) for p in shares), "distinct": len(shares) / len(run)}
+
+
+def test_features_against_brute_force(monkeypatch):
+    rng = random.Random(9)
+    transitions = -np.random.default_rng(1).random((256, 256))
+    for block in (S.BLOCK, 5, 1):
+        monkeypatch.setattr(S, "BLOCK", block)
+        for _ in range(100):
+            run = "".join(rng.choice("aBc9É٣ß-/_=\U0001f600") for _ in range(rng.randrange(1, 40)))
+            got = dict(zip(S.FEATURES, S.features(f"x {run} y", 2, 2 + len(run), "p", transitions, frozenset())))
+            for name, want in brute_features(run, transitions).items():
+                assert abs(got[name] - want) < 1e-9, (name, run)
+
+
+def test_memory_does_not_follow_the_run():
+    rng = np.random.default_rng(2)
+    run = bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABC", dtype=np.uint8), 1_000_000)).decode()
+    beginnings = np.full(26 ** S.MIN_WORD, 0, dtype=np.int32)
+    beginnings[::50] = (1 << 17) - 1
+    transitions = np.full((256, 256), -8.0)
+    tracemalloc.start()
+    S.features(run, 0, len(run), "p", transitions, frozenset())
+    assert sum(1 for _ in S.asked_words(run, [], beginnings)) > 200_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * len(run)
+
+
 def test_every_value_assigned_to_a_name_is_a_candidate():
     values = {'password = "Tr0ub4dor3x"': ["Tr0ub4dor3x"], "pwd: 'correct horse battery staple'": ["correct horse battery staple"],
               'db_password: p.q~r!s$t@u#v, next': ["p.q~r!s$t@u#v"], 'auth = ""': [], "token=a&password=é; x": ["a", "é"],
