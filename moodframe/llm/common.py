@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,6 +45,16 @@ def worker_cache(key, make: Callable):
     return _worker_caches[key]
 
 
+def release_memory() -> None:
+    """Give back what a Python worker has freed. Workers stay for the tasks of
+    later stages, and an executor's memory holds all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
@@ -177,5 +188,6 @@ def rate_texts(docs: DataFrame, text: str, carry: tuple[str, ...], make: Callabl
             rated = rate(batch.column(at).to_pandas())
             columns = [*batch.columns[:len(carry)], *(pa.array(rated[name], type=kind, from_pandas=True) for name, kind in types.items())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        release_memory()
 
     return kept.mapInArrow(run, schema)

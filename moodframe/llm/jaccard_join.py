@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from moodframe.llm.common import SPACE_CLASS, UPPER, discard, documents, join_hot, keep_decided, materialise, worker_cache
+from moodframe.llm.common import SPACE_CLASS, UPPER, discard, documents, join_hot, keep_decided, materialise, release_memory, worker_cache
 from moodframe.llm.components import connected_components
 
 # Documents in the sample that shows which n-grams are frequent, and how many
@@ -320,6 +320,7 @@ def _sign(percent: int, frequent: np.ndarray):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("no cache", dict)
+        release_memory()  # what an operator before left
         signer = Signer(percent, np.frombuffer(shipped, dtype=np.uint64))
         for batch in batches:
             lists = batch.column("ngrams")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from moodframe.llm.common import ASCII_LOWER, documents, held_out, materialise
+from moodframe.llm.common import ASCII_LOWER, documents, held_out, materialise, release_memory
 
 ORDER = 5
 CHUNK_BYTES = 32 << 20
@@ -210,6 +210,7 @@ def _counts(order: int, what: str):
                         tally[word] = tally.get(word, 0) + (n if wanted else 0)
         for old in list(held):
             yield done(old)
+        release_memory()
     return count
 
 
@@ -251,7 +252,9 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held:
 
     def cost(frame: pd.DataFrame) -> pd.DataFrame:
         found = run_costs(frame["key"].to_numpy().view(np.uint64), frame["n"].to_numpy(dtype=np.float64), pair_keys, pair_counts, order)
-        return pd.DataFrame({"key": frame["key"], "cost": found})
+        out = pd.DataFrame({"key": frame["key"], "cost": found})
+        release_memory()
+        return out
 
     context = F.shiftright("key", 8).bitwiseAND(0xFFFF)
     costs = totals.groupBy(F.pmod(F.xxhash64(context), F.lit(groups)).alias("group")).applyInPandas(cost, "key long, cost double")
@@ -262,13 +265,16 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held:
     n_train, n_types = int(sums.n), int(sums.v)
 
     def score(own: pa.Table, given: pa.Table) -> pa.Table:
-        runs_given, tokens_given = given.filter(pc.field("token").is_null()), given.filter(pc.field("token").is_valid())
+        is_token = given["token"].is_valid()
+        runs_given, tokens_given = given.select(["run", "value"]).filter(pc.invert(is_token)), given.select(["token", "value"]).filter(is_token)
         del given
-        keys = runs_given["run"].to_numpy().astype(np.int64).view(np.uint64)
+        keys = runs_given["run"].to_numpy().astype(np.int64, copy=False).view(np.uint64)
         sort = np.argsort(keys)
         keys, cost = keys[sort], runs_given["value"].to_numpy()[sort]
+        del sort
         counts = dict(zip(tokens_given["token"].to_pylist(), tokens_given["value"].to_pylist()))
-        del runs_given, tokens_given
+        del runs_given, tokens_given, is_token
+        release_memory()
         packed, unpack = own["text"].to_pylist(), zstandard.ZstdDecompressor().decompress
         out = np.zeros((len(packed), 4))
         for a, b in blocks(packed, LOOK_UP_BYTES):
