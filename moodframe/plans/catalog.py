@@ -243,6 +243,8 @@ def class_count_check(spark, sf):
 from moodframe.operators import prep as E  # noqa: E402
 
 HEAD_COLS = ["type", "emotion", "emoji"]
+# The labels that the heads can have: training need not look for them in the texts.
+HEAD_LABELS = {"type": fx.TYPES, "emotion": list(S.DEFAULT_PRIORS), "emoji": [*T.EMOJI_MAP.values(), T.DEFAULT_EMOJI]}
 
 
 def _labelled(spark, sf):
@@ -349,7 +351,7 @@ def _split_lab(spark, sf):
 def _nb(spark, sf, alpha=1.0, ngram=1, sp=None):
     sp = sp if sp is not None else _split_lab(spark, sf)
     model = M.train_naive_bayes(sp.where(F.col("split") == "train"), "doc_id", "cleaned_posts",
-                                HEAD_COLS, alpha, ngram)
+                                HEAD_COLS, alpha, ngram, labels=HEAD_LABELS)
     return sp, model
 
 
@@ -397,7 +399,7 @@ def joint_loss(spark, sf):
 @register
 def select_best_candidate(spark, sf):
     sp = _split_lab(spark, sf)
-    counts = M.count_naive_bayes(sp.where(F.col("split") == "train"), "doc_id", "cleaned_posts", HEAD_COLS)
+    counts = M.count_naive_bayes(sp.where(F.col("split") == "train"), "doc_id", "cleaned_posts", HEAD_COLS, labels=HEAD_LABELS)
     val = sp.where(F.col("split") == "val")
     texts = cut_lineage(val.select("doc_id", "cleaned_posts", *HEAD_COLS))  # scored by every candidate
     parts = []
@@ -490,7 +492,7 @@ def compare_models_with_logistic(spark, sf):
     train, val = text.where(F.col("split") == "train"), text.where(F.col("split") == "val")
     truth, tables = sp.where(F.col("split") == "val"), {}
     for name, ng in [("nb_unigram", 1), ("nb_bigram", 2)]:
-        model = M.train_naive_bayes(train, "doc_id", "cleaned_posts", HEAD_COLS, ngram=ng)
+        model = M.train_naive_bayes(train, "doc_id", "cleaned_posts", HEAD_COLS, ngram=ng, labels=HEAD_LABELS)
         scores = M.naive_bayes_scores(val, "doc_id", "cleaned_posts", model)
         tables[name] = _metrics(cut_lineage(_results(truth, M.argmax_rows(scores, ["doc_id", "head"]))))
     models = M.train_logistic_heads(train, "cleaned_posts", HEAD_COLS)
