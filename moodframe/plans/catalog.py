@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from moodframe.functions import text as T
 from moodframe.operators import scoring as S
 from moodframe.sources import fixtures as fx
-from moodframe.session import cut_lineage, scratch_dir, table
+from moodframe.session import cut_lineage, scratch_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -355,10 +355,12 @@ def _nb(spark, sf, alpha=1.0, ngram=1, sp=None):
     return sp, model
 
 
-def _val_preds(spark, sf, alpha=1.0, ngram=1, sp=None, model=None):
+def _val_preds(spark, sf, alpha=1.0, ngram=1, sp=None, model=None, truth=False):
     if model is None:
         sp, model = _nb(spark, sf, alpha, ngram, sp)
     val = sp.where(F.col("split") == "val")
+    if truth:  # the labels are asked for, too: the rows held out are cleaned and enriched once
+        val = stored(val.select("doc_id", "cleaned_posts", *HEAD_COLS))
     scores = M.naive_bayes_scores(val, "doc_id", "cleaned_posts", model)
     return val, scores, M.argmax_rows(scores, ["doc_id", "head"])
 
@@ -368,7 +370,7 @@ def _results(val, preds):
 
 
 def _results_df(spark, sf):
-    val, _, preds = _val_preds(spark, sf)
+    val, _, preds = _val_preds(spark, sf, truth=True)
     return cut_lineage(_results(val.select("doc_id", *HEAD_COLS), preds))
 
 
@@ -391,7 +393,7 @@ def predict_heads(spark, sf):
 
 @register
 def joint_loss(spark, sf):
-    val, scores, _ = _val_preds(spark, sf)
+    val, scores, _ = _val_preds(spark, sf, truth=True)
     return M.joint_loss(scores, val, "doc_id", HEAD_COLS).select(
         "head", F.round("loss", 6).alias("loss"))
 
@@ -479,7 +481,7 @@ def compare_models(spark, sf):
     sp = _split_lab(spark, sf)
     tables = {}
     for name, ng in [("nb_unigram", 1), ("nb_bigram", 2)]:
-        val, _, preds = _val_preds(spark, sf, ngram=ng, sp=sp)
+        val, _, preds = _val_preds(spark, sf, ngram=ng, sp=sp, truth=True)
         tables[name] = _metrics(cut_lineage(_results(val.select("doc_id", *HEAD_COLS), preds)))
     return M.compare_models(tables)
 
