@@ -448,8 +448,13 @@ def predict_table(spark, sf):
 
 @register
 def code_lookup_default(spark, sf):
-    codes = _codes(_heads(spark, sf))
-    _, _, preds = _val_preds(spark, sf)
+    sp, model = _nb(spark, sf)
+    val, _, preds = _val_preds(spark, sf, sp=sp, model=model, truth=True)
+    # the labels of all rows: training has counted its own, the others are stored
+    codes = {}
+    for h in HEAD_COLS:
+        trained = model.class_params.where(F.col("head") == h).select(F.col("class").alias(h))
+        codes.update({h: E.fit_codes(trained.unionByName(val.select(h)), h)})
     defaults = {"type": "Unknown", "emotion": "neutral", "emoji": T.EMOJI_MAP["neutral"]}
     out = M.look_up_codes(preds, codes, defaults, "doc_id")
     return out.select("doc_id", F.col("type").alias("personality"), "emotion", "emoji")
