@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodframe.functions.hashing import DEFAULT_SEED, md5int
@@ -35,6 +35,8 @@ from moodframe.session import cut_lineage, publish_folder, scratch_dir
 # at once.
 BLOCK = 1 << 14
 WORDS_AT_ONCE = 200_000
+# Tasks of a training step for each core.
+TASKS_A_CORE = 3
 
 
 @dataclass(frozen=True)
@@ -80,14 +82,22 @@ def new_model(labels: dict[str, list[str]], settings: JointSettings) -> JointMod
                       [np.zeros(len(v)) for v in labels.values()], settings.buckets)
 
 
+def hashed_words(text_col: str, buckets: int) -> Column:
+    """The ids of a text's words, none for a null text."""
+    return F.coalesce(F.transform(word_tokens(text_col), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")),
+                      F.array().cast("array<int>"))
+
+
+def label_codes(df: DataFrame, cols: list[str], labels: dict[str, list[str]]) -> list[Column]:
+    """A code column ``y<i>`` for each head, whose labels ``cols`` hold: -1 where
+    the label is null or unknown, or ``df`` has no such column."""
+    return [(F.coalesce(F.array_position(F.array(*[F.lit(x) for x in v]), F.col(c).cast("string")), F.lit(0)) - 1).cast("int")
+            .alias(f"y{i}") if c in df.columns and v else F.lit(-1).alias(f"y{i}") for i, (c, v) in enumerate(zip(cols, labels.values()))]
+
+
 def hashed_rows(df: DataFrame, key_col: str, text_col: str, labels: dict[str, list[str]], buckets: int) -> DataFrame:
-    """``key, words`` (ids) and a code column ``y<i>`` for each head, -1 where
-    the label is null or unknown."""
-    words = F.coalesce(F.transform(word_tokens(text_col), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")),
-                       F.array().cast("array<int>"))
-    codes = [(F.coalesce(F.array_position(F.array(*[F.lit(x) for x in v]), F.col(h).cast("string")), F.lit(0)) - 1).cast("int")
-             .alias(f"y{i}") if h in df.columns and v else F.lit(-1).alias(f"y{i}") for i, (h, v) in enumerate(labels.items())]
-    return df.select(key_col, words.alias("words"), *codes)
+    """``key, words`` (ids) and a code column ``y<i>`` for each head."""
+    return df.select(key_col, hashed_words(text_col, buckets).alias("words"), *label_codes(df, list(labels), labels))
 
 
 def forward(model: JointModel, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -231,9 +241,20 @@ def train_joint_heads(train: DataFrame, validation: DataFrame, key_col: str, tex
     """
     spark = train.sparkSession
     path = path or scratch_dir(spark, "joint-heads")
-    seen = train.select(*head_cols).agg(*[F.array_sort(F.collect_set(F.col(h).cast("string"))).alias(h) for h in head_cols]).first()
+    own = {h: f"_y{i}" for i, h in enumerate(head_cols)}
+
+    def hashed(df: DataFrame) -> DataFrame:
+        # a text is read once: its words' ids and the labels as they are
+        kept = cut_lineage(df.select(key_col, hashed_words(text_col, settings.buckets).alias("words"),
+                                     *[F.col(h).cast("string").alias(c) for h, c in own.items() if h in df.columns]))
+        # a task's gradient has the model's size: no more tasks than keep the cores busy
+        tasks = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+        return kept.coalesce(tasks) if kept.rdd.getNumPartitions() > tasks else kept
+
+    texts, held = hashed(train), hashed(validation)
+    seen = texts.agg(*[F.array_sort(F.collect_set(c)).alias(h) for h, c in own.items()]).first()
     labels = {h: list(seen[h]) for h in head_cols}
-    rows, held = (cut_lineage(hashed_rows(df, key_col, text_col, labels, settings.buckets)) for df in (train, validation))
+    rows, held = (df.select(key_col, "words", *label_codes(df, list(own.values()), labels)) for df in (texts, held))
     counts = rows.agg(*[F.sum((F.col(f"y{i}") >= 0).cast("long")).alias(f"y{i}") for i in range(len(labels))]).first()
     model = new_model(labels, settings)
     params, m, v, step = model.flat(), 0.0, 0.0, 0
