@@ -133,9 +133,15 @@ def loss_and_gradient(model: JointModel, ids: np.ndarray, offsets: np.ndarray, c
         to_weights.append(hidden.T @ d)
         to_bias.append(d.sum(axis=0))
         to_hidden += d @ w.T
-    per_word = np.repeat(to_hidden / np.maximum(lengths, 1)[:, None], lengths, axis=0)
-    shape = model.projection.shape
-    to_projection = np.stack([np.bincount(ids, per_word[:, r], minlength=shape[0]) for r in range(shape[1])], axis=1)
+    # a word that a text repeats is one row, added as often as it is there
+    texts = max(1, len(lengths))
+    pairs, n = np.unique(ids.astype(np.int64) * texts + np.repeat(np.arange(len(lengths)), lengths), return_counts=True)
+    word, of = pairs // texts, pairs % texts
+    to_projection = np.zeros_like(model.projection)
+    if len(pairs):
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        share = to_hidden[of] * (n / np.maximum(lengths, 1)[of])[:, None]
+        to_projection[word[first]] = np.add.reduceat(share, first, axis=0)
     return losses, np.concatenate([x.ravel() for x in [to_projection, *to_weights, *to_bias]])
 
 
