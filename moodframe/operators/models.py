@@ -37,7 +37,7 @@ WORDS_AT_ONCE = 100_000
 # Bytes of text whose words a Python worker counts at once, and the pairs of a
 # token and its labels that it adds up before they go on.
 COUNTED_BYTES = 16 << 20
-COUNTED_PAIRS = 1 << 21
+COUNTED_PAIRS = 1 << 20
 # Decimals of the score used for the argmax (ties -> smallest class).
 SCORE_DECIMALS = 6
 LOSS_FLOOR = 1e-15
