@@ -31,11 +31,14 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 from moodframe.llm.common import SPACE_CLASS, UPPER, discard, documents, join_hot, keep_decided, materialise, release_memory, worker_cache
 from moodframe.llm.components import connected_components
 
-# Documents in the sample that shows which n-grams are frequent, and how many
-# of them must hold one. The frequent list is bounded by the sample's n-grams
-# divided by that number.
-SAMPLE_DOCS = 20_000
+# An n-gram is frequent where at least so many documents hold it, and one of so
+# many of all documents. The frequent list is bounded by a document's mean
+# number of n-grams times the latter.
 FREQUENT_DOCS = 20
+FREQUENT_SHARE = 1_000
+# Bits of the most counters that a task keeps, and the counters of one row.
+COUNTER_BITS = 24
+COUNTERS = 1 << 12
 # Elements of the sets that one trie task holds.
 BLOCK_ELEMENTS = 400_000
 
@@ -305,14 +308,76 @@ def _linked_rows(docs: DataFrame, text: str, keys: list[Column], n: int, percent
     return links
 
 
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a batch of documents, and each one's row."""
+    lists = batch.column(0)
+    offsets = lists.offsets.to_numpy()
+    values = lists.values.to_numpy().view(np.uint64)[offsets[0]:offsets[-1]]
+    return values, np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+
+
+def _counters(bits: int):
+    """One task's counts of n-grams by their lowest ``bits``, repeats included:
+    never less than the documents that hold one."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("no cache", dict)
+        release_memory()  # what an operator before left
+        counts = np.zeros(1 << bits, dtype=np.uint32)
+        for batch in batches:
+            np.add.at(counts, (_listed(batch)[0] & np.uint64((1 << bits) - 1)).astype(np.int64), np.uint32(1))
+        parts = counts.reshape(-1, COUNTERS)
+        most = parts.max(axis=1)
+        for part in np.flatnonzero(most).tolist():
+            packed = parts[part].astype(np.uint8 if most[part] < 256 else np.uint32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["part", "counts"])
+    return count
+
+
+def _held(bits: int, many: bytes):
+    """``h, n``: n-grams whose counter is marked in ``many``, and how many
+    documents of a batch hold each."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(np.frombuffer(many, dtype=np.uint8)).astype(bool)
+        for batch in batches:
+            values, rows = _listed(batch)
+            kept = marked[(values & np.uint64((1 << bits) - 1)).astype(np.int64)]
+            values, rows = values[kept], rows[kept]
+            order = np.lexsort((rows, values))
+            values, rows = values[order], rows[order]
+            once = np.r_[True, (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])][:len(values)]
+            found, n = np.unique(values[once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+    return count
+
+
 def frequent_ngrams(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """N-grams of many documents of a bounded sample, drawn by a hash of the
-    text. They only steer which sets meet, never which are linked."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))).select(text).distinct()
-    counts = (drawn.select(F.explode(F.array_distinct(ngrams(F.col(text), n))).alias("h")).groupBy("h").count()
-              .where(F.col("count") >= FREQUENT_DOCS).select("h"))
-    return np.sort(counts.toPandas()["h"].to_numpy(dtype=np.int64).astype(np.uint64))
+    """N-grams that at least ``FREQUENT_DOCS`` documents and one of
+    ``FREQUENT_SHARE`` hold, counted over all documents. They only steer which
+    sets meet, never which are linked.
+
+    A first pass counts by some bits of the n-grams, a bounded number of counters
+    a task, which are added up. A second counts the documents of those n-grams
+    whose counter reaches the bound; no other one can be frequent."""
+    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars")).first()
+    least = max(FREQUENT_DOCS, -(-size["docs"] // FREQUENT_SHARE))
+    # four times as many counters as would hold the bound each, with six characters a word
+    bits = int(np.clip(np.ceil(np.log2(1 + 4 * size["chars"] / 6 / least)), COUNTERS.bit_length() - 1, COUNTER_BITS))
+    lists = docs.select(ngrams(F.col(text), n).alias("ngrams"))
+
+    def added(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for packed in frame["counts"]:
+            total += np.frombuffer(packed, dtype=np.uint8 if len(packed) == COUNTERS else np.uint32)
+        return pd.DataFrame({"part": frame["part"][:1], "many": [np.packbits(total >= least).tobytes()]})
+
+    parts = lists.mapInArrow(_counters(bits), "part int, counts binary").groupBy("part").applyInPandas(added, "part int, many binary")
+    many = np.zeros((1 << bits) // 8, dtype=np.uint8)  # a bit a counter
+    for part, packed in parts.collect():
+        many[part * COUNTERS // 8:(part + 1) * COUNTERS // 8] = np.frombuffer(packed, dtype=np.uint8)
+    if not many.any():
+        return np.zeros(0, dtype=np.uint64)
+    counts = lists.mapInArrow(_held(bits, many.tobytes()), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return np.sort(counts.where(F.col("n") >= least).select("h").toPandas()["h"].to_numpy(dtype=np.int64).astype(np.uint64))
 
 
 def _sign(percent: int, frequent: np.ndarray):

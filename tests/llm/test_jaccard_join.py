@@ -105,6 +105,20 @@ def test_rows_against_all_pairs(spark, monkeypatch, n, percent, block):
         (min((rows[j][0] for j in range(len(rows)) if group[j] == g), key=lambda i: (i is None, i or 0)) for g in set(group)), key=str)
 
 
+def test_frequent_ngrams_are_those_of_all_documents(spark):
+    group = F.col("id") % 1000
+    line = F.concat(*[F.concat(F.lit(f" {w}"), group) for w in ("common", "line", "here")])
+    own = F.concat(*[F.concat(F.lit(f" {w}"), "id") for w in "uvw"])
+    # 40 groups of 40 documents have a line of their own, 40 others have theirs in 39
+    docs = spark.range(0, 40_000, 1, 5).select(F.concat(
+        own, F.when((group < 40) | (group < 80) & (F.col("id") >= 1000), F.concat(line, line)).otherwise("")).alias("text"))
+    lines = spark.range(40).select(F.concat(*[F.concat(F.lit(f" {w}"), "id") for w in ("common", "line", "here", "common", "line")]).alias("text"))
+    want = {h % 2 ** 64 for r in lines.select(J.ngrams(F.col("text"), 3).alias("g")).collect() for h in r.g}
+    got = J.frequent_ngrams(docs, "text", 3).tolist()
+    assert len(want) == 120 and len(got) == 120 and set(got) == want and got == sorted(got)
+    assert len(J.frequent_ngrams(docs.limit(0), "text", 3)) == 0
+
+
 def test_empty_table(spark):
     assert J.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
